@@ -133,12 +133,14 @@ def create_event(target: Column, ts: Column, who: Identity) -> Column:
     return F.concat(F.lit(head), json_text(target), F.lit("," + tool + ',"ts":'), json_text(ts), F.lit("}"))
 
 
-def build_documents(clips: DataFrame, ts: Column, who: Identity = Identity(), kid: str | None = None) -> DataFrame:
+def build_documents(
+    clips: DataFrame, ts: Column, who: Identity = Identity(), kid: str | None = None, signer=None
+) -> DataFrame:
     """Clip rows to documents: (sidecar_path, clip_path, body JSON text).
 
     clips: clip_path, alg, value, and optionally manifest_path, manifest_sha256, file, amf_path,
-    amf_sha256, cdl_path, cdl_sha256, fdl_path, fdl_sha256. Events carry a hash and no signature
-    value: signing is left to the caller's key holder.
+    amf_sha256, cdl_path, cdl_sha256, fdl_path, fdl_sha256. signer is an optional pandas UDF from
+    canonical text to a base64 signature made with kid; without one the event has a hash only.
     """
     cols = set(clips.columns)
 
@@ -163,13 +165,18 @@ def build_documents(clips: DataFrame, ts: Column, who: Identity = Identity(), ki
     ).withColumn("_id", text.derived_id(F.col("_key"))).withColumn(
         "_event", create_event(F.col("_id"), stamp, who)
     ).withColumn("_hash", F.concat(F.lit("sha256:"), F.sha2("_event", 256)))
+    if signer is not None:
+        signature = F.struct(
+            F.lit(schemas.VERIFIABLE_SIGNATURE_ALG).alias("alg"), F.lit(kid).alias("kid"),
+            signer(F.col("_event")).alias("value"),
+        )
     event = F.struct(
         F.lit(1).alias("seq"), stamp.alias("ts"),
         F.struct(F.lit(who.actor).alias("id"), F.lit(who.role).alias("role")).alias("actor"),
         F.struct(F.lit(who.tool).alias("name"), F.lit(who.version).alias("version")).alias("tool"),
         F.lit("create").alias("action"), F.col("_id").alias("target"),
         F.lit(None).cast("string").alias("prevHash"), F.col("_hash").alias("hash"),
-        *([F.struct(F.lit(schemas.VERIFIABLE_SIGNATURE_ALG).alias("alg"), F.lit(kid).alias("kid")).alias("sig")] if kid else []),
+        *([signature.alias("sig")] if signer is not None else []),
     )
 
     def group(domain: str, value: str) -> Column:
