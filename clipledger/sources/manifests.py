@@ -25,11 +25,14 @@ def manifest_files(spark: SparkSession, *roots: str) -> DataFrame:
         plain_path(F.col("path")).alias("manifest_path"), F.sha2("content", 256).alias("manifest_sha256"),
         body.alias("text"),
     )
-    version = F.coalesce(
-        F.nullif(F.regexp_extract("text", r'<(?:\w+:)?hashlist[^>]*\sversion="([^"]*)"', 1), F.lit("")),
-        F.nullif(F.regexp_extract("text", r"(?m)^Version:\s*(\S+)", 1), F.lit("")),
+    return head.withColumn("kind", manifest_kind(F.col("text"))).withColumn("version", manifest_version(F.col("text")))
+
+
+def manifest_version(body: Column) -> Column:
+    return F.coalesce(
+        F.nullif(F.regexp_extract(body, r'<(?:\w+:)?hashlist[^>]*\sversion="([^"]*)"', 1), F.lit("")),
+        F.nullif(F.regexp_extract(body, r"(?m)^Version:\s*(\S+)", 1), F.lit("")),
     )
-    return head.withColumn("kind", manifest_kind(F.col("text"))).withColumn("version", version)
 
 
 def manifest_kind(body: Column) -> Column:
@@ -99,35 +102,54 @@ def _long(entries: DataFrame, alg: Column, file: str, size: str, date: str) -> D
     ).select("*", "h.alg", "h.value").drop("h")
 
 
-def manifests(spark: SparkSession, *roots: str) -> tuple[DataFrame, DataFrame]:
-    """(manifest rows, rejected manifests). The two formats meet in one layout."""
-    files = manifest_files(spark, *roots)
-    heads = files.select("manifest_path", "manifest_sha256", "version")
-    xml = _long(
-        xml_entries(spark, *roots).withColumnRenamed("_pos", "entry_ix"), hashes.normal_algorithm,
-        "file", "size", "lastmodificationdate",
-    )
-    yml_all = yaml_entries(files)
+def _yaml_rows(entries: DataFrame) -> DataFrame:
     registry = F.array(*[F.lit(a) for a in schemas.REGISTRY_ORDER])
 
-    def yaml_alg(key: Column) -> Column:
+    def alg(key: Column) -> Column:
         aliases = F.create_map(*[F.lit(x) for kv in schemas.ALGORITHM_ALIASES.items() for x in kv])
         return F.coalesce(F.try_element_at(aliases, key), F.when(F.array_contains(registry, key), key))
 
-    yml = _long(
-        yml_all.where("not bad").withColumn("entry_ix", _as_position(F.col("entry_ix"))), yaml_alg,
-        "File", "Size", "LastModificationDate",
-    )
-    rows = xml.unionByName(yml).join(heads, "manifest_path")
-    not_flat = yml_all.where("bad").select("manifest_path", F.lit("not_flat_yaml").alias("code"))
-    broken_xml = (
-        files.where((F.col("kind") == "v1") & ~F.col("text").rlike(r"</(\w+:)?hashlist\s*>|<(\w+:)?hashlist[^>]*/>"))
-        .select("manifest_path", F.lit("truncated_xml").alias("code"))
-    )
+    placed = entries.where("not bad").withColumn("entry_ix", _as_position(F.col("entry_ix")))
+    return _long(placed, alg, "File", "Size", "LastModificationDate")
+
+
+def _xml_rows(entries: DataFrame) -> DataFrame:
+    return _long(entries, hashes.normal_algorithm, "file", "size", "lastmodificationdate")
+
+
+def _rejects(files: DataFrame, yml: DataFrame) -> DataFrame:
+    not_flat = yml.where("bad").select("manifest_path", F.lit("not_flat_yaml").alias("code"))
+    closed = F.col("text").rlike(r"</(\w+:)?hashlist\s*>|<(\w+:)?hashlist[^>]*/>")
+    cut = files.where((F.col("kind") == "v1") & ~closed).select("manifest_path", F.lit("truncated_xml").alias("code"))
     no_text = files.where(F.col("text").isNull()).select("manifest_path", F.lit("not_utf8").alias("code"))
-    rejects = not_flat.unionByName(broken_xml).unionByName(no_text).distinct()
-    good = rows.join(rejects.select("manifest_path").distinct(), "manifest_path", "left_anti")
-    return good, rejects
+    return not_flat.unionByName(cut).unionByName(no_text).distinct()
+
+
+def _good(rows: DataFrame, files: DataFrame, rejects: DataFrame) -> DataFrame:
+    heads = files.select("manifest_path", "manifest_sha256", "version")
+    return rows.join(heads, "manifest_path").join(rejects.select("manifest_path").distinct(), "manifest_path", "left_anti")
+
+
+def manifests(spark: SparkSession, *roots: str) -> tuple[DataFrame, DataFrame]:
+    """(manifest rows, rejected manifests). The two formats meet in one layout."""
+    files = manifest_files(spark, *roots)
+    yml = yaml_entries(files)
+    rejects = _rejects(files, yml)
+    xml = _xml_rows(xml_entries(spark, *roots).withColumnRenamed("_pos", "entry_ix"))
+    return _good(xml.unionByName(_yaml_rows(yml)), files, rejects), rejects
+
+
+def rows_from_texts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same for manifests already held as text: (manifest_path, manifest_sha256, text)."""
+    files = texts.withColumn("kind", manifest_kind(F.col("text"))).withColumn("version", manifest_version(F.col("text")))
+    yml = yaml_entries(files)
+    rejects = _rejects(files, yml)
+    item = ", ".join(f"`{t}`: STRING" for t in _XML_TAGS)
+    parsed = F.from_xml("text", f"hash ARRAY<STRUCT<{item}>>", {"ignoreNamespace": "true", "mode": "PERMISSIVE"})
+    rows = files.where("kind = 'v1'").select("manifest_path", F.posexplode(parsed["hash"]).alias("_ix", "h"))
+    entry = F.create_map(*[x for t in _XML_TAGS for x in (F.lit(t), F.col(f"h.{t}"))])
+    xml = rows.select("manifest_path", _as_position(F.col("_ix")).alias("entry_ix"), entry.alias("entry"))
+    return _good(_xml_rows(xml).unionByName(_yaml_rows(yml)), files, rejects), rejects
 
 
 def _as_position(ix: Column) -> Column:
