@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clipledger import schemas
 
@@ -67,28 +68,23 @@ def native_digest(content: Column, alg: Column) -> Column:
     )
 
 
-def _hasher(alg: str):
-    import hashlib
+def _xx_digest():
+    """Arrow UDF for xxh64 / xxh3 with seed 0 over whole values; Spark's own has seed 42 only."""
 
-    if alg in ("md5", "sha1", "sha256", "sha512"):
-        return hashlib.new(alg)
-    if alg in ("xxh64", "xxh3"):
+    def run(content: pd.Series, alg: pd.Series) -> pd.Series:
         import xxhash
 
-        return xxhash.xxh64(seed=0) if alg == "xxh64" else xxhash.xxh3_64(seed=0)
-    return None
+        out = []
+        for data, name in zip(content, alg):
+            if data is None:
+                out.append(None)
+                continue
+            h = xxhash.xxh64(seed=0) if name == "xxh64" else xxhash.xxh3_64(seed=0)
+            h.update(bytes(data) if isinstance(data, (bytes, bytearray)) else data.encode())
+            out.append(h.hexdigest())
+        return pd.Series(out, dtype="object")
 
-
-@F.pandas_udf("string")
-def xx_digest(content: pd.Series, alg: pd.Series) -> pd.Series:
-    """xxh64 / xxh3 with seed 0 over whole values; Arrow batches, since Spark has only seed 42."""
-    out = []
-    for data, name in zip(content, alg):
-        h = _hasher(name) if name in ("xxh64", "xxh3") and data is not None else None
-        if h is not None:
-            h.update(data if isinstance(data, (bytes, bytearray)) else str(data).encode())
-        out.append(h.hexdigest() if h is not None else None)
-    return pd.Series(out, dtype="object")
+    return F.pandas_udf(run, T.StringType())
 
 
 def content_digests(contents: DataFrame) -> DataFrame:
@@ -98,7 +94,7 @@ def content_digests(contents: DataFrame) -> DataFrame:
     """
     xx = F.col("alg").isin("xxh64", "xxh3")
     native = contents.where(~xx).withColumn("value", native_digest(F.col("content"), F.col("alg")))
-    arrow = contents.where(xx).withColumn("value", xx_digest(F.col("content"), F.col("alg")))
+    arrow = contents.where(xx).withColumn("value", _xx_digest()(F.col("content"), F.col("alg")))
     status = (
         F.when(F.col("content").isNull(), "missing").when(F.col("value").isNull(), "unsupported").otherwise("ok")
     )
@@ -109,11 +105,21 @@ def _digest_paths(chunk: int):
     """Stream files from the executor in fixed chunks: no cell ever holds a whole file."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import hashlib
+
+        def hasher(alg):
+            if alg in ("md5", "sha1", "sha256", "sha512"):
+                return hashlib.new(alg)
+            if alg in ("xxh64", "xxh3"):
+                import xxhash
+
+                return xxhash.xxh64(seed=0) if alg == "xxh64" else xxhash.xxh3_64(seed=0)
+            return None
+
         for pdf in batches:
             values, states = [], []
             for path, alg in zip(pdf["path"], pdf["alg"]):
-                h = _hasher(alg)
-                value, state = None, "unsupported"
+                h, value, state = hasher(alg), None, "unsupported"
                 if h is not None:
                     try:
                         with open(path.removeprefix("file:"), "rb") as f:

@@ -47,7 +47,7 @@ def near_classes(left: DataFrame, right: DataFrame, keys: list[str], tol: float
     """
     l = left.select(*keys, F.col("v").alias("lv")).distinct()
     r = right.select(*keys, F.col("v").alias("rv")).distinct()
-    lc = l.withColumn("_cell", F.explode(_cells(F.col("lv"), dims, 2 * tol)))
+    lc = l.withColumn("_cell", F.explode_outer(_cells(F.col("lv"), dims, 2 * tol)))
     rc = r.withColumn("_cell", _cells(F.col("rv"), dims, 0.0)[0])
     return lc.join(rc, [*keys, "_cell"]).where(near(F.col("lv"), F.col("rv"), tol)).select(*keys, "lv", "rv").distinct()
 

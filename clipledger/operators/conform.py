@@ -156,7 +156,7 @@ def failing(rules: list[Rule]) -> Column:
 
 def broken(df: DataFrame, rules: list[Rule]) -> DataFrame:
     """One row per broken rule, column code."""
-    return df.withColumn("code", F.explode(failing(rules)))
+    return df.withColumn("code", F.explode_outer(failing(rules))).where(F.col("code").isNotNull())
 
 
 def payload_findings(groups: DataFrame, artifacts: DataFrame, events: DataFrame, locks: DataFrame) -> DataFrame:
@@ -193,21 +193,6 @@ def outside_vocabulary(values: DataFrame, vocabulary: DataFrame) -> DataFrame:
     )
 
 
-def envelope_values(documents: DataFrame, paths: list[str]) -> DataFrame:
-    """(sidecar_path, where_, value, kind) for each named path of each document."""
-    cells = [
-        F.struct(
-            F.lit(p).alias("where_"),
-            F.try_variant_get("body", p, "string").alias("value"),
-            F.schema_of_variant(F.try_variant_get("body", p, "variant")).alias("kind"),
-        )
-        for p in paths
-    ]
-    return documents.where(F.col("body").isNotNull()).select(
-        "sidecar_path", F.explode(F.array(*cells)).alias("c")
-    ).select("sidecar_path", "c.*")
-
-
 # Fields every generated document carries: (path, JSON type, required).
 ENVELOPE_RULES = [
     ("$.Asset", "ARRAY", True),
@@ -222,30 +207,28 @@ ENVELOPE_RULES = [
 ]
 
 
-def envelope_findings(documents: DataFrame, rules: list[tuple[str, str, bool]] = ENVELOPE_RULES) -> DataFrame:
-    """Stage 1: rules are data, (path, JSON type, required)."""
-    values = envelope_values(documents, [r[0] for r in rules])
-    case = None
+def envelope_findings(parsed: DataFrame, cells: DataFrame, rules: list[tuple[str, str, bool]] = ENVELOPE_RULES) -> DataFrame:
+    """Stage 1: rules are data, (path, JSON type, required), over the cells of those paths."""
+    case = F.lit(None).cast("string")
     for path, kind, required in rules:
-        here = F.col("where_") == path
         wrong = F.when(F.col("kind").isNull() & F.lit(required), "missing").when(
             F.col("kind").isNotNull() & ~F.startswith("kind", F.lit(kind)), "wrong_type"
         )
-        case = F.when(here, wrong) if case is None else case.when(here, wrong)
-    unparsed = documents.where(F.col("body").isNull()).select(
+        case = F.when(F.col("where_") == path, wrong).otherwise(case)
+    unparsed = parsed.where("not parsed").select(
         *finding("1", F.lit("unparseable"), F.lit("$"), F.lit("document is not JSON"))
     )
     return (
-        values.withColumn("code", case)
+        cells.withColumn("code", case)
         .where(F.col("code").isNotNull())
         .select(*finding("1", F.col("code"), F.col("where_"), F.coalesce("kind", F.lit("absent"))))
         .unionByName(unparsed)
     )
 
 
-def vocabulary_findings(documents: DataFrame, vocabulary: DataFrame, paths: list[str]) -> DataFrame:
-    """Stage 7: strings only. paths names the governed fields; vocabulary is (where_, value)."""
-    strings = envelope_values(documents, paths).where("kind = 'STRING'")
+def vocabulary_findings(cells: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Stage 7: strings only; vocabulary is (where_, value)."""
+    strings = cells.where("kind = 'STRING'")
     return outside_vocabulary(strings, vocabulary).select(
         *finding("7", F.lit("not_in_vocabulary"), F.col("where_"), F.col("value"))
     )

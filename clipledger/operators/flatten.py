@@ -2,116 +2,150 @@
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clipledger import schemas
+from clipledger.session import cut_lineage
 
 
-def _groups_at(docs: DataFrame, asset: str, prefix: Column) -> DataFrame:
-    """customData entries below one asset VARIANT column."""
-    path = "$.assetFC.functionalProperties.customData"
-    return docs.select(
-        "sidecar_path",
-        F.concat(prefix, F.lit("/assetFC/functionalProperties/customData")).alias("json_path"),
-        F.posexplode(F.try_variant_get(F.col(asset), path, "array<variant>")).alias("group_ix", "_entry"),
+_CUSTOM = "/assetFC/functionalProperties/customData"
+_ENTRY = "array<struct<json_path: string, group_ix: int, entry: variant>>"
+
+
+def _list(v: Column, path: str) -> Column:
+    """Array at a path of a VARIANT, empty when there is none."""
+    return F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>"))
+
+
+def _custom_path() -> str:
+    return "$" + _CUSTOM.replace("/", ".")
+
+
+def _entries(asset: Column, prefix: Column) -> Column:
+    where = F.concat(prefix, F.lit(_CUSTOM)).alias("json_path")
+    return F.transform(
+        _list(asset, _custom_path()), lambda e, i: F.struct(where, i.alias("group_ix"), e.alias("entry"))
     )
 
 
-def _shape(groups: DataFrame) -> DataFrame:
-    return groups.select(
-        "sidecar_path",
-        "json_path",
-        "group_ix",
-        F.try_variant_get("_entry", "$.domain", "string").alias("domain"),
-        F.try_variant_get("_entry", "$.value", "variant").alias("value"),
-    ).where(F.col("domain").isNotNull())
+def _groups_of(body: Column) -> Column:
+    """customData entries of the assets and of the assets inside them, as one array."""
+
+    def of_asset(asset: Column, i: Column) -> Column:
+        outer = F.concat(F.lit("Asset/"), i.cast("string"))
+        inner = F.transform(
+            _list(asset, "$.Asset"),
+            lambda sub, j: _entries(sub, F.concat(outer, F.lit("/Asset/"), j.cast("string"))),
+        )
+        return F.concat(_entries(asset, outer), F.flatten(inner))
+
+    return F.flatten(F.transform(_list(body, "$.Asset"), of_asset))
+
+
+def _arrays_of(body: Column) -> Column:
+    """How many customData arrays those assets hold, empty ones included."""
+    here = lambda v: F.try_variant_get(v, _custom_path(), "array<variant>").isNotNull()
+    assets = _list(body, "$.Asset")
+    inner = F.flatten(F.transform(assets, lambda v: _list(v, "$.Asset")))
+    return F.size(F.filter(F.concat(assets, inner), here))
 
 
 def _declared(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r'"customData"\s*:\s*\['))
 
 
-def _walk(node, trail, out):
-    if isinstance(node, dict):
-        for key, child in node.items():
-            if key == "customData" and isinstance(child, list):
-                out.extend(("/".join(map(str, (*trail, key))), i, json.dumps(e)) for i, e in enumerate(child))
-            _walk(child, (*trail, key), out)
-    elif isinstance(node, list):
-        for i, child in enumerate(node):
-            _walk(child, (*trail, i), out)
-    return out
-
-
-@F.pandas_udf("array<struct<json_path: string, group_ix: int, entry: string>>")
-def _deep_groups(text: pd.Series) -> pd.Series:
-    return text.map(
-        lambda t: [
-            {"json_path": p, "group_ix": i, "entry": e} for p, i, e in _walk(json.loads(t), (), [])
-        ]
+def parse(documents: DataFrame, paths: list[str] | None = None) -> DataFrame:
+    """One pass over the document text: (sidecar_path, parsed, cells, groups, deep_text).
+
+    cells holds (where_, value, kind) of each named path. deep_text is set only for documents that
+    declare more customData arrays than the two asset levels hold.
+    """
+    cells = [
+        F.struct(
+            F.lit(p).alias("where_"),
+            F.try_variant_get("body", p, "string").alias("value"),
+            F.schema_of_variant(F.try_variant_get("body", p, "variant")).alias("kind"),
+        )
+        for p in paths or []
+    ]
+    empty = F.array().cast("array<struct<where_: string, value: string, kind: string>>")
+    deep = _declared(F.col("text")) != _arrays_of(F.col("body"))
+    return documents.select(
+        "sidecar_path",
+        F.col("body").isNotNull().alias("parsed"),
+        F.when(F.col("body").isNotNull(), F.array(*cells) if cells else empty).alias("cells"),
+        F.when(F.col("body").isNotNull() & ~deep, _groups_of(F.col("body"))).cast(_ENTRY).alias("groups"),
+        F.when(F.col("body").isNotNull() & deep, F.col("text")).alias("deep_text"),
     )
 
 
-def custom_data(documents: DataFrame) -> DataFrame:
-    """Every customData entry at any depth: one row per (document, json path, position).
+def _deep_groups():
+    """Arrow UDF from document text to its customData entries at any depth.
 
-    Nearly all documents hold their groups on an asset or on an asset inside it, which two native
-    explodes reach. Only documents that declare more arrays than those two find go through the
-    walk in Python.
+    Self-contained, so executors need not have this package installed.
     """
-    docs = documents.where(F.col("body").isNotNull())
-    assets = F.coalesce(F.try_variant_get("body", "$.Asset", "array<variant>"), F.array())
-
-    def count_arrays(items: Column) -> Column:
-        return F.size(
-            F.filter(
-                items,
-                lambda v: F.try_variant_get(
-                    v, "$.assetFC.functionalProperties.customData", "array<variant>"
-                ).isNotNull(),
-            )
-        )
+    layout = T.ArrayType(
+        T.StructType().add("json_path", T.StringType()).add("group_ix", T.IntegerType()).add("entry", T.StringType())
+    )
 
-    nested = F.flatten(
-        F.transform(
-            assets, lambda v: F.coalesce(F.try_variant_get(v, "$.Asset", "array<variant>"), F.array())
-        )
+    def entries(text: pd.Series) -> pd.Series:
+        import json
+
+        def walk(node, trail, out):
+            if isinstance(node, dict):
+                for key, child in node.items():
+                    if key == "customData" and isinstance(child, list):
+                        where = "/".join(map(str, (*trail, key)))
+                        out.extend({"json_path": where, "group_ix": i, "entry": json.dumps(e)} for i, e in enumerate(child))
+                    walk(child, (*trail, key), out)
+            elif isinstance(node, list):
+                for i, child in enumerate(node):
+                    walk(child, (*trail, i), out)
+            return out
+
+        return text.map(lambda t: walk(json.loads(t), (), []))
+
+    return F.pandas_udf(entries, layout)
+
+
+def groups(parsed: DataFrame) -> DataFrame:
+    """Every customData entry at any depth: one row per (document, json path, position).
+
+    Only documents with deep_text go through the walk in Python.
+    """
+    # explode_outer and a filter on its output: a filter on the array itself, which plain explode
+    # also infers, would be pushed below and evaluate the whole parse a second time.
+    shallow = parsed.select("sidecar_path", F.explode_outer("groups").alias("g")).select(
+        "sidecar_path", "g.json_path", "g.group_ix", F.col("g.entry").alias("_entry")
     )
-    found = count_arrays(assets) + count_arrays(nested)
-    marked = docs.withColumn("_deep", _declared(F.col("text")) != found)
     deep = (
-        marked.where("_deep")
-        .select("sidecar_path", F.explode(_deep_groups("text")).alias("g"))
+        parsed.where("deep_text is not null")
+        .select("sidecar_path", F.explode_outer(_deep_groups()("deep_text")).alias("g"))
+        .select("sidecar_path", "g.json_path", "g.group_ix", F.try_parse_json("g.entry").alias("_entry"))
+    )
+    return (
+        shallow.unionByName(deep)
         .select(
-            "sidecar_path",
-            F.col("g.json_path"),
-            F.col("g.group_ix"),
-            F.try_parse_json(F.col("g.entry")).alias("_entry"),
+            "sidecar_path", "json_path", "group_ix",
+            F.try_variant_get("_entry", "$.domain", "string").alias("domain"),
+            F.try_variant_get("_entry", "$.value", "variant").alias("value"),
         )
+        .where(F.col("domain").isNotNull())
     )
-    shallow = marked.where(~F.col("_deep")).drop("_deep")
-    return _shape(_quick(shallow)).unionByName(_shape(deep))
 
 
-def _quick(docs: DataFrame) -> DataFrame:
-    """Groups of assets and of assets inside them."""
-    top = docs.select(
-        "sidecar_path",
-        F.posexplode(F.try_variant_get("body", "$.Asset", "array<variant>")).alias("_i", "_asset"),
-    )
-    inner = top.select(
-        "sidecar_path",
-        "_i",
-        F.posexplode(F.try_variant_get("_asset", "$.Asset", "array<variant>")).alias("_j", "_sub"),
-    )
-    outer_prefix = F.concat(F.lit("Asset/"), F.col("_i").cast("string"))
-    return _groups_at(top, "_asset", outer_prefix).unionByName(
-        _groups_at(inner, "_sub", F.concat(outer_prefix, F.lit("/Asset/"), F.col("_j").cast("string")))
-    )
+def custom_data(documents: DataFrame) -> DataFrame:
+    """Group rows straight from documents: the text is parsed once and what it leaves is checkpointed."""
+    return groups(cut_lineage(parse(documents)))
+
+
+def cells(parsed: DataFrame) -> DataFrame:
+    """(sidecar_path, where_, value, kind), one row per document and path asked for."""
+    rows = parsed.select("sidecar_path", F.explode_outer("cells").alias("c")).select("sidecar_path", "c.*")
+    return rows.where(F.col("where_").isNotNull())
 
 
 def payload(groups: DataFrame, domain: str, ix: str) -> DataFrame:
@@ -120,8 +154,8 @@ def payload(groups: DataFrame, domain: str, ix: str) -> DataFrame:
         "sidecar_path",
         "json_path",
         "group_ix",
-        F.posexplode(F.col("value").try_cast("array<variant>")).alias(ix, "raw"),
-    )
+        F.posexplode_outer(F.col("value").try_cast("array<variant>")).alias(ix, "raw"),
+    ).where(F.col(ix).isNotNull())
 
 
 def _text(path: str) -> Column:
@@ -166,17 +200,13 @@ def locks(groups: DataFrame) -> DataFrame:
     )
 
 
-def corrupt(documents: DataFrame, groups: DataFrame) -> DataFrame:
+def corrupt(parsed: DataFrame, groups_: DataFrame) -> DataFrame:
     """Documents that do not parse, and documents without any payload domain."""
     known = [schemas.ARTIFACT_DOMAIN, schemas.EVENT_DOMAIN, schemas.LOCK_DOMAIN]
-    carrying = groups.where(F.col("domain").isin(known)).select("sidecar_path").distinct()
-    broken = documents.where(F.col("body").isNull()).select(
-        "sidecar_path", F.lit("unparseable").alias("code")
-    )
+    carrying = groups_.where(F.col("domain").isin(known)).select("sidecar_path").distinct()
+    broken = parsed.where("not parsed").select("sidecar_path", F.lit("unparseable").alias("code"))
     empty = (
-        documents.where(F.col("body").isNotNull())
-        .select("sidecar_path")
-        .join(carrying, "sidecar_path", "left_anti")
+        parsed.where("parsed").select("sidecar_path").join(carrying, "sidecar_path", "left_anti")
         .select("sidecar_path", F.lit("no_payload").alias("code"))
     )
     return broken.unionByName(empty)

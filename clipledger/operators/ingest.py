@@ -41,7 +41,7 @@ def entry_outcomes(manifest: DataFrame, inventory: DataFrame, root_join: bool =
     """
     keys = ["manifest_path", "entry_ix", "file"]
     rank = hashes.rank_of(F.col("alg"), schemas.STRONG_FIRST)
-    usable = F.when(rank.isNotNull() & (F.col("value") != ""), rank)
+    usable = F.when(rank.isNotNull() & (F.col("value") != ""), F.struct(rank.alias("r"), "value"))
     entries = manifest.groupBy(*keys).agg(
         F.first("manifest_sha256", ignorenulls=True).alias("manifest_sha256"),
         F.min_by(F.struct("alg", "value"), usable).alias("_pick"),
@@ -80,7 +80,7 @@ def nearest_manifest(files: DataFrame, manifests: DataFrame) -> DataFrame:
         F.min("manifest_path").alias("manifest_path")
     )
     located = files.withColumn("_dir", paths.dirname(F.col("path")))
-    climb = located.select("_dir").distinct().select("_dir", F.explode(paths.ancestors(F.col("_dir"))).alias("a"))
+    climb = located.select("_dir").distinct().select("_dir", F.explode_outer(paths.ancestors(F.col("_dir"))).alias("a"))
     best = (
         climb.select("_dir", "a.depth", "a.dir")
         .join(roots, "dir")

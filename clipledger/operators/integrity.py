@@ -36,14 +36,14 @@ def declared_by_manifest(artifacts: DataFrame, manifest: DataFrame) -> DataFrame
         F.struct("json_path", "group_ix", "artifact_ix").alias("_list_order"),
     )
     usable = manifest.where(hashes.rank_of(F.col("alg"), schemas.REGISTRY_ORDER).isNotNull() & (F.col("value") != ""))
-    rank = F.struct("entry_ix", hashes.rank_of(F.col("alg"), schemas.REGISTRY_ORDER).alias("r"))
+    rank = F.struct("entry_ix", hashes.rank_of(F.col("alg"), schemas.REGISTRY_ORDER).alias("r"), "value")
     claims = usable.groupBy("manifest_path", "file").agg(
         F.min_by(F.struct(F.col("alg").alias("d_alg"), F.col("value").alias("d_value")), rank).alias("_claim")
     )
     known = lists.join(claims, ["manifest_path", "file"]).withColumn("_tail", paths.basename(F.col("file")))
     tails = artifacts.where("path <> ''").select(
         "sidecar_path", "json_path", "group_ix", "artifact_ix", "path",
-        F.explode(char_suffixes(paths.basename(F.col("path")))).alias("_tail"),
+        F.explode_outer(char_suffixes(paths.basename(F.col("path")))).alias("_tail"),
     )
     hits = tails.join(known, ["sidecar_path", "_tail"]).where(F.endswith("path", "file"))
     first = hits.groupBy("sidecar_path", "json_path", "group_ix", "artifact_ix").agg(
@@ -130,11 +130,12 @@ def manifest_claims(artifacts: DataFrame, manifest: DataFrame, rejects: DataFram
         F.min("entry_ix").alias("_entry_ix")
     )
     rank = hashes.rank_of(F.col("alg"), schemas.REGISTRY_ORDER)
+    order = F.struct(rank.alias("r"), "value")
     chosen = (
         first_manifest_entries(manifest)
         .where(rank.isNotNull())
         .groupBy("manifest_path", F.col("file").alias("mhl_entry"))
-        .agg(F.min_by(F.struct(F.col("alg").alias("m_alg"), F.col("value").alias("m_value")), rank).alias("_pick"))
+        .agg(F.min_by(F.struct(F.col("alg").alias("m_alg"), F.col("value").alias("m_value")), order).alias("_pick"))
     )
     joined = (
         lists.join(present, "manifest_path", "left")

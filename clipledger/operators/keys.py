@@ -81,7 +81,7 @@ def expiring(keyring: DataFrame, now: Column, days: int = 30) -> DataFrame:
     """Keys that end within the horizon or have ended, revoked ones left out."""
     horizon = now + F.make_interval(days=F.lit(days))
     return keyring.where(F.col("revoked_at").isNull() & F.col("valid_until").isNotNull()).where(
-        F.col("valid_until") <= horizon
+        F.col("valid_until") < horizon
     ).select("kid", "valid_until", F.when(F.col("valid_until") < now, "expired").otherwise("expiring").alias("state"))
 
 

@@ -71,7 +71,7 @@ def chain_findings(events: DataFrame) -> DataFrame:
     return (
         chain_state(events)
         .where("seq_bad or link_bad")
-        .withColumn("_f", F.explode(checks))
+        .withColumn("_f", F.explode_outer(checks))
         .select(*finding("3", F.col("_f.code"), event_where(), F.col("_f.detail")))
     )
 
@@ -113,7 +113,8 @@ def build_chain(events: DataFrame, keys: list[str], ix: str, head: Column, tail:
         )
 
     folded = chains.select(F.arrays_zip("_items", F.aggregate("_items", start, step)["done"].alias("_done")).alias("z"))
-    rows = folded.select(F.explode("z").alias("z"))
+    # explode_outer: plain explode makes the optimizer repeat the fold in an inferred filter.
+    rows = folded.select(F.explode_outer("z").alias("z"))
     return rows.select("z._items._row.*", "z._done.prev_hash", "z._done.hash")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,11 +23,11 @@ def remap_paths(old_paths: DataFrame, inventory: DataFrame, keys: list[str] | No
     keys = keys or []
     asked = old_paths.select(*keys, "path").where("path <> ''").distinct()
     best = (
-        inventory.select(*keys, "path", "ix", F.explode(paths.trailing_suffixes(F.col("path"))).alias("s"))
+        inventory.select(*keys, "path", "ix", F.explode_outer(paths.trailing_suffixes(F.col("path"))).alias("s"))
         .groupBy(*keys, F.col("s.suffix").alias("suffix"))
         .agg(F.min_by(F.col("path"), F.col("ix")).alias("new_path"))
     )
-    tails = asked.select(*keys, "path", F.explode(paths.trailing_suffixes(F.col("path"))).alias("s")).select(
+    tails = asked.select(*keys, "path", F.explode_outer(paths.trailing_suffixes(F.col("path"))).alias("s")).select(
         *keys, "path", "s.depth", "s.suffix"
     )
     hit = (
@@ -93,7 +94,7 @@ def contained(needles: DataFrame, hays: DataFrame) -> DataFrame:
     )
     cuts = sized.select(
         "hay",
-        F.explode(
+        F.explode_outer(
             F.array_distinct(
                 F.transform(
                     F.sequence(F.lit(1), F.length("hay") - F.col("len") + 1),
@@ -125,58 +126,153 @@ def class_scores(classes: DataFrame, clip_names: DataFrame) -> DataFrame:
 CLASS = ["name", "base"]
 
 
-def preference_lists(sidecars: DataFrame, clips: DataFrame, threshold: int = 65) -> DataFrame:
-    """(name, base, clip_ix, score): what a sidecar of that name and base would take."""
-    classes = sidecars.select(*CLASS).distinct()
-    scores = class_scores(classes, clips.select("clip_name").distinct()).where(F.col("score") >= threshold)
-    return scores.join(clips.select("clip_name", "clip_ix"), "clip_name").select(*CLASS, "clip_ix", "score")
+def components(edges: DataFrame) -> DataFrame:
+    """(name, base, clip_name) pairs to (clip_name, label): names that can reach each other share a label.
 
+    Smallest-label exchange between the two sides with a jump to the label's own label each round,
+    so the rounds grow with the logarithm of the longest chain. Works on distinct names only.
+    """
+    labels = cut_lineage(edges.select("clip_name").distinct().withColumn("label", F.col("clip_name")))
+    while True:
+        of_class = edges.join(labels, "clip_name").groupBy(*CLASS).agg(F.min("label").alias("label"))
+        pushed = edges.join(of_class, CLASS).groupBy("clip_name").agg(F.min("label").alias("label"))
+        above = pushed.select(F.col("clip_name").alias("label"), F.col("label").alias("_next"))
+        old = labels.withColumnRenamed("label", "_old")
+        moved = cut_lineage(
+            pushed.join(above, "label").select("clip_name", F.least("label", "_next").alias("label")).join(old, "clip_name")
+        )
+        labels = moved.drop("_old")
+        if moved.where("label <> _old").isEmpty():
+            return labels
+
+
+def _greedy_groups():
+    """Plain greedy loop over one bounded component."""
 
-def assign(sidecars: DataFrame, clips: DataFrame, threshold: int = 65, block: int = 100_000) -> DataFrame:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        wants = pdf[pdf["score"] > 0].sort_values(["class_key", "score", "ix"], ascending=[True, False, True])
+        lists = {k: (list(g["ix"]), list(g["score"])) for k, g in wants.groupby("class_key", sort=False)}
+        at, used, out = dict.fromkeys(lists, 0), set(), []
+        for side, key in pdf[pdf["score"] == 0].sort_values("ix")[["ix", "class_key"]].itertuples(index=False):
+            clips, scores = lists[key]
+            i = at[key]
+            while i < len(clips) and clips[i] in used:
+                i += 1
+            if i < len(clips):
+                used.add(clips[i])
+                out.append((side, clips[i], scores[i]))
+                i += 1
+            at[key] = i
+        return pd.DataFrame(out, columns=["sidecar_ix", "clip_ix", "score"])
+
+    return run
+
+
+def assign(
+    sidecars: DataFrame, clips: DataFrame, threshold: int = 65, block: int = 100_000, max_component: int = 1_000_000
+) -> DataFrame:
     """One-to-one match: in sidecar order, each takes its best clip still free, ties to the lowest clip_ix.
 
     sidecars: sidecar_ix, name, base; clips: clip_ix, clip_name. Returns sidecar_ix, clip_ix, score.
 
-    Runs as proposal rounds. Sidecars with equal name and base share one preference list; the
-    k-th open one among them proposes to the k-th clip of the list that the first could still
-    win, because the k-1 before it claim the others. A clip keeps the lowest sidecar_ix. Rounds
-    end when nobody proposes; the result is the sequential one.
+    Names that cannot reach each other do not compete, so each connected component is settled on
+    its own: up to max_component rows in one grouped task, beyond that by proposal rounds over the
+    cluster. Both give the sequential result.
     """
     members = sidecars.select(
         "sidecar_ix", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("base", F.lit("")).alias("base")
     )
-    wants = cut_lineage(preference_lists(members, clips, threshold))
-    members = cut_lineage(members.join(wants.select(*CLASS).distinct(), CLASS, "left_semi"))
-    spark = sidecars.sparkSession
-    held = spark.createDataFrame([], "sidecar_ix bigint, clip_ix bigint, score bigint, fresh boolean")
+    scores = cut_lineage(
+        class_scores(members.select(*CLASS).distinct(), clips.select("clip_name").distinct()).where(F.col("score") >= threshold)
+    )
+    labels = components(scores)
+    labelled = scores.join(labels, "clip_name")
+    class_labels = labelled.select(*CLASS, "label").distinct()
+    members = members.join(class_labels, CLASS)
+    per_name = clips.groupBy("clip_name").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = (
+        labelled.join(per_name, "clip_name").groupBy("label").agg(F.sum("_n").alias("_rows"))
+        .unionByName(members.groupBy("label").agg(F.count(F.lit(1)).alias("_rows")))
+        .groupBy("label").agg((F.sum("_rows") > max_component).alias("_large"))
+    )
+    sizes = cut_lineage(sizes)
+    small, large = sizes.where("not _large").select("label"), sizes.where("_large").select("label")
 
+    key = F.to_json(F.array("name", "base")).alias("class_key")
+    wants = labelled.join(clips.select("clip_name", "clip_ix"), "clip_name")
+    rows = (
+        wants.select("label", key, F.col("clip_ix").alias("ix"), "score")
+        .unionByName(members.select("label", key, F.col("sidecar_ix").alias("ix"), F.lit(0).cast("bigint").alias("score")))
+        .join(small, "label", "left_semi")
+    )
+    done = rows.groupBy("label").applyInPandas(_greedy_groups(), "sidecar_ix bigint, clip_ix bigint, score bigint")
+    if large.isEmpty():
+        return done
+    rest = _rounds(
+        cut_lineage(members.join(large, "label", "left_semi").select("sidecar_ix", *CLASS)),
+        cut_lineage(wants.join(large, "label", "left_semi").select(*CLASS, "clip_ix", "score")),
+        block,
+    )
+    return done.unionByName(rest)
+
+
+def _rounds(members: DataFrame, wants: DataFrame, block: int) -> DataFrame:
+    """Proposal rounds.
+
+    Sidecars with equal name and base share one preference list. From the first open one on, the
+    k-th of them proposes to the k-th clip that first one could still win, because the k-1 before
+    it claim the others; clips that others of the same class held are open again. A clip keeps
+    the lowest sidecar_ix. Rounds end when nothing changes.
+    """
+    held = members.sparkSession.createDataFrame(
+        [], "sidecar_ix bigint, clip_ix bigint, score bigint, name string, base string, fresh boolean"
+    )
     while True:
-        open_ = members.join(held, "sidecar_ix", "left_anti")
-        first = open_.groupBy(*CLASS).agg(F.min("sidecar_ix").alias("_first"), F.count(F.lit(1)).alias("_open"))
+        first = members.join(held, "sidecar_ix", "left_anti").groupBy(*CLASS).agg(F.min("sidecar_ix").alias("_first"))
+        stand = held.join(
+            first.withColumnRenamed("_first", "_f"), CLASS, "left"
+        ).where(F.col("_f").isNull() | (F.col("sidecar_ix") < F.col("_f"))).select(*held.columns)
+        open_ = members.join(first, CLASS).where(F.col("sidecar_ix") >= F.col("_first")).drop("_first")
         turn = ordered.number_rows(
             open_, CLASS, ordered.block_segment(F.col("sidecar_ix"), block), ["sidecar_ix"], "_k"
         )
-        holders = held.select("clip_ix", F.col("sidecar_ix").alias("_holder"))
+        opens = open_.groupBy(*CLASS).agg(F.count(F.lit(1)).alias("_open"), F.min("sidecar_ix").alias("_first"))
+        # A clip held by a released sidecar of another class still counts as held this round.
+        holders = held.select(
+            "clip_ix", F.col("sidecar_ix").alias("_holder"), F.col("name").alias("_hn"), F.col("base").alias("_hb")
+        )
+        own = (F.col("_hn") == F.col("name")) & (F.col("_hb") == F.col("base"))
+        rival = F.when(own & (F.col("_holder") > F.col("_first")), F.lit(None)).otherwise(F.col("_holder"))
         winnable = (
-            wants.join(first, CLASS)
+            wants.join(opens, CLASS)
             .join(holders, "clip_ix", "left")
-            .where(F.col("_holder").isNull() | (F.col("_holder") > F.col("_first")))
+            .withColumn("_rival", rival)
+            .where(F.col("_rival").isNull() | (F.col("_rival") > F.col("_first")))
             .withColumn("_worse", -F.col("score"))
+            .drop("_hn", "_hb", "_holder")
         )
         listed = ordered.number_rows(
             winnable, CLASS,
             F.struct(F.col("_worse").alias("s"), ordered.block_segment(F.col("clip_ix"), block).alias("b")),
             ["_worse", "clip_ix"], "_k",
         ).where(F.col("_k") <= F.col("_open"))
-        bids = turn.join(listed, [*CLASS, "_k"]).where(
-            F.col("_holder").isNull() | (F.col("_holder") > F.col("sidecar_ix"))
+        bids = turn.join(listed.drop("_first"), [*CLASS, "_k"]).where(
+            F.col("_rival").isNull() | (F.col("_rival") > F.col("sidecar_ix"))
+        )
+        claims = stand.select("sidecar_ix", "clip_ix", "score", *CLASS).unionByName(
+            bids.select("sidecar_ix", "clip_ix", "score", *CLASS)
         )
-        won = bids.groupBy("clip_ix").agg(
-            F.min_by(F.struct("sidecar_ix", "score"), "sidecar_ix").alias("w")
-        ).select("w.sidecar_ix", "clip_ix", "w.score", F.lit(True).alias("fresh"))
-        kept = held.join(won.select("clip_ix"), "clip_ix", "left_anti").select(
-            "sidecar_ix", "clip_ix", "score", F.lit(False).alias("fresh")
+        # Released holders keep their clip unless someone lower asks, so that clips never turn free.
+        kept = held.join(stand.select("sidecar_ix"), "sidecar_ix", "left_anti").join(
+            bids.select("sidecar_ix").distinct(), "sidecar_ix", "left_anti"
+        ).select("sidecar_ix", "clip_ix", "score", *CLASS)
+        won = claims.unionByName(kept).groupBy("clip_ix").agg(
+            F.min_by(F.struct("sidecar_ix", "score", *CLASS), "sidecar_ix").alias("w")
+        ).select("w.sidecar_ix", "clip_ix", "w.score", "w.name", "w.base")
+        before = held.select("sidecar_ix", "clip_ix", F.lit(False).alias("_same"))
+        nxt = won.join(before, ["sidecar_ix", "clip_ix"], "left").select(
+            *won.columns, F.coalesce("_same", F.lit(True)).alias("fresh")
         )
-        held = cut_lineage(kept.unionByName(won))
+        held = cut_lineage(nxt.select("sidecar_ix", "clip_ix", "score", "name", "base", "fresh"))
         if held.where("fresh").isEmpty():
-            return held.drop("fresh")
+            return held.select("sidecar_ix", "clip_ix", "score")

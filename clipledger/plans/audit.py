@@ -50,9 +50,9 @@ class Audit:
     locks: DataFrame
 
 
-def flat_tables(documents: DataFrame, base_dir: str | None = None):
-    """groups, artifacts (with resolved path and base_dir), events, locks; flattened once for all stages."""
-    groups = cut_lineage(flatten.custom_data(documents))
+def flat_tables(parsed: DataFrame, base_dir: str | None = None):
+    """groups, artifacts (with resolved path and base_dir), events, locks of parsed documents."""
+    groups = flatten.groups(parsed)
     base = F.lit(base_dir) if base_dir else paths.dirname(F.col("sidecar_path"))
     arts = flatten.artifacts(groups).withColumn("base_dir", base).withColumn(
         "resolved", paths.resolve(F.coalesce("path", F.lit("")), F.col("base_dir"))
@@ -69,10 +69,14 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 def audit(inputs: Inputs) -> Audit:
     """Findings, one row per document and stage, one report per document."""
-    docs = inputs.documents
-    groups, arts, events, lock_rows = flat_tables(docs, inputs.base_dir)
+    asked = [r[0] for r in conform.ENVELOPE_RULES]
+    asked += [p for p in inputs.vocabulary_paths if p not in asked]
+    # The only pass over document text; all stages start from what it leaves.
+    parsed = cut_lineage(flatten.parse(inputs.documents, asked))
+    cells = flatten.cells(parsed)
+    groups, arts, events, lock_rows = flat_tables(parsed, inputs.base_dir)
     found = [
-        conform.envelope_findings(docs),
+        conform.envelope_findings(parsed, cells),
         conform.payload_findings(groups, arts, events, lock_rows),
         ledger.chain_findings(events),
         locks.lock_findings(lock_rows, events, flatten.document_order("event_ix")),
@@ -83,11 +87,11 @@ def audit(inputs: Inputs) -> Audit:
             ring = keys.apply_revocations(ring, inputs.revocations)
         found.append(keys.key_findings(events, ring, inputs.verifier))
     if inputs.vocabulary is not None and inputs.vocabulary_paths:
-        found.append(conform.vocabulary_findings(docs, inputs.vocabulary, inputs.vocabulary_paths))
+        found.append(conform.vocabulary_findings(cells.where(F.col("where_").isin(inputs.vocabulary_paths)), inputs.vocabulary))
     if inputs.inventory is not None:
         found.extend(_file_findings(inputs, arts))
     findings = cut_lineage(_union(found))
-    stages = rollup.stage_results(findings, docs, list(schemas.STAGE_TITLES))
+    stages = rollup.stage_results(findings, parsed, list(schemas.STAGE_TITLES))
     return Audit(findings, stages, rollup.reports(stages), arts, events, lock_rows)
 
 

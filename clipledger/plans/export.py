@@ -9,13 +9,24 @@ from clipledger import schemas
 from clipledger.functions import paths, text
 from clipledger.operators import flatten, ledger
 from clipledger.plans.audit import flat_tables
+from clipledger.session import cut_lineage
 
 
-def names(documents: DataFrame) -> DataFrame:
+_NAME = "$.Asset[0].name"
+_FILE = "$.Asset[0].AssetSC.structuralProperties.fileDetails.fileName"
+
+
+def names(parsed: DataFrame) -> DataFrame:
     """Asset name, else file name, else the stem of the document path."""
-    first = F.try_variant_get("body", "$.Asset[0].name", "string")
-    file_name = F.try_variant_get("body", "$.Asset[0].AssetSC.structuralProperties.fileDetails.fileName", "string")
-    return documents.select("sidecar_path", text.first_name(first, file_name, paths.stem(F.col("sidecar_path"))).alias("name"))
+    at = lambda p: F.filter("cells", lambda c: c["where_"] == p)[0]["value"]
+    return parsed.where("parsed").select(
+        "sidecar_path", text.first_name(at(_NAME), at(_FILE), paths.stem(F.col("sidecar_path"))).alias("name")
+    )
+
+
+def parse_named(documents: DataFrame) -> DataFrame:
+    """Parsed documents with the cells names() needs."""
+    return cut_lineage(flatten.parse(documents, [_NAME, _FILE]))
 
 
 def flat_rows(summary: DataFrame, now: Column, signed: Column, tape: str | None = None, base_dir: str | None = None) -> DataFrame:
@@ -43,12 +54,13 @@ def flat_rows(summary: DataFrame, now: Column, signed: Column, tape: str | None
 
 def summaries(documents: DataFrame) -> DataFrame:
     """Per document: name, counts, tip and latest lock signer; documents without events included."""
-    _, _, events, locks = flat_tables(documents)
+    parsed = parse_named(documents)
+    _, _, events, locks = flat_tables(parsed)
     placed = events.withColumn("_at", flatten.document_order("event_ix"))
     tips = ledger.tips(placed, ["sidecar_path"], ["seq", "_at"])
     lock_counts = locks.groupBy("sidecar_path").agg(F.count(F.lit(1)).alias("locks"))
     blank = {"events": 0, "locks": 0, "kid": "", "chain_head": "", "last_lock_kid": ""}
-    return names(documents).join(tips, "sidecar_path", "left").join(lock_counts, "sidecar_path", "left").fillna(blank)
+    return names(parsed).join(tips, "sidecar_path", "left").join(lock_counts, "sidecar_path", "left").fillna(blank)
 
 
 def export(

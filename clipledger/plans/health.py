@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from clipledger import schemas
 from clipledger.operators import flatten, keys, rollup
+from clipledger.session import cut_lineage
 
 
 def in_use(artifacts: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -56,13 +57,14 @@ def bad_states(states: DataFrame) -> DataFrame:
 
 def health(c: Corpus) -> DataFrame:
     """One row per check."""
-    groups = flatten.custom_data(c.documents)
+    parsed = cut_lineage(flatten.parse(c.documents))
+    groups = flatten.groups(parsed)
     algs, kids = in_use(flatten.artifacts(groups), flatten.events(groups))
     outlook = keys.expiring(c.keyring, c.now)
     checks = [
         check("hash algorithms", unregistered(algs), "alg", remedy="register the algorithm"),
         check("keyring validity", expired_in_use(c.keyring, kids, c.now), "kid", remedy="rotate to a fresh key"),
-        check("documents parse", flatten.corrupt(c.documents, groups), "sidecar_path", remedy="repair the documents"),
+        check("documents parse", flatten.corrupt(parsed, groups), "sidecar_path", remedy="repair the documents"),
         check("keys expired", outlook.where("state = 'expired'"), "kid", remedy="rotate"),
         check("keys expiring", outlook.where("state = 'expiring'"), "kid", "warn", "plan a rotation"),
         c.keyring.agg(F.count(F.lit(1)).alias("rows")).select(

@@ -19,7 +19,8 @@ def match(documents: DataFrame, clips: DataFrame, now: Column, threshold: int =
 
     documents: sidecar_ix and the document columns; clips: clip_ix, clip_name.
     """
-    named = export_plan.names(documents).join(documents.select("sidecar_path", "sidecar_ix"), "sidecar_path")
+    parsed = export_plan.parse_named(documents)
+    named = export_plan.names(parsed).join(documents.select("sidecar_path", "sidecar_ix"), "sidecar_path")
     sides = named.select("sidecar_ix", "name", paths.strip_double_extension(F.col("sidecar_path")).alias("base"))
     pairs = matching.assign(sides, clips, threshold)
     rows = export_plan.export(documents, now)

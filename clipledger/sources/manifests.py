@@ -71,7 +71,8 @@ def yaml_entries(files: DataFrame) -> DataFrame:
     body = F.concat(F.lit("\n"), F.replace("text", F.lit("\r\n"), F.lit("\n")))
     tail = F.when(F.contains(body, F.lit("\nHashes:")), F.regexp_replace(body, r"(?s)^.*?\nHashes:[ \t]*", ""))
     chunks = F.slice(F.split(tail, r"\n\s*- "), 2, 1_000_000_000)
-    rows = files.where("kind = 'v2'").select("manifest_path", F.posexplode(chunks).alias("entry_ix", "_chunk"))
+    rows = files.where("kind = 'v2'").select("manifest_path", F.posexplode_outer(chunks).alias("entry_ix", "_chunk"))
+    rows = rows.where(F.col("_chunk").isNotNull())
     lines = F.filter(
         F.split("_chunk", "\n"), lambda x: (F.trim(x) != "") & ~F.startswith(F.trim(x), F.lit("#"))
     )
@@ -146,7 +147,8 @@ def rows_from_texts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     rejects = _rejects(files, yml)
     item = ", ".join(f"`{t}`: STRING" for t in _XML_TAGS)
     parsed = F.from_xml("text", f"hash ARRAY<STRUCT<{item}>>", {"ignoreNamespace": "true", "mode": "PERMISSIVE"})
-    rows = files.where("kind = 'v1'").select("manifest_path", F.posexplode(parsed["hash"]).alias("_ix", "h"))
+    rows = files.where("kind = 'v1'").select("manifest_path", F.posexplode_outer(parsed["hash"]).alias("_ix", "h"))
+    rows = rows.where(F.col("h").isNotNull())
     entry = F.create_map(*[x for t in _XML_TAGS for x in (F.lit(t), F.col(f"h.{t}"))])
     xml = rows.select("manifest_path", _as_position(F.col("_ix")).alias("entry_ix"), entry.alias("entry"))
     return _good(_xml_rows(xml).unionByName(_yaml_rows(yml)), files, rejects), rejects

@@ -8,7 +8,6 @@ a batch that is replayed after a failure replaces itself.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -40,13 +39,12 @@ def observations(
     )
 
 
-def _micros(ts: pd.Timestamp) -> int:
-    return ts.value // 1000
-
-
 def _gate(seconds: float, expire_seconds: float | None):
     need = int(seconds * 1_000_000)
 
+    def micros(ts: pd.Timestamp) -> int:
+        return ts.value // 1000
+
     def run(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -56,7 +54,7 @@ def _gate(seconds: float, expire_seconds: float | None):
         rows = pd.concat(list(batches)).sort_values("observed_at", kind="stable")
         out = []
         for r in rows.itertuples(index=False):
-            seen, stamp = _micros(r.observed_at), _micros(r.mtime)
+            seen, stamp = micros(r.observed_at), micros(r.mtime)
             if changed is None or (length, mtime) != (r.length, stamp):
                 length, mtime, changed, fired = int(r.length), stamp, seen, False
             elif not fired and seen - changed >= need:
@@ -64,7 +62,7 @@ def _gate(seconds: float, expire_seconds: float | None):
                 out.append((key[0], length, r.mtime, pd.Timestamp(changed, unit="us"), r.observed_at))
         state.update((length, mtime, changed, fired))
         if expire_seconds is not None:
-            state.setTimeoutTimestamp(_micros(rows["observed_at"].iloc[-1]) // 1000 + int(expire_seconds * 1000))
+            state.setTimeoutTimestamp(micros(rows["observed_at"].iloc[-1]) // 1000 + int(expire_seconds * 1000))
         if out:
             yield pd.DataFrame(out, columns=["path", "length", "mtime", "changed_at", "settled_at"])
 
@@ -88,25 +86,29 @@ def first_by_content(stream: DataFrame, sha: str = "manifest_sha256") -> DataFra
     return stream.dropDuplicates([sha])
 
 
-def _read_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for path in pdf["path"]:
-            try:
-                with open(path, "rb") as f:
-                    data = f.read()
-                rows.append((path, hashlib.sha256(data).hexdigest(), data.decode(), None))
-            except (OSError, UnicodeDecodeError) as e:
-                rows.append((path, None, None, type(e).__name__))
-        yield pd.DataFrame(rows, columns=["manifest_path", "manifest_sha256", "text", "error"])
+def _read_texts():
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import hashlib
+
+        for pdf in batches:
+            rows = []
+            for path in pdf["path"]:
+                try:
+                    with open(path, "rb") as f:
+                        data = f.read()
+                    rows.append((path, hashlib.sha256(data).hexdigest(), data.decode(), None))
+                except (OSError, UnicodeDecodeError) as e:
+                    rows.append((path, None, None, type(e).__name__))
+            yield pd.DataFrame(rows, columns=["manifest_path", "manifest_sha256", "text", "error"])
+
+    return run
 
 
 def manifest_texts(settled: DataFrame) -> DataFrame:
     """Settled manifest paths to their text and content hash, read where the task runs."""
-    read = settled.select("path").distinct().repartition("path").mapInPandas(
-        _read_texts, "manifest_path STRING, manifest_sha256 STRING, text STRING, error STRING"
+    return settled.select("path").distinct().repartition("path").mapInPandas(
+        _read_texts(), "manifest_path STRING, manifest_sha256 STRING, text STRING, error STRING"
     )
-    return read
 
 
 @dataclass
