@@ -444,7 +444,7 @@ WITH RECURSIVE {STORED_SQL}
 SELECT event_id, 'later_without_prevHash' AS code FROM st WHERE s_seq <> 1 AND prev_hash IS NULL
 UNION ALL SELECT event_id, 'first_has_prevHash' FROM st WHERE s_seq = 1 AND prev_hash IS NOT NULL""")
 def event_rules(spark: SparkSession, sf: str) -> DataFrame:
-    return conform.broken(stored(spark, sf), conform.event_rules()).select("event_id", "code")
+    return conform.broken_events(stored(spark, sf)).select("event_id", "code")
 
 
 @R.add("j17_log_merge", """

@@ -44,56 +44,51 @@ wd AS (
     CASE WHEN l_linestatus = 'O' THEN sha256(CAST(l_partkey AS VARCHAR)) END AS sha256,
     substr(md5(CAST(l_suppkey AS VARCHAR)), 1, 16) AS xxh64, CASE WHEN l_discount > 0.08 THEN 'c4' || l_partkey END AS c4
   FROM lineitem)"""
-ID_COLS = ["manifest_path", "file", "entry_ix", "l_returnflag", "l_linestatus"]
 
 
-def long(spark: SparkSession, sf: str) -> DataFrame:
-    return ingest.long_manifest(wide(spark, sf), ID_COLS, TAGS)
+def entries(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.gather_tags(wide(spark, sf), TAGS)
+
+
+def _flat(df: DataFrame, *cols: str) -> DataFrame:
+    return df.select("manifest_path", "file", "entry_ix.line", "entry_ix.part", "entry_ix.price", *cols)
 
 
 @R.add("p15_algorithm_names", f"""
 WITH {WIDE_SQL}, l AS (UNPIVOT wd ON md5, sha1, sha256, xxh64, c4 INTO NAME alg VALUE value)
 SELECT alg, l_returnflag, CAST(count(*) AS BIGINT) AS entries, CAST(count(DISTINCT value) AS BIGINT) AS hashes FROM l GROUP BY 1, 2""")
 def algorithm_names(spark: SparkSession, sf: str) -> DataFrame:
-    return long(spark, sf).groupBy("alg", "l_returnflag").agg(
+    long = entries(spark, sf).select("l_returnflag", F.inline("hashes"))
+    return long.groupBy("alg", "l_returnflag").agg(
         F.count(F.lit(1)).alias("entries"), F.count_distinct("value").alias("hashes")
     )
 
 
-def _picked(df: DataFrame) -> DataFrame:
-    return df.select("manifest_path", "file", F.col("entry_ix.line").alias("line"), F.col("entry_ix.part").alias("part"),
-                     F.col("entry_ix.price").alias("price"), "alg", "value")
-
-
 @R.add("p13_strongest_hash", f"""
 WITH {WIDE_SQL}
-SELECT DISTINCT manifest_path, file, line, part, price,
+SELECT manifest_path, file, line, part, price,
   CASE WHEN sha256 <> '' THEN 'sha256' WHEN c4 <> '' THEN 'c4' WHEN sha1 <> '' THEN 'sha1' ELSE 'xxh64' END AS alg,
-  CASE WHEN sha256 <> '' THEN sha256 WHEN c4 <> '' THEN c4 WHEN sha1 <> '' THEN sha1 ELSE xxh64 END AS value FROM (
-  SELECT manifest_path, file, line, part, price, max(sha256) AS sha256, max(c4) AS c4, max(sha1) AS sha1, min(xxh64) AS xxh64 FROM wd GROUP BY 1, 2, 3, 4, 5)""")
+  CASE WHEN sha256 <> '' THEN sha256 WHEN c4 <> '' THEN c4 WHEN sha1 <> '' THEN sha1 ELSE xxh64 END AS value FROM wd""")
 def strongest_hash(spark: SparkSession, sf: str) -> DataFrame:
-    keys = ["manifest_path", "file", "entry_ix"]
-    return _picked(hashes.pick_hash(long(spark, sf), keys, schemas.STRONG_FIRST, skip_empty=True))
+    best = hashes.pick(F.col("hashes"), schemas.STRONG_FIRST, skip_empty=True)
+    return _flat(entries(spark, sf).withColumn("_p", best), "_p.alg", "_p.value")
 
 
 @R.add("p14_registry_hash", f"""
 WITH {WIDE_SQL}
 SELECT manifest_path, file, line, part, price,
   CASE WHEN md5 IS NOT NULL THEN 'md5' WHEN sha1 IS NOT NULL THEN 'sha1' WHEN sha256 IS NOT NULL THEN 'sha256' ELSE 'xxh64' END AS alg,
-  coalesce(md5, sha1, sha256, xxh64) AS value FROM (
-  SELECT manifest_path, file, line, part, price, min(md5) AS md5, min(sha1) AS sha1, min(sha256) AS sha256, min(xxh64) AS xxh64 FROM wd GROUP BY 1, 2, 3, 4, 5)""")
+  coalesce(md5, sha1, sha256, xxh64) AS value FROM wd""")
 def registry_hash(spark: SparkSession, sf: str) -> DataFrame:
-    keys = ["manifest_path", "file", "entry_ix"]
-    return _picked(hashes.pick_hash(long(spark, sf), keys, schemas.REGISTRY_ORDER, skip_empty=False))
+    first = hashes.pick(F.col("hashes"), schemas.REGISTRY_ORDER, skip_empty=False)
+    return _flat(entries(spark, sf).withColumn("_p", first), "_p.alg", "_p.value")
 
 
 @R.add("w04_first_entry", f"""
-WITH {WIDE_SQL}
-SELECT manifest_path, file, min({{'line': line, 'part': part, 'price': price}}).line AS line, min({{'line': line, 'part': part, 'price': price}}).part AS part,
-  min({{'line': line, 'part': part, 'price': price}}).price AS price FROM wd GROUP BY 1, 2""")
+WITH {WIDE_SQL}, x AS (SELECT *, min({{'line': line, 'part': part, 'price': price}}) OVER (PARTITION BY manifest_path, file) AS m FROM wd)
+SELECT DISTINCT manifest_path, file, m.line AS line, m.part AS part, m.price AS price FROM x""")
 def first_entry(spark: SparkSession, sf: str) -> DataFrame:
-    first = integrity.first_manifest_entries(wide(spark, sf).select("manifest_path", "file", "entry_ix"))
-    return first.select("manifest_path", "file", "entry_ix.line", "entry_ix.part", "entry_ix.price").distinct()
+    return _flat(integrity.first_entries(entries(spark, sf)))
 
 
 def media(spark: SparkSession, sf: str) -> DataFrame:
@@ -118,40 +113,34 @@ def missing_clips(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @R.add("f03_no_usable_hash", f"""
-WITH {WIDE_SQL},
-e AS (SELECT manifest_path, file, line, part, price, max(coalesce(md5, '')) AS m, max(coalesce(sha1, '')) AS s FROM wd GROUP BY 1, 2, 3, 4, 5)
-SELECT manifest_path, CAST(count(*) AS BIGINT) AS dropped FROM e WHERE m = '' AND s = '' GROUP BY 1""")
+WITH {WIDE_SQL}
+SELECT manifest_path, CAST(count(*) AS BIGINT) AS dropped FROM wd WHERE coalesce(md5, '') = '' AND coalesce(sha1, '') = '' GROUP BY 1""")
 def no_usable_hash(spark: SparkSession, sf: str) -> DataFrame:
-    keys = ["manifest_path", "file", "entry_ix"]
-    entries = wide(spark, sf).select(*ID_COLS, "md5", "sha1", "crc32")
-    usable = hashes.pick_hash(ingest.long_manifest(entries, ID_COLS, ["md5", "sha1", "crc32"]), keys, schemas.STRONG_FIRST, True)
-    dropped = entries.select(*keys).distinct().join(usable.select(*keys), keys, "left_anti")
-    return dropped.groupBy("manifest_path").agg(F.count(F.lit(1)).alias("dropped"))
+    rows = ingest.gather_tags(wide(spark, sf).drop("sha256", "xxhash64be", "c4"), ["md5", "sha1", "crc32"])
+    unusable = hashes.pick(F.col("hashes"), schemas.STRONG_FIRST, skip_empty=True).isNull()
+    return rows.where(unusable).groupBy("manifest_path").agg(F.count(F.lit(1)).alias("dropped"))
 
 
 OUTCOME_SQL = (
     WIDE_SQL
     + """,
-en AS (
-  SELECT manifest_path, file, line, part, price, max(sha256) AS sha256, max(c4) AS c4, max(sha1) AS sha1, min(xxh64) AS xxh64, min(md5) AS md5
-  FROM wd GROUP BY 1, 2, 3, 4, 5),
 oc AS (
   SELECT manifest_path, file, line, part, price, CAST(round(o.o_totalprice) AS BIGINT) AS length,
     CASE WHEN ends_with(file, '.txt') THEN 'not_clip' WHEN o.o_orderkey IS NULL THEN 'missing_clip' ELSE 'ok' END AS outcome,
-    CASE WHEN sha256 <> '' THEN 'sha256' WHEN c4 <> '' THEN 'c4' WHEN sha1 <> '' THEN 'sha1' ELSE 'xxh64' END AS alg
-  FROM en LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'P') o ON 'o' || o.o_orderkey || '.mov' = file)"""
+    CASE WHEN sha256 <> '' THEN 'sha256' WHEN c4 <> '' THEN 'c4' WHEN sha1 <> '' THEN 'sha1' ELSE 'xxh64' END AS alg,
+    CASE WHEN sha256 <> '' THEN sha256 WHEN c4 <> '' THEN c4 WHEN sha1 <> '' THEN sha1 ELSE xxh64 END AS value
+  FROM wd LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'P') o ON 'o' || o.o_orderkey || '.mov' = file)"""
 )
 
 
 def _outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    rows = long(spark, sf).withColumn("manifest_sha256", F.sha2("manifest_path", 256))
+    rows = entries(spark, sf).withColumn("manifest_sha256", F.sha2("manifest_path", 256))
     return ingest.entry_outcomes(rows, media(spark, sf), root_join=False)
 
 
 @R.add("j01_entries_inventory", f"WITH {OUTCOME_SQL} SELECT manifest_path, file, line, part, price, outcome, alg, length FROM oc")
 def entries_inventory(spark: SparkSession, sf: str) -> DataFrame:
-    out = _outcomes(spark, sf)
-    return out.select("manifest_path", "file", "entry_ix.line", "entry_ix.part", "entry_ix.price", "outcome", "alg", "length")
+    return _flat(_outcomes(spark, sf), "outcome", "alg", "length")
 
 
 @R.add("a09_coverage", f"""
@@ -162,26 +151,32 @@ def coverage(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.coverage(_outcomes(spark, sf), ["manifest_path"])
 
 
+def _id_sql(text: str) -> str:
+    cuts = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
+    return "'urn:uuid:' || " + " || '-' || ".join(f"substr(sha256({text}), {a}, {n})" for a, n in cuts)
+
+
 @R.add("g02_ingest", f"""
-WITH {OUTCOME_SQL}, k AS (SELECT *, sha256(manifest_path) || '|' || file AS key FROM oc WHERE outcome = 'ok')
-SELECT regexp_replace(file, '[.]mov$', '.omc.json') AS sidecar_path, manifest_path, alg, CAST(2 AS BIGINT) AS artifacts FROM k""")
+WITH {OUTCOME_SQL},
+k AS (SELECT *, sha256(manifest_path) AS msha, sha256(manifest_path) || '|' || file AS key, split_part(file, '.', 1) AS stem FROM oc WHERE outcome = 'ok'),
+i AS (
+  SELECT *, {_id_sql('key')} AS id, {_id_sql("key || chr(31) || 'source-file' || chr(31) || file")} AS id0,
+    {_id_sql("key || chr(31) || 'asc-mhl' || chr(31) || manifest_path")} AS id1 FROM k),
+h AS (
+  SELECT *, 'sha256:' || sha256('{{"action":"create","actor":{{"id":"urn:service:ingest","role":"IngestService"}},"prevHash":null,"seq":1,"target":"'
+    || id || '","tool":{{"name":"clipledger","version":"0.1"}},"ts":"2024-02-01T00:00:00Z"}}') AS hash FROM i)
+SELECT stem || '.omc.json' AS sidecar_path, hash AS chain_head, md5('{{"Asset":[{{"schemaVersion":"v2.8","entityType":"Asset","identifier":[{{"identifierScope":"clip-uuid","identifierValue":"'
+  || id || '"}},{{"identifierScope":"source-filename","identifierValue":"' || stem || '"}}],"name":"' || stem
+  || '","provenance":{{"createdOn":"2024-02-01T00:00:00Z","reason":"ingested from manifest, clip bytes not read"}},"AssetSC":{{"structuralType":"digital.movingImage","structuralProperties":{{"linkset":{{"recordType":"item","mediaType":"video/quicktime"}},"fileDetails":{{"fileName":"'
+  || stem || '","filePath":"/","fileExtension":"mov","mediaType":"video/quicktime"}}}}}},"assetFC":{{"functionalType":"capture.ocf","functionalProperties":{{"customData":[{{"domain":"{schemas.ARTIFACT_DOMAIN}","namespace":"urn:clipledger:sidecar:v0.1","value":[{{"id":"'
+  || id0 || '","role":"clip-integrity","kind":"source-file","path":"' || file || '","hash":{{"alg":"' || alg || '","value":"' || value
+  || '"}}}},{{"id":"' || id1 || '","role":"integrity","kind":"asc-mhl","path":"' || manifest_path || '","mhlEntry":"' || file || '","hash":{{"alg":"sha256","value":"' || msha
+  || '"}},"immutable":true}}]}},{{"domain":"{schemas.EVENT_DOMAIN}","namespace":"urn:clipledger:sidecar:v0.1","value":[{{"seq":1,"ts":"2024-02-01T00:00:00Z","actor":{{"id":"urn:service:ingest","role":"IngestService"}},"tool":{{"name":"clipledger","version":"0.1"}},"action":"create","prevHash":null,"target":"'
+  || id || '","hash":"' || hash || '"}}]}},{{"domain":"{schemas.LOCK_DOMAIN}","namespace":"urn:clipledger:sidecar:v0.1","value":[]}}]}}}}}}]}}') AS body_md5 FROM h""")
 def run_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    from clipledger.operators import flatten
-    from clipledger.sources import documents as doc_source
-
-    rows = long(spark, sf).withColumn("manifest_sha256", F.sha2("manifest_path", 256))
-    clips = ingest.entry_outcomes(rows, media(spark, sf), root_join=False).where("outcome = 'ok'")
+    clips = _outcomes(spark, sf).where("outcome = 'ok'")
     built = ingest.build_documents(clips, F.to_timestamp(F.lit("2024-02-01T00:00:00Z")))
-    # Stems repeat across manifests, so a row number-free key is the document's own text.
-    docs = doc_source.document_rows(built.withColumn("key", F.concat_ws("|", "sidecar_path", F.sha2("body", 256))), "key")
-    body = docs.select(
-        F.split("sidecar_path", r"\|")[0].alias("sidecar_path"),
-        F.try_variant_get("body", "$.Asset[0].assetFC.functionalProperties.customData[0].value", "array<variant>").alias("a"),
-    )
-    return body.select(
-        "sidecar_path", F.try_variant_get(F.col("a")[1], "$.path", "string").alias("manifest_path"),
-        F.try_variant_get(F.col("a")[0], "$.hash.alg", "string").alias("alg"), F.size("a").cast("bigint").alias("artifacts"),
-    )
+    return built.select("sidecar_path", "chain_head", F.md5("body").alias("body_md5"))
 
 
 @R.add("j10_manifest_inner", """
@@ -191,9 +186,8 @@ WITH art AS (
 man AS (SELECT '/roll/o' || l_orderkey || '/m.mhl' AS mp, 'c' || l_linenumber || '.mov' AS file, l_partkey, l_returnflag, l_suppkey FROM lineitem),
 fst AS (SELECT mp, file, min(l_partkey) AS pk FROM man GROUP BY 1, 2),
 pk AS (
-  SELECT mp, file, arg_min(CASE l_returnflag WHEN 'A' THEN 'md5' WHEN 'R' THEN 'sha1' ELSE NULL END, r) FILTER (r < 9) AS alg,
-    arg_min(md5(CAST(l_suppkey AS VARCHAR)), (r, md5(CAST(l_suppkey AS VARCHAR)))) FILTER (r < 9) AS val
-  FROM (SELECT man.*, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN 2 ELSE 9 END AS r FROM man JOIN fst USING (mp, file) WHERE l_partkey = pk) GROUP BY 1, 2),
+  SELECT mp, file, min(CASE l_returnflag WHEN 'A' THEN 'md5' WHEN 'R' THEN 'sha1' END) AS alg, min(CASE WHEN l_returnflag <> 'N' THEN md5(CAST(l_suppkey AS VARCHAR)) END) AS val
+  FROM (SELECT *, row_number() OVER (PARTITION BY mp, file ORDER BY l_partkey, l_suppkey, l_returnflag) AS rn FROM man) WHERE rn = 1 GROUP BY 1, 2),
 dg AS (SELECT mp, min(md5(CAST(l_suppkey AS VARCHAR))) AS val FROM man WHERE file = 'c1.mov' GROUP BY 1)
 SELECT o_orderkey, CASE WHEN NOT present THEN 'skip_no_manifest' WHEN fst.mp IS NULL THEN 'no_entry' WHEN pk.alg IS NULL THEN 'no_algorithm'
   WHEN o_orderpriority = '5-LOW' THEN 'skip_no_camera_file' WHEN dg.val = pk.val THEN 'ok' ELSE 'mismatch' END AS outcome
@@ -210,8 +204,9 @@ def manifest_inner(spark: SparkSession, sf: str) -> DataFrame:
     supp = F.md5(F.col("l_suppkey").cast("string"))
     rows = li.select(
         F.concat(folder("l_orderkey"), F.lit("/m.mhl")).alias("manifest_path"),
-        F.concat(F.lit("c"), F.col("l_linenumber").cast("string"), F.lit(".mov")).alias("file"), F.col("l_partkey").alias("entry_ix"),
-        F.when(F.col("l_returnflag") == "A", "md5").when(F.col("l_returnflag") == "R", "sha1").alias("alg"), supp.alias("value"),
+        F.concat(F.lit("c"), F.col("l_linenumber").cast("string"), F.lit(".mov")).alias("file"), F.struct("l_partkey", "l_suppkey", "l_returnflag").alias("entry_ix"),
+        hashes.gather([(F.when(F.col("l_returnflag") == "A", "md5").when(F.col("l_returnflag") == "R", "sha1"), supp)]).alias("hashes"),
+        supp.alias("value"),
     )
     # Urgent clips lie beside the manifest, others under the document's folder, low ones nowhere.
     place = F.when(F.col("o_orderpriority") == "1-URGENT", "/c1.mov").when(F.col("o_orderpriority") != "5-LOW", "/far/c1.mov")

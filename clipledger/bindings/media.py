@@ -171,4 +171,4 @@ def artifact_rules(spark: SparkSession, sf: str) -> DataFrame:
         F.lit('"path":"./x.fdl",'), part(F.col("lang") == "de", '"note":1,'), F.lit('"hash":{"alg":"md5","value":"'),
         F.when(F.col("lang") == "fr", "00").otherwise(F.md5("text")), F.lit('"}}'),
     )
-    return conform.broken(d.select("doc_id", F.parse_json(raw).alias("raw")), conform.artifact_rules()).select("doc_id", "code")
+    return conform.broken_artifacts(d.select("doc_id", F.parse_json(raw).alias("raw"))).select("doc_id", "code")

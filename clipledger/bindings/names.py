@@ -54,9 +54,22 @@ def name_scores(spark: SparkSession, sf: str) -> DataFrame:
     return matching.class_scores(docs.select("name", "base").distinct(), clips.select("clip_name").distinct())
 
 
-@R.add("j14_fuzzy_match")
+@R.add("j14_fuzzy_match", f"""
+WITH RECURSIVE {SIDES_SQL},
+d AS (SELECT *, row_number() OVER (ORDER BY sidecar_ix) AS rn FROM dc),
+w AS (
+  SELECT sc.name, sc.base, p.p_partkey AS clip_ix, score FROM sc JOIN part p ON p.p_name = sc.clip_name AND p.p_size > 25 WHERE score >= 65),
+r AS (
+  SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS sidecar_ix, CAST(NULL AS BIGINT) AS clip_ix, CAST(NULL AS BIGINT) AS score
+  UNION ALL
+  SELECT rn, CASE WHEN hit.clip_ix IS NULL THEN used ELSE list_append(used, hit.clip_ix) END, sidecar_ix, hit.clip_ix, CAST(hit.score AS BIGINT)
+  FROM (
+    SELECT d.rn, any_value(r.used) AS used, d.sidecar_ix,
+      arg_max({{'clip_ix': w.clip_ix, 'score': w.score}}, (w.score, -w.clip_ix)) FILTER (w.clip_ix IS NOT NULL AND NOT list_contains(r.used, w.clip_ix)) AS hit
+    FROM r JOIN d ON d.rn = r.rn + 1 LEFT JOIN w ON w.name = d.name AND w.base = d.base GROUP BY d.rn, d.sidecar_ix))
+SELECT sidecar_ix, clip_ix, score FROM r WHERE clip_ix IS NOT NULL""")
 def fuzzy_match(spark: SparkSession, sf: str) -> DataFrame:
-    """Sequential by definition; checked against the plain greedy loop in the tests."""
+    """The SQL is the plain loop: one document after the other over the clips still free."""
     docs, clips = _sides(spark, sf)
     return matching.assign(docs, clips)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clipledger import schemas
 from clipledger.bindings import Registry, load
-from clipledger.functions import paths, text
+from clipledger.functions import hashes, paths, text
 from clipledger.operators import ingest, integrity, matching
 from clipledger.sources import documents as doc_source
 
@@ -180,8 +180,8 @@ def trust_manifest(spark: SparkSession, sf: str) -> DataFrame:
     )
     claim = F.md5(F.when(F.col("length") > 2000, F.col("path")).otherwise(F.col("base")))
     rows = f.select(
-        manifest_path.alias("manifest_path"), F.col("page_id").alias("entry_ix"), entry.alias("file"), F.lit("md5").alias("alg"),
-        claim.alias("value"),
+        manifest_path.alias("manifest_path"), F.col("page_id").alias("entry_ix"), entry.alias("file"),
+        hashes.gather([(F.lit("md5"), claim)]).alias("hashes"),
     )
     hit = integrity.trusted(clips.unionByName(lists), rows)
     return hit.select(F.expr("(artifact_ix - 1) div 2").alias("page_id"))

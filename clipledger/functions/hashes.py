@@ -26,18 +26,30 @@ def normal_algorithm(tag: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), F.lower(tag))
 
 
-def pick_hash(entries: DataFrame, keys: list[str], order: list[str], skip_empty: bool) -> DataFrame:
-    """One (alg, value) per entry by preference order.
+HASHES = "array<struct<alg: string, value: string>>"
+
+
+def gather(pairs: list[tuple[Column, Column]]) -> Column:
+    """(algorithm, value) columns of one entry as its hash array; unknown names and nulls drop out."""
+    items = F.array(*[F.struct(a.alias("alg"), v.cast("string").alias("value")) for a, v in pairs])
+    return F.filter(items, lambda h: h["alg"].isNotNull() & h["value"].isNotNull())
+
+
+def pick(entry_hashes: Column, order: list[str], skip_empty: bool) -> Column:
+    """struct(alg, value) of an entry's hash array by preference order, null when none is listed.
 
     skip_empty=True passes over empty values (builders); False goes by presence alone (audits).
-    min_by aggregates map-side, so a hot manifest costs no more than its row count.
+    The hashes of an entry sit on its row, so this is a plain expression and moves no data.
     """
-    rank = rank_of(F.col("alg"), order)
-    usable = entries.where(rank.isNotNull())
-    if skip_empty:
-        usable = usable.where(F.coalesce(F.col("value"), F.lit("")) != "")
-    picked = usable.groupBy(*keys).agg(F.min_by(F.struct("alg", "value"), F.struct(rank, "value")).alias("_pick"))
-    return picked.select(*keys, "_pick.alg", "_pick.value")
+    usable = F.filter(
+        entry_hashes,
+        lambda h: rank_of(h["alg"], order).isNotNull() & ((h["value"] != "") if skip_empty else F.lit(True)),
+    )
+    ranked = F.transform(
+        usable, lambda h: F.struct(rank_of(h["alg"], order).alias("rank"), h["alg"].alias("alg"), h["value"].alias("value"))
+    )
+    best = F.array_min(ranked)
+    return F.when(best.isNotNull(), F.struct(best["alg"].alias("alg"), best["value"].alias("value")))
 
 
 def canonical_json(raw: Column, drop: tuple[str, ...] = ("hash", "sig")) -> Column:

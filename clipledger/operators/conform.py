@@ -11,13 +11,17 @@ from clipledger.operators.ledger import event_where, finding
 Rule = tuple[str, Column]
 
 
+def _name(what: str, path: str) -> str:
+    return f"_{what}_{path.removeprefix('$').removeprefix('.').replace('.', '_')}"
+
+
 def _kind(path: str) -> Column:
-    """JSON type at a path of raw: null when the key is absent."""
-    return F.schema_of_variant(F.try_variant_get("raw", path, "variant"))
+    """JSON type at a path of raw: null when the key is absent. Filled in by read_paths."""
+    return F.col(_name("kind", path))
 
 
 def _present(path: str) -> Column:
-    return F.try_variant_get("raw", path, "variant").isNotNull()
+    return _kind(path).isNotNull()
 
 
 def _is_text(path: str) -> Column:
@@ -25,7 +29,16 @@ def _is_text(path: str) -> Column:
 
 
 def _text(path: str) -> Column:
-    return F.try_variant_get("raw", path, "string")
+    return F.col(_name("text", path))
+
+
+def read_paths(df: DataFrame, paths: list[str]) -> DataFrame:
+    """Kind and text of every path the rules look at, each read from raw once."""
+    cols = []
+    for p in paths:
+        cols.append(F.schema_of_variant(F.try_variant_get("raw", p, "variant")).alias(_name("kind", p)))
+        cols.append(F.try_variant_get("raw", p, "string").alias(_name("text", p)))
+    return df.select("*", *cols)
 
 
 def _extra(path: str, allowed: list[str]) -> Column:
@@ -71,12 +84,23 @@ def _signature() -> list[Rule]:
     ]
 
 
+SIG_PATHS = ["$.sig", "$.sig.alg", "$.sig.kid", "$.sig.value"]
+ARTIFACT_PATHS = [
+    "$", "$.id", "$.role", "$.kind", "$.subtype", "$.path", "$.mhlEntry", "$.hash", "$.hash.alg", "$.hash.value", "$.immutable",
+]
+EVENT_PATHS = [
+    "$", "$.seq", "$.ts", "$.actor", "$.actor.id", "$.actor.role", "$.tool", "$.tool.name", "$.tool.version", "$.action",
+    "$.target", "$.prevHash", "$.hash", *SIG_PATHS,
+]
+LOCK_PATHS = ["$", "$.target", "$.scope", "$.field", "$.by", "$.at", "$.reason", *SIG_PATHS]
+
+
 def artifact_rules() -> list[Rule]:
     """A row with no kind owes both conditional fields: a missing field meets any condition on it."""
     keys = ["id", "role", "kind", "subtype", "path", "mhlEntry", "hash", "immutable"]
     maybe_manifest = ~_present("$.kind") | (_text("$.kind") == "asc-mhl")
     maybe_export = ~_present("$.kind") | (_text("$.kind") == "resolve-export")
-    flag = F.try_variant_get("raw", "$.immutable", "boolean")
+    flag = _text("$.immutable") == "true"
     return [
         *_required(["id", "role", "kind", "path", "hash"]),
         ("extra_key", _extra("$", keys)),
@@ -101,7 +125,7 @@ def artifact_rules() -> list[Rule]:
 def event_rules() -> list[Rule]:
     keys = ["seq", "ts", "actor", "tool", "action", "target", "prevHash", "hash", "sig"]
     is_int = _kind("$.seq").isin("BIGINT", "INT", "SMALLINT", "TINYINT")
-    seq = F.try_variant_get("raw", "$.seq", "bigint")
+    seq = _text("$.seq").try_cast("bigint")
     prev_null = _kind("$.prevHash") == "VOID"
     prev_ok = _is_text("$.prevHash") & _text("$.prevHash").rlike(schemas.CHAIN_HASH_PATTERN)
     maybe_first = ~_present("$.seq") | F.coalesce(seq == 1, F.lit(False))
@@ -154,20 +178,32 @@ def failing(rules: list[Rule]) -> Column:
     )
 
 
-def broken(df: DataFrame, rules: list[Rule]) -> DataFrame:
+def broken(df: DataFrame, rules: list[Rule], paths: list[str]) -> DataFrame:
     """One row per broken rule, column code."""
-    return df.withColumn("code", F.explode_outer(failing(rules))).where(F.col("code").isNotNull())
+    hit = read_paths(df, paths).withColumn("code", F.explode_outer(failing(rules))).where(F.col("code").isNotNull())
+    return hit.select(*df.columns, "code")
+
+
+def broken_artifacts(artifacts: DataFrame) -> DataFrame:
+    return broken(artifacts, artifact_rules(), ARTIFACT_PATHS)
+
+
+def broken_events(events: DataFrame) -> DataFrame:
+    return broken(events, event_rules(), EVENT_PATHS)
+
+
+def broken_locks(locks: DataFrame) -> DataFrame:
+    return broken(locks, lock_rules(), LOCK_PATHS)
 
 
 def payload_findings(groups: DataFrame, artifacts: DataFrame, events: DataFrame, locks: DataFrame) -> DataFrame:
     """Stage 2 over all three payloads, empty artifact and event groups included."""
-    out = []
-    for table, rules, ix in (
-        (artifacts, artifact_rules(), "artifact_ix"),
-        (events, event_rules(), "event_ix"),
-        (locks, lock_rules(), "lock_ix"),
-    ):
-        out.append(broken(table, rules).select(*finding("2", F.col("code"), event_where(ix), F.to_json("raw"))))
+    out = [
+        found.select(*finding("2", F.col("code"), event_where(ix), F.to_json("raw")))
+        for found, ix in (
+            (broken_artifacts(artifacts), "artifact_ix"), (broken_events(events), "event_ix"), (broken_locks(locks), "lock_ix"),
+        )
+    ]
     size = F.size(F.col("value").try_cast("array<variant>"))
     where = F.concat(F.col("json_path"), F.lit("["), F.col("group_ix").cast("string"), F.lit("]"))
     known = [schemas.ARTIFACT_DOMAIN, schemas.EVENT_DOMAIN, schemas.LOCK_DOMAIN]

@@ -180,14 +180,23 @@ def artifacts(groups: DataFrame) -> DataFrame:
 
 
 def events(groups: DataFrame) -> DataFrame:
-    return payload(groups, schemas.EVENT_DOMAIN, "event_ix").select(
+    """Event rows, each with the event before it in its array: chain checks then need no shuffle."""
+    items = F.col("value").try_cast("array<variant>")
+    paired = F.transform(items, lambda e, i: F.struct(e.alias("raw"), F.get(items, i - 1).alias("prev_raw")))
+    rows = (
+        groups.where(F.col("domain") == schemas.EVENT_DOMAIN)
+        .select("sidecar_path", "json_path", "group_ix", F.posexplode_outer(paired).alias("event_ix", "_e"))
+        .where(F.col("event_ix").isNotNull())
+        .select("sidecar_path", "json_path", "group_ix", "event_ix", "_e.raw", "_e.prev_raw")
+    )
+    return rows.select(
         "sidecar_path", "json_path", "group_ix", "event_ix",
         F.try_variant_get("raw", "$.seq", "bigint").alias("seq"), _text("$.ts").alias("ts"),
         F.try_to_timestamp(_text("$.ts")).alias("ts_utc"),
         F.struct(_text("$.actor.id").alias("id"), _text("$.actor.role").alias("role")).alias("actor"),
         F.struct(_text("$.tool.name").alias("name"), _text("$.tool.version").alias("version")).alias("tool"),
         _text("$.action").alias("action"), _text("$.target").alias("target"),
-        _text("$.prevHash").alias("prev_hash"), _text("$.hash").alias("hash"), _sig().alias("sig"), "raw",
+        _text("$.prevHash").alias("prev_hash"), _text("$.hash").alias("hash"), _sig().alias("sig"), "raw", "prev_raw",
     )
 
 

@@ -24,31 +24,23 @@ class Identity:
     reason: str = "ingested from manifest, clip bytes not read"
 
 
-def long_manifest(entries: DataFrame, id_cols: list[str], tags: list[str]) -> DataFrame:
-    """Wide entries, one column per algorithm tag, to (…, alg, value); unknown tags and nulls drop out."""
-    long = entries.unpivot(id_cols, [F.col(t).cast("string").alias(t) for t in tags], "_tag", "value")
-    return (
-        long.withColumn("alg", hashes.normal_algorithm(F.col("_tag")))
-        .where(F.col("alg").isNotNull() & F.col("value").isNotNull())
-        .drop("_tag")
-    )
+def gather_tags(entries: DataFrame, tags: list[str]) -> DataFrame:
+    """Wide entries, one column per tag, to one hashes array per entry."""
+    pairs = [(hashes.normal_algorithm(F.lit(t)), F.col(t)) for t in tags]
+    rest = [c for c in entries.columns if c not in tags]
+    return entries.select(*rest, hashes.gather(pairs).alias("hashes"))
 
 
 def entry_outcomes(manifest: DataFrame, inventory: DataFrame, root_join: bool = True) -> DataFrame:
-    """One row per manifest entry: outcome and, for usable ones, the clip path and strongest hash.
+    """Each manifest entry with its outcome and, for usable ones, the clip path and strongest hash.
 
-    outcome, in the builder's order: no_file, not_clip, missing_clip, no_hash, ok.
+    outcome, in the builder's order: no_file, not_clip, missing_clip, no_hash, ok. The only
+    shuffle is the join to the inventory; AQE splits a path that many manifests list.
     """
-    keys = ["manifest_path", "entry_ix", "file"]
-    rank = hashes.rank_of(F.col("alg"), schemas.STRONG_FIRST)
-    usable = F.when(rank.isNotNull() & (F.col("value") != ""), F.struct(rank.alias("r"), "value"))
-    entries = manifest.groupBy(*keys).agg(
-        F.first("manifest_sha256", ignorenulls=True).alias("manifest_sha256"),
-        F.min_by(F.struct("alg", "value"), usable).alias("_pick"),
-    )
     clip = paths.resolve(F.col("file"), paths.dirname(F.col("manifest_path"))) if root_join else F.col("file")
     here = inventory.groupBy(F.col("path").alias("clip_path")).agg(F.max("length").alias("length"))
-    joined = entries.withColumn("clip_path", clip).join(here.withColumn("_here", F.lit(True)), "clip_path", "left")
+    picked = manifest.withColumn("_pick", hashes.pick(F.col("hashes"), schemas.STRONG_FIRST, skip_empty=True))
+    joined = picked.withColumn("clip_path", clip).join(here.withColumn("_here", F.lit(True)), "clip_path", "left")
     outcome = (
         F.when(F.coalesce("file", F.lit("")) == "", "no_file")
         .when(~paths.is_clip(F.col("file")), "not_clip")
@@ -57,7 +49,8 @@ def entry_outcomes(manifest: DataFrame, inventory: DataFrame, root_join: bool =
         .otherwise("ok")
     )
     return joined.select(
-        *keys, "manifest_sha256", "clip_path", "length", "_pick.alg", "_pick.value", outcome.alias("outcome")
+        "manifest_path", "entry_ix", "file", "manifest_sha256", "clip_path", "length", "_pick.alg", "_pick.value",
+        outcome.alias("outcome"),
     )
 
 

@@ -16,10 +16,10 @@ def char_suffixes(text: Column) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(text, i)))
 
 
-def first_manifest_entries(manifest: DataFrame) -> DataFrame:
-    """Rows of the first entry per (manifest, file)."""
-    first = manifest.groupBy("manifest_path", "file").agg(F.min("entry_ix").alias("entry_ix"))
-    return manifest.join(first, ["manifest_path", "file", "entry_ix"], "left_semi")
+def first_entries(manifest: DataFrame) -> DataFrame:
+    """First entry per (manifest, file): entry_ix and hashes."""
+    first = manifest.groupBy("manifest_path", "file").agg(F.min_by(F.struct("entry_ix", "hashes"), "entry_ix").alias("_e"))
+    return first.select("manifest_path", "file", "_e.entry_ix", "_e.hashes")
 
 
 def declared_by_manifest(artifacts: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -35,10 +35,12 @@ def declared_by_manifest(artifacts: DataFrame, manifest: DataFrame) -> DataFrame
         F.col("mhl_entry").alias("file"),
         F.struct("json_path", "group_ix", "artifact_ix").alias("_list_order"),
     )
-    usable = manifest.where(hashes.rank_of(F.col("alg"), schemas.REGISTRY_ORDER).isNotNull() & (F.col("value") != ""))
-    rank = F.struct("entry_ix", hashes.rank_of(F.col("alg"), schemas.REGISTRY_ORDER).alias("r"), "value")
-    claims = usable.groupBy("manifest_path", "file").agg(
-        F.min_by(F.struct(F.col("alg").alias("d_alg"), F.col("value").alias("d_value")), rank).alias("_claim")
+    claim = hashes.pick(F.col("hashes"), schemas.REGISTRY_ORDER, skip_empty=True)
+    claims = (
+        manifest.withColumn("_claim", claim)
+        .where(F.col("_claim").isNotNull())
+        .groupBy("manifest_path", "file")
+        .agg(F.min_by("_claim", "entry_ix").alias("_claim"))
     )
     known = lists.join(claims, ["manifest_path", "file"]).withColumn("_tail", paths.basename(F.col("file")))
     tails = artifacts.where("path <> ''").select(
@@ -49,7 +51,9 @@ def declared_by_manifest(artifacts: DataFrame, manifest: DataFrame) -> DataFrame
     first = hits.groupBy("sidecar_path", "json_path", "group_ix", "artifact_ix").agg(
         F.min_by("_claim", "_list_order").alias("_claim")
     )
-    return first.select("sidecar_path", "json_path", "group_ix", "artifact_ix", "_claim.d_alg", "_claim.d_value")
+    return first.select(
+        "sidecar_path", "json_path", "group_ix", "artifact_ix", F.col("_claim.alg").alias("d_alg"), F.col("_claim.value").alias("d_value")
+    )
 
 
 KEY = ["sidecar_path", "json_path", "group_ix", "artifact_ix"]
@@ -126,22 +130,14 @@ def manifest_claims(artifacts: DataFrame, manifest: DataFrame, rejects: DataFram
     lists = artifacts.where("kind = 'asc-mhl'").withColumn("manifest_path", F.col("resolved"))
     present = inventory.select(F.col("path").alias("manifest_path")).distinct().withColumn("_present", F.lit(True))
     bad = rejects.select("manifest_path").distinct().withColumn("_bad", F.lit(True))
-    firsts = manifest.groupBy("manifest_path", F.col("file").alias("mhl_entry")).agg(
-        F.min("entry_ix").alias("_entry_ix")
-    )
-    rank = hashes.rank_of(F.col("alg"), schemas.REGISTRY_ORDER)
-    order = F.struct(rank.alias("r"), "value")
-    chosen = (
-        first_manifest_entries(manifest)
-        .where(rank.isNotNull())
-        .groupBy("manifest_path", F.col("file").alias("mhl_entry"))
-        .agg(F.min_by(F.struct(F.col("alg").alias("m_alg"), F.col("value").alias("m_value")), order).alias("_pick"))
+    pick = hashes.pick(F.col("hashes"), schemas.REGISTRY_ORDER, skip_empty=False)
+    firsts = first_entries(manifest).select(
+        "manifest_path", F.col("file").alias("mhl_entry"), F.lit(True).alias("_entry"), pick.alias("_pick")
     )
     joined = (
         lists.join(present, "manifest_path", "left")
         .join(bad, "manifest_path", "left")
         .join(firsts, ["manifest_path", "mhl_entry"], "left")
-        .join(chosen, ["manifest_path", "mhl_entry"], "left")
         .withColumn("_near", F.concat(paths.dirname(F.col("manifest_path")), F.lit("/"), F.col("mhl_entry")))
         .withColumn("_far", F.concat(F.col("base_dir"), F.lit("/"), F.col("mhl_entry")))
     )
@@ -153,13 +149,14 @@ def manifest_claims(artifacts: DataFrame, manifest: DataFrame, rejects: DataFram
     state = (
         F.when(F.col("_present").isNull(), "skip_no_manifest")
         .when(F.col("_bad"), "unparseable")
-        .when(F.col("_entry_ix").isNull(), "no_entry")
+        .when(F.col("_entry").isNull(), "no_entry")
         .when(F.col("_pick").isNull(), "no_algorithm")
         .when(F.col("camera_path").isNull(), "skip_no_camera_file")
         .otherwise("check")
     )
     return located.withColumn("state", state).select(
-        *KEY, "path", "mhl_entry", "manifest_path", "camera_path", "state", "_pick.m_alg", "_pick.m_value"
+        *KEY, "path", "mhl_entry", "manifest_path", "camera_path", "state",
+        F.col("_pick.alg").alias("m_alg"), F.col("_pick.value").alias("m_value"),
     )
 
 

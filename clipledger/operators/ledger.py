@@ -33,13 +33,17 @@ def event_where(ix: str = "event_ix") -> Column:
 def chain_state(events: DataFrame) -> DataFrame:
     """Adds prev_seq, prev_stored, seq_bad and link_bad.
 
-    A chain is one events array of one document, so a window over it is bounded by a file; a busy
-    document splits over its arrays. Links compare with the stored hash, not a recomputed one.
+    Rows flattened from documents bring the event before them along and need no shuffle. Other
+    event tables use a window over one chain, which is one array of one document: a busy document
+    splits over its arrays. Links compare with the stored hash, not a recomputed one.
     """
-    w = Window.partitionBy(*GROUP).orderBy("event_ix")
-    lagged = events.withColumn("prev_seq", F.coalesce(F.lag("seq").over(w), F.lit(0))).withColumn(
-        "prev_stored", F.lag("hash").over(w)
-    )
+    if "prev_raw" in events.columns:
+        prev_seq = F.try_variant_get("prev_raw", "$.seq", "bigint")
+        prev_hash = F.try_variant_get("prev_raw", "$.hash", "string")
+    else:
+        w = Window.partitionBy(*GROUP).orderBy("event_ix")
+        prev_seq, prev_hash = F.lag("seq").over(w), F.lag("hash").over(w)
+    lagged = events.withColumn("prev_seq", F.coalesce(prev_seq, F.lit(0))).withColumn("prev_stored", prev_hash)
     return lagged.withColumn(
         "seq_bad", ~F.coalesce(F.col("seq") == F.col("prev_seq") + 1, F.lit(False))
     ).withColumn("link_bad", ~F.col("prev_hash").eqNullSafe(F.col("prev_stored")))

@@ -1,4 +1,4 @@
-"""Checksum manifests, XML (v1) and flat YAML (v2), to one long table."""
+"""Checksum manifests, XML (v1) and flat YAML (v2), to one table, a row per entry."""
 
 from __future__ import annotations
 
@@ -85,8 +85,8 @@ def yaml_entries(files: DataFrame) -> DataFrame:
     return rows.select("manifest_path", "entry_ix", safe.alias("entry"), bad.alias("bad"))
 
 
-def _long(entries: DataFrame, alg: Column, file: str, size: str, date: str) -> DataFrame:
-    """Entries to one row per hash; an entry without a known hash keeps one row with a null alg."""
+def _shape(entries: DataFrame, alg, file: str, size: str, date: str) -> DataFrame:
+    """Entry maps to manifest rows, the known hashes of an entry together in one array."""
     known = F.filter(
         F.transform(
             F.map_entries("entry"), lambda e: F.struct(alg(e["key"]).alias("alg"), e["value"].alias("value"))
@@ -99,8 +99,8 @@ def _long(entries: DataFrame, alg: Column, file: str, size: str, date: str) -> D
         F.try_element_at("entry", F.lit(file)).alias("file"),
         text.lenient_int(raw_size).alias("size"), raw_size.alias("size_text"),
         F.try_element_at("entry", F.lit(date)).alias("last_modified"),
-        F.explode_outer(known).alias("h"),
-    ).select("*", "h.alg", "h.value").drop("h")
+        known.alias("hashes"),
+    )
 
 
 def _yaml_rows(entries: DataFrame) -> DataFrame:
@@ -111,11 +111,11 @@ def _yaml_rows(entries: DataFrame) -> DataFrame:
         return F.coalesce(F.try_element_at(aliases, key), F.when(F.array_contains(registry, key), key))
 
     placed = entries.where("not bad").withColumn("entry_ix", _as_position(F.col("entry_ix")))
-    return _long(placed, alg, "File", "Size", "LastModificationDate")
+    return _shape(placed, alg, "File", "Size", "LastModificationDate")
 
 
 def _xml_rows(entries: DataFrame) -> DataFrame:
-    return _long(entries, hashes.normal_algorithm, "file", "size", "lastmodificationdate")
+    return _shape(entries, hashes.normal_algorithm, "file", "size", "lastmodificationdate")
 
 
 def _rejects(files: DataFrame, yml: DataFrame) -> DataFrame:
