@@ -58,7 +58,7 @@ def _flat(df: DataFrame, *cols: str) -> DataFrame:
 WITH {WIDE_SQL}, l AS (UNPIVOT wd ON md5, sha1, sha256, xxh64, c4 INTO NAME alg VALUE value)
 SELECT alg, l_returnflag, CAST(count(*) AS BIGINT) AS entries, CAST(count(DISTINCT value) AS BIGINT) AS hashes FROM l GROUP BY 1, 2""")
 def algorithm_names(spark: SparkSession, sf: str) -> DataFrame:
-    long = entries(spark, sf).select("l_returnflag", F.inline("hashes"))
+    long = entries(spark, sf).select("l_returnflag", F.explode("hashes").alias("alg", "value")).where("value is not null")
     return long.groupBy("alg", "l_returnflag").agg(
         F.count(F.lit(1)).alias("entries"), F.count_distinct("value").alias("hashes")
     )
@@ -70,8 +70,8 @@ SELECT manifest_path, file, line, part, price,
   CASE WHEN sha256 <> '' THEN 'sha256' WHEN c4 <> '' THEN 'c4' WHEN sha1 <> '' THEN 'sha1' ELSE 'xxh64' END AS alg,
   CASE WHEN sha256 <> '' THEN sha256 WHEN c4 <> '' THEN c4 WHEN sha1 <> '' THEN sha1 ELSE xxh64 END AS value FROM wd""")
 def strongest_hash(spark: SparkSession, sf: str) -> DataFrame:
-    best = hashes.pick(F.col("hashes"), schemas.STRONG_FIRST, skip_empty=True)
-    return _flat(entries(spark, sf).withColumn("_p", best), "_p.alg", "_p.value")
+    alg, value = hashes.pick(F.col("hashes"), schemas.STRONG_FIRST, skip_empty=True)
+    return _flat(entries(spark, sf), alg.alias("alg"), value.alias("value"))
 
 
 @R.add("p14_registry_hash", f"""
@@ -80,8 +80,8 @@ SELECT manifest_path, file, line, part, price,
   CASE WHEN md5 IS NOT NULL THEN 'md5' WHEN sha1 IS NOT NULL THEN 'sha1' WHEN sha256 IS NOT NULL THEN 'sha256' ELSE 'xxh64' END AS alg,
   coalesce(md5, sha1, sha256, xxh64) AS value FROM wd""")
 def registry_hash(spark: SparkSession, sf: str) -> DataFrame:
-    first = hashes.pick(F.col("hashes"), schemas.REGISTRY_ORDER, skip_empty=False)
-    return _flat(entries(spark, sf).withColumn("_p", first), "_p.alg", "_p.value")
+    alg, value = hashes.pick(F.col("hashes"), schemas.REGISTRY_ORDER, skip_empty=False)
+    return _flat(entries(spark, sf), alg.alias("alg"), value.alias("value"))
 
 
 @R.add("w04_first_entry", f"""
@@ -117,8 +117,8 @@ WITH {WIDE_SQL}
 SELECT manifest_path, CAST(count(*) AS BIGINT) AS dropped FROM wd WHERE coalesce(md5, '') = '' AND coalesce(sha1, '') = '' GROUP BY 1""")
 def no_usable_hash(spark: SparkSession, sf: str) -> DataFrame:
     rows = ingest.gather_tags(wide(spark, sf).drop("sha256", "xxhash64be", "c4"), ["md5", "sha1", "crc32"])
-    unusable = hashes.pick(F.col("hashes"), schemas.STRONG_FIRST, skip_empty=True).isNull()
-    return rows.where(unusable).groupBy("manifest_path").agg(F.count(F.lit(1)).alias("dropped"))
+    alg, _ = hashes.pick(F.col("hashes"), schemas.STRONG_FIRST, skip_empty=True)
+    return rows.where(alg.isNull()).groupBy("manifest_path").agg(F.count(F.lit(1)).alias("dropped"))
 
 
 OUTCOME_SQL = (
@@ -171,8 +171,8 @@ SELECT stem || '.omc.json' AS sidecar_path, hash AS chain_head, md5('{{"Asset":[
   || stem || '","filePath":"/","fileExtension":"mov","mediaType":"video/quicktime"}}}}}},"assetFC":{{"functionalType":"capture.ocf","functionalProperties":{{"customData":[{{"domain":"{schemas.ARTIFACT_DOMAIN}","namespace":"urn:clipledger:sidecar:v0.1","value":[{{"id":"'
   || id0 || '","role":"clip-integrity","kind":"source-file","path":"' || file || '","hash":{{"alg":"' || alg || '","value":"' || value
   || '"}}}},{{"id":"' || id1 || '","role":"integrity","kind":"asc-mhl","path":"' || manifest_path || '","mhlEntry":"' || file || '","hash":{{"alg":"sha256","value":"' || msha
-  || '"}},"immutable":true}}]}},{{"domain":"{schemas.EVENT_DOMAIN}","namespace":"urn:clipledger:sidecar:v0.1","value":[{{"seq":1,"ts":"2024-02-01T00:00:00Z","actor":{{"id":"urn:service:ingest","role":"IngestService"}},"tool":{{"name":"clipledger","version":"0.1"}},"action":"create","prevHash":null,"target":"'
-  || id || '","hash":"' || hash || '"}}]}},{{"domain":"{schemas.LOCK_DOMAIN}","namespace":"urn:clipledger:sidecar:v0.1","value":[]}}]}}}}}}]}}') AS body_md5 FROM h""")
+  || '"}},"immutable":true}}]}},{{"domain":"{schemas.EVENT_DOMAIN}","namespace":"urn:clipledger:sidecar:v0.1","value":[{{"action":"create","actor":{{"id":"urn:service:ingest","role":"IngestService"}},"prevHash":null,"seq":1,"target":"'
+  || id || '","tool":{{"name":"clipledger","version":"0.1"}},"ts":"2024-02-01T00:00:00Z","hash":"' || hash || '"}}]}},{{"domain":"{schemas.LOCK_DOMAIN}","namespace":"urn:clipledger:sidecar:v0.1","value":[]}}]}}}}}}]}}') AS body_md5 FROM h""")
 def run_ingest(spark: SparkSession, sf: str) -> DataFrame:
     clips = _outcomes(spark, sf).where("outcome = 'ok'")
     built = ingest.build_documents(clips, F.to_timestamp(F.lit("2024-02-01T00:00:00Z")))
@@ -205,7 +205,7 @@ def manifest_inner(spark: SparkSession, sf: str) -> DataFrame:
     rows = li.select(
         F.concat(folder("l_orderkey"), F.lit("/m.mhl")).alias("manifest_path"),
         F.concat(F.lit("c"), F.col("l_linenumber").cast("string"), F.lit(".mov")).alias("file"), F.struct("l_partkey", "l_suppkey", "l_returnflag").alias("entry_ix"),
-        hashes.gather([(F.when(F.col("l_returnflag") == "A", "md5").when(F.col("l_returnflag") == "R", "sha1"), supp)]).alias("hashes"),
+        hashes.gather({"md5": F.when(F.col("l_returnflag") == "A", supp), "sha1": F.when(F.col("l_returnflag") == "R", supp)}).alias("hashes"),
         supp.alias("value"),
     )
     # Urgent clips lie beside the manifest, others under the document's folder, low ones nowhere.

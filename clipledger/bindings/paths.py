@@ -181,7 +181,7 @@ def trust_manifest(spark: SparkSession, sf: str) -> DataFrame:
     claim = F.md5(F.when(F.col("length") > 2000, F.col("path")).otherwise(F.col("base")))
     rows = f.select(
         manifest_path.alias("manifest_path"), F.col("page_id").alias("entry_ix"), entry.alias("file"),
-        hashes.gather([(F.lit("md5"), claim)]).alias("hashes"),
+        hashes.gather({"md5": claim}).alias("hashes"),
     )
     hit = integrity.trusted(clips.unionByName(lists), rows)
     return hit.select(F.expr("(artifact_ix - 1) div 2").alias("page_id"))

@@ -20,36 +20,31 @@ def rank_of(alg: Column, order: list[str]) -> Column:
     return F.nullif(F.array_position(F.array(*[F.lit(a) for a in order]), alg), F.lit(0).cast("bigint"))
 
 
-def normal_algorithm(tag: Column) -> Column:
-    """Manifest tag to algorithm name; null for tags that are no algorithm."""
-    pairs = [F.lit(x) for kv in schemas.ALGORITHM_ALIASES.items() for x in kv]
-    return F.try_element_at(F.create_map(*pairs), F.lower(tag))
+def gather(tags: dict[str, Column]) -> Column:
+    """Tag columns of one entry as MAP algorithm -> value; unknown tags drop out, absent ones stay null.
 
-
-HASHES = "array<struct<alg: string, value: string>>"
-
-
-def gather(pairs: list[tuple[Column, Column]]) -> Column:
-    """(algorithm, value) columns of one entry as its hash array; unknown names and nulls drop out."""
-    items = F.array(*[F.struct(a.alias("alg"), v.cast("string").alias("value")) for a, v in pairs])
-    return F.filter(items, lambda h: h["alg"].isNotNull() & h["value"].isNotNull())
+    Keys are fixed, so the optimizer turns a later lookup into the column itself. When two tags
+    name the same algorithm the later one wins.
+    """
+    by_alg: dict[str, list[Column]] = {}
+    for tag, value in tags.items():
+        alg = schemas.ALGORITHM_ALIASES.get(tag.lower())
+        if alg:
+            by_alg.setdefault(alg, []).insert(0, value.cast("string"))
+    return F.create_map(*[x for alg, cols in by_alg.items() for x in (F.lit(alg), F.coalesce(*cols))])
 
 
-def pick(entry_hashes: Column, order: list[str], skip_empty: bool) -> Column:
-    """struct(alg, value) of an entry's hash array by preference order, null when none is listed.
+def pick(entry_hashes: Column, order: list[str], skip_empty: bool) -> tuple[Column, Column]:
+    """(alg, value) of an entry's hash map by preference order, nulls when none is listed.
 
     skip_empty=True passes over empty values (builders); False goes by presence alone (audits).
-    The hashes of an entry sit on its row, so this is a plain expression and moves no data.
+    The hashes of an entry sit on its row, so these are plain generated expressions and move no data.
     """
-    usable = F.filter(
-        entry_hashes,
-        lambda h: rank_of(h["alg"], order).isNotNull() & ((h["value"] != "") if skip_empty else F.lit(True)),
-    )
-    ranked = F.transform(
-        usable, lambda h: F.struct(rank_of(h["alg"], order).alias("rank"), h["alg"].alias("alg"), h["value"].alias("value"))
-    )
-    best = F.array_min(ranked)
-    return F.when(best.isNotNull(), F.struct(best["alg"].alias("alg"), best["value"].alias("value")))
+    found = [(alg, F.try_element_at(entry_hashes, F.lit(alg))) for alg in order]
+    if skip_empty:
+        found = [(alg, F.nullif(value, F.lit(""))) for alg, value in found]
+    alg_ = F.coalesce(*[F.when(value.isNotNull(), alg) for alg, value in found])
+    return alg_, F.coalesce(*[value for _, value in found])
 
 
 def canonical_json(raw: Column, drop: tuple[str, ...] = ("hash", "sig")) -> Column:

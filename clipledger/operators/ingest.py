@@ -25,10 +25,9 @@ class Identity:
 
 
 def gather_tags(entries: DataFrame, tags: list[str]) -> DataFrame:
-    """Wide entries, one column per tag, to one hashes array per entry."""
-    pairs = [(hashes.normal_algorithm(F.lit(t)), F.col(t)) for t in tags]
+    """Wide entries, one column per tag, to one hashes map per entry."""
     rest = [c for c in entries.columns if c not in tags]
-    return entries.select(*rest, hashes.gather(pairs).alias("hashes"))
+    return entries.select(*rest, hashes.gather({t: F.col(t) for t in tags}).alias("hashes"))
 
 
 def entry_outcomes(manifest: DataFrame, inventory: DataFrame, root_join: bool = True) -> DataFrame:
@@ -39,18 +38,19 @@ def entry_outcomes(manifest: DataFrame, inventory: DataFrame, root_join: bool =
     """
     clip = paths.resolve(F.col("file"), paths.dirname(F.col("manifest_path"))) if root_join else F.col("file")
     here = inventory.groupBy(F.col("path").alias("clip_path")).agg(F.max("length").alias("length"))
-    picked = manifest.withColumn("_pick", hashes.pick(F.col("hashes"), schemas.STRONG_FIRST, skip_empty=True))
-    joined = picked.withColumn("clip_path", clip).join(here.withColumn("_here", F.lit(True)), "clip_path", "left")
+    alg, value = hashes.pick(F.col("hashes"), schemas.STRONG_FIRST, skip_empty=True)
+    keep = ["manifest_path", "entry_ix", "file", "manifest_sha256"]
+    picked = manifest.select(*keep, clip.alias("clip_path"), alg.alias("alg"), value.alias("value"))
+    joined = picked.join(here.withColumn("_here", F.lit(True)), "clip_path", "left")
     outcome = (
         F.when(F.coalesce("file", F.lit("")) == "", "no_file")
         .when(~paths.is_clip(F.col("file")), "not_clip")
         .when(F.col("_here").isNull(), "missing_clip")
-        .when(F.col("_pick").isNull(), "no_hash")
+        .when(F.col("alg").isNull(), "no_hash")
         .otherwise("ok")
     )
     return joined.select(
-        "manifest_path", "entry_ix", "file", "manifest_sha256", "clip_path", "length", "_pick.alg", "_pick.value",
-        outcome.alias("outcome"),
+        *keep, "clip_path", "length", "alg", "value", outcome.alias("outcome")
     )
 
 
@@ -142,15 +142,19 @@ def build_documents(
 
     key = F.concat_ws("|", F.coalesce(col("manifest_sha256"), F.lit("")), F.col("clip_path"))
     sha = F.lit("sha256")
-    arts = F.array(
-        _artifact(key, "clip-integrity", "source-file", F.col("clip_path"), F.col("alg"), F.col("value")),
-        F.when(
-            col("manifest_path").isNotNull(),
-            _artifact(key, "integrity", "asc-mhl", col("manifest_path"), sha, col("manifest_sha256"), col("file")),
-        ),
-        F.when(col("amf_path").isNotNull(), _artifact(key, "color-pipeline", "amf", col("amf_path"), sha, col("amf_sha256"))),
-        F.when(col("cdl_path").isNotNull(), _artifact(key, "color-pipeline", "cdl", col("cdl_path"), sha, col("cdl_sha256"))),
-        F.when(col("fdl_path").isNotNull(), _artifact(key, "framing", "asc-fdl", col("fdl_path"), sha, col("fdl_sha256"))),
+
+    def side(name: str, role: str, kind: str, entry: Column | None = None) -> Column:
+        path = col(f"{name}_path")
+        return F.when(path.isNotNull(), F.to_json(_artifact(F.col("_key"), role, kind, path, sha, col(f"{name}_sha256"), entry)))
+
+    # concat_ws passes over the side files a clip does not have.
+    arts = F.concat_ws(
+        ",",
+        F.to_json(_artifact(F.col("_key"), "clip-integrity", "source-file", F.col("clip_path"), F.col("alg"), F.col("value"))),
+        side("manifest", "integrity", "asc-mhl", col("file")),
+        side("amf", "color-pipeline", "amf"),
+        side("cdl", "color-pipeline", "cdl"),
+        side("fdl", "framing", "asc-fdl"),
     )
     stamp = text.iso_z(ts)
     base = clips.withColumn("_key", key).withColumn("_name", paths.stem(F.col("clip_path"))).withColumn(
@@ -158,30 +162,20 @@ def build_documents(
     ).withColumn("_id", text.derived_id(F.col("_key"))).withColumn(
         "_event", create_event(F.col("_id"), stamp, who)
     ).withColumn("_hash", F.concat(F.lit("sha256:"), F.sha2("_event", 256)))
+    signature = F.lit("")
     if signer is not None:
-        signature = F.struct(
-            F.lit(schemas.VERIFIABLE_SIGNATURE_ALG).alias("alg"), F.lit(kid).alias("kid"),
-            signer(F.col("_event")).alias("value"),
-        )
-    event = F.struct(
-        F.lit(1).alias("seq"), stamp.alias("ts"),
-        F.struct(F.lit(who.actor).alias("id"), F.lit(who.role).alias("role")).alias("actor"),
-        F.struct(F.lit(who.tool).alias("name"), F.lit(who.version).alias("version")).alias("tool"),
-        F.lit("create").alias("action"), F.col("_id").alias("target"),
-        F.lit(None).cast("string").alias("prevHash"), F.col("_hash").alias("hash"),
-        *([signature.alias("sig")] if signer is not None else []),
-    )
-
-    def group(domain: str, value: str) -> Column:
-        head = f'{{"domain":"{domain}","namespace":"{who.namespace}","value":'
-        return F.concat(F.lit(head), value if isinstance(value, Column) else F.lit(value), F.lit("}"))
-
-    event_json = F.regexp_replace(F.to_json(event), '"action":"create",', '"action":"create","prevHash":null,')
+        head = f',"sig":{{"alg":"{schemas.VERIFIABLE_SIGNATURE_ALG}","kid":"{kid}","value":'
+        signature = F.concat(F.lit(head), json_text(signer(F.col("_event"))), F.lit("}"))
+    event_json = F.concat(
+        F.regexp_replace("_event", r"\}$", ""), F.lit(',"hash":"'), F.col("_hash"), F.lit('"'), signature, F.lit("}")
+    )
+
+    def group(domain: str, items: Column) -> Column:
+        return F.concat(F.lit(f'{{"domain":"{domain}","namespace":"{who.namespace}","value":['), items, F.lit("]}"))
+
     groups = F.concat(
-        F.lit("["),
-        group(schemas.ARTIFACT_DOMAIN, F.to_json(F.filter(arts, lambda a: a.isNotNull()))), F.lit(","),
-        group(schemas.EVENT_DOMAIN, F.concat(F.lit("["), event_json, F.lit("]"))), F.lit(","),
-        group(schemas.LOCK_DOMAIN, F.lit("[]")), F.lit("]"),
+        F.lit("["), group(schemas.ARTIFACT_DOMAIN, arts), F.lit(","), group(schemas.EVENT_DOMAIN, event_json), F.lit(","),
+        group(schemas.LOCK_DOMAIN, F.lit("")), F.lit("]"),
     )
     asset_head = F.struct(
         F.lit(who.schema_version).alias("schemaVersion"), F.lit("Asset").alias("entityType"),

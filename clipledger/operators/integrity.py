@@ -35,12 +35,11 @@ def declared_by_manifest(artifacts: DataFrame, manifest: DataFrame) -> DataFrame
         F.col("mhl_entry").alias("file"),
         F.struct("json_path", "group_ix", "artifact_ix").alias("_list_order"),
     )
-    claim = hashes.pick(F.col("hashes"), schemas.REGISTRY_ORDER, skip_empty=True)
+    alg, value = hashes.pick(F.col("hashes"), schemas.REGISTRY_ORDER, skip_empty=True)
     claims = (
-        manifest.withColumn("_claim", claim)
-        .where(F.col("_claim").isNotNull())
+        manifest.where(alg.isNotNull())
         .groupBy("manifest_path", "file")
-        .agg(F.min_by("_claim", "entry_ix").alias("_claim"))
+        .agg(F.min_by(F.struct(alg.alias("alg"), value.alias("value")), "entry_ix").alias("_claim"))
     )
     known = lists.join(claims, ["manifest_path", "file"]).withColumn("_tail", paths.basename(F.col("file")))
     tails = artifacts.where("path <> ''").select(
@@ -130,9 +129,9 @@ def manifest_claims(artifacts: DataFrame, manifest: DataFrame, rejects: DataFram
     lists = artifacts.where("kind = 'asc-mhl'").withColumn("manifest_path", F.col("resolved"))
     present = inventory.select(F.col("path").alias("manifest_path")).distinct().withColumn("_present", F.lit(True))
     bad = rejects.select("manifest_path").distinct().withColumn("_bad", F.lit(True))
-    pick = hashes.pick(F.col("hashes"), schemas.REGISTRY_ORDER, skip_empty=False)
+    alg, value = hashes.pick(F.col("hashes"), schemas.REGISTRY_ORDER, skip_empty=False)
     firsts = first_entries(manifest).select(
-        "manifest_path", F.col("file").alias("mhl_entry"), F.lit(True).alias("_entry"), pick.alias("_pick")
+        "manifest_path", F.col("file").alias("mhl_entry"), F.lit(True).alias("_entry"), alg.alias("m_alg"), value.alias("m_value")
     )
     joined = (
         lists.join(present, "manifest_path", "left")
@@ -150,13 +149,13 @@ def manifest_claims(artifacts: DataFrame, manifest: DataFrame, rejects: DataFram
         F.when(F.col("_present").isNull(), "skip_no_manifest")
         .when(F.col("_bad"), "unparseable")
         .when(F.col("_entry").isNull(), "no_entry")
-        .when(F.col("_pick").isNull(), "no_algorithm")
+        .when(F.col("m_alg").isNull(), "no_algorithm")
         .when(F.col("camera_path").isNull(), "skip_no_camera_file")
         .otherwise("check")
     )
     return located.withColumn("state", state).select(
         *KEY, "path", "mhl_entry", "manifest_path", "camera_path", "state",
-        F.col("_pick.alg").alias("m_alg"), F.col("_pick.value").alias("m_value"),
+        "m_alg", "m_value",
     )
 
 

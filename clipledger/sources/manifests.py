@@ -85,37 +85,33 @@ def yaml_entries(files: DataFrame) -> DataFrame:
     return rows.select("manifest_path", "entry_ix", safe.alias("entry"), bad.alias("bad"))
 
 
-def _shape(entries: DataFrame, alg, file: str, size: str, date: str) -> DataFrame:
-    """Entry maps to manifest rows, the known hashes of an entry together in one array."""
-    known = F.filter(
-        F.transform(
-            F.map_entries("entry"), lambda e: F.struct(alg(e["key"]).alias("alg"), e["value"].alias("value"))
-        ),
-        lambda x: x["alg"].isNotNull() & x["value"].isNotNull(),
-    )
-    raw_size = F.try_element_at("entry", F.lit(size))
+def _shape(entries: DataFrame, known: Column, file: str, size: str, date: str) -> DataFrame:
+    """Entry maps to manifest rows, the known hashes of an entry together in one map."""
+    raw_size = _get(size)
     return entries.select(
-        "manifest_path", "entry_ix",
-        F.try_element_at("entry", F.lit(file)).alias("file"),
-        text.lenient_int(raw_size).alias("size"), raw_size.alias("size_text"),
-        F.try_element_at("entry", F.lit(date)).alias("last_modified"),
-        known.alias("hashes"),
+        "manifest_path", "entry_ix", _get(file).alias("file"), text.lenient_int(raw_size).alias("size"),
+        raw_size.alias("size_text"), _get(date).alias("last_modified"), known.alias("hashes"),
     )
 
 
-def _yaml_rows(entries: DataFrame) -> DataFrame:
-    registry = F.array(*[F.lit(a) for a in schemas.REGISTRY_ORDER])
+def _get(key: str) -> Column:
+    return F.try_element_at("entry", F.lit(key))
 
-    def alg(key: Column) -> Column:
-        aliases = F.create_map(*[F.lit(x) for kv in schemas.ALGORITHM_ALIASES.items() for x in kv])
-        return F.coalesce(F.try_element_at(aliases, key), F.when(F.array_contains(registry, key), key))
 
+def _yaml_rows(entries: DataFrame) -> DataFrame:
+    """Keys are case-sensitive here, and plain algorithm names count beside the aliases."""
+    tags = {t: _get(t) for t in schemas.ALGORITHM_ALIASES}
+    aliased = hashes.gather(tags)
+    known = F.create_map(*[
+        x for a in schemas.REGISTRY_ORDER for x in (F.lit(a), F.coalesce(F.try_element_at(aliased, F.lit(a)), _get(a)))
+    ])
     placed = entries.where("not bad").withColumn("entry_ix", _as_position(F.col("entry_ix")))
-    return _shape(placed, alg, "File", "Size", "LastModificationDate")
+    return _shape(placed, known, "File", "Size", "LastModificationDate")
 
 
 def _xml_rows(entries: DataFrame) -> DataFrame:
-    return _shape(entries, hashes.normal_algorithm, "file", "size", "lastmodificationdate")
+    known = hashes.gather({t: _get(t) for t in schemas.ALGORITHM_ALIASES})
+    return _shape(entries, known, "file", "size", "lastmodificationdate")
 
 
 def _rejects(files: DataFrame, yml: DataFrame) -> DataFrame:
