@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipledger import schemas, sinks
@@ -18,7 +18,11 @@ from clipledger.plans import export as export_plan
 from clipledger.sources import documents as doc_source
 
 R = Registry()
-NOW = F.to_timestamp(F.lit("2024-02-01T00:00:00Z"))
+
+
+def now() -> Column:
+    """The fixed moment documents and log rows are dated."""
+    return F.to_timestamp(F.lit("2024-02-01T00:00:00Z"))
 
 
 @R.add("w02_chain_build", f"""
@@ -149,7 +153,7 @@ def _flat(spark: SparkSession, sf: str, tape: str | None = None) -> DataFrame:
     n = lock_rows(event_log(spark, sf)).groupBy("sidecar_path").agg(F.count(F.lit(1)).alias("locks"))
     name = F.concat(F.lit("U"), F.lpad(F.regexp_extract("sidecar_path", "([0-9]+)", 1), 6, "0"))
     rows = _tips(spark, sf).join(n, "sidecar_path", "left").fillna({"locks": 0}).withColumn("name", name)
-    return export_plan.flat_rows(rows, NOW, F.lit(True), tape)
+    return export_plan.flat_rows(rows, now(), F.lit(True), tape)
 
 
 def _lower(df: DataFrame) -> DataFrame:
@@ -488,7 +492,7 @@ def ledger_documents(spark: SparkSession, sf: str) -> DataFrame:
         F.array_sort(F.collect_list(F.when(lock.isNotNull(), F.struct(F.col("event_ix"), lock.alias("l"))))).alias("k"),
     )
 
-    def group(domain: str, items) -> F.Column:
+    def group(domain: str, items) -> Column:
         return F.concat(F.lit(f'{{"domain":"{domain}","value":['), F.array_join(items, ","), F.lit("]}"))
 
     body = F.concat(
@@ -579,7 +583,7 @@ SELECT t.doc AS sidecar_path, regexp_extract(t.doc, '(g[0-9]+[.]omc)[.]json$', 1
 FROM t LEFT JOIN bad ON bad.doc = t.doc""")
 def export(spark: SparkSession, sf: str) -> DataFrame:
     stages = _document_audit(spark, sf).stages
-    rows = _lower(export_plan.export(ledger_documents(spark, sf), NOW, stages))
+    rows = _lower(export_plan.export(ledger_documents(spark, sf), now(), stages))
     return rows.select("sidecar_path", "name", "signed", "kid", "events", "locks", "lockedby", "chainhead")
 
 
@@ -598,7 +602,7 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("vol/c"), F.col("event_id").cast("string"), ext).alias("clip_path"), F.lit("md5").alias("alg"),
         F.md5("props").alias("value"),
     )
-    built = doc_source.document_rows(ingest.build_documents(clips, NOW))
+    built = doc_source.document_rows(ingest.build_documents(clips, now()))
     from clipledger.operators import flatten
 
     # Read back from the document text: what is written is what counts.
@@ -624,7 +628,7 @@ def document_record(spark: SparkSession, sf: str) -> DataFrame:
         "event_id", F.concat(F.lit("vol/c"), F.col("event_id").cast("string"), F.lit(".mov")).alias("clip_path"),
         F.lit("md5").alias("alg"), F.md5("props").alias("value"),
     )
-    body = doc_source.document_rows(ingest.build_documents(clips, NOW))
+    body = doc_source.document_rows(ingest.build_documents(clips, now()))
     get = lambda p: F.try_variant_get("body", p, "string")
     return body.select(
         F.substring(get("$.Asset[0].identifier[1].identifierValue"), 2, 30).cast("bigint").alias("event_id"),

@@ -146,8 +146,10 @@ def file_digests(requests: DataFrame, partitions: int | None = None, chunk: int
     """Digest files on a mounted file system for each distinct (path, alg) asked for.
 
     Files reach tens of gigabytes, beyond what one cell can hold, so tasks get paths and read
-    in chunks. The hash repartition spreads a folder with many files over the cluster.
+    in chunks. The number of tasks is fixed: left to itself AQE would merge them by the bytes of
+    the path strings, and thousands of file reads would share one task.
     """
-    asked = requests.select("path", "alg").distinct()
-    spread = asked.repartition(partitions, "path", "alg") if partitions else asked.repartition("path", "alg")
+    spark = requests.sparkSession
+    n = partitions or max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spread = requests.select("path", "alg").distinct().repartition(n, "path", "alg")
     return spread.mapInPandas(_digest_paths(chunk), schemas.DIGEST)

@@ -99,6 +99,12 @@ def attach_show_file(clips: DataFrame, files: DataFrame, show: str, out: str) ->
     return clips.join(first, show, "left")
 
 
+def attach_only_file(clips: DataFrame, files: DataFrame, out: str) -> DataFrame:
+    """One framing file for every clip: a single aggregated row, so broadcasting it is always safe."""
+    first = files.agg(F.min("path").alias(out)).withColumn("_all", F.lit(True))
+    return clips.withColumn("_all", F.lit(True)).join(F.broadcast(first), "_all", "left").drop("_all")
+
+
 def _artifact(clip_key: Column, role: str, kind: str, path: Column, alg: Column, value: Column, entry: Column | None = None):
     """Artifact as a struct with absent optional fields left null (to_json then drops them)."""
     manifest = entry is not None

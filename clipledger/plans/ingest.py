@@ -18,11 +18,9 @@ def _side_files(clips: DataFrame, aux: DataFrame | None) -> DataFrame:
     for ext in ("amf", "cdl"):
         shaped = ops.attach_by_stem(shaped, aux, ext, f"{ext}_path")
     framing = aux.where(paths.extension(F.col("path")) == "fdl")
-    key = "show" if "show" in clips.columns and "show" in aux.columns else "_show"
-    if key == "_show":
-        shaped, framing = shaped.withColumn(key, F.lit("")), framing.withColumn(key, F.lit(""))
-    shaped = ops.attach_show_file(shaped, framing, key, "fdl_path")
-    return shaped.drop("stem", *(["_show"] if key == "_show" else []))
+    if "show" in clips.columns and "show" in aux.columns:
+        return ops.attach_show_file(shaped, framing, "show", "fdl_path").drop("stem")
+    return ops.attach_only_file(shaped, framing, "fdl_path").drop("stem")
 
 
 def _with_sha(clips: DataFrame, digests: DataFrame, name: str) -> DataFrame:

@@ -42,16 +42,19 @@ def ale_lines(rows: DataFrame, day: str = "day", order: str = "arrival", rows_pe
 
 
 def write_ale(rows: DataFrame, out: str, day: str = "day", order: str = "arrival", rows_per_file: int = 500_000) -> None:
-    """One folder per day, CRLF line ends; only the days present in rows are replaced."""
+    """One folder per day and part, one whole log file in each, CRLF line ends.
+
+    Only the days present in rows are replaced.
+    """
     lines = ale_lines(rows, day, order, rows_per_file)
     (
         lines.repartition(day, "part")
         .sortWithinPartitions(day, "part", "pos", "_order")
-        .select(day, "line")
+        .select(day, "part", "line")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("lineSep", "\r\n")
-        .partitionBy(day)
+        .partitionBy(day, "part")
         .text(out)
     )
 

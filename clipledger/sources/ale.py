@@ -10,10 +10,7 @@ from clipledger.sources.documents import plain_path
 
 def ale_rows(spark: SparkSession, *roots: str, glob: str = "*.ale") -> DataFrame:
     """(path, row_ix, cells MAP) of every data row below the roots."""
-    raw = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-        .text(list(roots))
-    )
+    raw = spark.read.text(list(roots), wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     return parse_ale(raw.select(plain_path(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text")))
 
 

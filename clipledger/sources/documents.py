@@ -16,12 +16,7 @@ def plain_path(uri: Column) -> Column:
 
 def documents(spark: SparkSession, *roots: str, glob: str = "*.omc.json") -> DataFrame:
     """Every sidecar below the roots, one row each; body is null when the text is not JSON."""
-    raw = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob)
-        .text(list(roots))
-    )
+    raw = spark.read.text(list(roots), wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     return raw.select(plain_path(F.col("_metadata.file_path")).alias("sidecar_path"), F.col("value").alias("text")).withColumn(
         "body", F.try_parse_json("text")
     )
@@ -58,7 +53,7 @@ def shallowest(files: DataFrame, bundle: str) -> DataFrame:
 
 def keyring(spark: SparkSession, *files: str) -> DataFrame:
     """Keyring files in either form, a bare key text or an object with validity."""
-    doc = spark.read.option("wholetext", True).text(list(files)).select(F.parse_json("value").alias("v"))
+    doc = spark.read.text(list(files), wholetext=True).select(F.parse_json("value").alias("v"))
     keys = F.try_variant_get("v", "$.keys", "map<string,variant>")
     entries = doc.select(F.explode(keys).alias("kid", "k")).select("kid", F.to_json("k").alias("entry"))
     return expand_keys(entries)

@@ -63,7 +63,8 @@ def xml_entries(spark: SparkSession, *roots: str) -> DataFrame:
     )
 
 
-_YAML_LINE = r"^\s*[A-Za-z0-9_]+:(\s.*)?$"
+# A flat line: key, colon, then nothing, a whole quoted value, or a plain one that opens no YAML structure.
+_YAML_LINE = r"""^\s*[A-Za-z0-9_]+:(\s*|\s+"[^"]*"\s*|\s+'[^']*'\s*|\s+[^\s\[\]{}&*!|>%@`"'].*)$"""
 
 
 def yaml_entries(files: DataFrame) -> DataFrame:
@@ -106,12 +107,12 @@ def _yaml_rows(entries: DataFrame) -> DataFrame:
         x for a in schemas.REGISTRY_ORDER for x in (F.lit(a), F.coalesce(F.try_element_at(aliased, F.lit(a)), _get(a)))
     ])
     placed = entries.where("not bad").withColumn("entry_ix", _as_position(F.col("entry_ix")))
-    return _shape(placed, known, "File", "Size", "LastModificationDate")
+    return _shape(placed, known, "File", "Size", "LastModificationDate").withColumn("kind", F.lit("v2"))
 
 
 def _xml_rows(entries: DataFrame) -> DataFrame:
     known = hashes.gather({t: _get(t) for t in schemas.ALGORITHM_ALIASES})
-    return _shape(entries, known, "file", "size", "lastmodificationdate")
+    return _shape(entries, known, "file", "size", "lastmodificationdate").withColumn("kind", F.lit("v1"))
 
 
 def _rejects(files: DataFrame, yml: DataFrame) -> DataFrame:
@@ -123,8 +124,8 @@ def _rejects(files: DataFrame, yml: DataFrame) -> DataFrame:
 
 
 def _good(rows: DataFrame, files: DataFrame, rejects: DataFrame) -> DataFrame:
-    heads = files.select("manifest_path", "manifest_sha256", "version")
-    return rows.join(heads, "manifest_path").join(rejects.select("manifest_path").distinct(), "manifest_path", "left_anti")
+    heads = files.select("manifest_path", "kind", "manifest_sha256", "version")
+    return rows.join(heads, ["manifest_path", "kind"]).drop("kind").join(rejects.select("manifest_path").distinct(), "manifest_path", "left_anti")
 
 
 def manifests(spark: SparkSession, *roots: str) -> tuple[DataFrame, DataFrame]:

@@ -106,7 +106,8 @@ def _read_texts():
 
 def manifest_texts(settled: DataFrame) -> DataFrame:
     """Settled manifest paths to their text and content hash, read where the task runs."""
-    return settled.select("path").distinct().repartition("path").mapInPandas(
+    n = settled.sparkSession.sparkContext.defaultParallelism
+    return settled.select("path").distinct().repartition(n, "path").mapInPandas(
         _read_texts(), "manifest_path STRING, manifest_sha256 STRING, text STRING, error STRING"
     )
 

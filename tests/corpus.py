@@ -91,4 +91,4 @@ def parts(doc: dict) -> tuple[list, list, list]:
 def write_keyring(path: Path, until: str = "2024-12-31T00:00:00Z") -> None:
     path.write_text(json.dumps({"keys": {
         "kid-1": {"publicKey": "pk", "validFrom": "2024-03-01T10:00:00Z", "validUntil": until}, "kid-old": "bare-key",
-    }}))
+    }}, indent=2))
