@@ -99,13 +99,17 @@ def keys_without_backend(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add("f07_vocabulary", """
 SELECT c_custkey, 'n' || c_nationkey AS value FROM customer
-WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 2)""")
+WHERE CASE WHEN c_acctbal < 0 THEN c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)
+  ELSE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 2) END""")
 def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
     values = load(spark, sf, "customer").select(
-        "c_custkey", F.lit("$.nation").alias("where_"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("value")
+        "c_custkey", F.when(F.col("c_acctbal") < 0, "$.debtor").otherwise("$.nation").alias("where_"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("value")
     )
-    allowed = load(spark, sf, "nation").where("n_regionkey <> 2").select(
-        F.lit("$.nation").alias("where_"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("value")
+    fields = F.filter(
+        F.array(F.when(F.col("n_regionkey") == 1, "$.debtor"), F.when(F.col("n_regionkey") != 2, "$.nation")), lambda x: x.isNotNull()
+    )
+    allowed = load(spark, sf, "nation").select(
+        F.explode(fields).alias("where_"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("value")
     )
     return conform.outside_vocabulary(values, allowed).select("c_custkey", "value")
 

@@ -15,6 +15,7 @@ from clipledger.functions import hashes, text
 from clipledger.operators import conform, ingest, keys, ledger, locks, ordered, rollup
 from clipledger.plans import audit as audit_plan
 from clipledger.plans import export as export_plan
+from clipledger.session import cut_lineage
 from clipledger.sources import documents as doc_source
 
 R = Registry()
@@ -202,12 +203,14 @@ LINE_SQL = " || chr(9) || ".join(
 
 
 @R.add("k02_log_lines", f"""
-WITH RECURSIVE {FLAT_SQL}, {ROW12_SQL}
-SELECT '2024-02-01' AS day, CAST(i - 1 AS BIGINT) AS pos, ([{HEADER_SQL}])[i] AS line FROM range(1, {len(schemas.ALE_HEADER) + 1}) r(i)
-UNION ALL SELECT '2024-02-01', CAST({len(schemas.ALE_HEADER)} AS BIGINT), {LINE_SQL} FROM row12""")
+WITH RECURSIVE {FLAT_SQL}, {ROW12_SQL},
+dy AS (SELECT sidecar_path, strftime(max(ts_utc), '%Y-%m-%d') AS day FROM ev GROUP BY 1)
+SELECT day, CAST(i - 1 AS BIGINT) AS pos, ([{HEADER_SQL}])[i] AS line FROM (SELECT DISTINCT day FROM dy), range(1, {len(schemas.ALE_HEADER) + 1}) r(i)
+UNION ALL SELECT day, CAST({len(schemas.ALE_HEADER)} AS BIGINT), {LINE_SQL} FROM row12 JOIN dy USING (sidecar_path)""")
 def log_lines(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _flat(spark, sf).withColumn("arrival", F.col("sidecar_path"))
-    return sinks.ale_lines(rows).select(F.col("day").cast("string").alias("day"), "pos", "line")
+    days = event_log(spark, sf).groupBy("sidecar_path").agg(text.utc_day(F.max("ts_utc")).cast("string").alias("day"))
+    rows = _flat(spark, sf).drop("day").join(days, "sidecar_path").withColumn("arrival", F.col("sidecar_path"))
+    return sinks.ale_lines(rows).select("day", "pos", "line")
 
 
 def _changes(spark: SparkSession, sf: str) -> DataFrame:
@@ -306,7 +309,8 @@ def unregistered(spark: SparkSession, sf: str) -> DataFrame:
 
 def _stage34(spark: SparkSession, sf: str) -> DataFrame:
     """Findings of the chain and key stages over the stored log."""
-    events = stored(spark, sf)
+    # Two stages read the log; the chains behind it are built once.
+    events = cut_lineage(stored(spark, sf))
     ring = keys.apply_revocations(
         doc_source.expand_keys(key_entries(spark, sf)), doc_source.revocation_rows(revocation_lists(spark, sf))
     )
@@ -382,7 +386,7 @@ WITH RECURSIVE {QUARANTINE_SQL}
 SELECT sidecar_path, CASE WHEN errors > 0 THEN 'quarantined' ELSE 'signed' END AS status, reason FROM dq""")
 def quarantine_split(spark: SparkSession, sf: str) -> DataFrame:
     docs = event_log(spark, sf).select("sidecar_path").distinct()
-    good, bad = sinks.split_quarantine(docs, rollup.reports(stage_results(spark, sf)))
+    good, bad = sinks.split_quarantine(docs, cut_lineage(rollup.reports(stage_results(spark, sf))))
     return good.select("sidecar_path", F.lit("signed").alias("status"), F.lit("").alias("reason")).unionByName(
         bad.select("sidecar_path", F.lit("quarantined").alias("status"), "reason")
     )
