@@ -78,8 +78,8 @@ def iso_times(spark: SparkSession, sf: str) -> DataFrame:
     return log.select("event_id", F.col("ts").alias("iso"), F.unix_seconds(text.parse_iso(F.col("ts"))).alias("seconds"))
 
 
-@R.add("p08_utc_day", """
-SELECT strftime(ts, '%Y-%m-%d') AS day, 'dwc-columns-' || strftime(ts, '%Y-%m-%d') || '.ale' AS file, CAST(count(*) AS BIGINT) AS events
+@R.add("p08_utc_day", f"""
+SELECT strftime(ts, '%Y-%m-%d') AS day, '{schemas.ALE_FILE_PREFIX}' || strftime(ts, '%Y-%m-%d') || '.ale' AS file, CAST(count(*) AS BIGINT) AS events
 FROM events GROUP BY 1, 2""")
 def utc_day(spark: SparkSession, sf: str) -> DataFrame:
     at = F.col("ts_utc")
@@ -159,7 +159,8 @@ def _flat(spark: SparkSession, sf: str, tape: str | None = None) -> DataFrame:
 
 def _lower(df: DataFrame) -> DataFrame:
     """Column names in the short lower-case form of the result tables."""
-    return df.select(*[F.col(c).alias(c.lower().removeprefix("dwc_")) for c in df.columns])
+    short = {c: c.split("_", 1)[1].lower() for c in schemas.EIGHT_FIELDS}
+    return df.select(*[F.col(c).alias(short.get(c, c.lower())) for c in df.columns])
 
 
 @R.add("p21_provenance_fields", f"""
