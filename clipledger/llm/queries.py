@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from clipledger.bindings import Registry
-from clipledger.llm import mixing, quality
+from clipledger.llm import mixing, near, quality
 from clipledger.llm.support import table
 
 R = Registry()
@@ -94,3 +94,8 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 @R.add("op10_quality", _quality_sql())
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@R.add("op4_near_duplicates")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return near.near_duplicates(table(spark, sf, "documents"))
