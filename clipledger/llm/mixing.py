@@ -43,7 +43,41 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def with_sizes(docs: DataFrame, text: str = "text") -> DataFrame:
-    return docs.withColumn("size", F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("bigint"))
+    return docs.withColumn("_m_size", F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("bigint"))
+
+
+_OWN = ["_m_none", "_m_src", "_m_slice"]
+
+
+def _lined_up(docs: DataFrame, seed: str) -> DataFrame:
+    """Adds what places a document in its source's line: source key, md5 of seed and doc_id, slice of that."""
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    return docs.withColumns({
+        "_m_none": F.col("source").isNull(), "_m_src": F.coalesce("source", F.lit("")), "_m_key": key,
+    }).withColumn("_m_slice", F.substring("_m_key", 1, SLICE_DIGITS))
+
+
+def _plan(lined: DataFrame) -> DataFrame:
+    """Start of each slice in its source's line, with the source's size and target."""
+    slices = lined.groupBy(*_OWN).agg(F.sum("_m_size").alias("n"))
+    before = Window.partitionBy("_m_none", "_m_src").orderBy("_m_slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = stage(slices.withColumn("_m_start", F.coalesce(F.sum("n").over(before), F.lit(0))))
+    sizes = slices.groupBy("_m_none", "_m_src").agg(F.sum("n").alias("source_size"))
+    goals = targets(sizes.select(F.when(~F.col("_m_none"), F.col("_m_src")).alias("source"), "source_size")).select(
+        F.col("source").isNull().alias("_m_none"), F.coalesce("source", F.lit("")).alias("_m_src"),
+        F.col("source_size").alias("_m_total"), F.col("target").alias("_m_target"),
+    )
+    return stage(slices.join(goals, ["_m_none", "_m_src"]).select(*_OWN, "_m_start", "_m_total", "_m_target"))
+
+
+def _with_taken(lined: DataFrame, plan: DataFrame) -> DataFrame:
+    """Adds _m_times (whole repetitions) and _m_part (words of the part taken once more)."""
+    line = Window.partitionBy(*_OWN).orderBy("_m_key", "doc_id", "_m_size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = lined.withColumn("_m_ahead", F.coalesce(F.sum("_m_size").over(line), F.lit(0))).join(plan, _OWN)
+    goal, total = F.floor("_m_target"), F.col("_m_total")
+    times = F.when(total > 0, F.floor(goal / F.greatest(total, F.lit(1)))).otherwise(0)
+    left = F.greatest(goal - times * total - F.col("_m_start") - F.col("_m_ahead"), F.lit(0))
+    return placed.withColumns({"_m_times": times, "_m_part": F.least(left, F.col("_m_size"))})
 
 
 def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
@@ -54,29 +88,26 @@ def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     source's taken words are its target rounded down. A source's documents are lined up within hash ranges, and the
     ranges' sums, 4096 a source at most, give the start of each, so no task gets a whole source.
     Null or empty text: size 0, taken 0. Null source: a source of its own, last. Repeated rows are taken each."""
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = with_sizes(docs.select("doc_id", "text", "source")).select(
-        "doc_id", "size", F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("src"),
-        key.alias("key"), F.substring(key, 1, SLICE_DIGITS).alias("slice"),
+    lined = stage(_lined_up(with_sizes(docs.select("doc_id", "text", "source")).drop("text"), seed))
+    taken = F.col("_m_times") * F.col("_m_size") + F.col("_m_part")
+    return _with_taken(lined, _plan(lined)).select(
+        "doc_id", F.col("_m_size").alias("size"), F.col("_m_total").alias("source_size"), F.col("_m_target").alias("target"),
+        taken.cast("bigint").alias("taken"),
     )
-    rows = stage(rows)
-    own = ["none", "src"]
-    slices = rows.groupBy(*own, "slice").agg(F.sum("size").alias("n"))
-    before = Window.partitionBy(*own).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = slices.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    sizes = slices.groupBy(*own).agg(F.sum("n").alias("source_size")).withColumn(
-        "source", F.when(~F.col("none"), F.col("src"))
-    )
-    goals = targets(sizes.select("source", "source_size")).select(
-        F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("src"), "source_size", "target"
+
+
+def mixed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
+    """The mix itself: each row of documents as often as it is taken whole, and the first words of the one on each source's
+    mark. Columns stay; n_chars, where there is one, follows a shortened text. Rows without words are not taken."""
+    sized = _lined_up(with_sizes(docs), seed)
+    rows = _with_taken(sized, _plan(_lined_up(with_sizes(docs.select("doc_id", "text", "source")).drop("text"), seed)))
+    whole = F.col("_m_times") + (F.col("_m_part") == F.col("_m_size")).cast("int")
+    part = (F.col("_m_part") > 0) & (F.col("_m_part") < F.col("_m_size"))
+    copies = rows.where("_m_size > 0").withColumn(
+        "_m_copy", F.explode(F.concat(F.array_repeat(F.lit(False), whole.cast("int")), F.array_repeat(F.lit(True), part.cast("int"))))
     )
-    plan = stage(starts.join(goals, own).select(*own, "slice", "start", "source_size", "target"))
-    line = Window.partitionBy(*own, "slice").orderBy("key", "doc_id", "size")
-    placed = rows.withColumn(
-        "ahead", F.coalesce(F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).join(plan, [*own, "slice"])
-    goal = F.floor("target")
-    times = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0)
-    left = F.greatest(goal - times * F.col("source_size") - F.col("start") - F.col("ahead"), F.lit(0))
-    taken = times * F.col("size") + F.least(left, F.col("size"))
-    return placed.select("doc_id", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), 0), 1, F.col("_m_part").cast("int")), "")
+    copies = copies.withColumn("text", F.when(F.col("_m_copy"), first).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        copies = copies.withColumn("n_chars", F.when(F.col("_m_copy"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return copies.select(*docs.columns)

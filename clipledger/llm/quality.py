@@ -214,4 +214,8 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     p = "_q_"
     measured = stage(with_metrics(docs.select("doc_id", "text", "lang")).drop("text"))
     cuts = cutoffs(measured, labels)
-    return with_verdict(with_metrics(docs), cuts, out=f"{p}kept").where(f"{p}kept").select(*docs.columns)
+    # The row number keeps the optimiser from pushing the verdict's base rule, with all its steps written out in full,
+    # below the projections that compute them one after another.
+    fixed = with_metrics(docs).withColumn(f"{p}row", F.monotonically_increasing_id())
+    judged = with_verdict(fixed, cuts, out=f"{p}kept")
+    return judged.where(F.col(f"{p}kept") & (F.col(f"{p}row") >= 0)).select(*docs.columns)

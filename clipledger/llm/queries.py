@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 from clipledger.bindings import Registry
-from clipledger.llm import mixing, near, quality
+from clipledger.llm import mixing, near, pieces, quality, secret_scan
 from clipledger.llm.support import table
 
 R = Registry()
 
+#: Vocabulary file of a public BPE model with byte pieces, read by the driver only.
+PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
 MIXTURE_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -96,6 +101,16 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@R.add("op1_secrets")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf, "documents"))
+
+
+@R.add("op2_pieces")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return pieces.tokens(table(spark, sf, "documents"), pieces.load(spark, PIECE_MODEL))
+
+
 @R.add("op4_near_duplicates")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf, "documents"))
