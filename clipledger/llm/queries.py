@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from clipledger.bindings import Registry
-from clipledger.llm import mixing, near, pieces, quality, secret_scan
+from clipledger.llm import mixing, near, pieces, quality, secret_scan, toxicity, url_filter, vectors
 from clipledger.llm.support import table
 
 R = Registry()
@@ -91,6 +93,49 @@ FROM q
 """
 
 
+#: Domains whose pages make up the list of op5. Fixed values.
+LISTED_DOMAINS = (
+    "cheap-pills.example.com", "casino-win.example.org", "spam-farm.example.org", "free-bets.example.com", "ads-track.example.org",
+)
+
+URL_SQL = r"""
+WITH u AS (
+  SELECT page_id, CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest
+  FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+c AS (SELECT *, CASE WHEN host <> '' THEN host || regexp_replace(path, '(?:/index\.html?)?/*$', '') END AS canon FROM h),
+d(domain) AS (VALUES ('cheap-pills.example.com'), ('casino-win.example.org'), ('spam-farm.example.org'), ('free-bets.example.com'), ('ads-track.example.org')),
+l AS (SELECT DISTINCT canon FROM c JOIN d ON host = domain OR ends_with(host, '.' || domain)),
+r(verdict, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+                            ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+m AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(r.verdict, length(h || p)) AS verdict
+      FROM c JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(m.verdict, CASE WHEN l.canon IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+       l.canon IS NOT NULL AS listed
+FROM c LEFT JOIN m USING (page_id) LEFT JOIN l ON l.canon = c.canon
+"""
+
+
+@R.add("op5_url_filter", URL_SQL)
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    """The list is every page's URL on the listed domains, so it grows with the pages."""
+    pages = table(spark, sf, "pages")
+    host = url_filter.host_and_path(F.col("url"))[0]
+    listed = pages.where(reduce(lambda a, b: a | b, [url_filter.under(host, d) for d in LISTED_DOMAINS])).select("url")
+    return url_filter.filtered(pages, listed).drop("maybe_listed")
+
+
+@R.add("op6_near_vectors")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf, "embeddings"))
+
+
+@R.add("op8_toxicity")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @R.add("op7_mixture", MIXTURE_SQL)
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents"))
