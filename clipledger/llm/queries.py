@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipledger.bindings import Registry
-from clipledger.llm import mixing, near, pieces, quality, secret_scan, toxicity, url_filter, vectors
+from clipledger.llm import mixing, near, pieces, quality, secret_scan, toxicity, url_filter, vectors, wrappers
 from clipledger.llm.support import table
 
 R = Registry()
@@ -136,6 +136,11 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@R.add("op9_main_text")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf, "pages"))
+
+
 @R.add("op7_mixture", MIXTURE_SQL)
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents"))
