@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipledger.bindings import Registry
-from clipledger.llm import mixing, near, pieces, quality, secret_scan, toxicity, url_filter, vectors, wrappers
+from clipledger.llm import mixing, near, pieces, quality, repeats, secret_scan, toxicity, url_filter, vectors, wrappers
 from clipledger.llm.support import table
 
 R = Registry()
@@ -161,6 +161,11 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.tokens(table(spark, sf, "documents"), pieces.load(spark, PIECE_MODEL))
 
 
+@R.add("op3_repeats")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return repeats.repeats(table(spark, sf, "documents"))
+
+
 @R.add("op4_near_duplicates")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf, "documents"))
