@@ -208,31 +208,34 @@ def _cleaned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of documents (doc_id, text).
+def _copies(named: DataFrame) -> DataFrame:
+    """(doc_id, tid) of texts that a document with a smaller id holds whole."""
+    ids = named.select("doc_id", "tid")
+    firsts = ids.groupBy("tid").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    return stage(ids.distinct().join(firsts, "tid").where("doc_id > first").select("doc_id", "tid"))
 
-    Null text is empty. Matches never cross documents. Rows with equal doc_id do not repeat each other; rows with null
-    doc_id are no one's earlier document and lose nothing. Texts under MATCH bytes lose nothing."""
-    rows = docs.select("doc_id", "text")
-    named = rows.where("doc_id is not null and octet_length(text) >= 50")
-    own = F.unhex(F.md5("text"))
-    # Whole copies: the first of equal texts stands for all.
-    firsts = named.select("doc_id", own.alias("tid")).groupBy("tid").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    copies = stage(
-        named.select("doc_id", own.alias("tid")).distinct().join(firsts.where("first < last"), "tid").where("doc_id > first").select("doc_id", "tid")
-    )
+
+def _suspects(named: DataFrame) -> DataFrame:
+    """(doc_id, hs): anchors that other documents hold as well."""
     each = Window.partitionBy("h", "salt")
-    marked = named.mapInPandas(_anchor_rows, "h bigint, salt bigint, doc_id bigint, local boolean").withColumns({
-        "low": F.min("doc_id").over(each), "high": F.max("doc_id").over(each),
-    }).where("local or low < high")
-    suspects = stage(marked.groupBy("doc_id").agg(F.collect_set("h").alias("hs")))
-    texts = named.join(suspects, "doc_id").withColumn("tid", own).join(
-        copies.withColumn("copy", F.lit(True)), ["doc_id", "tid"], "left_anti"
-    )
-    contexts = texts.select("doc_id", "tid", "text", "hs").mapInPandas(_context_rows, _CONTEXT).withColumn(
-        "first", F.min("doc_id").over(Window.partitionBy("ctx", "salt"))
-    ).withColumn("settled", F.col("local") | (F.col("doc_id") > F.col("first")))
-    contexts = stage(contexts.select("h", F.when(~F.col("settled"), F.col("ctx")).alias("ctx"), "doc_id", "tid", "start", "windows", "settled"))
+    marked = named.select("doc_id", "text").mapInPandas(_anchor_rows, "h bigint, salt bigint, doc_id bigint, local boolean")
+    low, high = F.min("doc_id").over(each), F.max("doc_id").over(each)
+    shared = marked.withColumns({"low": low, "high": high}).where("local or low < high")
+    return stage(shared.groupBy("doc_id").agg(F.collect_set("h").alias("hs")))
+
+
+def _contexts(named: DataFrame, copies: DataFrame, suspects: DataFrame) -> DataFrame:
+    """Contexts of the shared anchors of all but whole copies; ctx only where no earlier document has the same."""
+    skipped = copies.groupBy("doc_id").agg(F.collect_set("tid").alias("skipped"))
+    wanted = suspects.join(skipped, "doc_id", "left")
+    rows = named.join(wanted, "doc_id").where("skipped is null or not array_contains(skipped, tid)").select("doc_id", "tid", "text", "hs")
+    rows = rows.mapInPandas(_context_rows, _CONTEXT).withColumn("first", F.min("doc_id").over(Window.partitionBy("ctx", "salt")))
+    settled = F.col("local") | (F.col("doc_id") > F.col("first"))
+    return written(rows.select("h", F.when(~settled, F.col("ctx")).alias("ctx"), "doc_id", "tid", "start", "windows", settled.alias("settled")))
+
+
+def _lost(contexts: DataFrame, copies: DataFrame) -> DataFrame:
+    """(doc_id, tid, copy, runs): what each text loses, as runs of starts of repeated stretches."""
     heads = contexts.where("not settled")
     split = heads.groupBy("h").agg(
         F.min(F.xxhash64("ctx")).alias("x"), F.max(F.xxhash64("ctx")).alias("y"), F.min("doc_id").alias("p"), F.max("doc_id").alias("q")
@@ -243,6 +246,23 @@ def repeats(docs: DataFrame) -> DataFrame:
     )
     runs = contexts.where("settled").select("doc_id", "tid", "start", "windows").unionByName(found.withColumn("windows", F.lit(1)))
     runs = runs.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
-    lost = stage(runs.withColumn("copy", F.lit(False)).unionByName(copies.withColumns({"copy": F.lit(True), "runs": F.lit(None).cast(runs.schema["runs"].dataType)})))
-    full = rows.withColumn("tid", F.unhex(F.md5("text"))).join(lost, ["doc_id", "tid"], "left").select("doc_id", "text", "copy", "runs")
+    whole = copies.withColumns({"copy": F.lit(True), "runs": F.lit(None).cast(runs.schema["runs"].dataType)})
+    return written(runs.withColumn("copy", F.lit(False)).unionByName(whole))
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of documents (doc_id, text).
+
+    Null text is empty. Matches never cross documents. Rows with equal doc_id do not repeat each other; rows with null
+    doc_id are no one's earlier document and lose nothing. Texts under MATCH bytes lose nothing."""
+    spark = docs.sparkSession
+    rows = docs.select("doc_id", "text", F.unhex(F.md5("text")).alias("tid"))
+    named = rows.where("doc_id is not null and octet_length(text) >= 50")
+    copies, suspects = _copies(named), _suspects(named)
+    release(spark)
+    contexts = _contexts(named, copies, suspects)
+    release(spark)
+    lost = _lost(contexts, copies)
+    release(spark)
+    full = rows.join(lost, ["doc_id", "tid"], "left").select("doc_id", "text", "copy", "runs")
     return full.mapInPandas(_cleaned, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")

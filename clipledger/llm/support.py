@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import gc
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipledger.session import cut_lineage
+from clipledger.session import checkpoint_dir, cut_lineage
 
 #: A word of the contracts: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,6 +27,21 @@ def stage(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The frame as a compressed table in the shared folder: a checkpoint for wide rows."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps whose frames are gone; else they stay until the driver happens to collect
+    its garbage, and add up over the steps of a long job."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Marks a narrow, already materialised frame for broadcast when its row count is within the bound."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
