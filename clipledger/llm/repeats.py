@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipledger.llm.support import Rolling, stage
+from clipledger.llm.support import Rolling, release, stage, written
 
 MATCH, GRAM = 50, 20
 _REACH = MATCH - GRAM  # how far before its anchor a stretch can start
