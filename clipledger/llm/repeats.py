@@ -6,9 +6,9 @@ all bytes of a corpus is out of reach, so the positions that can matter are foun
 1. Anchors. In every stretch of MATCH bytes the GRAM-byte string with the smallest hash is an anchor, so a repeated
    stretch has its anchor in both documents. Anchors that one document only holds are done with.
 2. Contexts. An anchor's context is all bytes of the stretches it can be the anchor of. A context that an earlier
-   document holds as well has all its stretches repeated; of equal contexts only the first goes on, and only if its
-   anchor has other contexts too.
-3. Suffixes. The stretches of what is left are sorted in suffix order. For each suffix the previous and the next one from a
+   document holds as well has all its stretches repeated; of equal contexts only the first goes on.
+3. Suffixes. Of the stretches of what is left, those whose hash another document's has as well are sorted in suffix order. For each
+   suffix the previous and the next one from a
    smaller document give the longest previous factor, as long as the longer of the two common prefixes. Where it
    reaches MATCH the stretch is a repeat.
 
@@ -87,7 +87,7 @@ def _anchor_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         })
 
 
-_CONTEXT = "h bigint, ctx binary, salt bigint, doc_id bigint, tid binary, start int, windows int, local boolean"
+_CONTEXT = "anchor int, ctx binary, salt bigint, doc_id bigint, tid bigint, start int, windows int, local boolean"
 
 
 def _context_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -97,15 +97,15 @@ def _context_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             raw = (text or "").encode()
             at, h = anchors(np.frombuffer(raw, np.uint8))
             keep = np.isin(h.view(np.int64), wanted)
-            for p, x in zip(at[keep].tolist(), h[keep].view(np.int64).tolist()):
+            for p in at[keep].tolist():
                 low, high = max(0, p - _REACH), min(len(raw), p + MATCH)
                 if high - low >= MATCH:
-                    rows.append((x, raw[low:high], doc_id, tid, low, high - low - MATCH + 1))
+                    rows.append((p - low, raw[low:high], doc_id, tid, low, high - low - MATCH + 1))
         first: dict[bytes, int] = {}
         for r in rows:
             first[r[1]] = min(r[2], first.get(r[1], r[2]))
         yield pd.DataFrame(
-            [(h, c, 2 * d + 1 if first[c] < d else 0, d, t, s, n, first[c] < d) for h, c, d, t, s, n in rows],
+            [(a, c, 2 * d + 1 if first[c] < d else 0, d, t, s, n, first[c] < d) for a, c, d, t, s, n in rows],
             columns=[x.split()[0] for x in _CONTEXT.split(", ")],
         )
 
@@ -151,17 +151,42 @@ def _repeated(suffixes: list[bytes], doc: np.ndarray) -> tuple[np.ndarray, np.nd
     return order, np.array(longest_previous_factors(doc[order].tolist(), lcp.tolist())) >= MATCH
 
 
-_SUFFIX = "suffix binary, salt bigint, doc_id bigint, tid binary, start int, local boolean"
+def _window_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Hash of each stretch of each context."""
+    for frame in frames:
+        flat = np.frombuffer(b"".join(frame["ctx"]), np.uint8)
+        counts = frame["windows"].to_numpy(np.int64)
+        ends = np.cumsum(frame["ctx"].map(len).to_numpy(np.int64))
+        begins = np.r_[0, ends[:-1]] if len(ends) else ends
+        row = np.repeat(np.arange(len(frame)), counts)
+        offset = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+        w = np.zeros(0, np.uint64)
+        if len(row):
+            rolling = Rolling(flat)
+            grams = rolling.every(GRAM)
+            least = grams[begins + frame["anchor"].to_numpy(np.int64)]
+            own = _sliding(grams, _REACH + 1, np.minimum)[begins[row] + offset] == least[row]
+            row, offset = row[own], offset[own]  # the others belong to another anchor's context
+            w = rolling.every(MATCH)[begins[row] + offset]
+        doc = frame["doc_id"].to_numpy(np.int64)[row]
+        order, later, shared = _firsts([w], doc)
+        yield pd.DataFrame({
+            "w": w[order].view(np.int64), "salt": np.where(later, 2 * doc[order] + 1, 0), "doc_id": doc[order],
+            "head": frame["head"].to_numpy(np.int64)[row[order]], "offset": offset[order].astype(np.int8), "local": shared,
+        })
+
+
+_SUFFIX = "suffix binary, salt bigint, doc_id bigint, tid bigint, start int, local boolean"
 
 
 def _suffix_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         s, d, t, p = [], [], [], []
-        for ctx, doc_id, tid, start, windows in zip(frame["ctx"], frame["doc_id"], frame["tid"], frame["start"], frame["windows"]):
-            s += [ctx[i : i + MATCH] for i in range(windows)]
-            d += [doc_id] * windows
-            t += [tid] * windows
-            p += range(start, start + windows)
+        for ctx, doc_id, tid, start, offsets in zip(frame["ctx"], frame["doc_id"], frame["tid"], frame["start"], frame["offsets"]):
+            s += [ctx[i : i + MATCH] for i in offsets]
+            d += [doc_id] * len(offsets)
+            t += [tid] * len(offsets)
+            p += [start + i for i in offsets]
         if s:
             d = np.array(d, np.int64)
             order, again = _repeated(s, d)
@@ -209,10 +234,10 @@ def _cleaned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _copies(named: DataFrame) -> DataFrame:
-    """(doc_id, tid) of texts that a document with a smaller id holds whole."""
-    ids = named.select("doc_id", "tid")
-    firsts = ids.groupBy("tid").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    return stage(ids.distinct().join(firsts, "tid").where("doc_id > first").select("doc_id", "tid"))
+    """(doc_id, tid) of texts that a document with a smaller id holds whole; texts are told apart by md5."""
+    ids = named.select("doc_id", "tid", F.md5("text").alias("same"))
+    firsts = ids.groupBy("same").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    return stage(ids.distinct().join(firsts, "same").where("doc_id > first").select("doc_id", "tid"))
 
 
 def _suspects(named: DataFrame) -> DataFrame:
@@ -231,18 +256,41 @@ def _contexts(named: DataFrame, copies: DataFrame, suspects: DataFrame) -> DataF
     rows = named.join(wanted, "doc_id").where("skipped is null or not array_contains(skipped, tid)").select("doc_id", "tid", "text", "hs")
     rows = rows.mapInPandas(_context_rows, _CONTEXT).withColumn("first", F.min("doc_id").over(Window.partitionBy("ctx", "salt")))
     settled = F.col("local") | (F.col("doc_id") > F.col("first"))
-    return written(rows.select("h", F.when(~settled, F.col("ctx")).alias("ctx"), "doc_id", "tid", "start", "windows", settled.alias("settled")))
+    return written(rows.select("anchor", F.when(~settled, F.col("ctx")).alias("ctx"), "doc_id", "tid", "start", "windows", settled.alias("settled")))
+
+
+def _open_contexts(contexts: DataFrame) -> DataFrame:
+    """First contexts of anchors that have other contexts in other documents, numbered (head)."""
+    heads, at = contexts.where("not settled"), ["doc_id", "tid", "start", "anchor"]
+    each = Window.partitionBy("gram")
+    gram = F.xxhash64(F.substring("ctx", F.col("anchor") + 1, F.lit(GRAM)))
+    marked = heads.select(gram.alias("gram"), F.xxhash64("ctx").alias("c"), *at).withColumn(
+        "split", (F.min("c").over(each) < F.max("c").over(each)) & (F.min("doc_id").over(each) < F.max("doc_id").over(each))
+    )
+    return written(
+        heads.select("ctx", "windows", *at).join(marked.where("split").select(*at).distinct(), at).withColumn(
+            "head", F.monotonically_increasing_id()
+        )
+    )
+
+
+def _shared_stretches(heads: DataFrame) -> DataFrame:
+    """(head, offsets): per open context the stretches whose hash another document has."""
+    each = Window.partitionBy("w", "salt")
+    rows = heads.select("head", "anchor", "ctx", "doc_id", "windows").mapInPandas(
+        _window_rows, "w bigint, salt bigint, doc_id bigint, head bigint, offset tinyint, local boolean"
+    )
+    marked = rows.withColumns({"low": F.min("doc_id").over(each), "high": F.max("doc_id").over(each)}).where("local or low < high")
+    return written(marked.groupBy("head").agg(F.collect_set("offset").alias("offsets")))
 
 
-def _lost(contexts: DataFrame, copies: DataFrame) -> DataFrame:
+def _lost(contexts: DataFrame, heads: DataFrame, shared: DataFrame, copies: DataFrame) -> DataFrame:
     """(doc_id, tid, copy, runs): what each text loses, as runs of starts of repeated stretches."""
-    heads = contexts.where("not settled")
-    split = heads.groupBy("h").agg(
-        F.min(F.xxhash64("ctx")).alias("x"), F.max(F.xxhash64("ctx")).alias("y"), F.min("doc_id").alias("p"), F.max("doc_id").alias("q")
-    ).where("x <> y and p < q").select("h")
-    suffixes = heads.join(split, "h").select("ctx", "doc_id", "tid", "start", "windows").mapInPandas(_suffix_rows, _SUFFIX)
+    suffixes = heads.join(shared, "head").select("ctx", "doc_id", "tid", "start", "offsets").mapInPandas(
+        _suffix_rows, _SUFFIX
+    )
     found = suffixes.repartition("suffix", "salt").sortWithinPartitions("suffix", "doc_id").mapInPandas(
-        _judged, "doc_id bigint, tid binary, start int"
+        _judged, "doc_id bigint, tid bigint, start int"
     )
     runs = contexts.where("settled").select("doc_id", "tid", "start", "windows").unionByName(found.withColumn("windows", F.lit(1)))
     runs = runs.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
@@ -256,13 +304,18 @@ def repeats(docs: DataFrame) -> DataFrame:
     Null text is empty. Matches never cross documents. Rows with equal doc_id do not repeat each other; rows with null
     doc_id are no one's earlier document and lose nothing. Texts under MATCH bytes lose nothing."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "text", F.unhex(F.md5("text")).alias("tid"))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tid"))
     named = rows.where("doc_id is not null and octet_length(text) >= 50")
     copies, suspects = _copies(named), _suspects(named)
     release(spark)
     contexts = _contexts(named, copies, suspects)
+    del suspects
+    release(spark)
+    heads = _open_contexts(contexts)
+    release(spark)
+    shared = _shared_stretches(heads)
     release(spark)
-    lost = _lost(contexts, copies)
+    lost = _lost(contexts, heads, shared, copies)
     release(spark)
     full = rows.join(lost, ["doc_id", "tid"], "left").select("doc_id", "text", "copy", "runs")
     return full.mapInPandas(_cleaned, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
