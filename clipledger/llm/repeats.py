@@ -172,7 +172,7 @@ def _window_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         order, later, shared = _firsts([w], doc)
         yield pd.DataFrame({
             "w": w[order].view(np.int64), "salt": np.where(later, 2 * doc[order] + 1, 0), "doc_id": doc[order],
-            "head": frame["head"].to_numpy(np.int64)[row[order]], "offset": offset[order].astype(np.int8), "local": shared,
+            "head": frame["head"].to_numpy(np.int64)[row[order]], "offset": offset[order].astype(np.int32), "local": shared,
         })
 
 
@@ -186,7 +186,7 @@ def _suffix_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             s += [ctx[i : i + MATCH] for i in offsets]
             d += [doc_id] * len(offsets)
             t += [tid] * len(offsets)
-            p += [start + i for i in offsets]
+            p += (start + offsets).tolist()
         if s:
             d = np.array(d, np.int64)
             order, again = _repeated(s, d)
@@ -278,7 +278,7 @@ def _shared_stretches(heads: DataFrame) -> DataFrame:
     """(head, offsets): per open context the stretches whose hash another document has."""
     each = Window.partitionBy("w", "salt")
     rows = heads.select("head", "anchor", "ctx", "doc_id", "windows").mapInPandas(
-        _window_rows, "w bigint, salt bigint, doc_id bigint, head bigint, offset tinyint, local boolean"
+        _window_rows, "w bigint, salt bigint, doc_id bigint, head bigint, offset int, local boolean"
     )
     marked = rows.withColumns({"low": F.min("doc_id").over(each), "high": F.max("doc_id").over(each)}).where("local or low < high")
     return written(marked.groupBy("head").agg(F.collect_set("offset").alias("offsets")))
