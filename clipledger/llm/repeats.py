@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from clipledger.llm.support import Rolling, release, stage, written
 
 MATCH, GRAM = 50, 20
+PIECE = 1000  # documents whose contexts a task holds at once
 _REACH = MATCH - GRAM  # how far before its anchor a stretch can start
 
 
@@ -91,7 +92,7 @@ _CONTEXT = "anchor int, ctx binary, salt bigint, doc_id bigint, tid bigint, star
 
 
 def _context_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
+    for frame in (f.iloc[i : i + PIECE] for f in frames for i in range(0, len(f), PIECE)):
         rows = []
         for doc_id, tid, text, wanted in zip(frame["doc_id"], frame["tid"], frame["text"], frame["hs"]):
             raw = (text or "").encode()

@@ -39,10 +39,10 @@ def written(df: DataFrame) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of steps whose frames are gone; else they stay until the driver happens to collect
     its garbage, and add up over the steps of a long job."""
-    for _ in range(2):  # the first pass drops the frames, the second what only they held
+    for _ in range(3):  # the first pass drops the frames, the others what only they held
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+        time.sleep(0.7)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
