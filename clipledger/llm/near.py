@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipledger.llm.support import Rolling, components, mix, stage, word_bounds
+from clipledger.llm.support import Rolling, components, mix, release, stage, word_bounds
 
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, PICKS, AGREE = 20, 3, 2
@@ -159,16 +159,16 @@ def _agreeing(pairs: DataFrame) -> DataFrame:
     ).where("a < b").distinct()
 
 
-def _pairs(buckets: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Candidates from buckets (key, doc_id, keys): all pairs of small ones, leaders of large ones."""
-    small = buckets.join(sizes.where(F.col("g") <= SMALL_BUCKET).select("key"), "key").groupBy("key").agg(
+def _pairs(buckets: DataFrame) -> DataFrame:
+    """Candidates from buckets (key, doc_id, keys, g): all pairs of small ones, leaders of large ones."""
+    small = buckets.where(F.col("g") <= SMALL_BUCKET).groupBy("key").agg(
         F.collect_list(F.struct("doc_id", "keys")).alias("m")
     )
     left = small.select("m", F.posexplode("m").alias("i", "x"))
     close = left.select("x", F.explode(F.slice("m", F.col("i") + 2, F.lit(SMALL_BUCKET))).alias("y")).select(
         F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("x.keys").alias("keys_a"), F.col("y.keys").alias("keys_b")
     )
-    large = buckets.join(sizes.where(F.col("g") > SMALL_BUCKET).select("key"), "key")
+    large = buckets.where(F.col("g") > SMALL_BUCKET)
     own = F.struct("doc_id", "keys")
     leaders = large.groupBy("key").agg(
         F.min_by(own, F.struct(F.xxhash64("doc_id"), "doc_id")).alias("l1"),
@@ -180,10 +180,10 @@ def _pairs(buckets: DataFrame, sizes: DataFrame) -> DataFrame:
     return _agreeing(close.union(far))
 
 
-def _left_out(buckets: DataFrame, sizes: DataFrame, found: DataFrame) -> DataFrame:
+def _left_out(buckets: DataFrame, found: DataFrame) -> DataFrame:
     """Candidates for members of large buckets outside the bucket's largest component: members of other components
     with which they agree on another sketch as well."""
-    placed = buckets.join(sizes.where(F.col("g") > SMALL_BUCKET).select("key"), "key").join(
+    placed = buckets.where(F.col("g") > SMALL_BUCKET).join(
         found.withColumnRenamed("id", "doc_id"), "doc_id", "left"
     ).select("key", "doc_id", "keys", F.coalesce("component", "doc_id").alias("component"))
     shares = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
@@ -207,11 +207,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     all_rows = stage(sketches(docs))
     named = all_rows.where("doc_id is not null and n > 0")
     reps = stage(named.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")))
-    buckets = reps.select("doc_id", "keys", F.explode("keys").alias("key"))
-    sizes = stage(buckets.groupBy("key").agg(F.count("*").alias("g")).where("g > 1"))
-    links = stage(verify(_pairs(buckets, sizes), docs).where(F.col("similarity") >= SIMILARITY))
+    # Key arrays join the few rows that share a bucket, not all rows of all keys.
+    keyed = reps.select("doc_id", F.explode("keys").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("g")).where("g > 1")
+    buckets = stage(keyed.join(sizes, "key").join(reps.select("doc_id", "keys"), "doc_id"))
+    release(docs.sparkSession)
+    candidates = stage(_pairs(buckets))
+    links = stage(verify(candidates, docs).where(F.col("similarity") >= SIMILARITY))
+    release(docs.sparkSession)
     found = stage(components(links))
-    more = stage(_left_out(buckets, sizes, found))
+    more = stage(_left_out(buckets, found))
     if not more.isEmpty():
         more = stage(verify(more, docs).where(F.col("similarity") >= SIMILARITY))
         if not more.isEmpty():
@@ -230,6 +235,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each class, the smallest doc_id, with its own columns; of rows that share its doc_id one stays.
     Rows with null doc_id stay."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
+    kept = stage(near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct())
+    release(docs.sparkSession)
     named = docs.join(kept, docs["doc_id"] == kept["_kept_id"]).drop("_kept_id").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null"))
