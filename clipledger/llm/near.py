@@ -2,8 +2,8 @@
 
 A document is the sequence of its five-word shingles, each labelled with its occurrence number. Each of
 SKETCHES sketches takes the PICKS labelled shingles with the smallest keyed hashes and hashes them in text order, so two
-documents agree on a sketch only if they share those shingles in the same order. Documents that agree on two sketches
-or more are candidates (a pair of similarity 0.8 is missed once in 75 000: 20 sketches, 0.8^3 each); a candidate pair is a
+documents agree on a sketch only if they share those shingles in the same order. Documents that agree on three
+sketches or more are candidates (a pair of similarity 0.8 is missed once in 7 000: 20 sketches, 0.8^3 each); a candidate pair is a
 link if a banded alignment of the two shingle sequences, or else their sets, are similar to SIMILARITY or more.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from clipledger.llm.support import Rolling, components, mix, release, stage, word_bounds
 
 SHINGLE, SIMILARITY = 5, 0.8
-SKETCHES, PICKS, AGREE = 20, 3, 2
+SKETCHES, PICKS, AGREE = 20, 3, 3
 #: Buckets up to this size are compared pair by pair. In larger ones each document meets two leaders first; those that
 #: stay outside the bucket's largest component then meet all members that agree with them on a second sketch.
 SMALL_BUCKET = 16
@@ -182,7 +182,8 @@ def _pairs(buckets: DataFrame) -> DataFrame:
 
 def _left_out(buckets: DataFrame, found: DataFrame) -> DataFrame:
     """Candidates for members of large buckets outside the bucket's largest component: members of other components
-    with which they agree on another sketch as well."""
+    with which they agree on one of two further sketches, which the bucket's key picks, as well."""
+    picked = F.slice("keys", (F.pmod(F.xxhash64("key"), F.lit(SKETCHES - 2)) + 1).cast("int"), F.lit(2))
     placed = buckets.where(F.col("g") > SMALL_BUCKET).join(
         found.withColumnRenamed("id", "doc_id"), "doc_id", "left"
     ).select("key", "doc_id", "keys", F.coalesce("component", "doc_id").alias("component"))
@@ -191,7 +192,7 @@ def _left_out(buckets: DataFrame, found: DataFrame) -> DataFrame:
         F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("parts")
     ).where("parts > 1")
     members = placed.join(main, "key").select(
-        "doc_id", "keys", "component", (F.col("component") != F.col("main")).alias("out"), F.posexplode("keys").alias("j", "k"), "key"
+        "doc_id", "keys", "component", (F.col("component") != F.col("main")).alias("out"), F.posexplode(picked).alias("j", "k"), "key"
     ).withColumn("both", F.xxhash64("key", "j", "k")).where("key <> k")
     x = members.where("out").select("both", F.col("doc_id").alias("a"), F.col("keys").alias("keys_a"), F.col("component").alias("c"))
     y = members.select("both", F.col("doc_id").alias("b"), F.col("keys").alias("keys_b"), F.col("component").alias("d"))
