@@ -39,7 +39,8 @@ def get_session(
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder the cluster names; a scratch one only where none is set."""
+    """Shared checkpoint folder the cluster names. Where none is set, local mode takes a scratch one and a cluster is an error:
+    executors do not share the driver's folders."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -47,6 +48,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc._jsc.sc().isLocal():
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="clipledger-ckpt-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
