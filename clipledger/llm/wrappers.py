@@ -20,11 +20,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipledger.llm.support import stage
+from clipledger.llm.support import broadcast_if_small, stage
 from clipledger.llm.url_filter import host_and_path
 
 #: Reference pages of a host, and parts that a host's pages are dealt out over, so that none fills a task.
 REFERENCES, SALTS = 3, 16
+#: Reference pages and templates up to these sizes, which are measured, are broadcast; larger ones meet the pages by salted shuffle.
+MAX_BROADCAST_ROWS, MAX_BROADCAST_BYTES = 20_000, 8 << 20
 #: A slot is template if this share of at least so many aligned pairs of runs are equal.
 CONSTANT, VOTES = 0.95, 4
 
@@ -273,15 +275,18 @@ def templates(pages: DataFrame) -> DataFrame:
         if n + 1 < REFERENCES:
             lowest = lowest.join(pick.withColumnRenamed("key", "gone"), "host").where("key > gone").drop("gone")
     references = stage(reduce(DataFrame.unionByName, picks))
-    html_of = pages.join(references, ["host", "key"]).groupBy("host", "turn").agg(F.min("html").alias("reference"))
-    many = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    dealt = html_of.withColumn("salt", many)
     turns = references.groupBy("host").agg(F.count("*").alias("turns")).where("turns > 1")
-    rows = pages.withColumn("salt", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(SALTS)).cast("int"))
-    dealt = dealt.join(turns, "host")
-    rows = rows.join(dealt, ["host", "salt"]).where(F.col("turn") == F.pmod(F.xxhash64("key"), F.col("turns"))).where(
-        F.col("html") != F.col("reference")
-    )
+    html_of = pages.join(broadcast_if_small(references.join(turns, "host"), MAX_BROADCAST_ROWS), ["host", "key"]).groupBy(
+        "host", "turn", "turns"
+    ).agg(F.min("html").alias("reference"))
+    html_of = stage(html_of)
+    size = html_of.agg(F.coalesce(F.sum(F.octet_length("reference")), F.lit(0))).first()[0]
+    if size <= MAX_BROADCAST_BYTES:
+        rows = pages.join(F.broadcast(html_of), "host")
+    else:
+        dealt = html_of.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = pages.withColumn("salt", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(SALTS)).cast("int")).join(dealt, ["host", "salt"])
+    rows = rows.where(F.col("turn") == F.pmod(F.xxhash64("key"), F.col("turns"))).where(F.col("html") != F.col("reference"))
     votes = rows.select("host", "html", "reference").mapInPandas(_aligned, "host string, path string, equal bigint, every bigint")
     slots = votes.groupBy("host", "path").agg(F.sum("equal").alias("equal"), F.sum("every").alias("every"))
     return slots.where((F.col("every") >= VOTES) & (F.col("equal") >= CONSTANT * F.col("every"))).groupBy("host").agg(
@@ -308,8 +313,13 @@ def extract(pages: DataFrame) -> DataFrame:
         "host", F.md5(F.concat_ws("|", F.col("page_id").cast("string"), F.col("url"))).alias("key"), "html"
     )
     found = stage(templates(keyed))
-    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    rows = named.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    joined = rows.join(found.withColumn("salt", salt), ["host", "salt"], "left").select("page_id", "url", "html", "template")
+    size = found.agg(F.coalesce(F.sum(F.octet_length(F.concat_ws("", "template"))), F.lit(0))).first()[0]
+    if size <= MAX_BROADCAST_BYTES:
+        joined = named.join(F.broadcast(found), "host", "left")
+    else:
+        salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        rows = named.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+        joined = rows.join(found.withColumn("salt", salt), ["host", "salt"], "left")
+    joined = joined.select("page_id", "url", "html", "template")
     out = joined.mapInPandas(_extracted, "page_id bigint, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("bigint"))
