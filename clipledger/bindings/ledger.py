@@ -327,7 +327,7 @@ k4 AS (
   SELECT st.*, CASE WHEN rk.kid IS NULL THEN 'unknown_kid' WHEN s_hash <> r_hash THEN 'hash_mismatch'
     WHEN strptime(ts, '%Y-%m-%dT%H:%M:%SZ') < valid_from THEN 'before_valid_from'
     WHEN strptime(ts, '%Y-%m-%dT%H:%M:%SZ') > valid_until THEN 'after_valid_until'
-    WHEN strptime(ts, '%Y-%m-%dT%H:%M:%SZ') > revoked_at THEN 'after_revocation' END AS code
+    WHEN strptime(ts, '%Y-%m-%dT%H:%M:%SZ') > revoked_at THEN 'after_revocation' ELSE 'unverified' END AS code
   FROM st LEFT JOIN rk ON rk.kid = st.kid),
 f34 AS (
   SELECT sidecar_path, '3' AS stage, 'seq_gap' AS code FROM st WHERE seq_bad
@@ -339,8 +339,10 @@ STAGE_SQL = (
     F34_SQL
     + """,
 sr AS (
-  SELECT d.sidecar_path, s.stage, CASE WHEN count(f.code) > 0 THEN 'fail' ELSE 'pass' END AS status,
-    CAST(count(f.code) AS BIGINT) AS errors, CAST(0 AS BIGINT) AS warnings
+  SELECT d.sidecar_path, s.stage, CASE WHEN count(f.code) FILTER (f.code <> 'unverified') > 0 THEN 'fail'
+      WHEN count(f.code) > 0 THEN 'warn' ELSE 'pass' END AS status,
+    CAST(count(f.code) FILTER (f.code <> 'unverified') AS BIGINT) AS errors,
+    CAST(count(f.code) FILTER (f.code = 'unverified') AS BIGINT) AS warnings
   FROM (SELECT DISTINCT sidecar_path FROM lg) d CROSS JOIN (VALUES ('3'), ('4')) s(stage)
   LEFT JOIN f34 f ON f.sidecar_path = d.sidecar_path AND f.stage = s.stage GROUP BY 1, 2)"""
 )
@@ -362,11 +364,12 @@ def reports(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add("k04_report_json", f"""
 WITH RECURSIVE {STAGE_SQL},
-a AS (SELECT sidecar_path, max(CASE WHEN stage = '3' THEN errors END) AS e3, max(CASE WHEN stage = '4' THEN errors END) AS e4 FROM sr GROUP BY 1)
+a AS (SELECT sidecar_path, max(CASE WHEN stage = '3' THEN errors END) AS e3, max(CASE WHEN stage = '4' THEN errors END) AS e4,
+  max(CASE WHEN stage = '4' THEN warnings END) AS u4 FROM sr GROUP BY 1)
 SELECT sidecar_path, '{{"target":"' || sidecar_path || '","stages":[{{"stage":"3","title":"event chain continuity","status":"'
   || CASE WHEN e3 > 0 THEN 'fail' ELSE 'pass' END || '","errors":' || e3
-  || ',"warnings":0}},{{"stage":"4","title":"event hashes and key validity","status":"' || CASE WHEN e4 > 0 THEN 'fail' ELSE 'pass' END
-  || '","errors":' || e4 || ',"warnings":0}}],"errors":' || (e3 + e4) || ',"summary":"'
+  || ',"warnings":0}},{{"stage":"4","title":"event hashes and key validity","status":"' || CASE WHEN e4 > 0 THEN 'fail' WHEN u4 > 0 THEN 'warn' ELSE 'pass' END
+  || '","errors":' || e4 || ',"warnings":' || u4 || '}}],"errors":' || (e3 + e4) || ',"summary":"'
   || CASE WHEN e3 + e4 = 0 THEN 'OK' ELSE 'FAIL (' || (e3 + e4) || ' error(s))' END || '"}}' AS report FROM a""")
 def report_json(spark: SparkSession, sf: str) -> DataFrame:
     return rollup.report_json(rollup.reports(stage_results(spark, sf)))
@@ -477,7 +480,7 @@ def log_merge(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ledger_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """One document per chain: up to sixteen stored events and the lock records that go with them."""
+    """One document per chain: the stored events of a user's day and the lock records that go with them."""
     ev = stored(spark, sf)
     path = F.concat(
         F.lit("shows/u"), F.col("user_id").cast("string"), F.lit("/g"), F.lpad(F.col("group_ix").cast("string"), 6, "0"),
@@ -578,14 +581,13 @@ def domain_pivot(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add("g05_export", f"""
 WITH RECURSIVE {DOC_AUDIT_SQL},
-bad AS (SELECT DISTINCT doc FROM fx WHERE stage = '4'),
 t AS (
   SELECT doc, count(*) AS events, count(*) FILTER (action = 'lock') AS locks, arg_max({{'kid': kid, 'hash': s_hash}}, (ts, s_seq, event_ix)) AS tip,
     arg_max(kid, (ts, s_seq, event_ix)) FILTER (action = 'lock') AS lk FROM dl GROUP BY doc)
-SELECT t.doc AS sidecar_path, regexp_extract(t.doc, '(g[0-9]+[.]omc)[.]json$', 1) AS name, CASE WHEN bad.doc IS NULL THEN 'true' ELSE 'false' END AS signed,
+SELECT t.doc AS sidecar_path, regexp_extract(t.doc, '(g[0-9]+[.]omc)[.]json$', 1) AS name, 'false' AS signed,
   tip.kid AS kid, CAST(events AS VARCHAR) AS events, CAST(locks AS VARCHAR) AS locks, CASE WHEN locks > 0 THEN lk ELSE '' END AS lockedby,
   substr(regexp_replace(tip.hash, '^[^:]*:', ''), 1, 12) AS chainhead
-FROM t LEFT JOIN bad ON bad.doc = t.doc""")
+FROM t""")
 def export(spark: SparkSession, sf: str) -> DataFrame:
     stages = _document_audit(spark, sf).stages
     rows = _lower(export_plan.export(ledger_documents(spark, sf), now(), stages))

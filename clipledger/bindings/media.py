@@ -91,9 +91,9 @@ def already_processed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """Ten numbers per row: the first ten components."""
+    """All numbers of each row."""
     e = load(spark, sf, "embeddings")
-    v = F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double"))
+    v = F.transform("embedding", lambda x: x.cast("double"))
     return e.select("vec_id", "label", v.alias("v"))
 
 
@@ -102,9 +102,9 @@ def _shifted(v, step: float):
 
 
 @R.add("p20_colour_equality", """
-WITH v AS (SELECT vec_id, label, [CAST(x AS DOUBLE) for x in embedding[1:10]] AS v FROM embeddings),
+WITH v AS (SELECT vec_id, label, [CAST(x AS DOUBLE) for x in embedding] AS v FROM embeddings),
 w AS (SELECT *, [x + CASE label % 3 WHEN 0 THEN 0.0 WHEN 1 THEN 4e-6 ELSE 2e-5 END for x in v] AS w FROM v)
-SELECT vec_id, len([1 for i in range(1, 11) if abs(v[i] - w[i]) > 1e-5]) = 0 AS same FROM w""")
+SELECT vec_id, len([1 for i in range(1, len(v) + 1) if abs(v[i] - w[i]) > 1e-5]) = 0 AS same FROM w""")
 def colour_equality(spark: SparkSession, sf: str) -> DataFrame:
     step = F.when(F.col("label") % 3 == 0, 0.0).when(F.col("label") % 3 == 1, 4e-6).otherwise(2e-5)
     other = F.transform("v", lambda x: x + step)
@@ -112,14 +112,13 @@ def colour_equality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 COLOUR_SQL = """
-v AS (SELECT vec_id, label, [CAST(x AS DOUBLE) for x in embedding[1:10]] AS v FROM embeddings),
+v AS (SELECT vec_id, label, [CAST(x AS DOUBLE) for x in embedding] AS v FROM embeddings),
 l AS (
   SELECT label, vec_id // 4 AS amf, [x + CASE WHEN vec_id % 2 = 0 THEN 4e-6 ELSE 2e-5 END for x in v] AS w FROM v),
 n AS (SELECT label, count(DISTINCT amf) AS pairs FROM l GROUP BY 1),
 m AS (
   SELECT v.vec_id, count(DISTINCT l.amf) AS matches FROM v JOIN l USING (label)
-  WHERE abs(v[1] - w[1]) <= 1e-5 AND abs(v[2] - w[2]) <= 1e-5 AND abs(v[3] - w[3]) <= 1e-5 AND abs(v[4] - w[4]) <= 1e-5 AND abs(v[5] - w[5]) <= 1e-5
-    AND abs(v[6] - w[6]) <= 1e-5 AND abs(v[7] - w[7]) <= 1e-5 AND abs(v[8] - w[8]) <= 1e-5 AND abs(v[9] - w[9]) <= 1e-5 AND abs(v[10] - w[10]) <= 1e-5
+  WHERE abs(v[1] - w[1]) <= 1e-5 AND abs(v[2] - w[2]) <= 1e-5 AND len([1 for i in range(1, len(v) + 1) if abs(v[i] - w[i]) > 1e-5]) = 0
   GROUP BY 1),
 ag AS (
   SELECT label, vec_id, pairs, CAST(coalesce(matches, 0) AS BIGINT) AS matches, pairs - coalesce(matches, 0) AS warnings

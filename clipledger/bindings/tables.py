@@ -10,8 +10,6 @@ from clipledger.bindings import load
 from clipledger.functions import text
 from clipledger.operators import ledger, ordered
 
-GROUP_SIZE = 16  # events per chain: a busy user has many chains, never one long one
-
 ACTIONS = {"view": "update", "signup": "create", "purchase": "lock", "error": "unlock", "click": "verify"}
 
 
@@ -31,16 +29,14 @@ def event_log(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def numbered(spark: SparkSession, sf: str) -> DataFrame:
-    """The log with its order: seq_all per user, and chains of GROUP_SIZE events."""
+    """The log with its order: one chain per user and UTC day, however long; group_ix is the day's number since 1970."""
+    days = event_log(spark, sf).withColumn("group_ix", F.unix_date(text.utc_day(F.col("ts_utc"))))
     log = ordered.number_rows(
-        event_log(spark, sf), ["user_id"], ordered.time_segment(F.col("ts_utc"), 86_400), ["ts_utc", "event_id"], "seq_all"
+        days, ["user_id", "group_ix"], ordered.time_segment(F.col("ts_utc")), ["ts_utc", "event_id"], "seq"
     )
-    pos = F.col("seq_all") - 1
     return (
         log.withColumn("json_path", F.lit("Asset/0/assetFC/functionalProperties/customData"))
-        .withColumn("group_ix", F.floor(pos / GROUP_SIZE).cast("int"))
-        .withColumn("event_ix", (pos % GROUP_SIZE).cast("int"))
-        .withColumn("seq", (pos % GROUP_SIZE + 1).cast("bigint"))
+        .withColumn("event_ix", (F.col("seq") - 1).cast("int"))
     )
 
 
@@ -140,10 +136,12 @@ ev AS (
       WHEN 'error' THEN 'unlock' WHEN 'click' THEN 'verify' END AS action,
     'urn:user:u' || user_id AS actor_id, event_type AS role,
     'urn:clip:k' || json_extract_string(props, '$.k') AS target, 'kid-' || user_id AS kid, value,
-    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq_all
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq_all,
+    date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS group_ix,
+    row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS seq
   FROM events),
 lg AS (
-  SELECT *, (seq_all - 1) // 16 AS group_ix, (seq_all - 1) % 16 AS event_ix, (seq_all - 1) % 16 + 1 AS seq,
+  SELECT *, seq - 1 AS event_ix,
     '{"action":"' || action || '","actor":{"id":"' || actor_id || '","role":"' AS h1, '"},"prevHash":' AS h2,
     ',"target":"' || target || '","tool":{"name":"app","version":"1"},"ts":"' || ts || '"}' AS t
   FROM ev)"""

@@ -134,7 +134,10 @@ def _digest_paths(chunk: int):
                                 h.update(block)
                         value, state = h.hexdigest(), "ok"
                     except FileNotFoundError:
-                        state = "missing"
+                        # Of a store that is not mounted here nothing is known.
+                        state = "unreadable" if "://" in path.removeprefix("file://") else "missing"
+                    except OSError:
+                        state = "unreadable"
                 values.append(value)
                 states.append(state)
             yield pdf[["path", "alg"]].assign(value=values, status=states)

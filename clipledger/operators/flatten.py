@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from clipledger import schemas
 from clipledger.session import cut_lineage
@@ -82,53 +82,48 @@ def parse(documents: DataFrame, paths: list[str] | None = None) -> DataFrame:
     )
 
 
-def _deep_groups():
-    """Arrow UDF from document text to its customData entries at any depth.
-
-    Self-contained, so executors need not have this package installed.
-    """
-    layout = T.ArrayType(
-        T.StructType().add("json_path", T.StringType()).add("group_ix", T.IntegerType()).add("entry", T.StringType())
+def _children(nodes: DataFrame) -> DataFrame:
+    """One level down: every member of every object and array, with its path."""
+    inside = nodes.lateralJoin(nodes.sparkSession.tvf.variant_explode(F.col("node").outer()))
+    step = F.coalesce("key", F.col("pos").cast("string"))
+    return inside.select(
+        "sidecar_path", F.concat_ws("/", F.when(F.col("json_path") != "", F.col("json_path")), step).alias("json_path"),
+        F.col("key").eqNullSafe(F.lit("customData")).alias("named"), F.col("value").alias("node"),
     )
 
-    def entries(text: pd.Series) -> pd.Series:
-        import json
-
-        def walk(node, trail, out):
-            if isinstance(node, dict):
-                for key, child in node.items():
-                    if key == "customData" and isinstance(child, list):
-                        where = "/".join(map(str, (*trail, key)))
-                        out.extend({"json_path": where, "group_ix": i, "entry": json.dumps(e)} for i, e in enumerate(child))
-                    walk(child, (*trail, key), out)
-            elif isinstance(node, list):
-                for i, child in enumerate(node):
-                    walk(child, (*trail, i), out)
-            return out
 
-        return text.map(lambda t: walk(json.loads(t), (), []))
+def _deep_groups(texts: DataFrame) -> DataFrame:
+    """Entries of the customData arrays at any depth of (sidecar_path, deep_text), found level by level.
 
-    return F.pandas_udf(entries, layout)
+    There are as many rounds as the deepest document has levels; members without members of their own go no further.
+    """
+    level = texts.select("sidecar_path", F.lit("").alias("json_path"), F.try_parse_json("deep_text").alias("node"))
+    found = []
+    while not level.isEmpty():
+        below = cut_lineage(_children(level))
+        found.append(
+            below.where("named").select(
+                "sidecar_path", "json_path", F.posexplode_outer(_list(F.col("node"), "$")).alias("group_ix", "_entry")
+            ).where(F.col("group_ix").isNotNull())
+        )
+        level = below.where(F.schema_of_variant("node").rlike("^(ARRAY|OBJECT)"))
+    return reduce(DataFrame.unionByName, found) if found else None
 
 
 def groups(parsed: DataFrame) -> DataFrame:
     """Every customData entry at any depth: one row per (document, json path, position).
 
-    Only documents with deep_text go through the walk in Python.
+    Documents with deep_text, if there are any, take a round for each of their levels.
     """
     # explode_outer and a filter on its output: a filter on the array itself, which plain explode
     # also infers, would be pushed below and evaluate the whole parse a second time.
     shallow = parsed.select("sidecar_path", F.explode_outer("groups").alias("g")).select(
         "sidecar_path", "g.json_path", "g.group_ix", F.col("g.entry").alias("_entry")
     )
-    deep = (
-        parsed.where("deep_text is not null")
-        .select("sidecar_path", F.explode_outer(_deep_groups()("deep_text")).alias("g"))
-        .select("sidecar_path", "g.json_path", "g.group_ix", F.try_parse_json("g.entry").alias("_entry"))
-    )
+    deep = _deep_groups(parsed.where("deep_text is not null").select("sidecar_path", "deep_text"))
+    entries = shallow if deep is None else shallow.unionByName(deep)
     return (
-        shallow.unionByName(deep)
-        .select(
+        entries.select(
             "sidecar_path", "json_path", "group_ix",
             F.try_variant_get("_entry", "$.domain", "string").alias("domain"),
             F.try_variant_get("_entry", "$.value", "variant").alias("value"),
@@ -236,7 +231,7 @@ def reel_members(documents: DataFrame) -> DataFrame:
 def document_order(ix: str) -> Column:
     """Sort key of a payload row: outer groups before nested ones, then position."""
     parts = F.split("json_path", "/")
-    padded = F.transform(parts, lambda x: F.when(x.rlike("^[0-9]+$"), F.lpad(x, 9, "0")).otherwise(x))
+    steps = F.transform(parts, lambda x: F.struct(x.try_cast("bigint").alias("n"), x.alias("key")))
     return F.struct(
-        F.size(parts).alias("depth"), padded.alias("path"), F.col("group_ix").alias("group"), F.col(ix).alias("ix")
+        F.size(parts).alias("depth"), steps.alias("path"), F.col("group_ix").alias("group"), F.col(ix).alias("ix")
     )

@@ -73,7 +73,7 @@ def artifact_outcomes(
     missing_is_skip: bool = False,
 ) -> DataFrame:
     """Adds outcome to each artifact: missing / skip_missing, malformed, unsupported, trusted,
-    mismatch or ok, in that order of precedence. Digest text compares case-sensitively."""
+    unreadable, mismatch or ok, in that order of precedence. Digest text compares case-sensitively."""
     here = inventory.select(F.col("path").alias("resolved")).distinct().withColumn("_here", F.lit(True))
     got = digests.select(
         F.col("path").alias("resolved"), "alg", F.col("value").alias("actual"), F.col("status").alias("_status")
@@ -89,7 +89,7 @@ def artifact_outcomes(
         .when(F.col("alg").isNull() | F.col("value").isNull(), "malformed")
         .when(~known, "unsupported")
         .when(F.col("_trusted"), "trusted")
-        .when(F.col("_status").eqNullSafe(F.lit("unsupported")), "unsupported")
+        .when(F.col("_status").isin("unsupported", "missing", "unreadable"), F.col("_status"))
         .when(F.col("actual") == F.col("value"), "ok")
         .otherwise("mismatch")
     )
@@ -102,7 +102,7 @@ def artifact_findings(outcomes: DataFrame) -> DataFrame:
         " ", F.lit("kind"), F.col("kind"), F.lit("path"), F.col("path"), F.col("alg"), F.lit("declared"),
         F.substring("value", 1, 16), F.lit("actual"), F.coalesce(F.substring("actual", 1, 16), F.lit("none")),
     )
-    return outcomes.where(F.col("outcome").isin("missing", "malformed", "mismatch")).select(
+    return outcomes.where(F.col("outcome").isin("missing", "malformed", "unreadable", "mismatch")).select(
         *finding("6", F.col("outcome"), event_where("artifact_ix"), detail)
     )
 
@@ -168,6 +168,7 @@ def manifest_outcomes(claims: DataFrame, digests: DataFrame) -> DataFrame:
     outcome = (
         F.when(F.col("state") != "check", F.col("state"))
         .when(F.col("_status").eqNullSafe(F.lit("unsupported")), "skip_unsupported")
+        .when(F.col("_status").isin("missing", "unreadable"), F.col("_status"))
         .when(F.col("actual") == F.col("m_value"), "ok")
         .otherwise("mismatch")
     )
@@ -181,6 +182,6 @@ def manifest_findings(outcomes: DataFrame) -> DataFrame:
         F.lit("says"), F.substring("m_value", 1, 16), F.lit("actual"),
         F.coalesce(F.substring("actual", 1, 16), F.lit("none")),
     )
-    return outcomes.where(F.col("outcome").isin("unparseable", "no_entry", "no_algorithm", "mismatch")).select(
+    return outcomes.where(F.col("outcome").isin("unparseable", "no_entry", "no_algorithm", "missing", "unreadable", "mismatch")).select(
         *finding("8", F.col("outcome"), event_where("artifact_ix"), detail)
     )

@@ -47,8 +47,7 @@ def window_code(ts: Column) -> Column:
 def key_state(events: DataFrame, keyring: DataFrame, recompute: bool = True) -> DataFrame:
     """One code per event: unknown key, then hash, then signature kind, then validity; null is good.
 
-    The curve check is left to a verifier the caller supplies; without one good rows are
-    'unverified', which is not a finding and not a pass either (see signature_state).
+    The curve check is left to the verifier of key_findings.
     """
     joined = with_keys(events, keyring)
     code = F.when(~F.col("key_known"), "unknown_kid")
@@ -61,8 +60,13 @@ def key_state(events: DataFrame, keyring: DataFrame, recompute: bool = True) ->
 
 
 def key_findings(events: DataFrame, keyring: DataFrame, verifier=None) -> DataFrame:
-    """Stage 4. verifier: optional pandas UDF (canonical text, signature, public key) -> boolean."""
+    """Stage 4. verifier: optional pandas UDF (canonical text, signature, public key) -> boolean.
+
+    Without one, events that are otherwise good are 'unverified', a warning each: the stage cannot pass.
+    """
     state = key_state(events, keyring)
+    if verifier is None:
+        state = state.withColumn("code", F.coalesce("code", F.lit("unverified")))
     if verifier is not None:
         good = verifier(hashes.canonical_json(F.col("raw"), ("hash", "sig")), F.col("sig.value"), F.col("public_key"))
         unsigned = ~F.coalesce(good, F.lit(False))
@@ -73,7 +77,7 @@ def key_findings(events: DataFrame, keyring: DataFrame, verifier=None) -> DataFr
         )
     detail = F.concat_ws(" ", F.lit("kid"), F.coalesce("sig.kid", F.lit("null")), F.lit("ts"), F.col("ts"))
     return state.where(F.col("code").isNotNull()).select(
-        *finding("4", F.col("code"), event_where(), detail)
+        *finding("4", F.col("code"), event_where(), detail, F.when(F.col("code") == "unverified", "warning").otherwise("error"))
     )
 
 

@@ -41,6 +41,14 @@ def remap_paths(old_paths: DataFrame, inventory: DataFrame, keys: list[str] | No
     )
 
 
+def remap_artifacts(artifacts: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Artifacts with path replaced by the best file of the inventory (path, ix)."""
+    moved = remap_paths(artifacts, inventory)
+    return artifacts.join(moved.select("path", "new_path"), "path", "left").withColumn(
+        "path", F.coalesce("new_path", "path")
+    ).drop("new_path")
+
+
 # --- adjacent sidecar ---------------------------------------------------------------------
 def adjacent(clips: DataFrame, sidecars: DataFrame) -> DataFrame:
     """Clips with the sidecar beside them, null where there is none."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clipledger import schemas
 from clipledger.functions import hashes, paths
-from clipledger.operators import colour, conform, flatten, integrity, keys, ledger, locks, rollup
+from clipledger.operators import colour, conform, flatten, integrity, keys, ledger, locks, matching, rollup
 from clipledger.session import cut_lineage
 
 
@@ -19,7 +19,7 @@ class Inputs:
 
     inventory: path, length; digests: path, alg, value, status (computed from the files when
     absent); cdls / looks: path and numbers; base_dir: fixed folder document paths start from,
-    else each document's own folder.
+    else each document's own folder; moved_to: path, ix of files that artifact paths are repaired to first.
     """
 
     documents: DataFrame
@@ -37,6 +37,7 @@ class Inputs:
     base_dir: str | None = None
     trust_manifest: bool = False
     missing_is_skip: bool = False
+    moved_to: DataFrame | None = None
     verifier: object = None
 
 
@@ -50,11 +51,14 @@ class Audit:
     locks: DataFrame
 
 
-def flat_tables(parsed: DataFrame, base_dir: str | None = None):
+def flat_tables(parsed: DataFrame, base_dir: str | None = None, moved_to: DataFrame | None = None):
     """groups, artifacts (with resolved path and base_dir), events, locks of parsed documents."""
     groups = flatten.groups(parsed)
     base = F.lit(base_dir) if base_dir else paths.dirname(F.col("sidecar_path"))
-    arts = flatten.artifacts(groups).withColumn("base_dir", base).withColumn(
+    arts = flatten.artifacts(groups)
+    if moved_to is not None:
+        arts = matching.remap_artifacts(arts, moved_to)
+    arts = arts.withColumn("base_dir", base).withColumn(
         "resolved", paths.resolve(F.coalesce("path", F.lit("")), F.col("base_dir"))
     )
     return groups, arts, flatten.events(groups), flatten.locks(groups)
@@ -74,7 +78,7 @@ def audit(inputs: Inputs) -> Audit:
     # The only pass over document text; all stages start from what it leaves.
     parsed = cut_lineage(flatten.parse(inputs.documents, asked))
     cells = flatten.cells(parsed)
-    groups, arts, events, lock_rows = flat_tables(parsed, inputs.base_dir)
+    groups, arts, events, lock_rows = flat_tables(parsed, inputs.base_dir, inputs.moved_to)
     found = [
         conform.envelope_findings(parsed, cells),
         conform.payload_findings(groups, arts, events, lock_rows),

@@ -66,10 +66,10 @@ def summaries(documents: DataFrame) -> DataFrame:
 def export(
     documents: DataFrame, now: Column, stages: DataFrame | None = None, tape: str | None = None, base_dir: str | None = None
 ) -> DataFrame:
-    """Flat rows; with audit stages given, signed is the verdict of stage 4, else it is taken as true."""
+    """Flat rows; signed is the verdict of stage 4 of the audit stages given, and false where there are none."""
     rows = summaries(documents)
     if stages is None:
-        return flat_rows(rows, now, F.lit(True), tape, base_dir)
+        return flat_rows(rows, now, F.lit(False), tape, base_dir)
     verdict = stages.where("stage = '4'").select("sidecar_path", (F.col("status") == "pass").alias("_signed"))
     judged = rows.join(verdict, "sidecar_path", "left")
     return flat_rows(judged, now, F.coalesce("_signed", F.lit(False)), tape, base_dir)

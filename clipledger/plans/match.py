@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clipledger import schemas
 from clipledger.functions import paths
-from clipledger.operators import flatten, matching
+from clipledger.operators import matching
 from clipledger.plans import audit as audit_plan
 from clipledger.plans import export as export_plan
 
@@ -28,46 +28,12 @@ def match(documents: DataFrame, clips: DataFrame, now: Column, threshold: int =
     return keyed.join(export_plan.fields(rows), "sidecar_path")
 
 
-def remap_artifacts(artifacts: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Artifacts with path replaced by the best file of the inventory (path, ix)."""
-    moved = matching.remap_paths(artifacts, inventory)
-    return artifacts.join(moved.select("path", "new_path"), "path", "left").withColumn(
-        "path", F.coalesce("new_path", "path")
-    ).drop("new_path")
-
-
-def remap_documents(documents: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Documents whose artifact paths point into the inventory, rewritten as text and parsed again.
+def remap_and_audit(inputs: audit_plan.Inputs, inventory: DataFrame) -> audit_plan.Audit:
+    """Audit with artifact paths repaired and missing files as skips. inventory: path relative to base_dir, ix.
 
-    A document's own old -> new pairs are folded into one map: bounded by the document.
+    The repair lives in the artifact table; the documents, their events and their hashes stay as they are.
     """
-    groups = flatten.custom_data(documents)
-    arts = flatten.artifacts(groups).where("path <> ''")
-    moved = matching.remap_paths(arts, inventory).where("path <> new_path").select("path", "new_path")
-    changes = (
-        arts.select("sidecar_path", "path").distinct().join(moved, "path")
-        .groupBy("sidecar_path").agg(F.collect_list(F.struct("path", "new_path")).alias("_moves"))
-    )
-    joined = documents.join(changes, "sidecar_path", "left")
-
-    def quoted(c: Column) -> Column:
-        wrapped = F.to_json(F.array(c))
-        return F.substring(wrapped, 2, F.length(wrapped) - 2)
-
-    rewritten = F.aggregate(
-        F.coalesce("_moves", F.array().cast("array<struct<path:string,new_path:string>>")), F.to_json("body"),
-        lambda doc, m: F.replace(
-            doc, F.concat(F.lit('"path":'), quoted(m["path"])), F.concat(F.lit('"path":'), F.lit("\u0001"), quoted(m["new_path"]))
-        ),
-    )
-    text = F.when(F.col("body").isNull(), F.col("text")).otherwise(F.replace(rewritten, F.lit("\u0001"), F.lit("")))
-    return joined.select("sidecar_path", text.alias("text")).withColumn("body", F.try_parse_json("text"))
-
-
-def remap_and_audit(inputs: audit_plan.Inputs, inventory: DataFrame) -> audit_plan.Audit:
-    """Repair paths, then audit with missing files as skips. inventory: path relative to base_dir, ix."""
-    fixed = remap_documents(inputs.documents, inventory)
-    return audit_plan.audit(dataclasses.replace(inputs, documents=fixed, missing_is_skip=True))
+    return audit_plan.audit(dataclasses.replace(inputs, moved_to=inventory, missing_is_skip=True))
 
 
 def by_adjacency(clips: DataFrame, documents: DataFrame, now: Column) -> DataFrame:

@@ -19,7 +19,13 @@ def show(tmp_path):
     return root, corpus.write_show(root)
 
 
+def accepts():
+    """A verifier for the signatures of the corpus."""
+    return F.pandas_udf(lambda text, sig, key: sig == "c2ln", "boolean")
+
+
 def run(spark, root, doc, **more):
+    more.setdefault("verifier", accepts())
     (root / "clip.omc.json").write_text(doc if isinstance(doc, str) else json.dumps(doc, indent=2))
     ring = root.parent / "keyring.json"
     corpus.write_keyring(ring, more.pop("until", "2024-12-31T00:00:00Z"))
@@ -133,6 +139,21 @@ def test_verifier_is_asked(spark, show):
     assert run(spark, root, doc, verifier=never)[0] == {"4": ["bad_signature"] * 3}
 
 
+def test_without_a_verifier_nothing_is_signed(spark, show):
+    from clipledger.plans import export
+
+    root, doc = show
+    corpus.parts(doc)[1][0]["sig"]["value"] = "FORGED"
+    got, out = run(spark, root, doc, verifier=None)
+    assert got == {"4": ["unverified"] * 3}
+    stage = out.stages.where("stage = '4'").first()
+    assert (stage.status, stage.errors, stage.warnings) == ("warn", 0, 3)
+    moment = F.to_timestamp(F.lit("2024-05-01T00:00:00Z"))
+    d = docs.documents(spark, str(root))
+    assert export.export(d, moment, out.stages).first().DWC_Signed == "false"
+    assert run(spark, root, doc)[0] == {"4": ["bad_signature"]}
+
+
 def test_nested_and_deep_groups(spark, tmp_path):
     from clipledger.operators import flatten
 
@@ -140,14 +161,18 @@ def test_nested_and_deep_groups(spark, tmp_path):
     inner = doc["Asset"][0]
     reel = {"Asset": [{"AssetSC": {"structuralProperties": {"assetGroup": {"memberCount": 2}}}, "Asset": [inner, copy.deepcopy(inner)]}]}
     deep = {"x": {"y": [{"customData": inner["assetFC"]["functionalProperties"]["customData"]}]}}
-    rows = spark.createDataFrame([("reel", json.dumps(reel)), ("deep", json.dumps(deep)), ("bad", "{")], "sidecar_path string, body string")
+    entries = inner["assetFC"]["functionalProperties"]["customData"]
+    top = {"customData": entries[:1], "customdata": entries, "a": [[], [{"customData": {"b": {"customData": entries[1:]}}}], 7, None]}
+    texts = {"reel": json.dumps(reel), "deep": json.dumps(deep), "top": json.dumps(top), "bad": "{"}
+    rows = spark.createDataFrame(list(texts.items()), "sidecar_path string, body string")
     d = docs.document_rows(rows)
     groups = flatten.custom_data(d)
     n = {(r.sidecar_path, r.json_path): r["count"] for r in groups.groupBy("sidecar_path", "json_path").count().collect()}
     assert n == {
         ("reel", "Asset/0/Asset/0/assetFC/functionalProperties/customData"): 3,
         ("reel", "Asset/0/Asset/1/assetFC/functionalProperties/customData"): 3, ("deep", "x/y/0/customData"): 3,
+        ("top", "customData"): 1, ("top", "a/1/0/customData/b/customData"): 2,
     }
-    assert flatten.events(groups).count() == 9
+    assert flatten.events(groups).count() == 12
     assert [tuple(r) for r in flatten.reel_members(d).collect()] == [("reel", 2, 2)]
     assert {(r.sidecar_path, r.code) for r in flatten.corrupt(flatten.parse(d), groups).collect()} == {("bad", "unparseable")}
