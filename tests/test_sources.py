@@ -165,3 +165,10 @@ def test_canonical_json(spark):
     e = {"z": None, "a": "tab\t\u000b\u001f é / \\u001F \"", "seq": 1, "n": {"b": [1, True], "a": {}}, "hash": "h", "sig": {"x": 1}}
     df = spark.createDataFrame([(json.dumps(e),)], "t string").select(hashes.canonical_json(F.parse_json("t")).alias("c"))
     assert df.first().c == c.canonical(e)
+
+
+def test_files_that_cannot_be_read_are_no_mismatch(spark, tmp_path):
+    (tmp_path / "a.mov").write_bytes(b"abc")
+    asked = [(f"file:{tmp_path}/a.mov", "md5"), (f"{tmp_path}/none.mov", "md5"), (str(tmp_path), "md5"), ("s3a://b/c.mov", "md5")]
+    got = hashes.file_digests(spark.createDataFrame(asked, "path string, alg string"), 2).collect()
+    assert {(r.path, r.status) for r in got} == set(zip([p for p, _ in asked], ["ok", "missing", "unreadable", "unreadable"]))
