@@ -2,9 +2,12 @@
 
 A document is the sequence of its five-word shingles, each labelled with its occurrence number. Each of
 SKETCHES sketches takes the PICKS labelled shingles with the smallest keyed hashes and hashes them in text order, so two
-documents agree on a sketch only if they share those shingles in the same order. Documents that agree on three
-sketches or more are candidates (a pair of similarity 0.8 is missed once in 7 000: 20 sketches, 0.8^3 each); a candidate pair is a
+documents agree on a sketch only if they share those shingles in the same order. Documents that agree on two sketches
+or more are candidates (a pair of similarity 0.8 is missed once in 75 000: 20 sketches, 0.8^3 each); a candidate pair is a
 link if a banded alignment of the two shingle sequences, or else their sets, are similar to SIMILARITY or more.
+
+Only what links connect is asked for, so each document first meets the leaders of its buckets, and then every candidate
+that the links found so far leave in another component. Candidates too unlike in length to be a link are not fetched.
 """
 
 from __future__ import annotations
@@ -14,15 +17,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipledger.llm.support import Rolling, components, mix, release, stage, word_bounds
 
 SHINGLE, SIMILARITY = 5, 0.8
-SKETCHES, PICKS, AGREE = 20, 3, 3
-#: Buckets up to this size are compared pair by pair. In larger ones each document meets two leaders first; those that
-#: stay outside the bucket's largest component then meet all members that agree with them on a second sketch.
+SKETCHES, PICKS, AGREE = 20, 3, 2
+#: In buckets up to this size the second round compares members pair by pair. Members of larger ones meet by the pairs of
+#: such buckets that they share, with ids only; two documents that share no small bucket agree on two large ones.
 SMALL_BUCKET = 16
 
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64))
@@ -79,13 +82,13 @@ def _sketched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             raw = (text or "").encode()
             seq = shingles(raw)
             same = hashlib.md5(b" ".join(raw.split())).digest()
-            rows.append((doc_id, same, len(seq), sketch(labelled(seq)) if len(seq) else []))
-        yield pd.DataFrame(rows, columns=["doc_id", "same", "n", "keys"])
+            rows.append((doc_id, same, len(seq), len(np.unique(seq)), sketch(labelled(seq)) if len(seq) else []))
+        yield pd.DataFrame(rows, columns=["doc_id", "same", "n", "u", "keys"])
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, same (md5 of the words), n (shingles), keys. No text leaves the task."""
-    return docs.select("doc_id", "text").mapInPandas(_sketched, "doc_id bigint, same binary, n int, keys array<bigint>")
+    """doc_id, same (md5 of the words), n (shingles), u (distinct ones), keys. No text leaves the task."""
+    return docs.select("doc_id", "text").mapInPandas(_sketched, "doc_id bigint, same binary, n int, u int, keys array<bigint>")
 
 
 def banded_lcs(a: list[int], b: list[int], band: int) -> int:
@@ -151,52 +154,71 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return texts.mapInPandas(_verified, "a bigint, b bigint, similarity double")
 
 
-def _agreeing(pairs: DataFrame) -> DataFrame:
-    """(a, b), a < b, once each, of pairs with key arrays that agree on enough sketches."""
-    agree = F.size(F.filter(F.zip_with("keys_a", "keys_b", lambda x, y: x == y), lambda z: z))
-    return pairs.where(agree >= F.least(F.lit(AGREE), F.size("keys_a"))).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    ).where("a < b").distinct()
+def _fits(x: Column, y: Column) -> Column:
+    """Whether lengths alone let two members be a link: similarity is at most the smaller over the larger count."""
+    ratio = lambda k: F.least(x[k], y[k]) / F.greatest(x[k], y[k])
+    return (ratio("n") >= SIMILARITY) | (ratio("u") >= SIMILARITY)
+
+
+def _agree(x: Column, y: Column) -> Column:
+    """Whether two members agree on enough sketches."""
+    same = F.size(F.filter(F.zip_with(x["keys"], y["keys"], lambda a, b: a == b), lambda z: z))
+    return same >= F.least(F.lit(AGREE), F.size(x["keys"]))
+
 
+def _named(pairs: DataFrame) -> DataFrame:
+    """(a, b), a < b, once each."""
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
 
-def _pairs(buckets: DataFrame) -> DataFrame:
-    """Candidates from buckets (key, doc_id, keys, g): all pairs of small ones, leaders of large ones."""
+
+def _with_leaders(buckets: DataFrame) -> DataFrame:
+    """Candidates from buckets (key, m, g): each member of a bucket with its leaders, one in small ones and two in large ones."""
     small = buckets.where(F.col("g") <= SMALL_BUCKET).groupBy("key").agg(
-        F.collect_list(F.struct("doc_id", "keys")).alias("m")
-    )
-    left = small.select("m", F.posexplode("m").alias("i", "x"))
-    close = left.select("x", F.explode(F.slice("m", F.col("i") + 2, F.lit(SMALL_BUCKET))).alias("y")).select(
-        F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("x.keys").alias("keys_a"), F.col("y.keys").alias("keys_b")
-    )
+        F.array_sort(F.collect_list(F.struct(F.xxhash64("m.doc_id").alias("h"), "m.*"))).alias("all")
+    ).withColumn("l", F.col("all")[0])
+    close = small.select("l", F.explode(
+        F.filter("all", lambda y: (y["doc_id"] != F.col("l.doc_id")) & _fits(F.col("l"), y) & _agree(F.col("l"), y))
+    ).alias("y")).select(F.col("l.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
     large = buckets.where(F.col("g") > SMALL_BUCKET)
-    own = F.struct("doc_id", "keys")
     leaders = large.groupBy("key").agg(
-        F.min_by(own, F.struct(F.xxhash64("doc_id"), "doc_id")).alias("l1"),
-        F.min_by(own, F.struct(F.xxhash64("doc_id", "key"), "doc_id")).alias("l2"),
+        F.min_by("m", F.struct(F.xxhash64("m.doc_id"), "m.doc_id")).alias("l1"),
+        F.min_by("m", F.struct(F.xxhash64("m.doc_id", "key"), "m.doc_id")).alias("l2"),
     ).select("key", F.explode(F.array_distinct(F.array("l1", "l2"))).alias("l"))
-    far = large.join(leaders, "key").select(
-        F.col("doc_id").alias("a"), F.col("l.doc_id").alias("b"), F.col("keys").alias("keys_a"), F.col("l.keys").alias("keys_b")
+    far = large.join(leaders, "key").where(_fits(F.col("m"), F.col("l")) & _agree(F.col("m"), F.col("l"))).select(
+        F.col("m.doc_id").alias("a"), F.col("l.doc_id").alias("b")
+    )
+    return _named(close.union(far))
+
+
+def _still_apart(buckets: DataFrame, found: DataFrame) -> DataFrame:
+    """All candidates of different components: by pair in small buckets, by two shared keys among large ones.
+
+    Two documents of different components are not both in a bucket's largest one, so one side of the join is the rest."""
+    placed = buckets.join(found.withColumnRenamed("id", "m_id"), F.col("m.doc_id") == F.col("m_id"), "left").select(
+        "key", "m", "g", F.coalesce("component", "m.doc_id").alias("c")
+    )
+    small = placed.where(F.col("g") <= SMALL_BUCKET).groupBy("key").agg(F.collect_list(F.struct("c", "m.*")).alias("all")).where(
+        F.array_min(F.col("all.c")) < F.array_max(F.col("all.c"))
+    )
+    close = small.select("all", F.explode("all").alias("x")).select("x", F.explode(F.filter("all", lambda y: (
+        (y["doc_id"] > F.col("x.doc_id")) & (y["c"] != F.col("x.c")) & _fits(F.col("x"), y) & _agree(F.col("x"), y)
+    ))).alias("y")).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+    large = placed.where(F.col("g") > SMALL_BUCKET).select("key", "c", "m.doc_id", "m.n", "m.u")
+    shares = large.groupBy("key", "c").agg(F.count("*").alias("rows"))
+    main = shares.groupBy("key").agg(F.max_by("c", F.struct("rows", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    held = large.join(main, "key").groupBy("doc_id", "n", "u", "c").agg(
+        F.array_sort(F.collect_list(F.struct("key", (F.col("c") != F.col("main")).alias("out")))).alias("l")
+    )
+    twos = F.flatten(F.transform("l", lambda p, i: F.transform(
+        F.slice("l", i + 2, F.lit(SKETCHES)), lambda q: F.struct(F.xxhash64(p["key"], q["key"]).alias("both"), p["out"].alias("out"))
+    )))
+    members = held.select(F.struct("doc_id", "n", "u", "c").alias("m"), F.explode(twos).alias("t")).select("m", "t.*")
+    x = members.where("out").select("both", F.col("m").alias("x"))
+    y = members.select("both", F.col("m").alias("y"))
+    far = x.join(y, "both").where((F.col("x.c") != F.col("y.c")) & _fits(F.col("x"), F.col("y"))).select(
+        F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")
     )
-    return _agreeing(close.union(far))
-
-
-def _left_out(buckets: DataFrame, found: DataFrame) -> DataFrame:
-    """Candidates for members of large buckets outside the bucket's largest component: members of other components
-    with which they agree on one of two further sketches, which the bucket's key picks, as well."""
-    picked = F.slice("keys", (F.pmod(F.xxhash64("key"), F.lit(SKETCHES - 2)) + 1).cast("int"), F.lit(2))
-    placed = buckets.where(F.col("g") > SMALL_BUCKET).join(
-        found.withColumnRenamed("id", "doc_id"), "doc_id", "left"
-    ).select("key", "doc_id", "keys", F.coalesce("component", "doc_id").alias("component"))
-    shares = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
-    main = shares.groupBy("key").agg(
-        F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("parts")
-    ).where("parts > 1")
-    members = placed.join(main, "key").select(
-        "doc_id", "keys", "component", (F.col("component") != F.col("main")).alias("out"), F.posexplode(picked).alias("j", "k"), "key"
-    ).withColumn("both", F.xxhash64("key", "j", "k")).where("key <> k")
-    x = members.where("out").select("both", F.col("doc_id").alias("a"), F.col("keys").alias("keys_a"), F.col("component").alias("c"))
-    y = members.select("both", F.col("doc_id").alias("b"), F.col("keys").alias("keys_b"), F.col("component").alias("d"))
-    return _agreeing(x.join(y, "both").where("c <> d"))
+    return _named(close.union(far))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -207,17 +229,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     doc_id (class null, kept). Rows that share a doc_id are one document. Texts of fewer than five words have one shingle."""
     all_rows = stage(sketches(docs))
     named = all_rows.where("doc_id is not null and n > 0")
-    reps = stage(named.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")))
+    reps = stage(named.groupBy("same").agg(
+        F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "u", "keys"))
+    ))
     # Key arrays join the few rows that share a bucket, not all rows of all keys.
     keyed = reps.select("doc_id", F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("g")).where("g > 1")
-    buckets = stage(keyed.join(sizes, "key").join(reps.select("doc_id", "keys"), "doc_id"))
+    buckets = stage(keyed.join(sizes, "key").join(reps, "doc_id").select("key", "g", F.struct("doc_id", "n", "u", "keys").alias("m")))
     release(docs.sparkSession)
-    candidates = stage(_pairs(buckets))
+    candidates = stage(_with_leaders(buckets))
     links = stage(verify(candidates, docs).where(F.col("similarity") >= SIMILARITY))
     release(docs.sparkSession)
     found = stage(components(links))
-    more = stage(_left_out(buckets, found))
+    more = stage(_still_apart(buckets, found))
     if not more.isEmpty():
         more = stage(verify(more, docs).where(F.col("similarity") >= SIMILARITY))
         if not more.isEmpty():

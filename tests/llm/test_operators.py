@@ -109,6 +109,28 @@ def test_near_finds_all_links(spark):
     assert links and all(got[a] == got[b] for a, b in links)
 
 
+def test_near_keeps_pairs_on_two_sketches(spark):
+    """Links between texts that agree on just two sketches, alone and among the members of large buckets."""
+    rows = []
+    for seed in (9858, 17891):
+        rng = random.Random(seed)
+        words = [f"w{rng.randrange(10**6)}" for _ in range(50)]
+        other = [*words]
+        other[rng.randrange(5, 45)] = "other"
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
+        x, y = (near.shingles(t.encode()) for _, t in rows[-2:])
+        assert near.similarity(x, y) >= 0.8 and (near.sketch(near.labelled(x)) == near.sketch(near.labelled(y))).sum() == 2
+    got = {r.doc_id: r.class_id for r in near.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2}
+    members = [(i, 40, 40, [k if k in (3, 17) and (i > 38 or i % 2 == k % 4 // 2) else 1000 * (i + 1) + k for k in range(20)]) for i in range(41)]
+    size = {k: sum(m[3][k] == k for m in members) for k in (3, 17)}
+    buckets = spark.createDataFrame([(k, size[k], m) for k in (3, 17) for m in members if m[3][k] == k],
+                                    "key bigint, g bigint, m struct<doc_id bigint, n int, u int, keys array<bigint>>")
+    assert min(size.values()) > near.SMALL_BUCKET
+    apart = near._still_apart(buckets, spark.createDataFrame([(i, 0) for i in range(39)], "id bigint, component bigint"))
+    assert [tuple(r) for r in apart.collect()] == [(39, 40)]
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)], "a bigint, b bigint")
     got = {r.id: r.component for r in components(links).collect()}
