@@ -1,10 +1,10 @@
 """Secret scans: fixed patterns, and sliding-window Shannon entropy per character class over candidate strings.
 
-A candidate is a run of token characters that mixes letters and digits. For each character class a window of
+A candidate is a run of token characters that mixes letters and digits, or cases otherwise than words do. For each character class a window of
 WINDOW characters slides over the class's runs in it; counts are kept as the window moves, so a step costs one
-character in and one out. Windows whose entropy reaches the class's threshold are joined to one span. Candidates that the
-allow-list knows (ids, dates, paths, alphabets, file names, placeholders) are passed over, as are spans inside a
-pattern's span.
+character in and one out. Windows whose entropy reaches the class's threshold are joined to one span. Of a candidate that the
+allow-list knows (ids, dates, paths, alphabets, file names, placeholders) only the parts between '/', '=' and '.' that it
+does not know are read. Spans inside a pattern's span are passed over.
 """
 
 from __future__ import annotations
@@ -41,6 +41,11 @@ ALLOWED = (
     re.compile(r"[\w/.+-]*\.(?:com|org|net|edu|gov|io|html?|php|pdf|png|jpe?g|gif|svg|css|js|json|xml|txt|csv|zip)(?:/.*)?"),
     re.compile(r".*(?:0123456789|abcdefghijkl|ABCDEFGHIJKL|EXAMPLE|example|xxxxx|XXXXX).*"),
 )
+#: Parts of an allowed candidate, and what one may look like besides: words and numbers.
+PART = re.compile(r"[^/=.]{%d,}" % WINDOW)
+SLUG = re.compile(r"(?:[A-Za-z]+|[0-9]+)(?:[_+-]+(?:[A-Za-z]+|[0-9]+))*[_+-]*")
+#: What words leave little of: letters beside runs of three of one case.
+_WORDS = re.compile(r"[A-Z]?[a-z]{3,}|[A-Z]{3,}|[^A-Za-z]+")
 
 _GAIN = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 
@@ -71,6 +76,18 @@ def _mixed(part: str) -> bool:
     return sum(c.isdigit() for c in part) >= 2 and sum(c.isalpha() for c in part) >= 2
 
 
+def _no_words(part: str) -> bool:
+    """Upper and lower case, changing so often that a quarter of the part is in no word."""
+    return not part.islower() and not part.isupper() and 4 * len(_WORDS.sub("", part)) >= len(part)
+
+
+def _suspect(part: str, *more: re.Pattern) -> bool:
+    """Whether a candidate or a part of one is to be read; more: what it may look like besides the allow-list."""
+    odd = _no_words(part)
+    known = [a for a in (*ALLOWED, *more) if not (odd and a in (ALLOWED[2], SLUG))]
+    return (odd or _mixed(part)) and not any(a.fullmatch(part) for a in known)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, rank of the kind, end) of the base kinds; matches that are too short are dropped after matching."""
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(1) - m.start(1) >= LEAST_ASSIGN]
@@ -82,14 +99,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def entropy_hits(text: str) -> list[tuple[int, int, int]]:
     out = []
     for m in CANDIDATE.finditer(text):
-        if not _mixed(m[0]) or any(a.fullmatch(m[0]) for a in ALLOWED):
-            continue
+        parts = [m] if _suspect(m[0]) else [x for x in PART.finditer(text, m.start(), m.end()) if _suspect(x[0], SLUG)]
         for kind, runs, threshold in CLASSES:
-            for r in runs.finditer(text, m.start(), m.end()):
+            for r in (r for x in parts for r in runs.finditer(text, x.start(), x.end())):
                 out += [
                     (s, KINDS.index(kind), e)
                     for s, e in entropy_spans(text, r.start(), r.end(), threshold)
-                    if _mixed(text[s:e])
+                    if _mixed(text[s:e]) or _no_words(text[s:e])
                 ]
     return out
 

@@ -152,6 +152,17 @@ def test_secret_spans():
     assert secret_scan.redacted_text("") == ""
 
 
+def test_secrets_in_allowed_candidates_and_without_digits():
+    key, letters = "kJ8s2mQz7Xv4Lp9Tn3Rb6Wy1", "kJsQmQzXvLpTnRbWyHdGcUaE"
+    for text in ("//hooks.slack.com/services/T0A1B2C3D/B0Z9Y8X7W/%s", "/srv/example/%s", "key %s end", "/srv/long/way/down/%s"):
+        for secret in (key, letters):
+            hit = text % secret
+            assert any(s <= hit.index(secret) and e >= hit.index(secret) + 24 for s, _, e in secret_scan.spans(hit)[1]), hit
+    plain = "//www.site.com/2024/05/how-to-plan-2024-and-2025-well/getElementsByClassNameAndValue.html"
+    assert secret_scan.spans(plain)[1] == []
+    assert secret_scan.spans("getElementsByClassNameAndValue ABCDEFGH_IJKL_QWERTY_ZUIOP")[1] == []
+
+
 def test_entropy_windows_by_brute_force():
     from math import log2
 
