@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipledger.bindings import Registry
-from clipledger.llm import mixing, near, pieces, quality, repeats, secret_scan, toxicity, url_filter, vectors, wrappers
+from clipledger.llm import mixing, near, pieces, quality, repeats, secret_scan, toxicity, turn_queries, url_filter, vectors, wrappers
 from clipledger.llm.support import table
 
 R = Registry()
+R.queries.update(turn_queries.R.queries)
+R.sql.update(turn_queries.R.sql)
 
 #: Vocabulary file of a public BPE model with byte pieces, read by the driver only.
 PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
