@@ -114,6 +114,8 @@ def _digest_paths(chunk: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
 
+        from clipledger.functions import files
+
         def hasher(alg):
             if alg in ("md5", "sha1", "sha256", "sha512"):
                 return hashlib.new(alg)
@@ -129,13 +131,12 @@ def _digest_paths(chunk: int):
                 h, value, state = hasher(alg), None, "unsupported"
                 if h is not None:
                     try:
-                        with open(path.removeprefix("file:"), "rb") as f:
+                        with files.opened(path) as f:
                             while block := f.read(chunk):
                                 h.update(block)
                         value, state = h.hexdigest(), "ok"
-                    except FileNotFoundError:
-                        # Of a store that is not mounted here nothing is known.
-                        state = "unreadable" if "://" in path.removeprefix("file://") else "missing"
+                    except files.NoSuchFile:
+                        state = "missing"
                     except OSError:
                         state = "unreadable"
                 values.append(value)
@@ -146,7 +147,7 @@ def _digest_paths(chunk: int):
 
 
 def file_digests(requests: DataFrame, partitions: int | None = None, chunk: int = 1 << 20) -> DataFrame:
-    """Digest files on a mounted file system for each distinct (path, alg) asked for.
+    """Digest files for each distinct (path, alg) asked for; a path may be a URI of any store pyarrow knows.
 
     Files reach tens of gigabytes, beyond what one cell can hold, so tasks get paths and read
     in chunks. The number of tasks is fixed: left to itself AQE would merge them by the bytes of

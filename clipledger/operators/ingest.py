@@ -214,6 +214,13 @@ def build_documents(
     )
 
 
+def published_name(stem: Column, value: Column, versions: Column) -> Column:
+    """A document's file name: the stem, with the first eight characters of the hash where the stem has several."""
+    return F.concat(
+        F.when(versions > 1, F.concat(stem, F.lit("."), F.substring(value, 1, 8))).otherwise(stem), F.lit(".omc.json")
+    )
+
+
 def resolve_collisions(documents: DataFrame, current: DataFrame | None = None) -> DataFrame:
     """Documents of one stem: write the first, refresh an equal hash, keep every differing hash.
 
@@ -234,10 +241,7 @@ def resolve_collisions(documents: DataFrame, current: DataFrame | None = None) -
     outcome = (
         F.when(F.col("known"), "refresh").when(F.col("versions") > 1, "conflict").otherwise("write")
     )
-    name = F.when(
-        F.col("versions") > 1, F.concat("stem", F.lit("."), F.substring("value", 1, 8))
-    ).otherwise(F.col("stem"))
     return kept.join(versions, "stem").select(
         "stem", "alg", "value", "arrival", "copies", outcome.alias("outcome"),
-        F.concat(name, F.lit(".omc.json")).alias("name"),
+        published_name(F.col("stem"), F.col("value"), F.col("versions")).alias("name"),
     )

@@ -6,6 +6,8 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
@@ -18,6 +20,8 @@ DEFAULTS = {
     # slower than the same operators unfused.
     "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.ui.enabled": "false",
+    # Stateful processors keep their state in RocksDB, on disk beyond what memory holds.
+    "spark.sql.streaming.stateStore.providerClass": STATE_STORE,
 }
 
 

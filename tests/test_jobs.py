@@ -110,17 +110,18 @@ def test_watch_stream(spark, tmp_path):
 
     listing(0, "r1/m.mhl")
     drain()
-    assert w.table(spark, "documents") is None
+    assert w.table(spark, "documents") is None and w.documents(spark) is None
     listing(4, "r1/m.mhl")
     listing(8, "r1/m.mhl")
     drain()
-    first = w.table(spark, "documents").collect()
+    first = w.documents(spark).collect()
     assert [r.sidecar_path.rsplit("/", 1)[1] for r in first] == ["A001.omc.json"]
     listing(20, "r2/m.mhl", "r2/copy.mhl", "bad.mhl")
     listing(24, "r2/m.mhl", "r2/copy.mhl", "bad.mhl")
     drain()
-    names = sorted(r.sidecar_path.rsplit("/", 1)[1] for r in w.table(spark, "documents").collect())
-    assert names == ["A001." + hashlib.sha1(b"two").hexdigest()[:8] + ".omc.json", "A001.omc.json"]
+    # The older document loses its clean name as well.
+    names = sorted(r.sidecar_path.rsplit("/", 1)[1] for r in w.documents(spark).collect())
+    assert names == sorted(f"A001.{hashlib.sha1(x).hexdigest()[:8]}.omc.json" for x in (b"one", b"two"))
     stats = {}
     for r in w.table(spark, "stats").collect():
         stats[r.outcome] = stats.get(r.outcome, 0) + r.n
@@ -130,6 +131,104 @@ def test_watch_stream(spark, tmp_path):
     assert w.log_table(spark).count() == 2
 
 
+def shelf(root, n):
+    """n manifests over four clip names, every third one a new hash of its name."""
+    root.mkdir(parents=True)
+    out = []
+    for i in range(n):
+        folder = root / f"r{i}"
+        folder.mkdir()
+        data = f"{i % 4}-{i // 3 % 2}".encode()
+        (folder / f"A{i % 4}.mov").write_bytes(data)
+        (folder / "m.mhl").write_text(f"Hashes:\n  - File: A{i % 4}.mov\n    sha1: {hashlib.sha1(data).hexdigest()}\n    note: n{i}\n")
+        out.append(str(folder / "m.mhl"))
+    (root / "bad.mhl").write_text("Hashes:\n  - File: [x")
+    return [*out, str(root / "bad.mhl"), str(root / "gone.mhl")]
+
+
+def shown(w, spark):
+    """What a reader sees of a watch, without batch and attempt; documents as name, clip and hash."""
+    docs = sorted((r.sidecar_path.rsplit("/", 1)[1], r.alg, r.value) for r in w.documents(spark).collect())
+    rejects = sorted((r.manifest_path, r.code) for r in w.table(spark, "rejects").collect())
+    stats = {}
+    for r in w.table(spark, "stats").collect():
+        stats[r.outcome] = stats.get(r.outcome, 0) + r.n
+    return docs, rejects, stats, w.log_table(spark).count()
+
+
+def test_five_batches_equal_one(spark, tmp_path):
+    settled = [(p,) for p in shelf(tmp_path / "s", 12)]
+
+    def watch_over(name, parts):
+        w = watch.Watch(str(tmp_path / name), lambda: docs.inventory(spark, str(tmp_path / "s")), kid="k", signer=sign(), audit_files=True)
+        for batch, rows in enumerate(parts):
+            w.process(spark.createDataFrame(rows, "path string"), batch)
+        return w
+
+    one, five = watch_over("one", [settled]), watch_over("five", [settled[i::5] for i in range(5)])
+    a, b = shown(one, spark), shown(five, spark)
+    assert a[:2] == b[:2] and a[3] == b[3] == len(a[0])
+    assert {len(n.split(".")) for n, _, _ in a[0]} == {4} and len(a[0]) == 8  # every name has two hashes
+    assert {k: a[2][k] for k in ("manifests", "documents", "refreshed", "ok", "errors")} == {
+        k: b[2][k] for k in ("manifests", "documents", "refreshed", "ok", "errors")
+    } == {"manifests": 13, "documents": 8, "refreshed": 4, "ok": 8, "errors": 2}
+
+
+def test_a_batch_that_dies_leaves_one_set_of_rows(spark, tmp_path):
+    settled = spark.createDataFrame([(p,) for p in shelf(tmp_path / "s", 5)], "path string")
+
+    class Fragile(watch.Watch):
+        broken = True
+
+        def _write(self, df, name, *rest, **more):
+            if name == "processed" and self.broken:
+                raise OSError("lost")
+            super()._write(df, name, *rest, **more)
+
+    w = Fragile(str(tmp_path / "out"), lambda: docs.inventory(spark, str(tmp_path / "s")), kid="k", signer=sign())
+    try:
+        w.process(settled, 0)
+        raise AssertionError("should have died")
+    except OSError:
+        pass
+    assert w.documents(spark) is None and w.table(spark, "rejects") is None
+    w.broken = False
+    w.process(settled, 0)
+    w.process(settled, 0)  # done again although it was committed
+    got, rejects, stats, logged = shown(w, spark)
+    assert len(got) == logged == stats["documents"] == 5 and len(rejects) == stats["errors"] == 2
+
+
+def test_log_rows_are_made_up_for(spark, tmp_path, monkeypatch):
+    paths = shelf(tmp_path / "s", 4)
+    w = watch.Watch(str(tmp_path / "out"), lambda: docs.inventory(spark, str(tmp_path / "s")), kid="k", signer=sign())
+    with monkeypatch.context() as m:
+        m.setattr(export, "export", lambda *a, **k: 1 / 0)
+        w.process(spark.createDataFrame([(p,) for p in paths[:2]], "path string"), 0)
+        assert w._read(spark, "log") is None
+    w.process(spark.createDataFrame([(p,) for p in paths[2:]], "path string"), 1)
+    assert w.log_table(spark).count() == w.documents(spark).count() == 4
+
+
+def test_expired_paths_count_as_new(spark, tmp_path):
+    from clipledger import schemas
+
+    t0 = datetime.datetime(2024, 1, 1)
+    seen = [("a", 0), ("a", 20), ("b", 20), ("b", 500), ("b", 520), ("a", 530), ("a", 600), ("b", 600)]
+    for path, s in seen:
+        row = [(path, 1, t0, t0 + datetime.timedelta(seconds=s))]
+        spark.createDataFrame(row, schemas.FILE_OBS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def fired(name, expire):
+        stream = watch.settle(watch.observations(spark, str(tmp_path / "in"), max_files=1), 15, expire)
+        out = watch.run_to_table(spark, stream, str(tmp_path / name), str(tmp_path / f"{name}-ck"))
+        return sorted((r.path, (r.settled_at - t0).seconds) for r in out.collect())
+
+    assert fired("kept", None) == [("a", 20), ("b", 500)]
+    # The watermark is that of the batch before, so b is still known when it comes back at 500.
+    assert fired("gone", 60) == [("a", 20), ("a", 600), ("b", 500)]
+
+
 def test_settle_state_equals_batch(spark, tmp_path):
     """Split over several micro-batches the stream fires exactly where the batch form does."""
     import random
