@@ -7,25 +7,28 @@ from pyspark.sql import functions as F
 
 from clipledger import schemas
 from clipledger.functions import hashes, text
+from clipledger.operators import ordered
+from clipledger.session import cut_lineage, written
 from clipledger.sources.documents import plain_path
 
 _XML_TAGS = ["file", "size", "lastmodificationdate", *schemas.ALGORITHM_ALIASES]
 
 
-def manifest_files(spark: SparkSession, *roots: str) -> DataFrame:
-    """(manifest_path, manifest_sha256, kind, version, text) of every *.mhl and *.ascmhl."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.{mhl,ascmhl}")
-        .load(list(roots))
-    )
-    body = F.try_validate_utf8(F.col("content").cast("string"))
-    head = files.select(
-        plain_path(F.col("path")).alias("manifest_path"), F.sha2("content", 256).alias("manifest_sha256"),
-        body.alias("text"),
-    )
-    return head.withColumn("kind", manifest_kind(F.col("text"))).withColumn("version", manifest_version(F.col("text")))
+#: Names of manifests.
+GLOB = "*.{mhl,ascmhl}"
+
+
+def manifest_files(spark: SparkSession, *roots: str, glob: str = GLOB) -> DataFrame:
+    """(manifest_path, manifest_sha256) of every manifest. The listing takes no bytes; each file is then digested in chunks on the
+    executors, so none has to fit a cell."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(list(roots))
+    return file_hashes(files.select(plain_path(F.col("path")).alias("manifest_path")))
+
+
+def file_hashes(paths: DataFrame) -> DataFrame:
+    """(manifest_path, manifest_sha256) of manifest_path; null where the bytes could not be read."""
+    asked = paths.select(F.col("manifest_path").alias("path"), F.lit("sha256").alias("alg"))
+    return hashes.file_digests(asked).select(F.col("path").alias("manifest_path"), F.col("value").alias("manifest_sha256"))
 
 
 def manifest_version(body: Column) -> Column:
@@ -40,50 +43,60 @@ def manifest_kind(body: Column) -> Column:
     return F.when(F.ltrim(body).rlike(r"^(<\?xml|<hashlist)"), "v1").otherwise("v2")
 
 
-def xml_entries(spark: SparkSession, *roots: str) -> DataFrame:
-    """(manifest_path, _pos, entry MAP). Splittable: one huge manifest spreads over tasks.
+#: What ends a record of the scan: the last characters of an entry's tags. A record is then what stands between two tags.
+_RECORD_END = "hash>"
+_CLOSES = r"</(?:[\w.-]+:)?\z"  # the record up to </hash>
+_OPENS = r"(?s)^.*<(?:[\w.-]+:)?hash\s[^>]*>"  # an opening tag with attributes, which does not end a record
 
-    The schema is all text: inferred types would turn digests of digits only into numbers.
-    """
+
+def scan(spark: SparkSession, *roots: str, glob: str = GLOB) -> DataFrame:
+    """One pass over the bytes: a row per record that says something. Splittable: one huge XML manifest is many tasks.
+
+    block, row: place of the record in its file. head: its first characters, in the file's first block. entry: the tags of one XML entry,
+    all text, because inferred types would turn digests of digits only into numbers. flat: the entries of a YAML
+    manifest, which holds no tag and so is one record. closed, valid: whether the record ends the list, and is UTF-8."""
+    raw = spark.read.text(list(roots), lineSep=_RECORD_END, recursiveFileLookup=True, pathGlobFilter=glob)
+    value = F.col("value")
     layout = ", ".join(f"`{t}` STRING" for t in _XML_TAGS)
-    rows = (
-        spark.read.format("xml")
-        .option("rowTag", "hash")
-        .option("ignoreNamespace", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.{mhl,ascmhl}")
-        .schema(layout)
-        .load(list(roots))
-    )
-    # Row order inside a file is block start, then row number in the task that read the block.
-    pos = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    entry = F.create_map(*[x for t in _XML_TAGS for x in (F.lit(t), F.col(t))])
-    return rows.select(
-        plain_path(F.col("_metadata.file_path")).alias("manifest_path"), pos.alias("_pos"), entry.alias("entry")
+    inner = F.regexp_replace(F.regexp_replace(value, _OPENS, ""), _CLOSES, "")
+    tags = F.from_xml(F.concat(F.lit("<hash>"), inner, F.lit("</hash>")), layout, {"ignoreNamespace": "true", "rowTag": "hash"})
+    entry = F.create_map(*[x for t in _XML_TAGS for x in (F.lit(t), F.col(f"_tags.{t}"))])
+    block = F.col("_metadata.file_block_start")
+    records = raw.select(
+        plain_path(F.col("_metadata.file_path")).alias("manifest_path"), block.alias("block"), F.monotonically_increasing_id().alias("row"),
+        F.when(block == 0, F.substring(value, 1, 4096)).alias("head"), value.rlike(r"</(\w+:)?hashlist\s*>|<(\w+:)?hashlist[^>]*/>").alias("closed"),
+        F.is_valid_utf8(value).alias("valid"), F.when(value.rlike(_CLOSES), tags).alias("_tags"),
+        F.when((block == 0) & F.contains(value, F.lit("Hashes:")), yaml_items(value)).alias("flat"),
     )
+    said = records.where("head is not null or closed or not valid or _tags is not null")
+    return said.withColumn("entry", F.when(F.col("_tags").isNotNull(), entry)).drop("_tags")
 
 
 # A flat line: key, colon, then nothing, a whole quoted value, or a plain one that opens no YAML structure.
 _YAML_LINE = r"""^\s*[A-Za-z0-9_]+:(\s*|\s+"[^"]*"\s*|\s+'[^']*'\s*|\s+[^\s\[\]{}&*!|>%@`"'].*)$"""
 
 
-def yaml_entries(files: DataFrame) -> DataFrame:
-    """(manifest_path, entry_ix, entry MAP, bad) from flat YAML text; bad marks anything not flat."""
-    body = F.concat(F.lit("\n"), F.replace("text", F.lit("\r\n"), F.lit("\n")))
+def yaml_items(text_: Column) -> Column:
+    """Array of (entry MAP, bad) of a flat YAML text; bad marks anything not flat."""
+    body = F.concat(F.lit("\n"), F.replace(text_, F.lit("\r\n"), F.lit("\n")))
     tail = F.when(F.contains(body, F.lit("\nHashes:")), F.regexp_replace(body, r"(?s)^.*?\nHashes:[ \t]*", ""))
     chunks = F.slice(F.split(tail, r"\n\s*- "), 2, 1_000_000_000)
-    rows = files.where("kind = 'v2'").select("manifest_path", F.posexplode_outer(chunks).alias("entry_ix", "_chunk"))
-    rows = rows.where(F.col("_chunk").isNotNull())
-    lines = F.filter(
-        F.split("_chunk", "\n"), lambda x: (F.trim(x) != "") & ~F.startswith(F.trim(x), F.lit("#"))
-    )
-    keys = F.transform(lines, lambda x: F.trim(F.regexp_extract(x, r"^\s*([^:]*):", 1)))
-    values = F.transform(
-        lines, lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, r"^[^:]*:", "")), "^([\"'])(.*)\\1$", "$2")
-    )
-    bad = ~F.forall(lines, lambda x: x.rlike(_YAML_LINE)) | (F.size(F.array_distinct(keys)) < F.size(keys))
-    safe = F.when(~bad, F.map_from_arrays(keys, values))
-    return rows.select("manifest_path", "entry_ix", safe.alias("entry"), bad.alias("bad"))
+
+    def item(lines: Column) -> Column:
+        keys = F.transform(lines, lambda x: F.trim(F.regexp_extract(x, r"^\s*([^:]*):", 1)))
+        values = F.transform(
+            lines, lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, r"^[^:]*:", "")), "^([\"'])(.*)\\1$", "$2")
+        )
+        bad = ~F.forall(lines, lambda x: x.rlike(_YAML_LINE)) | (F.size(F.array_distinct(keys)) < F.size(keys))
+        return F.struct(F.when(~bad, F.map_from_arrays(keys, values)).alias("entry"), bad.alias("bad"))
+
+    lines = lambda c: F.filter(F.split(c, "\n"), lambda x: (F.trim(x) != "") & ~F.startswith(F.trim(x), F.lit("#")))
+    return F.transform(chunks, lambda c: item(lines(c)))
+
+
+def yaml_entries(items: DataFrame) -> DataFrame:
+    """(manifest_path, entry_ix, entry, bad) of manifest_path and flat, an array of yaml_items."""
+    return items.select("manifest_path", F.posexplode("flat").alias("entry_ix", "i")).select("manifest_path", "entry_ix", "i.entry", "i.bad")
 
 
 def _shape(entries: DataFrame, known: Column, file: str, size: str, date: str) -> DataFrame:
@@ -106,7 +119,7 @@ def _yaml_rows(entries: DataFrame) -> DataFrame:
     known = F.create_map(*[
         x for a in schemas.REGISTRY_ORDER for x in (F.lit(a), F.coalesce(F.try_element_at(aliased, F.lit(a)), _get(a)))
     ])
-    placed = entries.where("not bad").withColumn("entry_ix", _as_position(F.col("entry_ix")))
+    placed = entries.where("not bad").withColumn("entry_ix", F.col("entry_ix").cast("bigint"))
     return _shape(placed, known, "File", "Size", "LastModificationDate").withColumn("kind", F.lit("v2"))
 
 
@@ -116,10 +129,10 @@ def _xml_rows(entries: DataFrame) -> DataFrame:
 
 
 def _rejects(files: DataFrame, yml: DataFrame) -> DataFrame:
+    """files: manifest_path, kind, closed, valid."""
     not_flat = yml.where("bad").select("manifest_path", F.lit("not_flat_yaml").alias("code"))
-    closed = F.col("text").rlike(r"</(\w+:)?hashlist\s*>|<(\w+:)?hashlist[^>]*/>")
-    cut = files.where((F.col("kind") == "v1") & ~closed).select("manifest_path", F.lit("truncated_xml").alias("code"))
-    no_text = files.where(F.col("text").isNull()).select("manifest_path", F.lit("not_utf8").alias("code"))
+    cut = files.where("valid and kind = 'v1' and not closed").select("manifest_path", F.lit("truncated_xml").alias("code"))
+    no_text = files.where("not valid").select("manifest_path", F.lit("not_utf8").alias("code"))
     return not_flat.unionByName(cut).unionByName(no_text).distinct()
 
 
@@ -128,28 +141,44 @@ def _good(rows: DataFrame, files: DataFrame, rejects: DataFrame) -> DataFrame:
     return rows.join(heads, ["manifest_path", "kind"]).drop("kind").join(rejects.select("manifest_path").distinct(), "manifest_path", "left_anti")
 
 
-def manifests(spark: SparkSession, *roots: str) -> tuple[DataFrame, DataFrame]:
-    """(manifest rows, rejected manifests). The two formats meet in one layout."""
-    files = manifest_files(spark, *roots)
-    yml = yaml_entries(files)
+def heads(records: DataFrame) -> DataFrame:
+    """manifest_path, kind, version, closed, valid of every manifest scanned; by its first characters."""
+    one = records.groupBy("manifest_path").agg(
+        F.min_by("head", F.when(F.col("head").isNotNull(), F.struct("block", "row"))).alias("head"),
+        F.bool_or("closed").alias("closed"), F.bool_and("valid").alias("valid"),
+    )
+    return one.select("manifest_path", manifest_kind(F.col("head")).alias("kind"), manifest_version(F.col("head")).alias("version"), "closed", "valid")
+
+
+def manifests(spark: SparkSession, *roots: str, glob: str = GLOB) -> tuple[DataFrame, DataFrame]:
+    """(manifest rows, rejected manifests). The two formats meet in one layout; entry_ix counts the entries of a manifest from 0.
+
+    The bytes are scanned once. Entries of a huge manifest are counted per split, and the counts before a split carried on."""
+    records = written(scan(spark, *roots, glob=glob))
+    files = heads(records)
+    files = files.join(file_hashes(files), "manifest_path", "left")
+    files = cut_lineage(files)
+    yml = yaml_entries(records.where("flat is not null").join(files.where("kind = 'v2'").select("manifest_path"), "manifest_path", "left_semi"))
     rejects = _rejects(files, yml)
-    xml = _xml_rows(xml_entries(spark, *roots).withColumnRenamed("_pos", "entry_ix"))
-    return _good(xml.unionByName(_yaml_rows(yml)), files, rejects), rejects
+    entries = records.where("entry is not null").select("manifest_path", "block", "row", "entry")
+    counted = ordered.number_rows(entries, ["manifest_path"], F.col("block"), ["row"], "_n")
+    xml = counted.select("manifest_path", (F.col("_n") - 1).alias("entry_ix"), "entry")
+    return _good(_xml_rows(xml).unionByName(_yaml_rows(yml)), files, rejects), rejects
 
 
 def rows_from_texts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The same for manifests already held as text: (manifest_path, manifest_sha256, text)."""
-    files = texts.withColumn("kind", manifest_kind(F.col("text"))).withColumn("version", manifest_version(F.col("text")))
-    yml = yaml_entries(files)
+    body = F.col("text")
+    files = texts.select(
+        "manifest_path", "manifest_sha256", "text", manifest_kind(body).alias("kind"), manifest_version(body).alias("version"),
+        F.coalesce(body.rlike(r"</(\w+:)?hashlist\s*>|<(\w+:)?hashlist[^>]*/>"), F.lit(False)).alias("closed"), body.isNotNull().alias("valid"),
+    )
+    yml = yaml_entries(files.where("kind = 'v2'").select("manifest_path", yaml_items(body).alias("flat")))
     rejects = _rejects(files, yml)
     item = ", ".join(f"`{t}`: STRING" for t in _XML_TAGS)
     parsed = F.from_xml("text", f"hash ARRAY<STRUCT<{item}>>", {"ignoreNamespace": "true", "mode": "PERMISSIVE"})
     rows = files.where("kind = 'v1'").select("manifest_path", F.posexplode_outer(parsed["hash"]).alias("_ix", "h"))
     rows = rows.where(F.col("h").isNotNull())
     entry = F.create_map(*[x for t in _XML_TAGS for x in (F.lit(t), F.col(f"h.{t}"))])
-    xml = rows.select("manifest_path", _as_position(F.col("_ix")).alias("entry_ix"), entry.alias("entry"))
+    xml = rows.select("manifest_path", F.col("_ix").cast("bigint").alias("entry_ix"), entry.alias("entry"))
     return _good(_xml_rows(xml).unionByName(_yaml_rows(yml)), files, rejects), rejects
-
-
-def _as_position(ix: Column) -> Column:
-    return F.struct(F.lit(0).cast("bigint").alias("block"), ix.cast("bigint").alias("row"))

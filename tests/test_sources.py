@@ -52,7 +52,8 @@ def test_manifests(spark, tmp_path):
         ("bad.mhl", "not_flat_yaml"), ("cut.mhl", "truncated_xml")
     }
     # The same rows from texts already in hand, as the stream reads them.
-    texts = manifests.manifest_files(spark, str(tmp_path)).select("manifest_path", "manifest_sha256", "text")
+    names = [str(tmp_path / p) for p in ("x/a.mhl", "b.ascmhl", "bad.mhl", "cut.mhl")]
+    texts = spark.createDataFrame([(p, "s", open(p).read()) for p in names], "manifest_path string, manifest_sha256 string, text string")
     again, _ = manifests.rows_from_texts(texts)
     assert sorted(((r.file, str({k: v for k, v in r.hashes.items() if v is not None})) for r in again.collect())) == sorted(
         (g[0], str(g[3])) for g in got
@@ -61,6 +62,28 @@ def test_manifests(spark, tmp_path):
 
     firsts = {r.file: r.hashes["sha1"] for r in integrity.first_entries(rows).collect()}
     assert firsts["B.mov"] == "0123"
+    hashed = {r.manifest_path: r.manifest_sha256 for r in manifests.manifest_files(spark, str(tmp_path)).collect()}
+    assert hashed == {p: hashlib.sha256(open(p, "rb").read()).hexdigest() for p in names}
+    assert {(r.manifest_path, r.manifest_sha256) for r in rows.collect()} == {(p, hashed[p]) for p in names[:2]}
+
+
+def test_a_huge_manifest_is_many_tasks(spark, tmp_path):
+    n = 20_000
+    items = "".join(f"  <hash{' a=\"1\"' if i % 7 == 0 else ''}>\n<file>c{i}.mov</file><md5>{i:032x}</md5></hash>\n" for i in range(n))
+    (tmp_path / "big.mhl").write_text(f'<?xml version="1.0"?><hashlist version="1.1">{items}</hashlist>')
+    (tmp_path / "notes.mhl").write_text("Version: 2.0.0\nHashes:\n  - File: z.mov\n    md5: aa\n")
+    (tmp_path / "latin.mhl").write_bytes(b"<hashlist><hash><file>\xe9.mov</file></hash></hashlist>")
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        assert manifests.scan(spark, str(tmp_path / "big.mhl")).rdd.getNumPartitions() > 8
+        rows, rejects = manifests.manifests(spark, str(tmp_path))
+        got = sorted((r.entry_ix, r.file, r.hashes["md5"]) for r in rows.where("version = '1.1'").collect())
+        assert got == [(i, f"c{i}.mov", f"{i:032x}") for i in range(n)]
+        assert [(r.file, r.version) for r in rows.where("version <> '1.1'").collect()] == [("z.mov", "2.0.0")]
+        assert [(r.manifest_path.rsplit("/", 1)[1], r.code) for r in rejects.collect()] == [("latin.mhl", "not_utf8")]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
 
 
 def test_looks(spark, tmp_path):
