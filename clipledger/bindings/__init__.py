@@ -33,10 +33,10 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def registry() -> Registry:
-    from clipledger.bindings import keys, ledger, manifests, media, names, paths, stream
+    from clipledger.bindings import keys, ledger, manifests, media, names, paths, shelves, stream
 
     out = Registry()
-    for module in (ledger, keys, paths, manifests, media, names, stream):
+    for module in (ledger, keys, paths, manifests, media, names, shelves, stream):
         out.queries.update(module.R.queries)
         out.sql.update(module.R.sql)
     return out

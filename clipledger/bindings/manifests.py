@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,12 @@ from clipledger import schemas
 from clipledger.bindings import Registry, load
 from clipledger.functions import hashes
 from clipledger.operators import ingest, integrity
+from clipledger.session import checkpoint_dir
+from clipledger.streaming import watch
 
 R = Registry()
+#: Folders the versions of u04 are dealt to by stem.
+BUCKETS = 8
 
 # Wide entries as a manifest holds them: a column per tag, '' for an empty one, null for an absent one.
 TAGS = ["md5", "sha1", "sha256", "xxhash64be", "c4", "crc32"]
@@ -240,7 +246,7 @@ def union_formats(spark: SparkSession, sf: str) -> DataFrame:
 
 VERSION_SQL = """
 d AS (
-  SELECT 'p' || l_partkey AS stem, md5(CAST(l_suppkey % 3 AS VARCHAR)) AS value, l_orderkey * 10 + l_linenumber AS arrival, l_shipdate < TIMESTAMP '1995-01-01' AS known
+  SELECT 'p' || l_partkey AS stem, md5(CAST(l_suppkey % 3 AS VARCHAR)) AS value, l_orderkey * 10 + l_linenumber AS arrival, l_shipdate < TIMESTAMP '1996-06-01' AS known
   FROM lineitem),
 k AS (SELECT stem, value, min(arrival) AS arrival, count(*) FILTER (NOT known) AS copies, max(CAST(known AS INT)) AS known FROM d GROUP BY 1, 2),
 v AS (SELECT stem, count(*) AS versions FROM k GROUP BY 1)"""
@@ -253,12 +259,27 @@ SELECT stem, value, arrival, CAST(copies AS BIGINT) AS copies,
   stem || CASE WHEN versions > 1 THEN '.' || substr(value, 1, 8) ELSE '' END || '.omc.json' AS name
 FROM k JOIN v USING (stem)""")
 def collisions(spark: SparkSession, sf: str) -> DataFrame:
+    """Versions known before arrive in a first batch, the others in four more; each batch meets only the published versions of its own stems.
+    What is returned is the view over all of them: names as they are in the end, and copies over all batches."""
     li = load(spark, sf, "lineitem")
     rows = li.select(
         F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("stem"), F.lit("md5").alias("alg"),
         F.md5((F.col("l_suppkey") % 3).cast("string")).alias("value"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("arrival"), "l_shipdate",
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("arrival"),
+        F.when(F.col("l_shipdate") < F.lit("1996-06-01").cast("timestamp"), 0).otherwise(1 + F.col("l_suppkey") % 4).alias("batch"),
+    )
+    root, published, arrived = f"{checkpoint_dir(spark)}/u04-{uuid.uuid4().hex}", None, None
+    for batch in range(5):
+        new = rows.where(F.col("batch") == batch)
+        found = ingest.resolve_collisions(new, watch.known_versions(new, published, BUCKETS)).where("copies > 0")
+        found = found.withColumns({"batch": F.lit(batch), "bucket": watch.bucket_of(BUCKETS)})
+        found.write.mode("append").partitionBy("bucket").parquet(root)
+        arrived = spark.read.schema(found.schema).parquet(root)
+        published = arrived.where("outcome <> 'refresh'")
+    later = F.when(F.col("batch") > 0, F.col("copies")).otherwise(0)
+    seen = arrived.groupBy("stem", "value").agg(
+        F.min("arrival").alias("arrival"), F.sum(later).alias("copies"), (F.min("batch") == 0).alias("known"),
     )
-    early = F.col("l_shipdate") < F.lit("1995-01-01").cast("timestamp")
-    out = ingest.resolve_collisions(rows.where(~early), rows.where(early))
-    return out.select("stem", "value", "arrival", "copies", "outcome", "name")
+    named = watch.with_names(seen)
+    outcome = F.when(F.col("known"), "refresh").when(F.col("name") == F.concat("stem", F.lit(".omc.json")), "write").otherwise("conflict")
+    return named.select("stem", "value", "arrival", "copies", outcome.alias("outcome"), "name")

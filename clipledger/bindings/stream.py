@@ -44,7 +44,47 @@ def observations(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add("u02_settle_stream", f"WITH {SETTLED_SQL}")
 def settle_stream(spark: SparkSession, sf: str) -> DataFrame:
-    return micros(_drain(spark, watch.settle(_listings(spark, sf), 21_600), "u02"))
+    """The listings arrive in five slices of time, and the query starts anew from its checkpoint for each of them."""
+    return micros(_settled(spark, sf)[0])
+
+
+def _settled(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
+    """(settled versions, checkpoint) of the events in five slices of time."""
+    root = f"{checkpoint_dir(spark)}/u02-{uuid.uuid4().hex}"
+    rows = load(spark, sf, "events").select(
+        F.concat(F.lit("shows/u"), F.col("user_id").cast("string"), F.lit(".omc.json")).alias("path"),
+        F.floor(F.col("value") / 10).cast("bigint").alias("length"),
+        F.lit("2024-01-01T00:00:00Z").cast("timestamp").alias("mtime"), F.col("ts").cast("timestamp").alias("observed_at"),
+    )
+    for batch in _time_slices(rows, "observed_at", 5):
+        batch.write.mode("append").parquet(f"{root}/in")
+        stream = watch.settle(watch.observations(spark, f"{root}/in"), 21_600)
+        out = watch.run_to_table(spark, stream, f"{root}/out", f"{root}/checkpoint")
+    return out, f"{root}/checkpoint"
+
+
+@R.add("s14_state_scan", """
+WITH o AS (SELECT 'shows/u' || user_id || '.omc.json' AS path, CAST(floor(value / 10) AS BIGINT) AS length, ts AS seen FROM events),
+c AS (SELECT *, CASE WHEN lag(length) OVER w IS NULL OR lag(length) OVER w <> length THEN seen END AS started FROM o
+  WINDOW w AS (PARTITION BY path ORDER BY seen)),
+s AS (SELECT path, max(started) AS changed, max(seen) AS last, arg_max(length, seen) AS length FROM c GROUP BY path)
+SELECT path, length, strftime(changed, '%Y-%m-%dT%H:%M:%SZ') AS changed, strftime(last, '%Y-%m-%dT%H:%M:%SZ') AS last,
+  epoch_us(last) - epoch_us(changed) >= 21600000000 AS fired FROM s""")
+def state_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """What the settle gate holds in its state store after five batches."""
+    state = watch.gate_state(spark, _settled(spark, sf)[1])
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return state.select("path", "length", iso("changed_at").alias("changed"), iso("last_seen").alias("last"), "fired")
+
+
+def _time_slices(rows: DataFrame, at: str, n: int) -> list[DataFrame]:
+    """rows in n slices of equal time, oldest first."""
+    micro = F.unix_micros(at)
+    low, high = rows.agg(F.min(micro), F.max(micro)).first()
+    if low is None:
+        return [rows]
+    step = (high - low) // n + 1
+    return [rows.where(F.floor((micro - low) / F.lit(step)) == i) for i in range(n)]
 
 
 @R.add("u03_content_once", "SELECT DISTINCT sha256(text) AS manifest_sha256, CAST(octet_length(encode(text)) AS BIGINT) AS bytes FROM documents")

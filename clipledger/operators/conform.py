@@ -111,7 +111,7 @@ def artifact_rules() -> list[Rule]:
         _min_length("$.path", 1),
         *_required(["alg", "value"], "$.hash"),
         ("extra_hash_key", _extra("$.hash", ["alg", "value"])),
-        _one_of("$.hash.alg", sorted(schemas.REGISTRY_ORDER)),
+        _one_of("$.hash.alg", schemas.REGISTRY_ORDER),
         _min_length("$.hash.value", 8),
         ("not_boolean_immutable", _present("$.immutable") & (_kind("$.immutable") != "BOOLEAN")),
         ("missing_mhlEntry", maybe_manifest & ~_present("$.mhlEntry")),

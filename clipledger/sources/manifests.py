@@ -153,7 +153,7 @@ def heads(records: DataFrame) -> DataFrame:
 def manifests(spark: SparkSession, *roots: str, glob: str = GLOB) -> tuple[DataFrame, DataFrame]:
     """(manifest rows, rejected manifests). The two formats meet in one layout; entry_ix counts the entries of a manifest from 0.
 
-    The bytes are scanned once. Entries of a huge manifest are counted per split, and the counts before a split carried on."""
+    The bytes are scanned once, and the rows are a table that later steps read. Entries of a huge manifest are counted per split, and the counts before a split carried on."""
     records = written(scan(spark, *roots, glob=glob))
     files = heads(records)
     files = files.join(file_hashes(files), "manifest_path", "left")
@@ -163,7 +163,8 @@ def manifests(spark: SparkSession, *roots: str, glob: str = GLOB) -> tuple[DataF
     entries = records.where("entry is not null").select("manifest_path", "block", "row", "entry")
     counted = ordered.number_rows(entries, ["manifest_path"], F.col("block"), ["row"], "_n")
     xml = counted.select("manifest_path", (F.col("_n") - 1).alias("entry_ix"), "entry")
-    return _good(_xml_rows(xml).unionByName(_yaml_rows(yml)), files, rejects), rejects
+    # A table, so that the maps are built once and not for every use of them.
+    return written(_good(_xml_rows(xml).unionByName(_yaml_rows(yml)), files, rejects)), rejects
 
 
 def rows_from_texts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -116,6 +116,17 @@ def settle(obs: DataFrame, seconds: float, expire_seconds: float | None = None)
     )
 
 
+def gate_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """What the settle gate remembers after the last batch of a checkpoint: path, length, changed_at, last_seen, fired; read with Spark's
+    own state reader while no query runs."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    rows = spark.read.format("statestore").option("stateVarName", "version").load(checkpoint)
+    return rows.select(
+        "key.path", "value.length", F.timestamp_micros("value.changed").alias("changed_at"), F.timestamp_micros("value.last").alias("last_seen"),
+        "value.fired",
+    )
+
+
 def first_by_content(stream: DataFrame, sha: str = "manifest_sha256", keep_seconds: float | None = None, at: str = "observed_at") -> DataFrame:
     """Pass each content hash once, across batches and restarts; with keep_seconds it is forgotten that long (event time of the
     column at) after it was seen, so that state does not grow for ever."""
@@ -145,6 +156,28 @@ def manifest_texts(settled: DataFrame) -> DataFrame:
     )
 
 
+def bucket_of(buckets: int) -> Column:
+    """Folder of a stem."""
+    return F.pmod(F.xxhash64("stem"), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def known_versions(rows: DataFrame, published: DataFrame | None, buckets: int) -> DataFrame | None:
+    """Published versions of the stems of rows. published is partitioned by bucket; only folders of these stems are read."""
+    if published is None:
+        return None
+    held = [r[0] for r in rows.select(bucket_of(buckets)).distinct().collect()]  # at most as many as there are folders
+    mine = published.where(F.col("bucket").isin(held)).join(rows.select("stem").distinct(), "stem", "left_semi")
+    return mine.select("stem", "alg", "value", "arrival")
+
+
+def with_names(published: DataFrame) -> DataFrame:
+    """Adds name: a stem with more than one hash suffixes every version, the older ones too. Names are a view, so a version that
+    comes later renames the earlier one without a rewrite. published has one row per stem and hash."""
+    versions = published.groupBy("stem").agg(F.count(F.lit(1)).alias("_versions"))
+    name = ingest.published_name(F.col("stem"), F.col("value"), F.col("_versions"))
+    return published.join(versions, "stem").withColumn("name", name).drop("_versions")
+
+
 @dataclass
 class Watch:
     """Continuous ingest into tables below out.
@@ -194,9 +227,8 @@ class Watch:
         rows = self.table(spark, "documents")
         if rows is None:
             return None
-        versions = rows.groupBy("stem").agg(F.count(F.lit(1)).alias("_versions"))
-        name = ingest.published_name(F.col("stem"), F.col("value"), F.col("_versions"))
-        return rows.join(versions, "stem").withColumn("sidecar_path", F.concat(F.lit(self.out + "/"), name)).drop("_versions")
+        named = with_names(rows)
+        return named.withColumn("sidecar_path", F.concat(F.lit(self.out + "/"), F.col("name"))).drop("name")
 
     def _write(self, df: DataFrame, name: str, batch: int, attempt: str, by: tuple[str, ...] = ()) -> None:
         (
@@ -204,17 +236,6 @@ class Watch:
             .partitionBy(*by, "attempt").parquet(f"{self.out}/{name}")
         )
 
-    def _known(self, built: DataFrame, rows: DataFrame | None) -> DataFrame | None:
-        """Published versions of the batch's stems; only the folders of these stems are read."""
-        if rows is None:
-            return None
-        held = [r[0] for r in built.select(self._bucket()).distinct().collect()]  # at most as many as there are folders
-        mine = rows.where(F.col("bucket").isin(held)).join(built.select("stem").distinct(), "stem", "left_semi")
-        return mine.select("stem", "alg", "value", "arrival")
-
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64("stem"), F.lit(self.buckets)).cast("int").alias("bucket")
-
     def process(self, settled: DataFrame, batch: int) -> None:
         """One micro-batch. A bad manifest is a reject row, never a failed batch."""
         spark = settled.sparkSession
@@ -244,7 +265,7 @@ class Watch:
             "arrival", F.struct(F.lit(batch).cast("bigint").alias("batch"), F.col("clip_path").alias("path"))
         )
         built = cut_lineage(built)
-        resolved = cut_lineage(ingest.resolve_collisions(built, self._known(built, self.table(spark, "documents"))))
+        resolved = cut_lineage(ingest.resolve_collisions(built, known_versions(built, self.table(spark, "documents"), self.buckets)))
         bodies = built.groupBy("stem", "alg", "value").agg(
             F.min_by(F.struct("clip_path", "body", "chain_head"), "arrival").alias("b")
         ).select("stem", "alg", "value", "b.*")
@@ -255,7 +276,7 @@ class Watch:
             )
         )
         judged = docs.join(self._verdicts(docs, rows, rejects, inventory), "sidecar_path").select(
-            *docs.columns, "errors", "reason", now.alias("at"), self._bucket(),
+            *docs.columns, "errors", "reason", now.alias("at"), bucket_of(self.buckets),
             F.when(F.col("errors") > 0, "quarantined").otherwise("signed").alias("status"),
         )
         n = F.count(F.lit(1))
