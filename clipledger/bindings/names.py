@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clipledger import schemas
 from clipledger.bindings import Registry, load
 from clipledger.functions import text
 from clipledger.operators import ingest, matching
+from clipledger.plans import match as plan
 
 R = Registry()
 
@@ -54,8 +56,10 @@ def name_scores(spark: SparkSession, sf: str) -> DataFrame:
     return matching.class_scores(docs.select("name", "base").distinct(), clips.select("clip_name").distinct())
 
 
-@R.add("j14_fuzzy_match", f"""
-WITH RECURSIVE {SIDES_SQL},
+def _greedy_sql(sides: str) -> str:
+    """The plain loop over sides: one document after the other over the clips still free; m has the matches."""
+    return f"""
+{sides},
 d AS (SELECT *, row_number() OVER (ORDER BY sidecar_ix) AS rn FROM dc),
 w AS (
   SELECT sc.name, sc.base, p.p_partkey AS clip_ix, score FROM sc JOIN part p ON p.p_name = sc.clip_name AND p.p_size > 25 WHERE score >= 65),
@@ -66,14 +70,48 @@ r AS (
   FROM (
     SELECT d.rn, any_value(r.used) AS used, d.sidecar_ix,
       arg_max({{'clip_ix': w.clip_ix, 'score': w.score}}, (w.score, -w.clip_ix)) FILTER (w.clip_ix IS NOT NULL AND NOT list_contains(r.used, w.clip_ix)) AS hit
-    FROM r JOIN d ON d.rn = r.rn + 1 LEFT JOIN w ON w.name = d.name AND w.base = d.base GROUP BY d.rn, d.sidecar_ix))
-SELECT sidecar_ix, clip_ix, score FROM r WHERE clip_ix IS NOT NULL""")
+    FROM r JOIN d ON d.rn = r.rn + 1 LEFT JOIN w ON w.name = d.name AND w.base = d.base GROUP BY d.rn, d.sidecar_ix)),
+m AS (SELECT sidecar_ix, clip_ix, score FROM r WHERE clip_ix IS NOT NULL)"""
+
+
+@R.add("j14_fuzzy_match", f"WITH RECURSIVE {_greedy_sql(SIDES_SQL)} SELECT * FROM m")
 def fuzzy_match(spark: SparkSession, sf: str) -> DataFrame:
-    """The SQL is the plain loop: one document after the other over the clips still free."""
     docs, clips = _sides(spark, sf)
     return matching.assign(docs, clips)
 
 
+NAMED_SIDES_SQL = SIDES_SQL.replace("ELSE '' END AS name", "ELSE split_part(p_name, ' ', 2) || '.omc' END AS name")
+_EVENT = '{"action":"create","actor":{"id":"urn:user:p","role":"x"},"prevHash":null,"seq":1,"target":"urn:clip:'
+
+
+@R.add("g06_match", f"""
+WITH RECURSIVE {_greedy_sql(NAMED_SIDES_SQL)},
+e AS (SELECT *, split_part(p_name, ' ', 2) AS base, sha256('{_EVENT}' || p_partkey || '"}}') AS hash FROM part)
+SELECT m.sidecar_ix, m.clip_ix, m.score, 'false' AS signed, 'kid-' || e.p_brand AS kid, '1' AS events, '0' AS locks, '' AS lockedby,
+  '2024-02-01T00:00:00Z' AS lastverified, e.base || '.omc.json' AS sidecarpath, substr(e.hash, 1, 12) AS chainhead
+FROM m JOIN e ON e.p_partkey = m.sidecar_ix""")
+def match_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Small parts as documents with one event each, matched to the large parts as clips; a document without a name goes by its file."""
+    p = load(spark, sf, "part").where("p_size <= 25").withColumnRenamed("p_partkey", "sidecar_ix")
+    docs, clips = _sides(spark, sf)
+    event = F.concat(F.lit(_EVENT), F.col("sidecar_ix").cast("string"), F.lit('"'))
+    signed = F.concat(
+        event, F.lit(',"hash":"sha256:'), F.sha2(F.concat(event, F.lit("}")), 256), F.lit('","sig":{"alg":"ed25519","kid":"kid-'), F.col("p_brand"),
+        F.lit('","value":"c2ln"}}'),
+    )
+    body = F.concat(
+        F.lit('{"Asset":[{"name":"'), F.col("name"), F.lit('","assetFC":{"functionalProperties":{"customData":[{"domain":"'),
+        F.lit(schemas.EVENT_DOMAIN), F.lit('","value":['), signed, F.lit("]}]}}}]}"),
+    )
+    rows = p.join(docs, "sidecar_ix").select(
+        "sidecar_ix", F.concat(F.lit("/d/p"), F.col("sidecar_ix").cast("string"), F.lit("/"), F.col("base"), F.lit(".omc.json")).alias("sidecar_path"),
+        body.alias("text"),
+    ).withColumn("body", F.try_parse_json("text"))
+    out = plan.match(rows, clips, F.to_timestamp(F.lit("2024-02-01T00:00:00Z")))
+    short = {c: c.split("_", 1)[1].lower() for c in schemas.EIGHT_FIELDS}
+    return out.select("sidecar_ix", "clip_ix", "score", *[F.col(c).alias(n) for c, n in short.items()])
+
+
 @R.add("j02_side_files", """
 WITH c AS (SELECT p_partkey, p_name AS stem FROM part),
 a AS (SELECT p_name AS stem, min('/amf/' || p_brand || '/' || p_name || '.amf') AS amf_path FROM part WHERE p_size > 40 GROUP BY 1),

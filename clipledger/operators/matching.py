@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -154,38 +156,57 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _greedy_groups():
-    """Plain greedy loop over one bounded component."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wants = pdf[pdf["score"] > 0].sort_values(["class_key", "score", "ix"], ascending=[True, False, True])
-        lists = {k: (list(g["ix"]), list(g["score"])) for k, g in wants.groupby("class_key", sort=False)}
-        at, used, out = dict.fromkeys(lists, 0), set(), []
-        for side, key in pdf[pdf["score"] == 0].sort_values("ix")[["ix", "class_key"]].itertuples(index=False):
-            clips, scores = lists[key]
-            i = at[key]
-            while i < len(clips) and clips[i] in used:
-                i += 1
-            if i < len(clips):
-                used.add(clips[i])
-                out.append((side, clips[i], scores[i]))
-                i += 1
-            at[key] = i
-        return pd.DataFrame(out, columns=["sidecar_ix", "clip_ix", "score"])
-
-    return run
-
-
-def assign(
-    sidecars: DataFrame, clips: DataFrame, threshold: int = 65, block: int = 100_000, max_component: int = 1_000_000
-) -> DataFrame:
+def _settled_groups(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The plain loop over one component's sidecars of a wave: each takes its best clip still free.
+
+    Rows by kind: s a sidecar of a class, e that a class may have clips of a name at a score, c a clip of a name. The clips of a name
+    go in order of clip_ix, so a name is a queue, and a class sees at each score the queues of its names as a heap by their first
+    clip; an entry whose clip has gone is renewed when it comes up."""
+    queues = {
+        name: g["ix"].sort_values().tolist() for name, g in pdf[pdf["kind"] == "c"].groupby("clip_name", sort=False)
+    }
+    at = dict.fromkeys(queues, 0)
+    tiers: dict[str, list[tuple[int, list]]] = {}
+    edges = pdf[(pdf["kind"] == "e") & pdf["clip_name"].isin(queues)]
+    for (key, score), g in edges.sort_values(["class_key", "score"], ascending=[True, False]).groupby(["class_key", "score"], sort=False):
+        heap = [(queues[name][0], name) for name in g["clip_name"]]
+        heapq.heapify(heap)
+        tiers.setdefault(key, []).append((score, heap))
+    out = []
+    for side, key in pdf[pdf["kind"] == "s"][["ix", "class_key"]].sort_values("ix").itertuples(index=False):
+        for score, heap in tiers.get(key, ()):
+            while heap:
+                clip, name = heap[0]
+                queue, i = queues[name], at[name]
+                if i == len(queue):
+                    heapq.heappop(heap)
+                elif queue[i] != clip:
+                    heapq.heapreplace(heap, (queue[i], name))
+                else:
+                    break
+            if heap:
+                at[name] = i + 1
+                out.append((side, clip, score, name))
+                break
+    return pd.DataFrame(out, columns=["sidecar_ix", "clip_ix", "score", "clip_name"])
+
+
+def waves(members: DataFrame, block: int) -> DataFrame:
+    """Adds wave: sidecars of a component in order of sidecar_ix, block of them a wave."""
+    placed = ordered.number_rows(members, ["label"], ordered.block_segment(F.col("sidecar_ix")), ["sidecar_ix"], "_n")
+    return placed.withColumn("wave", F.floor((F.col("_n") - 1) / F.lit(block))).drop("_n")
+
+
+def assign(sidecars: DataFrame, clips: DataFrame, threshold: int = 65, block: int = 100_000) -> DataFrame:
     """One-to-one match: in sidecar order, each takes its best clip still free, ties to the lowest clip_ix.
 
     sidecars: sidecar_ix, name, base; clips: clip_ix, clip_name. Returns sidecar_ix, clip_ix, score.
 
-    Names that cannot reach each other do not compete, so each connected component is settled on
-    its own: up to max_component rows in one grouped task, beyond that by proposal rounds over the
-    cluster. Both give the sequential result.
+    Names that cannot reach each other do not compete, so each connected component is settled on its own, in waves of at most
+    block sidecars: wave n takes the n-th block of every component at once. The clips of a name are used up in order of
+    clip_ix, so all that a wave leaves to the next is how many of each name are gone, and all it is given are its sidecars, the
+    names their classes may have, and of each name the next clips, as many as these sidecars could take. There is no row per
+    class and clip, no component is one task, and the number of waves is the largest component's sidecars over block.
     """
     members = sidecars.select(
         "sidecar_ix", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("base", F.lit("")).alias("base")
@@ -193,94 +214,38 @@ def assign(
     scores = cut_lineage(
         class_scores(members.select(*CLASS).distinct(), clips.select("clip_name").distinct()).where(F.col("score") >= threshold)
     )
-    labels = components(scores)
-    labelled = scores.join(labels, "clip_name")
-    class_labels = labelled.select(*CLASS, "label").distinct()
-    members = members.join(class_labels, CLASS)
-    per_name = clips.groupBy("clip_name").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = (
-        labelled.join(per_name, "clip_name").groupBy("label").agg(F.sum("_n").alias("_rows"))
-        .unionByName(members.groupBy("label").agg(F.count(F.lit(1)).alias("_rows")))
-        .groupBy("label").agg((F.sum("_rows") > max_component).alias("_large"))
-    )
-    sizes = cut_lineage(sizes)
-    small, large = sizes.where("not _large").select("label"), sizes.where("_large").select("label")
-
     key = F.to_json(F.array("name", "base")).alias("class_key")
-    wants = labelled.join(clips.select("clip_name", "clip_ix"), "clip_name")
+    edges = cut_lineage(scores.join(components(scores), "clip_name").select("label", *CLASS, key, "clip_name", "score"))
+    labels = edges.select(*CLASS, "class_key", "label").distinct()
+    members = cut_lineage(waves(members.join(labels, CLASS).select("sidecar_ix", "class_key", "label"), block))
+    queued = clips.join(edges.select("clip_name").distinct(), "clip_name", "left_semi").select("clip_name", "clip_ix")
+    queued = cut_lineage(ordered.number_rows(queued, ["clip_name"], ordered.block_segment(F.col("clip_ix")), ["clip_ix"], "_place"))
+    last = members.agg(F.max("wave")).first()[0]
+    done, gone = None, None
+    for wave in range(0 if last is None else last + 1):
+        new = _wave(members.where(F.col("wave") == wave), edges, queued, gone)
+        new = cut_lineage(new)
+        done = new if done is None else done.unionByName(new)
+        gone = done.groupBy("clip_name").agg(F.count(F.lit(1)).alias("_gone"))
+    if done is None:
+        return members.select("sidecar_ix", F.col("sidecar_ix").alias("clip_ix"), F.lit(0).cast("bigint").alias("score")).limit(0)
+    return done.drop("clip_name")
+
+
+def _wave(members: DataFrame, edges: DataFrame, queued: DataFrame, gone: DataFrame | None) -> DataFrame:
+    """sidecar_ix, clip_ix, score, clip_name of one wave; gone has the number of clips taken of each name before."""
+    asking = members.groupBy("class_key").agg(F.count(F.lit(1)).alias("_asking"))
+    wanted = edges.join(asking, "class_key")
+    most = wanted.groupBy("clip_name").agg(F.sum("_asking").alias("_most"), F.min("label").alias("label"))
+    if gone is not None:
+        most = most.join(gone, "clip_name", "left")
+    used = F.coalesce("_gone", F.lit(0)) if gone is not None else F.lit(0)
+    given = queued.join(most, "clip_name").where((F.col("_place") > used) & (F.col("_place") <= used + F.col("_most")))
     rows = (
-        wants.select("label", key, F.col("clip_ix").alias("ix"), "score")
-        .unionByName(members.select("label", key, F.col("sidecar_ix").alias("ix"), F.lit(0).cast("bigint").alias("score")))
-        .join(small, "label", "left_semi")
-    )
-    done = rows.groupBy("label").applyInPandas(_greedy_groups(), "sidecar_ix bigint, clip_ix bigint, score bigint")
-    if large.isEmpty():
-        return done
-    rest = _rounds(
-        cut_lineage(members.join(large, "label", "left_semi").select("sidecar_ix", *CLASS)),
-        cut_lineage(wants.join(large, "label", "left_semi").select(*CLASS, "clip_ix", "score")),
-        block,
-    )
-    return done.unionByName(rest)
-
-
-def _rounds(members: DataFrame, wants: DataFrame, block: int) -> DataFrame:
-    """Proposal rounds.
-
-    Sidecars with equal name and base share one preference list. From the first open one on, the
-    k-th of them proposes to the k-th clip that first one could still win, because the k-1 before
-    it claim the others; clips that others of the same class held are open again. A clip keeps
-    the lowest sidecar_ix. Rounds end when nothing changes.
-    """
-    held = members.sparkSession.createDataFrame(
-        [], "sidecar_ix bigint, clip_ix bigint, score bigint, name string, base string, fresh boolean"
+        members.select("label", F.lit("s").alias("kind"), "class_key", F.col("sidecar_ix").alias("ix"))
+        .unionByName(wanted.select("label", F.lit("e").alias("kind"), "class_key", "clip_name", "score"), allowMissingColumns=True)
+        .unionByName(given.select("label", F.lit("c").alias("kind"), "clip_name", F.col("clip_ix").alias("ix")), allowMissingColumns=True)
     )
-    while True:
-        first = members.join(held, "sidecar_ix", "left_anti").groupBy(*CLASS).agg(F.min("sidecar_ix").alias("_first"))
-        stand = held.join(
-            first.withColumnRenamed("_first", "_f"), CLASS, "left"
-        ).where(F.col("_f").isNull() | (F.col("sidecar_ix") < F.col("_f"))).select(*held.columns)
-        open_ = members.join(first, CLASS).where(F.col("sidecar_ix") >= F.col("_first")).drop("_first")
-        turn = ordered.number_rows(
-            open_, CLASS, ordered.block_segment(F.col("sidecar_ix"), block), ["sidecar_ix"], "_k"
-        )
-        opens = open_.groupBy(*CLASS).agg(F.count(F.lit(1)).alias("_open"), F.min("sidecar_ix").alias("_first"))
-        # A clip held by a released sidecar of another class still counts as held this round.
-        holders = held.select(
-            "clip_ix", F.col("sidecar_ix").alias("_holder"), F.col("name").alias("_hn"), F.col("base").alias("_hb")
-        )
-        own = (F.col("_hn") == F.col("name")) & (F.col("_hb") == F.col("base"))
-        rival = F.when(own & (F.col("_holder") > F.col("_first")), F.lit(None)).otherwise(F.col("_holder"))
-        winnable = (
-            wants.join(opens, CLASS)
-            .join(holders, "clip_ix", "left")
-            .withColumn("_rival", rival)
-            .where(F.col("_rival").isNull() | (F.col("_rival") > F.col("_first")))
-            .withColumn("_worse", -F.col("score"))
-            .drop("_hn", "_hb", "_holder")
-        )
-        listed = ordered.number_rows(
-            winnable, CLASS,
-            F.struct(F.col("_worse").alias("s"), ordered.block_segment(F.col("clip_ix"), block).alias("b")),
-            ["_worse", "clip_ix"], "_k",
-        ).where(F.col("_k") <= F.col("_open"))
-        bids = turn.join(listed.drop("_first"), [*CLASS, "_k"]).where(
-            F.col("_rival").isNull() | (F.col("_rival") > F.col("sidecar_ix"))
-        )
-        claims = stand.select("sidecar_ix", "clip_ix", "score", *CLASS).unionByName(
-            bids.select("sidecar_ix", "clip_ix", "score", *CLASS)
-        )
-        # Released holders keep their clip unless someone lower asks, so that clips never turn free.
-        kept = held.join(stand.select("sidecar_ix"), "sidecar_ix", "left_anti").join(
-            bids.select("sidecar_ix").distinct(), "sidecar_ix", "left_anti"
-        ).select("sidecar_ix", "clip_ix", "score", *CLASS)
-        won = claims.unionByName(kept).groupBy("clip_ix").agg(
-            F.min_by(F.struct("sidecar_ix", "score", *CLASS), "sidecar_ix").alias("w")
-        ).select("w.sidecar_ix", "clip_ix", "w.score", "w.name", "w.base")
-        before = held.select("sidecar_ix", "clip_ix", F.lit(False).alias("_same"))
-        nxt = won.join(before, ["sidecar_ix", "clip_ix"], "left").select(
-            *won.columns, F.coalesce("_same", F.lit(True)).alias("fresh")
-        )
-        held = cut_lineage(nxt.select("sidecar_ix", "clip_ix", "score", "name", "base", "fresh"))
-        if held.where("fresh").isEmpty():
-            return held.select("sidecar_ix", "clip_ix", "score")
+    # Kinds leave some columns empty; a long that pandas reads with gaps would turn to floating point.
+    whole = rows.withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("ix", "score")})
+    return whole.groupBy("label").applyInPandas(_settled_groups, "sidecar_ix bigint, clip_ix bigint, score bigint, clip_name string")

@@ -47,14 +47,33 @@ def _greedy(sides, clips):
 def test_assign_is_the_greedy_result(spark):
     rnd = random.Random(11)
     words = ["a", "b", "ab", "ba", "abc", "c", "ca", "x y", "y"]
-    for cap in (1_000_000, 0):
-        sides = [(i, rnd.choice([*words, ""]), rnd.choice([*words, ""])) for i in range(40)]
-        clips = [(i, rnd.choice(words) + rnd.choice(["", "", "b", "c"])) for i in range(35)]
-        out = matching.assign(
-            spark.createDataFrame(sides, "sidecar_ix long, name string, base string"),
-            spark.createDataFrame(clips, "clip_ix long, clip_name string"), max_component=cap, block=7,
-        )
-        assert {r.sidecar_ix: (r.clip_ix, r.score) for r in out.collect()} == _greedy(sides, clips)
+    sides = [(i, rnd.choice([*words, ""]), rnd.choice([*words, ""])) for i in range(40)]
+    clips = [(i, rnd.choice(words) + rnd.choice(["", "", "b", "c"])) for i in range(35)]
+    assert _assigned(spark, sides, clips, 1000) == _greedy(sides, clips)
+
+
+def _assigned(spark, sides, clips, block):
+    out = matching.assign(
+        spark.createDataFrame(sides, "sidecar_ix long, name string, base string"),
+        spark.createDataFrame(clips, "clip_ix long, clip_name string"), block=block,
+    )
+    return {r.sidecar_ix: (r.clip_ix, r.score) for r in out.collect()}
+
+
+def test_assign_of_one_component_in_waves(spark, monkeypatch):
+    """One component at two sizes: cut into waves, the result is the plain loop's, and their number is its size over the block."""
+    rnd = random.Random(12)
+    words = ["aa", "ab", "ba", "aab", "a"]  # every name holds or is held by "a"
+    for n, block in ((30, 7), (120, 31)):
+        sides = [(3 * i, rnd.choice(words), rnd.choice(words)) for i in range(n)]
+        clips = [(rnd.randrange(10**6) * n + i, rnd.choice(words)) for i in range(n - 5)]
+        seen = []
+        real = matching._wave
+        monkeypatch.setattr(matching, "_wave", lambda *a: seen.append(1) or real(*a))
+        assert _assigned(spark, sides, clips, block) == _greedy(sides, clips)
+        monkeypatch.undo()
+        assert len(seen) == -(-n // block)
+    assert _assigned(spark, [(1, "q", "q")], [(1, "z")], 5) == {}
 
 
 def test_colour_agreement_brute_force(spark):
