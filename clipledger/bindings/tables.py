@@ -29,10 +29,9 @@ def event_log(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def numbered(spark: SparkSession, sf: str) -> DataFrame:
-    """The log with its order: one chain per user and UTC day, however long; group_ix is the day's number since 1970."""
-    days = event_log(spark, sf).withColumn("group_ix", F.unix_date(text.utc_day(F.col("ts_utc"))))
+    """The log with its order: one chain per user, however long."""
     log = ordered.number_rows(
-        days, ["user_id", "group_ix"], ordered.time_segment(F.col("ts_utc")), ["ts_utc", "event_id"], "seq"
+        event_log(spark, sf).withColumn("group_ix", F.lit(0)), ["user_id", "group_ix"], ordered.time_segment(F.col("ts_utc")), ["ts_utc", "event_id"], "seq"
     )
     return (
         log.withColumn("json_path", F.lit("Asset/0/assetFC/functionalProperties/customData"))
@@ -136,9 +135,8 @@ ev AS (
       WHEN 'error' THEN 'unlock' WHEN 'click' THEN 'verify' END AS action,
     'urn:user:u' || user_id AS actor_id, event_type AS role,
     'urn:clip:k' || json_extract_string(props, '$.k') AS target, 'kid-' || user_id AS kid, value,
-    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq_all,
-    date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS group_ix,
-    row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS seq
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq_all, 0 AS group_ix,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq
   FROM events),
 lg AS (
   SELECT *, seq - 1 AS event_ix,

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clipledger.functions import hashes, text
 
@@ -97,33 +102,32 @@ def chain_breaks(events: DataFrame) -> DataFrame:
 def build_chain(events: DataFrame, keys: list[str], ix: str, head: Column, tail: Column) -> DataFrame:
     """Hash every event over the one before it: adds prev_hash and hash.
 
-    head and tail are the canonical text before and after the prevHash value. Hashing is
-    sequential inside a chain by definition, so chains must be bounded: a chain is one events
-    array of one document. Different chains run side by side.
+    head and tail are the canonical text before and after the prevHash value. Hashing is sequential inside a chain by
+    definition, so a task streams a chain in order and holds one batch of rows and the last hash, however long the chain is.
+    Different chains run side by side.
     """
-    item = F.struct(F.col(ix).alias("_ix"), head.alias("_h"), tail.alias("_t"), F.struct("*").alias("_row"))
-    chains = events.groupBy(*keys).agg(F.array_sort(F.collect_list(item), _by_ix).alias("_items"))
-    start = F.struct(
-        F.lit(None).cast("string").alias("last"),
-        F.array().cast("array<struct<prev_hash: string, hash: string>>").alias("done"),
-    )
-
-    def step(acc: Column, e: Column) -> Column:
-        prev = F.coalesce(F.concat(F.lit('"'), acc["last"], F.lit('"')), F.lit("null"))
-        new = F.concat(F.lit("sha256:"), F.sha2(F.concat(e["_h"], prev, e["_t"]), 256))
-        return F.struct(
-            new.alias("last"),
-            F.array_append(acc["done"], F.struct(acc["last"].alias("prev_hash"), new.alias("hash"))).alias("done"),
-        )
-
-    folded = chains.select(F.arrays_zip("_items", F.aggregate("_items", start, step)["done"].alias("_done")).alias("z"))
-    # explode_outer: plain explode makes the optimizer repeat the fold in an inferred filter.
-    rows = folded.select(F.explode_outer("z").alias("z"))
-    return rows.select("z._items._row.*", "z._done.prev_hash", "z._done.hash")
-
-
-def _by_ix(a: Column, b: Column) -> Column:
-    return F.when(a["_ix"] < b["_ix"], -1).when(a["_ix"] > b["_ix"], 1).otherwise(0)
+    layout = T.StructType([*events.schema.fields, T.StructField("prev_hash", T.StringType()), T.StructField("hash", T.StringType())])
+    lined = events.select("*", head.alias("_h"), tail.alias("_t")).repartition(*keys).sortWithinPartitions(*keys, ix)
+    return lined.mapInArrow(_linker(keys), layout)
+
+
+def _linker(keys: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain, last = None, None
+        for batch in batches:
+            before, after = [], []
+            for key, h, t in zip(zip(*[batch.column(k).to_pylist() for k in keys]), batch.column("_h").to_pylist(), batch.column("_t").to_pylist()):
+                if key != chain:
+                    chain, last = key, None
+                before.append(last)
+                quoted = "null" if last is None else f'"{last}"'
+                last = "sha256:" + hashlib.sha256(f"{h}{quoted}{t}".encode()).hexdigest()
+                after.append(last)
+            kept = [c for c in batch.schema.names if c not in ("_h", "_t")]
+            columns = [*[batch.column(c) for c in kept], pa.array(before, pa.string()), pa.array(after, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [*kept, "prev_hash", "hash"])
+
+    return run
 
 
 def tips(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
