@@ -172,3 +172,30 @@ def run_health(spark: SparkSession, sf: str) -> DataFrame:
     now = F.to_timestamp(F.lit("2024-01-20T00:00:00Z"))
     checks = health.health(health.Corpus(ledger_documents(spark, sf), ring(spark, sf), now, backends=backends))
     return checks.select("title", "status", "rows")
+
+
+@R.add("f08_envelope", """
+WITH s AS (
+  SELECT *, '$.Asset[' || (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1) || ']' AS place FROM supplier)
+SELECT 'n' || s_nationkey AS sidecar_path, place || '.schemaVersion' AS place, 'missing' AS code FROM s WHERE s_acctbal < 0
+UNION ALL SELECT 'n' || s_nationkey, place || '.name', 'wrong_type' FROM s WHERE s_acctbal > 9000
+UNION ALL SELECT 'n' || s_nationkey, place || '.Asset[0].identifier', 'wrong_type' FROM s WHERE s_suppkey % 5 = 0
+UNION ALL SELECT 'n' || s_nationkey, place || '.Asset[0].Asset[0].identifier', 'missing' FROM s WHERE s_suppkey % 5 = 0""")
+def envelope(spark: SparkSession, sf: str) -> DataFrame:
+    """A document per nation with an asset per supplier; every fifth holds an asset that holds another, below the levels read at once."""
+    from clipledger.operators import conform, flatten
+    from clipledger.sources import documents
+
+    inner = '"Asset":[{"schemaVersion":"v","entityType":"Asset","identifier":{},"Asset":[{"schemaVersion":"v","entityType":"Asset"}]}],'
+    asset = F.concat(
+        F.lit('{"entityType":"Asset","identifier":[],'), F.when(F.col("s_acctbal") < 0, "").otherwise('"schemaVersion":"v",'),
+        F.when(F.col("s_suppkey") % 5 == 0, inner).otherwise(""), F.lit('"name":'), F.when(F.col("s_acctbal") > 9000, "7").otherwise('"s"'), F.lit("}"),
+    )
+    reels = load(spark, sf, "supplier").groupBy(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("sidecar_path")).agg(
+        F.array_sort(F.collect_list(F.struct("s_suppkey", asset.alias("a")))).alias("s")
+    )
+    body = F.concat(F.lit('{"Asset":['), F.array_join(F.transform("s", lambda x: x["a"]), ","), F.lit("]}"))
+    paths = [r[0] for r in conform.ENVELOPE_RULES]
+    parsed = flatten.parse(documents.document_rows(reels.select("sidecar_path", body.alias("body"))), paths)
+    found = conform.envelope_findings(parsed, flatten.cells(parsed, paths))
+    return found.select("sidecar_path", F.col("where_").alias("place"), "code")

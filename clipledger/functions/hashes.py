@@ -52,7 +52,7 @@ def canonical_json(raw: Column, drop: tuple[str, ...] = ("hash", "sig")) -> Colu
 
     VARIANT keeps keys sorted, nulls present and integers bare, so any extra key is covered too.
     """
-    kept = F.map_filter(raw.cast("map<string,variant>"), lambda k, v: ~k.isin(list(drop)))
+    kept = F.map_filter(F.try_variant_get(raw, "$", "map<string,variant>"), lambda k, v: ~k.isin(list(drop)))
     text = F.to_json(kept)
     fixed = text
     for code in _UPPER_ESCAPES:

@@ -180,7 +180,9 @@ def failing(rules: list[Rule]) -> Column:
 
 def broken(df: DataFrame, rules: list[Rule], paths: list[str]) -> DataFrame:
     """One row per broken rule, column code."""
-    hit = read_paths(df, paths).withColumn("code", F.explode_outer(failing(rules))).where(F.col("code").isNotNull())
+    # What is no object at all breaks one rule, not each of an object's.
+    codes = F.when(F.startswith(_kind("$"), F.lit("OBJECT")), failing(rules)).otherwise(F.array(F.lit("not_object")))
+    hit = read_paths(df, paths).withColumn("code", F.explode_outer(codes)).where(F.col("code").isNotNull())
     return hit.select(*df.columns, "code")
 
 
@@ -229,17 +231,17 @@ def outside_vocabulary(values: DataFrame, vocabulary: DataFrame) -> DataFrame:
     )
 
 
-# Fields every generated document carries: (path, JSON type, required).
+# Fields every generated document carries: (path, JSON type, required); [*] asks it of every asset.
 ENVELOPE_RULES = [
     ("$.Asset", "ARRAY", True),
-    ("$.Asset[0].schemaVersion", "STRING", True),
-    ("$.Asset[0].entityType", "STRING", True),
-    ("$.Asset[0].identifier", "ARRAY", True),
-    ("$.Asset[0].name", "STRING", False),
-    ("$.Asset[0].description", "STRING", False),
-    ("$.Asset[0].provenance", "OBJECT", False),
-    ("$.Asset[0].assetFC", "OBJECT", False),
-    ("$.Asset[0].AssetSC", "OBJECT", False),
+    ("$.Asset[*].schemaVersion", "STRING", True),
+    ("$.Asset[*].entityType", "STRING", True),
+    ("$.Asset[*].identifier", "ARRAY", True),
+    ("$.Asset[*].name", "STRING", False),
+    ("$.Asset[*].description", "STRING", False),
+    ("$.Asset[*].provenance", "OBJECT", False),
+    ("$.Asset[*].assetFC", "OBJECT", False),
+    ("$.Asset[*].AssetSC", "OBJECT", False),
 ]
 
 
@@ -250,7 +252,7 @@ def envelope_findings(parsed: DataFrame, cells: DataFrame, rules: list[tuple[str
         wrong = F.when(F.col("kind").isNull() & F.lit(required), "missing").when(
             F.col("kind").isNotNull() & ~F.startswith("kind", F.lit(kind)), "wrong_type"
         )
-        case = F.when(F.col("where_") == path, wrong).otherwise(case)
+        case = F.when(F.col("rule") == path, wrong).otherwise(case)
     unparsed = parsed.where("not parsed").select(
         *finding("1", F.lit("unparseable"), F.lit("$"), F.lit("document is not JSON"))
     )
@@ -263,8 +265,8 @@ def envelope_findings(parsed: DataFrame, cells: DataFrame, rules: list[tuple[str
 
 
 def vocabulary_findings(cells: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Stage 7: strings only; vocabulary is (where_, value)."""
-    strings = cells.where("kind = 'STRING'")
+    """Stage 7: strings only; vocabulary is (where_, value), where_ the path as it was asked for."""
+    strings = cells.where("kind = 'STRING'").withColumnsRenamed({"where_": "place", "rule": "where_"})
     return outside_vocabulary(strings, vocabulary).select(
-        *finding("7", F.lit("not_in_vocabulary"), F.col("where_"), F.col("value"))
+        *finding("7", F.lit("not_in_vocabulary"), F.col("place"), F.col("value"))
     )

@@ -57,31 +57,91 @@ def _declared(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r'"customData"\s*:\s*\['))
 
 
+#: Start of a path that is asked of every asset, whatever its depth.
+EACH = "$.Asset[*]."
+_CELL = "array<struct<rule: string, where_: string, value: string, kind: string>>"
+
+
+def _cell(rule: str, where: Column, node: Column, path: str) -> Column:
+    return F.struct(
+        F.lit(rule).alias("rule"), where.alias("where_"), F.try_variant_get(node, path, "string").alias("value"),
+        F.schema_of_variant(F.try_variant_get(node, path, "variant")).alias("kind"),
+    )
+
+
+def _asset_cells(asset: Column, where: Column, rules: list[str]) -> Column:
+    """One cell per rule of one asset; where is the asset's own path."""
+    return F.array(*[
+        _cell(r, F.concat(where, F.lit("." + r.removeprefix(EACH))), asset, "$." + r.removeprefix(EACH)) for r in rules
+    ])
+
+
+def _each_asset(body: Column, rules: list[str]) -> Column:
+    """Cells of the assets and of the assets inside them; a document without any has the cells of an absent first one."""
+
+    def of_asset(asset: Column, i: Column) -> Column:
+        here = F.concat(F.lit("$.Asset["), i.cast("string"), F.lit("]"))
+        inner = F.transform(
+            _list(asset, "$.Asset"),
+            lambda sub, j: _asset_cells(sub, F.concat(here, F.lit(".Asset["), j.cast("string"), F.lit("]")), rules),
+        )
+        return F.concat(_asset_cells(asset, here, rules), F.flatten(inner))
+
+    assets = _list(body, "$.Asset")
+    some = F.when(F.size(assets) > 0, assets).otherwise(F.array(F.lit(None).cast("variant")))
+    return F.flatten(F.transform(some, of_asset))
+
+
+def _asset_lists(body: Column) -> Column:
+    """How many arrays of assets those two levels hold."""
+    here = lambda v: F.try_variant_get(v, "$.Asset", "array<variant>").isNotNull()
+    assets = _list(body, "$.Asset")
+    return F.when(here(body), 1).otherwise(0) + F.size(F.filter(assets, here))
+
+
 def parse(documents: DataFrame, paths: list[str] | None = None) -> DataFrame:
-    """One pass over the document text: (sidecar_path, parsed, cells, groups, deep_text).
+    """One pass over the document text: (sidecar_path, parsed, cells, groups, deep_text, deep_assets).
 
-    cells holds (where_, value, kind) of each named path. deep_text is set only for documents that
-    declare more customData arrays than the two asset levels hold.
+    cells holds (rule, where_, value, kind) of each named path; a path that starts with $.Asset[*] is asked of every asset, and
+    where_ is its place. deep_text is set only for documents that declare more customData arrays than the two asset levels hold,
+    deep_assets for those with more arrays of assets.
     """
-    cells = [
-        F.struct(
-            F.lit(p).alias("where_"),
-            F.try_variant_get("body", p, "string").alias("value"),
-            F.schema_of_variant(F.try_variant_get("body", p, "variant")).alias("kind"),
-        )
-        for p in paths or []
-    ]
-    empty = F.array().cast("array<struct<where_: string, value: string, kind: string>>")
-    deep = _declared(F.col("text")) != _arrays_of(F.col("body"))
+    single = [p for p in paths or [] if not p.startswith(EACH)]
+    each = [p for p in paths or [] if p.startswith(EACH)]
+    body = F.col("body")
+    cells = F.array(*[_cell(p, F.lit(p), body, p) for p in single]) if single else F.array().cast(_CELL)
+    if each:
+        cells = F.concat(cells, _each_asset(body, each))
+    deep = _declared(F.col("text")) != _arrays_of(body)
+    nested = F.regexp_count("text", F.lit(r'"Asset"\s*:\s*\[')) != _asset_lists(body)
     return documents.select(
         "sidecar_path",
-        F.col("body").isNotNull().alias("parsed"),
-        F.when(F.col("body").isNotNull(), F.array(*cells) if cells else empty).alias("cells"),
-        F.when(F.col("body").isNotNull() & ~deep, _groups_of(F.col("body"))).cast(_ENTRY).alias("groups"),
-        F.when(F.col("body").isNotNull() & deep, F.col("text")).alias("deep_text"),
+        body.isNotNull().alias("parsed"),
+        F.when(body.isNotNull(), cells).otherwise(F.array()).cast(_CELL).alias("cells"),
+        F.when(body.isNotNull() & ~deep, _groups_of(body)).cast(_ENTRY).alias("groups"),
+        F.when(body.isNotNull() & deep, F.col("text")).alias("deep_text"),
+        F.when(body.isNotNull() & nested, F.col("text")).alias("deep_assets"),
     )
 
 
+def _deep_cells(texts: DataFrame, rules: list[str]) -> DataFrame | None:
+    """Cells of the assets below the second level of (sidecar_path, deep_assets), a round for each level."""
+    level = texts.select("sidecar_path", F.lit("$").alias("at"), F.try_parse_json("deep_assets").alias("node"))
+    found, depth = [], 0
+    while True:
+        level = cut_lineage(
+            level.select("sidecar_path", "at", F.posexplode(_list(F.col("node"), "$.Asset")).alias("i", "node")).select(
+                "sidecar_path", F.concat("at", F.lit(".Asset["), F.col("i").cast("string"), F.lit("]")).alias("at"), "node"
+            )
+        )
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, found) if found else None
+        depth += 1
+        if depth > 2:
+            cells_ = _asset_cells(F.col("node"), F.col("at"), rules)
+            found.append(level.select("sidecar_path", F.explode(cells_).alias("c")).select("sidecar_path", "c.*"))
+
+
 def _children(nodes: DataFrame) -> DataFrame:
     """One level down: every member of every object and array, with its path."""
     inside = nodes.lateralJoin(nodes.sparkSession.tvf.variant_explode(F.col("node").outer()))
@@ -137,10 +197,14 @@ def custom_data(documents: DataFrame) -> DataFrame:
     return groups(cut_lineage(parse(documents)))
 
 
-def cells(parsed: DataFrame) -> DataFrame:
-    """(sidecar_path, where_, value, kind), one row per document and path asked for."""
+def cells(parsed: DataFrame, paths: list[str] | None = None) -> DataFrame:
+    """(sidecar_path, rule, where_, value, kind), one row per document and path asked for, and per asset where the path says so.
+    With the paths given to parse, assets below the second level are looked at as well."""
     rows = parsed.select("sidecar_path", F.explode_outer("cells").alias("c")).select("sidecar_path", "c.*")
-    return rows.where(F.col("where_").isNotNull())
+    rows = rows.where(F.col("where_").isNotNull())
+    each = [p for p in paths or [] if p.startswith(EACH)]
+    deep = _deep_cells(parsed.where("deep_assets is not null").select("sidecar_path", "deep_assets"), each) if each else None
+    return rows if deep is None else rows.unionByName(deep)
 
 
 def payload(groups: DataFrame, domain: str, ix: str) -> DataFrame:

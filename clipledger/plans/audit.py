@@ -77,7 +77,7 @@ def audit(inputs: Inputs) -> Audit:
     asked += [p for p in inputs.vocabulary_paths if p not in asked]
     # The only pass over document text; all stages start from what it leaves.
     parsed = cut_lineage(flatten.parse(inputs.documents, asked))
-    cells = flatten.cells(parsed)
+    cells = flatten.cells(parsed, asked)
     groups, arts, events, lock_rows = flat_tables(parsed, inputs.base_dir, inputs.moved_to)
     found = [
         conform.envelope_findings(parsed, cells),
@@ -91,7 +91,7 @@ def audit(inputs: Inputs) -> Audit:
             ring = keys.apply_revocations(ring, inputs.revocations)
         found.append(keys.key_findings(events, ring, inputs.verifier))
     if inputs.vocabulary is not None and inputs.vocabulary_paths:
-        found.append(conform.vocabulary_findings(cells.where(F.col("where_").isin(inputs.vocabulary_paths)), inputs.vocabulary))
+        found.append(conform.vocabulary_findings(cells.where(F.col("rule").isin(inputs.vocabulary_paths)), inputs.vocabulary))
     if inputs.inventory is not None:
         found.extend(_file_findings(inputs, arts))
     findings = cut_lineage(_union(found))

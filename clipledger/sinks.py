@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipledger import schemas
@@ -10,43 +10,52 @@ from clipledger.functions import text
 
 
 def write_documents(documents: DataFrame, out: str, by: str | None = None) -> None:
-    """JSON lines, one document per line; a file per clip would be millions of tiny objects."""
+    """JSON lines, one document per line; a file per clip would be millions of tiny objects.
+
+    The lines of one call go to a folder named by their content, so writing the same documents again replaces them, and other
+    documents stay. A call that holds some of an earlier call's documents writes them once more; read_documents gives each once."""
     rows = documents.select(*([by] if by else []), F.col("body").alias("value"))
-    writer = rows.write.mode("append")
-    (writer.partitionBy(by) if by else writer).text(out)
+    told = rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64("value").cast("decimal(38,0)"))).first()
+    named = rows.withColumn("content", F.lit(f"c{told[0]}_{told[1] or 0}".replace("-", "m")))
+    (
+        named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("content", *([by] if by else [])).text(out)
+    )
+
+
+def read_documents(spark: SparkSession, out: str) -> DataFrame:
+    """Every document of write_documents once, as body."""
+    return spark.read.text(out, recursiveFileLookup=True).select(F.col("value").alias("body")).distinct()
 
 
 def ale_line(cols: list[str] = schemas.ALE_COLUMNS) -> Column:
     return F.concat_ws("\t", *[text.clean_cell(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in cols])
 
 
-def ale_lines(rows: DataFrame, day: str = "day", order: str = "arrival", rows_per_file: int = 500_000) -> DataFrame:
+def ale_lines(rows: DataFrame, day: str = "day", order: str = "arrival", parts: int = 1) -> DataFrame:
     """(day, part, pos, line): the text of the log files, header lines first in every part.
 
-    A day splits into as many parts as its row count asks for, so a day that holds a third of all
-    rows is many files and never one task or one cell.
-    """
-    sizes = rows.groupBy(day).agg(F.count(F.lit(1)).alias("_n"))
-    parts = sizes.select(day, F.greatest(F.ceil(F.col("_n") / F.lit(rows_per_file)), F.lit(1)).alias("_parts"))
-    part = F.pmod(F.xxhash64(schemas.ALE_KEY), F.col("_parts")).cast("bigint")
-    data = rows.join(parts, day).select(
+    A day is one file, as its readers expect. Where a day is more than one task should write, parts deals every day to so
+    many whole files by document."""
+    part = F.pmod(F.xxhash64(schemas.ALE_KEY), F.lit(parts)).cast("bigint")
+    data = rows.select(
         day, part.alias("part"), F.lit(len(schemas.ALE_HEADER)).cast("bigint").alias("pos"),
         F.col(order).alias("_order"), ale_line().alias("line"),
     )
     header = F.array(*[F.lit(h) for h in schemas.ALE_HEADER])
-    each = parts.select(day, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1)).alias("part"))
+    each = rows.select(day).distinct().select(day, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))).alias("part"))
     heads = each.select(day, "part", F.posexplode(header).alias("pos", "line"))
     heads = heads.select(day, "part", F.col("pos").cast("bigint").alias("pos"), "line")
     order_type = dict(data.dtypes)["_order"]
     return heads.withColumn("_order", F.lit(None).cast(order_type)).unionByName(data, allowMissingColumns=True)
 
 
-def write_ale(rows: DataFrame, out: str, day: str = "day", order: str = "arrival", rows_per_file: int = 500_000) -> None:
+def write_ale(rows: DataFrame, out: str, day: str = "day", order: str = "arrival", parts: int = 1) -> None:
     """One folder per day and part, one whole log file in each, CRLF line ends.
 
-    Only the days present in rows are replaced.
+    A file is sorted and streamed by one task, which spills and holds no day in memory. Only the days present in rows are replaced.
     """
-    lines = ale_lines(rows, day, order, rows_per_file)
+    lines = ale_lines(rows, day, order, parts)
     (
         lines.repartition(day, "part")
         .sortWithinPartitions(day, "part", "pos", "_order")

@@ -133,6 +133,41 @@ def test_vocabulary(spark, show):
     assert got == {"7": ["not_in_vocabulary"]}
 
 
+def test_every_asset_is_judged(spark, show):
+    root, doc = show
+    leaf = {"schemaVersion": "v", "entityType": "Asset"}
+    doc["Asset"] += [{"entityType": 7, "identifier": [], "schemaVersion": "v", "Asset": [{**leaf, "identifier": [], "Asset": [leaf, {**leaf, "Asset": [{}]}]}]}]
+    _, out = run(spark, root, doc)
+    assert sorted((r.where_, r.code) for r in out.findings.where("stage = '1'").collect()) == sorted([
+        ("$.Asset[1].entityType", "wrong_type"), ("$.Asset[1].Asset[0].Asset[0].identifier", "missing"),
+        ("$.Asset[1].Asset[0].Asset[1].identifier", "missing"),
+        *[(f"$.Asset[1].Asset[0].Asset[1].Asset[0].{k}", "missing") for k in ("schemaVersion", "entityType", "identifier")],
+    ])
+    words = spark.createDataFrame([("$.Asset[*].entityType", "Asset"), ("$.Asset[*].entityType", "7")], "where_ string, value string")
+    doc["Asset"][1]["entityType"] = "Reel"
+    _, out = run(spark, root, doc, vocabulary=words, vocabulary_paths=["$.Asset[*].entityType"])
+    assert [(r.where_, r.detail) for r in out.findings.where("stage = '7'").collect()] == [("$.Asset[1].entityType", "Reel")]
+
+
+def test_an_event_that_is_text_is_one_finding(spark, show):
+    root, doc = show
+    corpus.parts(doc)[1].append("oops")
+    _, out = run(spark, root, doc)
+    assert [(r.code, r.where_.rsplit(".", 1)[1]) for r in out.findings.where("stage = '2'").collect()] == [("not_object", "value[3]")]
+
+
+def test_a_chain_of_a_million_events(spark):
+    from clipledger.operators import ledger
+
+    rows = spark.range(1_000_000).select(F.lit("c").alias("k"), F.col("id").alias("ix"))
+    built = ledger.build_chain(rows, ["k"], "ix", F.lit("h"), F.col("ix").cast("string"))
+    last = built.orderBy(F.col("ix").desc()).first()
+    prev = None
+    for i in range(1_000_000):
+        before, prev = prev, "sha256:" + hashlib.sha256(f"h{'null' if prev is None else chr(34) + prev + chr(34)}{i}".encode()).hexdigest()
+    assert (last.prev_hash, last.hash) == (before, prev)
+
+
 def test_verifier_is_asked(spark, show):
     root, doc = show
     never = F.pandas_udf(lambda text, sig, key: text.map(lambda _: False), "boolean")

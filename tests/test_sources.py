@@ -146,7 +146,9 @@ def test_ale_round_trip(spark, tmp_path):
         [(f"/d/{i}.omc.json", "2024-02-01", i, *[n if c == "Name" else f"{c}{i}" for c in schemas.ALE_COLUMNS]) for i, n in enumerate(names)],
         ["sidecar_path", "day", "arrival", *schemas.ALE_COLUMNS],
     )
-    sinks.write_ale(rows, str(tmp_path / "out"), rows_per_file=2)
+    sinks.write_ale(rows, str(tmp_path / "one"))
+    assert len(list((tmp_path / "one").rglob("part-*.txt"))) == 1  # a day is one file
+    sinks.write_ale(rows, str(tmp_path / "out"), parts=2)
     files = list((tmp_path / "out/day=2024-02-01").rglob("part-*.txt"))
     assert len(files) == 2
     for f in files:
@@ -195,3 +197,35 @@ def test_files_that_cannot_be_read_are_no_mismatch(spark, tmp_path):
     asked = [(f"file:{tmp_path}/a.mov", "md5"), (f"{tmp_path}/none.mov", "md5"), (str(tmp_path), "md5"), ("s3a://b/c.mov", "md5")]
     got = hashes.file_digests(spark.createDataFrame(asked, "path string, alg string"), 2).collect()
     assert {(r.path, r.status) for r in got} == set(zip([p for p, _ in asked], ["ok", "missing", "unreadable", "unreadable"]))
+
+
+def test_digests_by_uri(spark, tmp_path):
+    (tmp_path / "a b").write_bytes(b"x")
+    (tmp_path / "shut").write_bytes(b"y")
+    (tmp_path / "shut").chmod(0)
+    paths = {
+        "plain": str(tmp_path / "a b"), "uri": f"file://{tmp_path}/a%20b", "one slash": f"file:{tmp_path}/a%20b", "none": f"file://{tmp_path}/no",
+        "folder": str(tmp_path), "scheme": "nosuch://host/x", "word": "x",
+    }
+    got = {r.path: (r.value, r.status) for r in hashes.file_digests(
+        spark.createDataFrame([(p, "md5") for p in [*paths.values(), str(tmp_path / "shut")]], "path string, alg string")).collect()}
+    good = (hashlib.md5(b"x").hexdigest(), "ok")
+    want = dict(plain=good, uri=good) | {"one slash": good, "none": (None, "missing")} | {k: (None, "unreadable") for k in ("folder", "scheme", "word")}
+    assert {k: got[p] for k, p in paths.items()} == want
+    try:
+        (tmp_path / "shut").read_bytes()
+    except PermissionError:
+        assert got[str(tmp_path / "shut")] == (None, "unreadable")
+
+
+def test_documents_written_twice_are_there_once(spark, tmp_path):
+    one = spark.createDataFrame([("a", '{"x":1}'), ("b", '{"x":2}')], "roll string, body string")
+    more = one.unionByName(spark.createDataFrame([("b", '{"x":3}')], "roll string, body string"))
+    for by in (None, "roll"):
+        out = str(tmp_path / str(by))
+        for _ in range(2):
+            sinks.write_documents(one, out, by)
+        assert spark.read.text(out, recursiveFileLookup=True).count() == 2
+        sinks.write_documents(more, out, by)
+        sinks.write_documents(one.limit(0), out, by)
+        assert sorted(r.body for r in sinks.read_documents(spark, out).collect()) == ['{"x":1}', '{"x":2}', '{"x":3}']
