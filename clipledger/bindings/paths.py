@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +13,7 @@ from clipledger import schemas
 from clipledger.bindings import Registry, load
 from clipledger.functions import hashes, paths, text
 from clipledger.operators import ingest, integrity, matching
+from clipledger.session import checkpoint_dir
 from clipledger.sources import documents as doc_source
 
 R = Registry()
@@ -43,7 +48,29 @@ CLIP_SQL = "ext IN (" + ", ".join(f"'{e}'" for e in schemas.MANIFEST_CLIP_EXTS)
 
 @R.add("s07_media_inventory", f"WITH {FILES_SQL} SELECT page_id, path, length FROM fx WHERE {CLIP_SQL}")
 def media_inventory(spark: SparkSession, sf: str) -> DataFrame:
-    return files(spark, sf).where(paths.is_clip(F.col("path"))).select("page_id", "path", "length")
+    """Every page is a file of as many bytes as its row says, below a folder of its own; what comes back is what the tree holds."""
+    root = f"{checkpoint_dir(spark)}/s07-{uuid.uuid4().hex}"
+    local = root.removeprefix("file:")
+    placed = files(spark, sf).select("page_id", F.concat(F.lit(f"{root}/p"), F.col("page_id").cast("string"), F.col("path")).alias("path"), "length")
+    made = placed.repartition(spark.sparkContext.defaultParallelism).mapInPandas(_make_files, "path string")
+    made.write.format("noop").mode("overwrite").save()
+    found = doc_source.inventory(spark, root, exts=schemas.MANIFEST_CLIP_EXTS)
+    inside = F.substring_index("path", f"{local.rsplit('/', 1)[1]}/p", -1)
+    return found.select(
+        F.regexp_extract(inside, "^([0-9]+)", 1).cast("bigint").alias("page_id"), F.regexp_replace(inside, "^[0-9]+", "").alias("path"), "length"
+    )
+
+
+def _make_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyarrow import fs
+
+    for pdf in batches:
+        for path, length in zip(pdf["path"], pdf["length"]):
+            store, inner = fs.FileSystem.from_uri(path if "://" in path else "file://" + "/" + path.removeprefix("file:").lstrip("/"))
+            store.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+            with store.open_output_stream(inner, compression=None) as f:
+                f.write(b"\0" * int(length))
+        yield pdf[["path"]]
 
 
 @R.add("s08_basename_index", f"WITH {FILES_SQL} SELECT base AS basename, CAST(count(*) AS BIGINT) AS files, min(path) AS first_path FROM fx GROUP BY 1")

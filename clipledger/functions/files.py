@@ -45,3 +45,16 @@ def opened(path: str) -> pa.NativeFile:
         raise OSError(str(e)) from e
     except pa.ArrowNotImplementedError as e:
         raise OSError(str(e)) from e
+
+
+def entries(folder: str) -> list[tuple[str, bool, int, object]]:
+    """(path, whether it is a folder, length, time of change) of what a folder holds. Paths keep the form of the folder's."""
+    try:
+        store, inner = _located(folder)
+        held = store.get_file_info(fs.FileSelector(inner, recursive=False))
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError) as e:
+        raise OSError(str(e)) from e
+    shown = "/" + inner.strip("/") if folder.startswith("file:") else folder.rstrip("/")
+    return [
+        (f"{shown.rstrip('/')}/{i.base_name}", i.type == fs.FileType.Directory, i.size, i.mtime) for i in held if i.type != fs.FileType.NotFound
+    ]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clipledger import schemas
 from clipledger.functions import paths
+from clipledger.sources import listing
 
 
 def plain_path(uri: Column) -> Column:
@@ -30,11 +31,8 @@ def document_rows(df: DataFrame, path: str = "sidecar_path", text: str = "body")
 
 
 def inventory(spark: SparkSession, *roots: str, exts: list[str] | None = None) -> DataFrame:
-    """(path, length, mtime) of files below the roots; content is never selected, so never read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(roots))
-    found = files.select(
-        plain_path(F.col("path")).alias("path"), "length", F.col("modificationTime").alias("mtime")
-    )
+    """(path, length, mtime) of files below the roots; content is never read, and the driver holds no listing."""
+    found = listing.tree(spark, *roots)
     return found.where(paths.extension(F.col("path")).isin(exts)) if exts else found
 
 

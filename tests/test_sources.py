@@ -229,3 +229,20 @@ def test_documents_written_twice_are_there_once(spark, tmp_path):
         sinks.write_documents(more, out, by)
         sinks.write_documents(one.limit(0), out, by)
         assert sorted(r.body for r in sinks.read_documents(spark, out).collect()) == ['{"x":1}', '{"x":2}', '{"x":3}']
+
+
+def test_listing_is_what_spark_lists(spark, tmp_path):
+    for i in range(40):
+        f = tmp_path / f"a{i % 3}" / f"b {i % 5}" / ("_hidden" if i == 7 else f"k={i}") / f"Ü{i} x.mov"
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_bytes(b"x" * (i + 1))
+    (tmp_path / "top.txt").write_text("t")
+    (tmp_path / ".dot").write_text("t")
+    (tmp_path / "empty").mkdir()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(tmp_path))
+    want = sorted(tuple(r) for r in files.select(documents.plain_path(F.col("path")), "length", F.unix_millis("modificationTime")).collect())
+    for root in (str(tmp_path), f"file://{tmp_path}/"):
+        got = documents.inventory(spark, root)
+        assert sorted(tuple(r) for r in got.select("path", "length", F.unix_millis("mtime")).collect()) == want
+    assert documents.inventory(spark, str(tmp_path), exts=["txt"]).count() == 1
+    assert documents.inventory(spark, str(tmp_path / "empty")).count() == 0
