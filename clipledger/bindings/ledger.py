@@ -292,9 +292,13 @@ SELECT DISTINCT 'kid' AS kind, 'kid-' || user_id AS name FROM events
 UNION ALL SELECT DISTINCT 'action', CASE event_type WHEN 'view' THEN 'update' WHEN 'signup' THEN 'create' WHEN 'purchase' THEN 'lock'
   WHEN 'error' THEN 'unlock' WHEN 'click' THEN 'verify' END FROM events""")
 def in_use(spark: SparkSession, sf: str) -> DataFrame:
+    from clipledger.plans import health
+
     log = event_log(spark, sf)
-    kids = log.select(F.lit("kid").alias("kind"), F.col("kid").alias("name")).distinct()
-    return kids.unionByName(log.select(F.lit("action").alias("kind"), F.col("action").alias("name")).distinct())
+    algs, kids = health.in_use(log.select(F.col("action").alias("alg")), log.withColumn("sig", F.struct("kid")))
+    return kids.select(F.lit("kid").alias("kind"), F.col("kid").alias("name")).unionByName(
+        algs.select(F.lit("action").alias("kind"), F.col("alg").alias("name"))
+    )
 
 
 @R.add("o06_unregistered", """
@@ -480,7 +484,7 @@ def log_merge(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ledger_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """One document per chain: the stored events of a user's day and the lock records that go with them."""
+    """One document per chain: the stored events of a user and the lock records that go with them."""
     ev = stored(spark, sf)
     path = F.concat(
         F.lit("shows/u"), F.col("user_id").cast("string"), F.lit("/g"), F.lpad(F.col("group_ix").cast("string"), 6, "0"),
@@ -531,10 +535,11 @@ fx AS (
 )
 
 
-def _document_audit(spark: SparkSession, sf: str) -> audit_plan.Audit:
+def _document_audit(spark: SparkSession, sf: str, only: set[str] | None = None) -> audit_plan.Audit:
     ring = doc_source.expand_keys(key_entries(spark, sf))
     return audit_plan.audit(audit_plan.Inputs(
         ledger_documents(spark, sf), keyring=ring, revocations=doc_source.revocation_rows(revocation_lists(spark, sf)),
+        only=only,
     ))
 
 
@@ -589,8 +594,8 @@ SELECT t.doc AS sidecar_path, regexp_extract(t.doc, '(g[0-9]+[.]omc)[.]json$', 1
   substr(regexp_replace(tip.hash, '^[^:]*:', ''), 1, 12) AS chainhead
 FROM t""")
 def export(spark: SparkSession, sf: str) -> DataFrame:
-    stages = _document_audit(spark, sf).stages
-    rows = _lower(export_plan.export(ledger_documents(spark, sf), now(), stages))
+    """The rows come from the tables of the audit, of which only stage 4 is asked for."""
+    rows = _lower(export_plan.export_audited(_document_audit(spark, sf, {"4"}), now()))
     return rows.select("sidecar_path", "name", "signed", "kid", "events", "locks", "lockedby", "chainhead")
 
 

@@ -39,10 +39,19 @@ class Inputs:
     missing_is_skip: bool = False
     moved_to: DataFrame | None = None
     verifier: object = None
+    only: set[str] | None = None  # stages to run; all when absent
+
+
+#: Cells that name a document.
+NAME_PATH = "$.Asset[0].name"
+FILE_PATH = "$.Asset[0].AssetSC.structuralProperties.fileDetails.fileName"
 
 
 @dataclass
 class Audit:
+    """What an audit found, and the tables it read, so that an export needs no second pass over the documents."""
+
+    parsed: DataFrame
     findings: DataFrame
     stages: DataFrame
     reports: DataFrame
@@ -73,30 +82,37 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 def audit(inputs: Inputs) -> Audit:
     """Findings, one row per document and stage, one report per document."""
-    asked = [r[0] for r in conform.ENVELOPE_RULES]
+    asked = [NAME_PATH, FILE_PATH, *[r[0] for r in conform.ENVELOPE_RULES]]
     asked += [p for p in inputs.vocabulary_paths if p not in asked]
+    stages = [s for s in schemas.STAGE_TITLES if inputs.only is None or s in inputs.only]
     # The only pass over document text; all stages start from what it leaves.
     parsed = cut_lineage(flatten.parse(inputs.documents, asked))
-    cells = flatten.cells(parsed, asked)
     groups, arts, events, lock_rows = flat_tables(parsed, inputs.base_dir, inputs.moved_to)
-    found = [
-        conform.envelope_findings(parsed, cells),
-        conform.payload_findings(groups, arts, events, lock_rows),
-        ledger.chain_findings(events),
-        locks.lock_findings(lock_rows, events, flatten.document_order("event_ix")),
-    ]
-    if inputs.keyring is not None:
+    found = []
+    if {"1", "7"} & set(stages):
+        cells = flatten.cells(parsed, asked)
+        if "1" in stages:
+            found.append(conform.envelope_findings(parsed, cells))
+        if "7" in stages and inputs.vocabulary is not None and inputs.vocabulary_paths:
+            found.append(conform.vocabulary_findings(cells.where(F.col("rule").isin(inputs.vocabulary_paths)), inputs.vocabulary))
+    if "2" in stages:
+        found.append(conform.payload_findings(groups, arts, events, lock_rows))
+    if "3" in stages:
+        found.append(ledger.chain_findings(events))
+    if "5" in stages:
+        found.append(locks.lock_findings(lock_rows, events, flatten.document_order("event_ix")))
+    if "4" in stages and inputs.keyring is not None:
         ring = inputs.keyring
         if inputs.revocations is not None:
             ring = keys.apply_revocations(ring, inputs.revocations)
         found.append(keys.key_findings(events, ring, inputs.verifier))
-    if inputs.vocabulary is not None and inputs.vocabulary_paths:
-        found.append(conform.vocabulary_findings(cells.where(F.col("rule").isin(inputs.vocabulary_paths)), inputs.vocabulary))
-    if inputs.inventory is not None:
+    if inputs.inventory is not None and {"6", "8", "9"} & set(stages):
         found.extend(_file_findings(inputs, arts))
-    findings = cut_lineage(_union(found))
-    stages = rollup.stage_results(findings, parsed, list(schemas.STAGE_TITLES))
-    return Audit(findings, stages, rollup.reports(stages), arts, events, lock_rows)
+    if not found:
+        found.append(ledger.chain_findings(events).limit(0))
+    findings = cut_lineage(_union(found).where(F.col("stage").isin(stages)))
+    results = rollup.stage_results(findings, parsed, stages)
+    return Audit(parsed, findings, results, rollup.reports(results), arts, events, lock_rows)
 
 
 def _file_findings(inputs: Inputs, arts: DataFrame) -> list[DataFrame]:

@@ -8,25 +8,21 @@ from pyspark.sql import functions as F
 from clipledger import schemas
 from clipledger.functions import paths, text
 from clipledger.operators import flatten, ledger
-from clipledger.plans.audit import flat_tables
+from clipledger.plans.audit import FILE_PATH, NAME_PATH, Audit, flat_tables
 from clipledger.session import cut_lineage
 
 
-_NAME = "$.Asset[0].name"
-_FILE = "$.Asset[0].AssetSC.structuralProperties.fileDetails.fileName"
-
-
 def names(parsed: DataFrame) -> DataFrame:
     """Asset name, else file name, else the stem of the document path."""
     at = lambda p: F.filter("cells", lambda c: c["where_"] == p)[0]["value"]
     return parsed.where("parsed").select(
-        "sidecar_path", text.first_name(at(_NAME), at(_FILE), paths.stem(F.col("sidecar_path"))).alias("name")
+        "sidecar_path", text.first_name(at(NAME_PATH), at(FILE_PATH), paths.stem(F.col("sidecar_path"))).alias("name")
     )
 
 
 def parse_named(documents: DataFrame) -> DataFrame:
     """Parsed documents with the cells names() needs."""
-    return cut_lineage(flatten.parse(documents, [_NAME, _FILE]))
+    return cut_lineage(flatten.parse(documents, [NAME_PATH, FILE_PATH]))
 
 
 def flat_rows(summary: DataFrame, now: Column, signed: Column, tape: str | None = None, base_dir: str | None = None) -> DataFrame:
@@ -56,6 +52,10 @@ def summaries(documents: DataFrame) -> DataFrame:
     """Per document: name, counts, tip and latest lock signer; documents without events included."""
     parsed = parse_named(documents)
     _, _, events, locks = flat_tables(parsed)
+    return _summaries(parsed, events, locks)
+
+
+def _summaries(parsed: DataFrame, events: DataFrame, locks: DataFrame) -> DataFrame:
     placed = events.withColumn("_at", flatten.document_order("event_ix"))
     tips = ledger.tips(placed, ["sidecar_path"], ["seq", "_at"])
     lock_counts = locks.groupBy("sidecar_path").agg(F.count(F.lit(1)).alias("locks"))
@@ -67,7 +67,15 @@ def export(
     documents: DataFrame, now: Column, stages: DataFrame | None = None, tape: str | None = None, base_dir: str | None = None
 ) -> DataFrame:
     """Flat rows; signed is the verdict of stage 4 of the audit stages given, and false where there are none."""
-    rows = summaries(documents)
+    return _judged(summaries(documents), now, stages, tape, base_dir)
+
+
+def export_audited(result: Audit, now: Column, tape: str | None = None, base_dir: str | None = None) -> DataFrame:
+    """Flat rows of the documents of an audit, from the tables it read; stage 4 must be among its stages for a document to be signed."""
+    return _judged(_summaries(result.parsed, result.events, result.locks), now, result.stages, tape, base_dir)
+
+
+def _judged(rows: DataFrame, now: Column, stages: DataFrame | None, tape: str | None, base_dir: str | None) -> DataFrame:
     if stages is None:
         return flat_rows(rows, now, F.lit(False), tape, base_dir)
     verdict = stages.where("stage = '4'").select("sidecar_path", (F.col("status") == "pass").alias("_signed"))
