@@ -214,10 +214,10 @@ def log_lines(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.ale_lines(rows).select("day", "pos", "line")
 
 
-def _changes(spark: SparkSession, sf: str) -> DataFrame:
+def _changes(spark: SparkSession, sf: str, *more: str) -> DataFrame:
     return event_log(spark, sf).select(
         text.utc_day(F.col("ts_utc")).cast("string").alias("day"), "sidecar_path", "target", "value",
-        F.struct("ts_utc", "event_id").alias("arrival"), "event_id",
+        F.struct("ts_utc", "event_id").alias("arrival"), "event_id", *more,
     )
 
 
@@ -236,9 +236,7 @@ hit AS (SELECT DISTINCT day FROM r WHERE event_type = 'error'),
 k AS (SELECT *, row_number() OVER (PARTITION BY day, user_id ORDER BY ts DESC, event_id DESC) AS rn FROM r WHERE day IN (SELECT day FROM hit))
 SELECT day, 'shows/u' || user_id || '.omc.json' AS sidecar_path, event_id FROM k WHERE rn = 1""")
 def upsert_log(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _changes(spark, sf).withColumn("changed", F.lit(False))
-    log = event_log(spark, sf).select("event_id", "action")
-    kind = rows.join(log, "event_id")
+    kind = _changes(spark, sf, "action").withColumn("changed", F.lit(False))
     current, changed = kind.where("action <> 'unlock'").drop("action"), kind.where("action = 'unlock'").drop("action")
     return sinks.upsert_log(current, changed, ["sidecar_path"]).select("day", "sidecar_path", "event_id")
 

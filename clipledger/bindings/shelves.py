@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipledger.bindings import Registry, load
+from clipledger.operators import flatten
+from clipledger.plans import ingest
 from clipledger.session import checkpoint_dir
-from clipledger.sources import manifests
+from clipledger.sources import documents, manifests
 
 R = Registry()
 
@@ -130,3 +134,45 @@ def format_routing(spark: SparkSession, sf: str) -> DataFrame:
     counts = rows.groupBy("manifest_path").agg(F.count(F.lit(1)).alias("entries"))
     heads = manifests.heads(manifests.scan(spark, out, glob="part-*"))
     return heads.join(counts, "manifest_path").select(_supplier(), "kind", "version", "closed", "entries")
+
+
+def _write_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyarrow import fs
+
+    for pdf in batches:
+        for path, content in zip(pdf["path"], pdf["content"]):
+            store, inner = fs.FileSystem.from_uri(path if "://" in path else "file:///" + path.removeprefix("file:").lstrip("/"))
+            store.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+            with store.open_output_stream(inner, compression=None) as f:
+                f.write(bytes(content))
+        yield pdf[["path"]]
+
+
+@R.add("g03_rehash", """
+SELECT doc_id, './r' || doc_id % 8 || '/c' || doc_id || '.mov' AS path, 'sha1' AS alg, sha1(coalesce(text, '')) AS value,
+  './r' || doc_id % 8 || '/m.mhl' AS manifest, sha256('Hashes:' || doc_id % 8) AS manifest_sha256
+FROM documents WHERE doc_id % 8 <> 7""")
+def rehash(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's text is a clip in one of eight folders, of which one has no manifest; the bytes are listed, read and hashed."""
+    root = f"{checkpoint_dir(spark)}/g03-{uuid.uuid4().hex}"
+    folder = F.concat(F.lit(f"{root}/r"), (F.col("doc_id") % 8).cast("string"))
+    docs = load(spark, sf, "documents")
+    clips = docs.select(
+        F.concat(folder, F.lit("/c"), F.col("doc_id").cast("string"), F.lit(".mov")).alias("path"),
+        F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"),
+    )
+    lists = spark.range(7).select(
+        F.concat(F.lit(f"{root}/r"), F.col("id").cast("string"), F.lit("/m.mhl")).alias("path"),
+        F.encode(F.concat(F.lit("Hashes:"), F.col("id").cast("string")), "UTF-8").alias("content"),
+    )
+    made = clips.unionByName(lists).repartition(spark.sparkContext.defaultParallelism).mapInPandas(_write_files, "path string")
+    made.write.format("noop").mode("overwrite").save()
+    base = "/" + root.removeprefix("file:").lstrip("/") if root.startswith("file:") else root
+    built = ingest.from_media(
+        documents.inventory(spark, root), manifests.manifest_files(spark, root), "sha1", F.to_timestamp(F.lit("2024-02-01T00:00:00Z")), base_dir=base
+    )
+    arts = flatten.artifacts(flatten.custom_data(documents.document_rows(built)))
+    clip = arts.where("kind = 'source-file'").select("sidecar_path", "path", "alg", "value")
+    listed = arts.where("kind = 'asc-mhl'").select("sidecar_path", F.col("path").alias("manifest"), F.col("value").alias("manifest_sha256"))
+    doc_id = F.regexp_extract("sidecar_path", "c([0-9]+)", 1).cast("bigint").alias("doc_id")
+    return clip.join(listed, "sidecar_path").select(doc_id, "path", "alg", "value", "manifest", "manifest_sha256")

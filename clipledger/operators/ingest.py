@@ -133,10 +133,12 @@ def create_event(target: Column, ts: Column, who: Identity) -> Column:
 
 
 def build_documents(
-    clips: DataFrame, ts: Column, who: Identity = Identity(), kid: str | None = None, signer=None
+    clips: DataFrame, ts: Column, who: Identity = Identity(), kid: str | None = None, signer=None, base_dir: str | None = None
 ) -> DataFrame:
     """Clip rows to documents: (sidecar_path, clip_path, body JSON text).
 
+    With base_dir the artifacts below it are named relative to it, so a document moves with its folder.
+
     clips: clip_path, alg, value, and optionally manifest_path, manifest_sha256, file, amf_path,
     amf_sha256, cdl_path, cdl_sha256, fdl_path, fdl_sha256. signer is an optional pandas UDF from
     canonical text to a base64 signature made with kid; without one the event has a hash only.
@@ -149,14 +151,17 @@ def build_documents(
     key = F.concat_ws("|", F.coalesce(col("manifest_sha256"), F.lit("")), F.col("clip_path"))
     sha = F.lit("sha256")
 
+    def shown(path: Column) -> Column:
+        return paths.relative_to(path, F.lit(base_dir)) if base_dir else path
+
     def side(name: str, role: str, kind: str, entry: Column | None = None) -> Column:
         path = col(f"{name}_path")
-        return F.when(path.isNotNull(), F.to_json(_artifact(F.col("_key"), role, kind, path, sha, col(f"{name}_sha256"), entry)))
+        return F.when(path.isNotNull(), F.to_json(_artifact(F.col("_key"), role, kind, shown(path), sha, col(f"{name}_sha256"), entry)))
 
     # concat_ws passes over the side files a clip does not have.
     arts = F.concat_ws(
         ",",
-        F.to_json(_artifact(F.col("_key"), "clip-integrity", "source-file", F.col("clip_path"), F.col("alg"), F.col("value"))),
+        F.to_json(_artifact(F.col("_key"), "clip-integrity", "source-file", shown(F.col("clip_path")), F.col("alg"), F.col("value"))),
         side("manifest", "integrity", "asc-mhl", col("file")),
         side("amf", "color-pipeline", "amf"),
         side("cdl", "color-pipeline", "cdl"),

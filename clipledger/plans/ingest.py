@@ -44,19 +44,19 @@ def _describe_side_files(clips: DataFrame, names: list[str]) -> DataFrame:
 
 def from_manifests(
     manifest: DataFrame, inventory: DataFrame, ts: Column, aux: DataFrame | None = None,
-    who: ops.Identity = ops.Identity(), kid: str | None = None, signer=None,
+    who: ops.Identity = ops.Identity(), kid: str | None = None, signer=None, base_dir: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(documents, entry outcomes). Hashes come from the manifest."""
     outcomes = ops.entry_outcomes(manifest, inventory)
     clips = outcomes.where("outcome = 'ok'")
     if aux is not None:
         clips = _describe_side_files(_side_files(clips, aux), ["amf", "cdl", "fdl"])
-    return ops.build_documents(clips, ts, who, kid, signer), outcomes
+    return ops.build_documents(clips, ts, who, kid, signer, base_dir), outcomes
 
 
 def from_media(
     inventory: DataFrame, manifest_files: DataFrame, alg: str, ts: Column, aux: DataFrame | None = None,
-    who: ops.Identity = ops.Identity(reason="clip bytes re-hashed"), kid: str | None = None, signer=None,
+    who: ops.Identity = ops.Identity(reason="clip bytes re-hashed"), kid: str | None = None, signer=None, base_dir: str | None = None,
 ) -> DataFrame:
     """Documents for clips below a manifest folder, clip bytes hashed with alg."""
     media = inventory.where(paths.is_clip(F.col("path"), schemas.REHASH_CLIP_EXTS))
@@ -67,12 +67,12 @@ def from_media(
     clips = placed.withColumn("file", entry).join(digests.where("status = 'ok'"), "path").withColumnRenamed("path", "clip_path")
     if aux is not None:
         clips = _describe_side_files(_side_files(clips, aux), ["amf", "cdl", "fdl"])
-    return ops.build_documents(clips, ts, who, kid, signer)
+    return ops.build_documents(clips, ts, who, kid, signer, base_dir)
 
 
 def one_clip(
-    inventory: DataFrame, clip: str, alg: str, ts: Column, who: ops.Identity, kid: str | None = None, signer=None
+    inventory: DataFrame, clip: str, alg: str, ts: Column, who: ops.Identity, kid: str | None = None, signer=None, base_dir: str | None = None
 ) -> DataFrame:
     """A document for one clip under the caller's own actor and role."""
     digests = hashes.file_digests(inventory.where(F.col("path") == clip).select("path", F.lit(alg).alias("alg")))
-    return ops.build_documents(digests.where("status = 'ok'").withColumnRenamed("path", "clip_path"), ts, who, kid, signer)
+    return ops.build_documents(digests.where("status = 'ok'").withColumnRenamed("path", "clip_path"), ts, who, kid, signer, base_dir)

@@ -260,7 +260,7 @@ class Watch:
         inventory = self.inventory()
         outcomes = ingest.entry_outcomes(rows, inventory)
         built = ingest.build_documents(
-            outcomes.where("outcome = 'ok'"), now, self.who, self.kid, self.signer
+            outcomes.where("outcome = 'ok'"), now, self.who, self.kid, self.signer, self.base_dir
         ).withColumn("stem", paths.stem(F.col("clip_path"))).withColumn(
             "arrival", F.struct(F.lit(batch).cast("bigint").alias("batch"), F.col("clip_path").alias("path"))
         )

@@ -46,6 +46,26 @@ def test_ingest_and_rehash_agree_and_validate(spark, tmp_path):
     assert {r.code for r in found.collect()} == {"unverified"}
 
 
+def test_one_clip_and_relative_paths(spark, tmp_path):
+    from clipledger.operators.ingest import Identity
+
+    root = tmp_path / "s"
+    corpus.write_show(root)
+    inv = docs.inventory(spark, str(root))
+    clip = str(root / "roll/A001_C001.mov")
+    who = Identity(actor="urn:user:me", role="DIT", reason="one clip")
+    (row,) = ingest.one_clip(inv, clip, "md5", now(), who, base_dir=str(root)).collect()
+    body = json.loads(row.body)
+    arts, events, _ = corpus.parts(body)
+    assert (arts[0]["path"], arts[0]["hash"]) == ("./roll/A001_C001.mov", {"alg": "md5", "value": hashlib.md5(b"clip bytes").hexdigest()})
+    assert events[0]["actor"] == {"id": "urn:user:me", "role": "DIT"} and body["Asset"][0]["provenance"]["reason"] == "one clip"
+    from clipledger.plans import audit as plan
+
+    found = plan.audit(plan.Inputs(docs.document_rows(ingest.one_clip(inv, clip, "md5", now(), who, base_dir=str(root))), inventory=inv, base_dir=str(root)))
+    assert found.findings.where("stage = '6'").count() == 0 and found.artifacts.first().resolved == clip
+    assert ingest.one_clip(inv, str(root / "none.mov"), "md5", now(), who).count() == 0
+
+
 def test_export_match_and_remap(spark, tmp_path):
     root = tmp_path / "s"
     doc = corpus.write_show(root)
