@@ -44,12 +44,19 @@ def expressions(text: str) -> np.ndarray:
     return (Rolling(data).of(start, np.minimum(end, start + STEM)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
 
+def _slots(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each text as the slots it holds, once each: what moves to the labels in place of the text."""
+    for frame in frames:
+        held = [np.unique(expressions(t or "")).astype(np.int32).tobytes() for t in frame["text"]]
+        yield frame.drop(columns="text").assign(slots=held)
+
+
 def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """How many of the task's texts hold each expression, per class, in spans of the table; empty spans are left out."""
     counts = np.zeros((2, _SIZE), np.int64)
     for frame in frames:
-        for text, toxic in zip(frame["text"], frame["toxic"]):
-            counts[toxic][np.unique(expressions(text or ""))] += 1
+        for slots, toxic in zip(frame["slots"], frame["toxic"]):
+            counts[toxic][np.frombuffer(slots, np.int32)] += 1
     rows = [
         (c, at // SPAN, counts[c, at : at + SPAN].tobytes())
         for c in (0, 1) for at in range(0, _SIZE, SPAN) if counts[c, at : at + SPAN].any()
@@ -71,7 +78,7 @@ _ROWS = "toxic int, span int, data binary"
 
 
 def gather(training: DataFrame) -> np.ndarray:
-    """Counts over all training rows (text, toxic), one row per class.
+    """Counts over all training rows (slots, toxic), one row per class.
 
     What a task holds and what comes to the driver is one table (4 MB), however many rows there are; a span's counts are
     added up in two steps, so no task meets the tables of all."""
@@ -138,7 +145,8 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ).where(remainder() != HELD_OUT)
     rows = docs.select("doc_id", "text")
     for_counts = ~remainder().isin(HELD_OUT, CURVE)
-    table = evidence_table(gather(rows.where(for_counts).join(known.where(for_counts), "doc_id").select("text", "toxic")))
+    held = rows.where(for_counts).mapInPandas(_slots, "doc_id bigint, slots binary")
+    table = evidence_table(gather(held.join(known.where(for_counts), "doc_id").select("slots", "toxic")))
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
