@@ -6,8 +6,9 @@ documents agree on a sketch only if they share those shingles in the same order.
 or more are candidates (a pair of similarity 0.8 is missed once in 75 000: 20 sketches, 0.8^3 each); a candidate pair is a
 link if a banded alignment of the two shingle sequences, or else their sets, are similar to SIMILARITY or more.
 
-Only what links connect is asked for, so each document first meets the leaders of its buckets, and then every candidate
-that the links found so far leave in another component. Candidates too unlike in length to be a link are not fetched.
+Only what links connect is asked for, so each document first meets leaders of its buckets, and then every candidate
+that the links found so far leave in another component. In large buckets these are compared by their lowest shingle hashes in
+blocks, and only pairs that can be a link are fetched; elsewhere candidates too unlike in length are not.
 """
 
 from __future__ import annotations
@@ -24,9 +25,10 @@ from clipledger.llm.support import Rolling, components, mix, release, stage, wor
 
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, PICKS, AGREE = 20, 3, 2
-#: In buckets up to this size the second round compares members pair by pair. Members of larger ones meet by the pairs of
-#: such buckets that they share, with ids only; two documents that share no small bucket agree on two large ones.
-SMALL_BUCKET = 16
+#: Buckets up to this size are compared in one row, larger ones in pairs of blocks of BLOCK members; the rule is the same.
+SMALL_BUCKET, BLOCK = 16, 2048
+#: Leaders a document meets first, and hashes by which the members of a block are compared before texts are fetched.
+LEADERS, LOWEST = 2, 256
 
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -160,10 +162,14 @@ def _fits(x: Column, y: Column) -> Column:
     return (ratio("n") >= SIMILARITY) | (ratio("u") >= SIMILARITY)
 
 
+def _agreement(x: Column, y: Column) -> Column:
+    """On how many sketches two members agree."""
+    return F.size(F.filter(F.zip_with(x["keys"], y["keys"], lambda a, b: a == b), lambda z: z))
+
+
 def _agree(x: Column, y: Column) -> Column:
     """Whether two members agree on enough sketches."""
-    same = F.size(F.filter(F.zip_with(x["keys"], y["keys"], lambda a, b: a == b), lambda z: z))
-    return same >= F.least(F.lit(AGREE), F.size(x["keys"]))
+    return _agreement(x, y) >= AGREE
 
 
 def _named(pairs: DataFrame) -> DataFrame:
@@ -172,28 +178,103 @@ def _named(pairs: DataFrame) -> DataFrame:
 
 
 def _with_leaders(buckets: DataFrame) -> DataFrame:
-    """Candidates from buckets (key, m, g): each member of a bucket with its leaders, one in small ones and two in large ones."""
+    """Pairs from buckets (key, m, g): each member with the LEADERS leaders of its buckets that it agrees with most.
+
+    Small buckets have one leader, large ones two. What this leaves apart is compared afterwards, so nothing is lost here."""
     small = buckets.where(F.col("g") <= SMALL_BUCKET).groupBy("key").agg(
         F.array_sort(F.collect_list(F.struct(F.xxhash64("m.doc_id").alias("h"), "m.*"))).alias("all")
     ).withColumn("l", F.col("all")[0])
-    close = small.select("l", F.explode(
-        F.filter("all", lambda y: (y["doc_id"] != F.col("l.doc_id")) & _fits(F.col("l"), y) & _agree(F.col("l"), y))
-    ).alias("y")).select(F.col("l.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+    close = small.select("l", F.explode(F.filter("all", lambda y: _fits(F.col("l"), y))).alias("m"))
     large = buckets.where(F.col("g") > SMALL_BUCKET)
     leaders = large.groupBy("key").agg(
         F.min_by("m", F.struct(F.xxhash64("m.doc_id"), "m.doc_id")).alias("l1"),
         F.min_by("m", F.struct(F.xxhash64("m.doc_id", "key"), "m.doc_id")).alias("l2"),
     ).select("key", F.explode(F.array_distinct(F.array("l1", "l2"))).alias("l"))
-    far = large.join(leaders, "key").where(_fits(F.col("m"), F.col("l")) & _agree(F.col("m"), F.col("l"))).select(
-        F.col("m.doc_id").alias("a"), F.col("l.doc_id").alias("b")
+    far = large.join(leaders, "key").where(_fits(F.col("m"), F.col("l")))
+    both = [df.select(
+        F.col("l.doc_id").alias("a"), F.col("m.doc_id").alias("b"), _agreement(F.col("m"), F.col("l")).alias("agree")
+    ).where((F.col("a") != F.col("b")) & (F.col("agree") >= AGREE)) for df in (close, far)]
+    best = both[0].union(both[1]).groupBy("b").agg(
+        F.slice(F.sort_array(F.collect_set(F.struct("agree", "a")), asc=False), 1, LEADERS).alias("best")
     )
-    return _named(close.union(far))
+    return _named(best.select("b", F.explode("best.a").alias("a")))
 
 
-def _still_apart(buckets: DataFrame, found: DataFrame) -> DataFrame:
-    """All candidates of different components: by pair in small buckets, by two shared keys among large ones.
+def lowest(seq: np.ndarray) -> tuple[bytes, bool]:
+    """The LOWEST smallest hashes of the labelled shingles, the last bit telling first occurrences, and whether these are all.
 
-    Two documents of different components are not both in a bucket's largest one, so one side of the join is the rest."""
+    Of two documents they give the similarity of the labelled shingles and, by the marked ones, of the sets."""
+    labels = labelled(seq)
+    first = np.isin(labels, mix(np.unique(seq)))
+    values = np.unique(((labels >> np.uint64(33) << np.uint64(1)) | first.astype(np.uint64)).astype(np.uint32))
+    return values[:LOWEST].tobytes(), len(values) <= LOWEST
+
+
+def _lowest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        rows = [(i, *lowest(shingles((text or "").encode()))) for i, text in zip(frame["doc_id"], frame["text"])]
+        yield pd.DataFrame(rows, columns=["doc_id", "low", "whole"])
+
+
+def _share(common: np.ndarray, x: np.ndarray, y: np.ndarray, exact: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Similarity from counts, and whether a link is possible: certain of all shingles, within five deviations of a sample."""
+    union = np.maximum(x + y - common, 1)
+    share = common / union
+    slack = np.where(exact, 0.005, 5 * np.sqrt(SIMILARITY * (1 - SIMILARITY) / union))  # 31-bit hashes may collide
+    return share, share >= SIMILARITY - slack
+
+
+def block_pairs(block: pd.DataFrame) -> pd.DataFrame:
+    """Candidates (a, b) of different components in a pair of blocks of one bucket (key, lo, hi, side, doc_id, c, keys, low, whole).
+
+    A pair is judged in the bucket of its first common key. Where all shingles are known and the sets are alike beyond doubt,
+    only pairs that join something new are given: the others would link what these link already."""
+    key, n = block["key"].iloc[0], len(block)
+    ids, side, whole = block["doc_id"].to_numpy(), block["side"].to_numpy(), block["whole"].to_numpy()
+    across = block["lo"].iloc[0] != block["hi"].iloc[0]
+    part = np.unique(block["c"].to_numpy(), return_inverse=True)[1]
+    most = part == np.bincount(part).argmax()
+    keys = np.stack(block["keys"].to_list())
+    held = [np.frombuffer(v, np.uint32) for v in block["low"]]
+    flat, start = np.concatenate(held), np.r_[0, np.cumsum([len(v) for v in held])[:-1]]
+    marked = (flat & 1).astype(np.int32)
+    names, at = np.unique(flat, return_inverse=True)
+    top = np.where(whole, np.uint32(0xFFFFFFFF), np.array([v[-1] for v in held], np.uint32))
+    parent = list(range(part.max() + 1))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    found = []
+    for x in np.flatnonzero(~most):  # of two components one is not the largest
+        same = keys == keys[x]
+        ok = (same.sum(1) >= AGREE) & (keys[x][same.argmax(1)] == key) & (part != part[x]) & (most | (np.arange(n) > x))
+        if across:
+            ok &= side != side[x]
+        if not ok.any():
+            continue
+        flags = np.zeros(len(names), np.int32)
+        flags[at[start[x] : start[x] + len(held[x])]] = 1
+        hit, below = flags[at], (flat <= top[x]).astype(np.int32)
+        upto = np.searchsorted(held[x], top, side="right")
+        exact = whole & whole[x]
+        _, may = _share(np.add.reduceat(hit, start), upto, np.add.reduceat(below, start), exact)
+        sets, may_sets = _share(
+            np.add.reduceat(hit * marked, start), np.r_[0, np.cumsum(held[x] & 1)][upto], np.add.reduceat(below * marked, start), exact
+        )
+        for y in np.flatnonzero(ok & (may | may_sets)):
+            p, q = root(part[x]), root(part[y])
+            if p != q:
+                found.append((ids[x], ids[y]))
+                if exact[y] and sets[y] >= SIMILARITY + 0.02:
+                    parent[p] = q
+    return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+
+def _still_apart(buckets: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
+    """All candidates of different components: by pair in small buckets, in pairs of blocks of large ones."""
     placed = buckets.join(found.withColumnRenamed("id", "m_id"), F.col("m.doc_id") == F.col("m_id"), "left").select(
         "key", "m", "g", F.coalesce("component", "m.doc_id").alias("c")
     )
@@ -203,21 +284,19 @@ def _still_apart(buckets: DataFrame, found: DataFrame) -> DataFrame:
     close = small.select("all", F.explode("all").alias("x")).select("x", F.explode(F.filter("all", lambda y: (
         (y["doc_id"] > F.col("x.doc_id")) & (y["c"] != F.col("x.c")) & _fits(F.col("x"), y) & _agree(F.col("x"), y)
     ))).alias("y")).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-    large = placed.where(F.col("g") > SMALL_BUCKET).select("key", "c", "m.doc_id", "m.n", "m.u")
-    shares = large.groupBy("key", "c").agg(F.count("*").alias("rows"))
-    main = shares.groupBy("key").agg(F.max_by("c", F.struct("rows", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    held = large.join(main, "key").groupBy("doc_id", "n", "u", "c").agg(
-        F.array_sort(F.collect_list(F.struct("key", (F.col("c") != F.col("main")).alias("out")))).alias("l")
-    )
-    twos = F.flatten(F.transform("l", lambda p, i: F.transform(
-        F.slice("l", i + 2, F.lit(SKETCHES)), lambda q: F.struct(F.xxhash64(p["key"], q["key"]).alias("both"), p["out"].alias("out"))
-    )))
-    members = held.select(F.struct("doc_id", "n", "u", "c").alias("m"), F.explode(twos).alias("t")).select("m", "t.*")
-    x = members.where("out").select("both", F.col("m").alias("x"))
-    y = members.select("both", F.col("m").alias("y"))
-    far = x.join(y, "both").where((F.col("x.c") != F.col("y.c")) & _fits(F.col("x"), F.col("y"))).select(
-        F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")
+    large = placed.where(F.col("g") > SMALL_BUCKET)
+    mixed = large.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("key")
+    large = stage(large.join(mixed, "key").select("key", "c", "g", "m.doc_id", "m.keys"))
+    low = docs.select("doc_id", "text").join(large.select("doc_id").distinct(), "doc_id", "left_semi").mapInPandas(
+        _lowest, "doc_id bigint, low binary, whole boolean"
+    ).where(F.length("low") > 0).groupBy("doc_id").agg(F.max(F.struct("low", "whole")).alias("v"))
+    cut = F.ceil(F.col("g") / BLOCK)
+    sided = large.withColumn("side", F.pmod(F.xxhash64("doc_id"), cut)).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), cut - 1))
     )
+    far = sided.join(low, "doc_id").select(
+        "key", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "doc_id", "c", "keys", "v.*"
+    ).groupBy("key", "lo", "hi").applyInPandas(block_pairs, "a bigint, b bigint")
     return _named(close.union(far))
 
 
@@ -241,7 +320,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = stage(verify(candidates, docs).where(F.col("similarity") >= SIMILARITY))
     release(docs.sparkSession)
     found = stage(components(links))
-    more = stage(_still_apart(buckets, found))
+    more = stage(_still_apart(buckets, found, docs))
     if not more.isEmpty():
         more = stage(verify(more, docs).where(F.col("similarity") >= SIMILARITY))
         if not more.isEmpty():

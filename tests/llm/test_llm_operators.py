@@ -127,10 +127,47 @@ def test_near_keeps_pairs_on_two_sketches(spark):
     buckets = spark.createDataFrame([(k, size[k], m) for k in (3, 17) for m in members if m[3][k] == k],
                                     "key bigint, g bigint, m struct<doc_id bigint, n int, u int, keys array<bigint>>")
     assert min(size.values()) > near.SMALL_BUCKET
-    apart = near._still_apart(buckets, spark.createDataFrame([(i, 0) for i in range(39)], "id bigint, component bigint"))
+    texts = [(i, f"text{i} " + " ".join(f"w{i // 39 * 100 + j}" for j in range(60))) for i in range(41)]
+    apart = near._still_apart(
+        buckets, spark.createDataFrame([(i, 0) for i in range(39)], "id bigint, component bigint"),
+        spark.createDataFrame(texts, "doc_id bigint, text string"),
+    )
     assert [tuple(r) for r in apart.collect()] == [(39, 40)]
 
 
+@pytest.mark.parametrize("block", [32, 2048])
+def test_near_classes_of_a_hot_group_are_those_of_brute_force(spark, monkeypatch, block):
+    """Variants of one text on both sides of the threshold, repeated shingles and texts beyond the sample among them."""
+    monkeypatch.setattr(near, "BLOCK", block)
+    rng = random.Random(block)
+    rows = []
+    for base in (70, 400):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(base)] + ["again and again and again"] * 4
+        for _ in range(110):
+            other = [*words]
+            for place in rng.sample(range(base), rng.choice([1, 2, 3, 4]) * base // 60):
+                other[place] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows) * 3, " ".join(other)))
+    seqs = {i: near.shingles(t.encode()) for i, t in rows}
+    held = {i: near.sketch(near.labelled(s)) for i, s in seqs.items()}
+    lead = {i: i for i in seqs}
+
+    def top(i):
+        while lead[i] != i:
+            i = lead[i]
+        return i
+
+    for i in seqs:
+        for j in seqs:
+            if i < j and (held[i] == held[j]).sum() >= near.AGREE and near.similarity(seqs[i], seqs[j]) >= near.SIMILARITY:
+                p, q = sorted((top(i), top(j)))
+                lead[q] = p
+    want = {i: top(i) for i in seqs}
+    assert 10 < len(set(want.values())) < len(want) - 10
+    got = near.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == want
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)], "a bigint, b bigint")
     got = {r.id: r.component for r in components(links).collect()}
