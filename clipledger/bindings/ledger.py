@@ -11,7 +11,7 @@ from clipledger.bindings.tables import (
     CHAIN_SQL, EV_SQL, KEYS_SQL, LOCK_SQL, STORED_SQL, chained, event_log, key_entries, lock_rows, numbered,
     revocation_lists, stored,
 )
-from clipledger.functions import hashes, text
+from clipledger.functions import hashes, paths, text
 from clipledger.operators import conform, ingest, keys, ledger, locks, ordered, rollup
 from clipledger.plans import audit as audit_plan
 from clipledger.plans import export as export_plan
@@ -377,6 +377,26 @@ def report_json(spark: SparkSession, sf: str) -> DataFrame:
     return rollup.report_json(rollup.reports(stage_results(spark, sf)))
 
 
+@R.add("k04_report_lines", f"""
+WITH RECURSIVE {STAGE_SQL},
+n AS (SELECT sidecar_path, stage, greatest(errors + warnings, 1) AS n_lines, errors + warnings = 0 AS ok FROM sr
+  UNION ALL SELECT DISTINCT sidecar_path, '6', 1, false FROM sr)
+SELECT sidecar_path, CASE WHEN strpos(sidecar_path, '/') = 0 THEN '' ELSE regexp_replace(sidecar_path, '/[^/]*$', '') END AS base_dir,
+  stage, CAST(n_lines AS BIGINT) AS n_lines,
+  CASE WHEN ok THEN 'OK' WHEN stage = '6' THEN 'not checked: no inventory' END AS said FROM n""")
+def report_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Read back from the JSON text of the reports."""
+    told = rollup.stage_results(_stage34(spark, sf), event_log(spark, sf), ["3", "4", "6"], skipped={"6": "inventory"})
+    made = rollup.report_json(rollup.reports(told).withColumn("base_dir", paths.dirname(F.col("sidecar_path"))))
+    report = F.from_json("report", "base_dir string, stages array<struct<stage string, lines array<string>>>")
+    one = made.select("sidecar_path", report.alias("r")).select("sidecar_path", "r.base_dir", F.explode("r.stages").alias("s"))
+    first = F.col("s.lines")[0]
+    return one.select(
+        "sidecar_path", "base_dir", "s.stage", F.size("s.lines").cast("bigint").alias("n_lines"),
+        F.when((first == "OK") | first.startswith("not checked"), first).alias("said"),
+    )
+
+
 QUARANTINE_SQL = (
     STAGE_SQL
     + """,

@@ -175,12 +175,13 @@ h AS (
     || id || '","tool":{{"name":"clipledger","version":"0.1"}},"ts":"2024-02-01T00:00:00Z"}}') AS hash FROM i)
 SELECT stem || '.omc.json' AS sidecar_path, hash AS chain_head, md5('{{"Asset":[{{"schemaVersion":"v2.8","entityType":"Asset","identifier":[{{"identifierScope":"clip-uuid","identifierValue":"'
   || id || '"}},{{"identifierScope":"source-filename","identifierValue":"' || stem || '"}}],"name":"' || stem
-  || '","provenance":{{"createdOn":"2024-02-01T00:00:00Z","reason":"ingested from manifest, clip bytes not read"}},"AssetSC":{{"structuralType":"digital.movingImage","structuralProperties":{{"linkset":{{"recordType":"item","mediaType":"video/quicktime"}},"fileDetails":{{"fileName":"'
-  || stem || '","filePath":"/","fileExtension":"mov","mediaType":"video/quicktime"}}}}}},"assetFC":{{"functionalType":"capture.ocf","functionalProperties":{{"customData":[{{"domain":"{schemas.ARTIFACT_DOMAIN}","namespace":"urn:clipledger:sidecar:v0.1","value":[{{"id":"'
+  || '","description":"Ingested from ' || regexp_replace(manifest_path, '.*/', '')
+  || '","provenance":{{"CreatedBy":{{"identifier":[{{"identifierScope":"actor","identifierValue":"urn:service:ingest"}}]}},"Role":{{"identifier":[{{"identifierScope":"crew-role","identifierValue":"IngestService"}}]}},"createdOn":"2024-02-01T00:00:00Z","reason":"ingested from manifest, clip bytes not read"}},"AssetSC":{{"schemaVersion":"v2.8","entityType":"AssetSC","identifier":[{{"identifierScope":"clip-sc-uuid","identifierValue":"astsc-' || id || '"}}],"structuralType":"digital.movingImage","structuralProperties":{{"linkset":{{"recordType":"item","mediaType":"video/quicktime"}},"fileDetails":{{"fileName":"'
+  || stem || '","filePath":"/","fileExtension":"mov","mediaType":"video/quicktime"}},"purpose":"general"}}}},"assetFC":{{"functionalType":"capture.ocf","functionalProperties":{{"customData":[{{"domain":"{schemas.ARTIFACT_DOMAIN}","namespace":"urn:clipledger:sidecar:v0.1","schema":"urn:clipledger:sidecar:v0.1:artifacts.schema.json","value":[{{"id":"'
   || id0 || '","role":"clip-integrity","kind":"source-file","path":"' || file || '","hash":{{"alg":"' || alg || '","value":"' || value
   || '"}}}},{{"id":"' || id1 || '","role":"integrity","kind":"asc-mhl","path":"' || manifest_path || '","mhlEntry":"' || file || '","hash":{{"alg":"sha256","value":"' || msha
-  || '"}},"immutable":true}}]}},{{"domain":"{schemas.EVENT_DOMAIN}","namespace":"urn:clipledger:sidecar:v0.1","value":[{{"action":"create","actor":{{"id":"urn:service:ingest","role":"IngestService"}},"prevHash":null,"seq":1,"target":"'
-  || id || '","tool":{{"name":"clipledger","version":"0.1"}},"ts":"2024-02-01T00:00:00Z","hash":"' || hash || '"}}]}},{{"domain":"{schemas.LOCK_DOMAIN}","namespace":"urn:clipledger:sidecar:v0.1","value":[]}}]}}}}}}]}}') AS body_md5 FROM h""")
+  || '"}},"immutable":true}}]}},{{"domain":"{schemas.EVENT_DOMAIN}","namespace":"urn:clipledger:sidecar:v0.1","schema":"urn:clipledger:sidecar:v0.1:events.schema.json","value":[{{"action":"create","actor":{{"id":"urn:service:ingest","role":"IngestService"}},"prevHash":null,"seq":1,"target":"'
+  || id || '","tool":{{"name":"clipledger","version":"0.1"}},"ts":"2024-02-01T00:00:00Z","hash":"' || hash || '"}}]}},{{"domain":"{schemas.LOCK_DOMAIN}","namespace":"urn:clipledger:sidecar:v0.1","schema":"urn:clipledger:sidecar:v0.1:locks.schema.json","value":[]}}]}}}}}}]}}') AS body_md5 FROM h""")
 def run_ingest(spark: SparkSession, sf: str) -> DataFrame:
     clips = _outcomes(spark, sf).where("outcome = 'ok'")
     built = ingest.build_documents(clips, F.to_timestamp(F.lit("2024-02-01T00:00:00Z")))

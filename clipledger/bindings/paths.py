@@ -116,11 +116,13 @@ _TYPE = lambda i: " ".join(f"WHEN '{k}' THEN '{v[i]}'" for k, v in schemas.MEDIA
 @R.add("p12_media_types", f"""
 WITH {FILES_SQL}
 SELECT page_id, CASE ext {_TYPE(0)} ELSE '{schemas.DEFAULT_MEDIA_TYPE[0]}' END AS structural_type,
-  CASE ext {_TYPE(1)} ELSE '{schemas.DEFAULT_MEDIA_TYPE[1]}' END AS media_type FROM fx""")
+  CASE ext {_TYPE(1)} ELSE '{schemas.DEFAULT_MEDIA_TYPE[1]}' END AS media_type,
+  CASE ext {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in schemas.CODECS.items())} ELSE '{schemas.DEFAULT_CODEC}' END AS codec FROM fx""")
 def media_types(spark: SparkSession, sf: str) -> DataFrame:
     ext = paths.extension(F.col("path"))
     return files(spark, sf).select(
-        "page_id", paths.structural_type(ext).alias("structural_type"), paths.media_type(ext).alias("media_type")
+        "page_id", paths.structural_type(ext).alias("structural_type"), paths.media_type(ext).alias("media_type"),
+        paths.codec(ext).alias("codec"),
     )
 
 

@@ -76,6 +76,11 @@ def media_type(ext: Column) -> Column:
     return F.coalesce(F.try_element_at(_lookup(1), ext), F.lit(schemas.DEFAULT_MEDIA_TYPE[1]))
 
 
+def codec(ext: Column) -> Column:
+    pairs = [F.lit(x) for pair in schemas.CODECS.items() for x in pair]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), ext), F.lit(schemas.DEFAULT_CODEC))
+
+
 def trailing_overlap(a: Column, b: Column) -> Column:
     """How many trailing path components two paths share."""
     left, right = F.reverse(F.split(posix(a), "/")), F.reverse(F.split(posix(b), "/"))

@@ -105,13 +105,14 @@ def attach_only_file(clips: DataFrame, files: DataFrame, out: str) -> DataFrame:
     return clips.withColumn("_all", F.lit(True)).join(F.broadcast(first), "_all", "left").drop("_all")
 
 
-def _artifact(clip_key: Column, role: str, kind: str, path: Column, alg: Column, value: Column, entry: Column | None = None):
+def _artifact(clip_key: Column, role: str, kind: str, path: Column, alg: Column, value: Column, entry: Column | None = None, subtype: str | None = None):
     """Artifact as a struct with absent optional fields left null (to_json then drops them)."""
     manifest = entry is not None
     return F.struct(
         text.derived_id(clip_key, F.lit(kind), path).alias("id"),
         F.lit(role).alias("role"),
         F.lit(kind).alias("kind"),
+        F.lit(subtype).cast("string").alias("subtype"),
         path.alias("path"),
         (entry if manifest else F.lit(None).cast("string")).alias("mhlEntry"),
         F.struct(alg.alias("alg"), value.alias("value")).alias("hash"),
@@ -133,14 +134,15 @@ def create_event(target: Column, ts: Column, who: Identity) -> Column:
 
 
 def build_documents(
-    clips: DataFrame, ts: Column, who: Identity = Identity(), kid: str | None = None, signer=None, base_dir: str | None = None
+    clips: DataFrame, ts: Column, who: Identity = Identity(), kid: str | None = None, signer=None, base_dir: str | None = None,
+    codec: bool = False,
 ) -> DataFrame:
     """Clip rows to documents: (sidecar_path, clip_path, body JSON text).
 
     With base_dir the artifacts below it are named relative to it, so a document moves with its folder.
 
     clips: clip_path, alg, value, and optionally manifest_path, manifest_sha256, file, amf_path,
-    amf_sha256, cdl_path, cdl_sha256, fdl_path, fdl_sha256. signer is an optional pandas UDF from
+    amf_sha256, cdl_path, cdl_sha256, fdl_path, fdl_sha256, ale_path, ale_sha256. codec adds the one its extension stands for. signer is an optional pandas UDF from
     canonical text to a base64 signature made with kid; without one the event has a hash only.
     """
     cols = set(clips.columns)
@@ -154,9 +156,9 @@ def build_documents(
     def shown(path: Column) -> Column:
         return paths.relative_to(path, F.lit(base_dir)) if base_dir else path
 
-    def side(name: str, role: str, kind: str, entry: Column | None = None) -> Column:
+    def side(name: str, role: str, kind: str, entry: Column | None = None, subtype: str | None = None) -> Column:
         path = col(f"{name}_path")
-        return F.when(path.isNotNull(), F.to_json(_artifact(F.col("_key"), role, kind, shown(path), sha, col(f"{name}_sha256"), entry)))
+        return F.when(path.isNotNull(), F.to_json(_artifact(F.col("_key"), role, kind, shown(path), sha, col(f"{name}_sha256"), entry, subtype)))
 
     # concat_ws passes over the side files a clip does not have.
     arts = F.concat_ws(
@@ -166,6 +168,7 @@ def build_documents(
         side("amf", "color-pipeline", "amf"),
         side("cdl", "color-pipeline", "cdl"),
         side("fdl", "framing", "asc-fdl"),
+        side("ale", "edit-metadata", "resolve-export", subtype="ale"),
     )
     stamp = text.iso_z(ts)
     base = clips.withColumn("_key", key).withColumn("_name", paths.stem(F.col("clip_path"))).withColumn(
@@ -182,12 +185,20 @@ def build_documents(
     )
 
     def group(domain: str, items: Column) -> Column:
-        return F.concat(F.lit(f'{{"domain":"{domain}","namespace":"{who.namespace}","value":['), items, F.lit("]}"))
+        schema = f"{who.namespace}:{domain.rsplit('.', 1)[-1]}.schema.json"
+        return F.concat(
+            F.lit(f'{{"domain":"{domain}","namespace":"{who.namespace}","schema":"{schema}","value":['), items, F.lit("]}")
+        )
 
     groups = F.concat(
         F.lit("["), group(schemas.ARTIFACT_DOMAIN, arts), F.lit(","), group(schemas.EVENT_DOMAIN, event_json), F.lit(","),
         group(schemas.LOCK_DOMAIN, F.lit("")), F.lit("]"),
     )
+    def one_id(scope: str, value: Column) -> Column:
+        return F.struct(F.array(
+            F.struct(F.lit(scope).alias("identifierScope"), value.alias("identifierValue"))
+        ).alias("identifier"))
+
     asset_head = F.struct(
         F.lit(who.schema_version).alias("schemaVersion"), F.lit("Asset").alias("entityType"),
         F.array(
@@ -195,16 +206,26 @@ def build_documents(
             F.struct(F.lit("source-filename").alias("identifierScope"), F.col("_name").alias("identifierValue")),
         ).alias("identifier"),
         F.col("_name").alias("name"),
-        F.struct(stamp.alias("createdOn"), F.lit(who.reason).alias("reason")).alias("provenance"),
+        F.when(
+            col("manifest_path").isNotNull(), F.concat(F.lit("Ingested from "), paths.basename(col("manifest_path")))
+        ).otherwise(F.concat(F.lit("Document of "), paths.basename(F.col("clip_path")))).alias("description"),
+        F.struct(
+            one_id("actor", F.lit(who.actor)).alias("CreatedBy"), one_id("crew-role", F.lit(who.role)).alias("Role"),
+            stamp.alias("createdOn"), F.lit(who.reason).alias("reason"),
+        ).alias("provenance"),
         F.struct(
+            F.lit(who.schema_version).alias("schemaVersion"), F.lit("AssetSC").alias("entityType"),
+            one_id("clip-sc-uuid", F.concat(F.lit("astsc-"), F.col("_id")))["identifier"].alias("identifier"),
             paths.structural_type(F.col("_ext")).alias("structuralType"),
             F.struct(
+                *([paths.codec(F.col("_ext")).alias("codec")] if codec else []),
                 F.struct(F.lit("item").alias("recordType"), paths.media_type(F.col("_ext")).alias("mediaType")).alias("linkset"),
                 F.struct(
                     F.col("_name").alias("fileName"),
                     F.concat(paths.dirname(F.col("clip_path")), F.lit("/")).alias("filePath"),
                     F.col("_ext").alias("fileExtension"), paths.media_type(F.col("_ext")).alias("mediaType"),
                 ).alias("fileDetails"),
+                F.lit("general").alias("purpose"),
             ).alias("structuralProperties"),
         ).alias("AssetSC"),
     )

@@ -13,30 +13,43 @@ def severity_rank(col: Column) -> Column:
     return F.when(col == "fail", 2).when(col == "warn", 1).otherwise(0)
 
 
-def stage_results(findings: DataFrame, targets: DataFrame, stages: list[str], keys: list[str] | None = None) -> DataFrame:
+def stage_results(
+    findings: DataFrame, targets: DataFrame, stages: list[str], keys: list[str] | None = None,
+    skipped: dict[str, str] | None = None,
+) -> DataFrame:
     """One row per (document, stage): errors, warnings, status; stages without findings pass.
 
-    A hot document's findings are counted map-side before they move.
+    A hot document's findings are counted map-side before they move. With skipped (stage to what it lacked; may be empty)
+    each row has its lines as well: one per finding in the order of places, else OK or that the stage was not checked.
     """
     keys = keys or ["sidecar_path"]
+    line = F.struct("where_", F.concat_ws(" ", "where_", F.concat("severity", F.lit(":")), "code", "detail").alias("line"))
+    told = [] if skipped is None else [F.array_sort(F.collect_list(line)).alias("found")]
     counts = findings.groupBy(*keys, "stage").agg(
         F.sum(F.when(F.col("severity") == "error", F.col("n")).otherwise(0)).alias("errors"),
         F.sum(F.when(F.col("severity") == "warning", F.col("n")).otherwise(0)).alias("warnings"),
+        *told,
     )
     grid = targets.select(*keys).distinct().withColumn("stage", F.explode(F.array(*[F.lit(s) for s in stages])))
     errors = F.coalesce("errors", F.lit(0)).cast("bigint")
     warnings = F.coalesce("warnings", F.lit(0)).cast("bigint")
     status = F.when(errors > 0, "fail").when(warnings > 0, "warn").otherwise("pass")
+    lines = []
+    if skipped is not None:
+        plain = F.lit("OK")
+        for stage, lacking in skipped.items():
+            plain = F.when(F.col("stage") == stage, f"not checked: no {lacking}").otherwise(plain)
+        lines = [F.coalesce("found.line", F.array(plain)).alias("lines")]
     return grid.join(counts, [*keys, "stage"], "left").select(
-        *keys, "stage", status.alias("status"), errors.alias("errors"), warnings.alias("warnings")
+        *keys, "stage", status.alias("status"), errors.alias("errors"), warnings.alias("warnings"), *lines
     )
 
 
 def reports(stages: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """One row per document: total errors, summary, and the stages (nine at most) as an array."""
+    """One row per document: total errors, summary, and the stages (nine at most) as an array, with their lines if given."""
     keys = keys or ["sidecar_path"]
     titles = F.create_map(*[F.lit(x) for kv in schemas.STAGE_TITLES.items() for x in kv])
-    item = F.struct("stage", F.try_element_at(titles, F.col("stage")).alias("title"), "status", "errors", "warnings")
+    item = F.struct("stage", F.try_element_at(titles, F.col("stage")).alias("title"), "status", "errors", "warnings", *(["lines"] if "lines" in stages.columns else []))
     out = stages.groupBy(*keys).agg(
         F.sum("errors").alias("errors"), F.sum("warnings").alias("warnings"),
         F.array_sort(F.collect_list(item)).alias("stages"),
@@ -49,9 +62,10 @@ def summary(errors: Column) -> Column:
 
 
 def report_json(reports_: DataFrame, key: str = "sidecar_path") -> DataFrame:
-    """A report as one JSON text per document."""
+    """A report as one JSON text per document; base_dir is told where the reports have it."""
+    base = ["base_dir"] if "base_dir" in reports_.columns else []
     return reports_.select(
-        key, F.to_json(F.struct(F.col(key).alias("target"), "stages", "errors", "summary")).alias("report")
+        key, F.to_json(F.struct(F.col(key).alias("target"), *base, "stages", "errors", "summary")).alias("report")
     )
 
 

@@ -111,8 +111,23 @@ def audit(inputs: Inputs) -> Audit:
     if not found:
         found.append(ledger.chain_findings(events).limit(0))
     findings = cut_lineage(_union(found).where(F.col("stage").isin(stages)))
-    results = rollup.stage_results(findings, parsed, stages)
-    return Audit(parsed, findings, results, rollup.reports(results), arts, events, lock_rows)
+    results = rollup.stage_results(findings, parsed, stages, skipped=_not_checked(inputs))
+    base = F.lit(inputs.base_dir) if inputs.base_dir else paths.dirname(F.col("sidecar_path"))
+    reports = rollup.reports(results).withColumn("base_dir", base)
+    return Audit(parsed, findings, results.drop("lines"), reports, arts, events, lock_rows)
+
+
+def _not_checked(inputs: Inputs) -> dict[str, str]:
+    """Stages that lack an input, and which."""
+    needs = {
+        "4": [("keyring", inputs.keyring)],
+        "6": [("inventory", inputs.inventory)],
+        "7": [("vocabulary", inputs.vocabulary), ("vocabulary paths", inputs.vocabulary_paths or None)],
+        "8": [("inventory", inputs.inventory), ("manifest", inputs.manifest)],
+        "9": [("inventory", inputs.inventory), ("colour decisions", inputs.cdls), ("looks", inputs.looks)],
+    }
+    lacking = {stage: [name for name, given in asked if given is None] for stage, asked in needs.items()}
+    return {stage: " and no ".join(names) for stage, names in lacking.items() if names}
 
 
 def _file_findings(inputs: Inputs, arts: DataFrame) -> list[DataFrame]:

@@ -71,8 +71,25 @@ def from_media(
 
 
 def one_clip(
-    inventory: DataFrame, clip: str, alg: str, ts: Column, who: ops.Identity, kid: str | None = None, signer=None, base_dir: str | None = None
+    inventory: DataFrame, clip: str, alg: str, ts: Column, who: ops.Identity, kid: str | None = None, signer=None, base_dir: str | None = None,
+    side_files: dict[str, str] | None = None, manifest_entry: str | None = None,
 ) -> DataFrame:
-    """A document for one clip under the caller's own actor and role."""
+    """A document for one clip under the caller's own actor and role.
+
+    side_files names the files that go with it: manifest (with manifest_entry, the clip's path in it), amf, cdl, fdl, ale.
+    Those that the inventory does not hold are left out.
+    """
+    side_files = side_files or {}
+    unknown = set(side_files) - {"manifest", "amf", "cdl", "fdl", "ale"}
+    if unknown:
+        raise ValueError(f"unknown side files: {', '.join(sorted(unknown))}")
+    if "manifest" in side_files and not manifest_entry:
+        raise ValueError("a manifest needs manifest_entry")
     digests = hashes.file_digests(inventory.where(F.col("path") == clip).select("path", F.lit(alg).alias("alg")))
-    return ops.build_documents(digests.where("status = 'ok'").withColumnRenamed("path", "clip_path"), ts, who, kid, signer, base_dir)
+    clips = digests.where("status = 'ok'").withColumnRenamed("path", "clip_path").withColumn("file", F.lit(manifest_entry))
+    for name, path in side_files.items():
+        held = inventory.where(F.col("path") == path).select(F.col("path").alias(f"{name}_path")).distinct()
+        clips = clips.join(held, F.lit(path) == F.col(f"{name}_path"), "left")
+    if side_files:
+        clips = _describe_side_files(clips, list(side_files))
+    return ops.build_documents(clips, ts, who, kid, signer, base_dir, codec=True)

@@ -5,10 +5,11 @@ import hashlib
 import json
 
 import corpus
+import pytest
 from pyspark.sql import functions as F
 
 from clipledger.functions import hashes
-from clipledger.operators import flatten
+from clipledger.operators import flatten, rollup
 from clipledger.plans import export, health, ingest, match
 from clipledger.sources import documents as docs
 from clipledger.sources import manifests
@@ -64,6 +65,50 @@ def test_one_clip_and_relative_paths(spark, tmp_path):
     found = plan.audit(plan.Inputs(docs.document_rows(ingest.one_clip(inv, clip, "md5", now(), who, base_dir=str(root))), inventory=inv, base_dir=str(root)))
     assert found.findings.where("stage = '6'").count() == 0 and found.artifacts.first().resolved == clip
     assert ingest.one_clip(inv, str(root / "none.mov"), "md5", now(), who).count() == 0
+    report = json.loads(rollup.report_json(found.reports).first().report)
+    assert set(report) == {"target", "base_dir", "stages", "errors", "summary"} and report["base_dir"] == str(root)
+    said = {s["stage"]: s["lines"] for s in report["stages"]}
+    assert said["6"] == ["OK"] and said["4"] == ["not checked: no keyring"] and said["8"] == ["not checked: no manifest"]
+
+
+def test_one_clip_with_side_files_and_record(spark, tmp_path):
+    from clipledger.operators.ingest import Identity
+    from clipledger.plans import audit as plan
+
+    root = tmp_path / "s"
+    corpus.write_show(root)
+    (root / "roll/edit.ale").write_text("Heading\n")
+    inv = docs.inventory(spark, str(root))
+    clip, who = str(root / "roll/A001_C001.mov"), Identity(actor="urn:user:me", role="DIT", reason="one clip")
+    made = next((root / "roll").rglob("*.mhl"))
+    side = {"manifest": str(made), "amf": str(root / "roll/A001_C001.amf"), "ale": str(root / "roll/edit.ale"), "cdl": str(root / "none.cdl")}
+    built = ingest.one_clip(inv, clip, "sha1", now(), who, "kid-1", sign(), str(root), side_files=side, manifest_entry="A001_C001.mov")
+    body = json.loads(built.first().body)
+    arts, _, _ = corpus.parts(body)
+    assert [(a["role"], a["kind"], a.get("subtype")) for a in arts] == [
+        ("clip-integrity", "source-file", None), ("integrity", "asc-mhl", None), ("color-pipeline", "amf", None),
+        ("edit-metadata", "resolve-export", "ale"),
+    ]
+    assert arts[3]["path"] == "./roll/edit.ale" and arts[3]["hash"]["value"] == hashlib.sha256(b"Heading\n").hexdigest()
+    asset = body["Asset"][0]
+    assert asset["description"] == f"Ingested from {made.name}" and asset["AssetSC"]["entityType"] == "AssetSC"
+    assert asset["provenance"]["CreatedBy"]["identifier"][0]["identifierValue"] == "urn:user:me"
+    assert asset["AssetSC"]["structuralProperties"]["codec"] == "QuickTime/ProRes" and asset["AssetSC"]["structuralProperties"]["purpose"] == "general"
+    found = plan.audit(plan.Inputs(docs.document_rows(built), inventory=inv, base_dir=str(root), only={"1", "2", "6"}))
+    assert found.findings.count() == 0
+    for bad in ({"manifest": "m"}, {"lut": "x"}):
+        with pytest.raises(ValueError):
+            ingest.one_clip(inv, clip, "md5", now(), who, side_files=bad)
+
+
+def test_report_lines_of_findings(spark):
+    rows = [("d", "3", "error", "event[1]", "seq_gap", "3 after 1", 1), ("d", "3", "warning", "event[0]", "late", None, 1)]
+    found = spark.createDataFrame(rows, "sidecar_path string, stage string, severity string, where_ string, code string, detail string, n long")
+    targets = spark.createDataFrame([("d",), ("e",), ("e",)], "sidecar_path string")
+    got = {(r.sidecar_path, r.stage): r for r in rollup.stage_results(found, targets, ["3", "6"], skipped={"6": "inventory"}).collect()}
+    assert got["d", "3"].lines == ["event[0] warning: late", "event[1] error: seq_gap 3 after 1"] and got["d", "3"].errors == 1
+    assert got["e", "3"].lines == ["OK"] and got["e", "6"].lines == ["not checked: no inventory"] and len(got) == 4
+    assert "lines" not in rollup.stage_results(found, targets, ["3"]).columns
 
 
 def test_export_match_and_remap(spark, tmp_path):
