@@ -501,9 +501,9 @@ def log_merge(spark: SparkSession, sf: str) -> DataFrame:
     return matching.merge_log(clips, log, "hit").select("event_id", "hit")
 
 
-def ledger_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """One document per chain: the stored events of a user and the lock records that go with them."""
-    ev = stored(spark, sf)
+def ledger_documents(spark: SparkSession, sf: str, daily: bool = False) -> DataFrame:
+    """One document per chain: the stored events of a user, or of a user's day, and the lock records that go with them."""
+    ev = stored(spark, sf, daily)
     path = F.concat(
         F.lit("shows/u"), F.col("user_id").cast("string"), F.lit("/g"), F.lpad(F.col("group_ix").cast("string"), 6, "0"),
         F.lit(".omc.json"),
@@ -588,14 +588,16 @@ def flatten_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @R.add("p02_domain_pivot", f"""
-WITH {EV_SQL}
-SELECT 'shows/u' || user_id || '/g' || lpad(CAST(group_ix AS VARCHAR), 6, '0') || '.omc.json' AS sidecar_path,
-  CAST(count(*) AS BIGINT) AS events, CAST(count(*) FILTER (action = 'lock') AS BIGINT) AS locks FROM lg GROUP BY 1""")
+WITH {EV_SQL},
+dy AS (SELECT *, coalesce(date_diff('day', DATE '1970-01-01', CAST(ts_utc AS DATE)), 0) AS day FROM lg)
+SELECT 'shows/u' || user_id || '/g' || lpad(CAST(day AS VARCHAR), 6, '0') || '.omc.json' AS sidecar_path,
+  CAST(count(*) AS BIGINT) AS events, CAST(count(*) FILTER (action = 'lock') AS BIGINT) AS locks FROM dy GROUP BY 1""")
 def domain_pivot(spark: SparkSession, sf: str) -> DataFrame:
+    """One document per user and day, as many as the log has of them."""
     from clipledger.operators import flatten
 
     size = F.size(F.col("value").cast("array<variant>"))
-    groups = flatten.custom_data(ledger_documents(spark, sf))
+    groups = flatten.custom_data(ledger_documents(spark, sf, daily=True))
     pick = lambda d: F.sum(F.when(F.col("domain") == d, size).otherwise(0)).cast("bigint")
     return groups.groupBy("sidecar_path").agg(
         pick(schemas.EVENT_DOMAIN).alias("events"), pick(schemas.LOCK_DOMAIN).alias("locks")

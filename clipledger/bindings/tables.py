@@ -28,10 +28,12 @@ def event_log(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def numbered(spark: SparkSession, sf: str) -> DataFrame:
-    """The log with its order: one chain per user, however long."""
+def numbered(spark: SparkSession, sf: str, daily: bool = False) -> DataFrame:
+    """The log with its order: one chain per user, however long, or one per user and UTC day; group_ix is then the day's number
+    since 1970, 0 where an event has no time."""
+    day = F.coalesce(F.unix_date(text.utc_day(F.col("ts_utc"))), F.lit(0)) if daily else F.lit(0)
     log = ordered.number_rows(
-        event_log(spark, sf).withColumn("group_ix", F.lit(0)), ["user_id", "group_ix"], ordered.time_segment(F.col("ts_utc")), ["ts_utc", "event_id"], "seq"
+        event_log(spark, sf).withColumn("group_ix", day), ["user_id", "group_ix"], ordered.time_segment(F.col("ts_utc")), ["ts_utc", "event_id"], "seq"
     )
     return (
         log.withColumn("json_path", F.lit("Asset/0/assetFC/functionalProperties/customData"))
@@ -53,20 +55,20 @@ def _tail(seq: Column) -> Column:
     )
 
 
-def chained(spark: SparkSession, sf: str) -> DataFrame:
+def chained(spark: SparkSession, sf: str, daily: bool = False) -> DataFrame:
     """The log with prev_hash and hash of every event."""
     return ledger.build_chain(
-        numbered(spark, sf), ["user_id", "group_ix"], "event_ix", _head(F.col("role")), _tail(F.col("seq"))
+        numbered(spark, sf, daily), ["user_id", "group_ix"], "event_ix", _head(F.col("role")), _tail(F.col("seq"))
     )
 
 
-def stored(spark: SparkSession, sf: str) -> DataFrame:
+def stored(spark: SparkSession, sf: str, daily: bool = False) -> DataFrame:
     """The chained log as found on disk, with three kinds of damage.
 
     Large errors had their role rewritten, large clicks their hash, large signups their number.
     Columns are those of the event table, raw included.
     """
-    ev = chained(spark, sf)
+    ev = chained(spark, sf, daily)
     large = F.col("value") > 30
     role = F.when(large & (F.col("role") == "error"), "intruder").otherwise(F.col("role"))
     hash_ = F.when(
