@@ -241,7 +241,9 @@ def artifacts(groups: DataFrame) -> DataFrame:
 def events(groups: DataFrame) -> DataFrame:
     """Event rows, each with the event before it in its array: chain checks then need no shuffle."""
     items = F.col("value").try_cast("array<variant>")
-    paired = F.transform(items, lambda e, i: F.struct(e.alias("raw"), F.get(items, i - 1).alias("prev_raw")))
+    # The array moved on by one, met once: a look-up of the one before inside a lambda would cast the whole array for every event.
+    before = F.slice(F.concat(F.array(F.lit(None).cast("variant")), items), F.lit(1), F.size(items))
+    paired = F.zip_with(items, before, lambda e, p: F.struct(e.alias("raw"), p.alias("prev_raw")))
     rows = (
         groups.where(F.col("domain") == schemas.EVENT_DOMAIN)
         .select("sidecar_path", "json_path", "group_ix", F.posexplode_outer(paired).alias("event_ix", "_e"))

@@ -1,8 +1,13 @@
 """Rows, and how much work they cost, on tables built here."""
 
 import datetime
+import json
+import time
+
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from clipledger.operators import flatten, ledger
 
 
 def _event_table(spark, folder, rows):
@@ -21,3 +26,28 @@ def test_pivot_has_a_document_per_user_and_day(spark, tmp_path):
         ("shows/u7/g019723.omc.json", 2, 1), ("shows/u7/g019724.omc.json", 2, 1), ("shows/u7/g019725.omc.json", 1, 1),
         ("shows/u8/g019723.omc.json", 1, 0),
     }
+
+
+def _one_group(spark, values):
+    body = F.parse_json(F.lit(json.dumps(values)))
+    return spark.range(1).select(
+        F.lit("a").alias("sidecar_path"), F.lit("p").alias("json_path"), F.lit(0).alias("group_ix"),
+        F.lit(flatten.schemas.EVENT_DOMAIN).alias("domain"), body.alias("value"),
+    )
+
+
+def test_events_bring_the_one_before(spark):
+    for values in ([], [{"seq": 1}], [{"seq": i, "hash": f"h{i}"} for i in range(1, 6)], [{"seq": 1}, None, {"seq": 3}], {"seq": 1}, None):
+        rows = flatten.events(_one_group(spark, values)).select(
+            "event_ix", "seq", F.try_variant_get("prev_raw", "$.seq", "bigint").alias("prev")
+        ).orderBy("event_ix").collect()
+        seqs = [(v or {}).get("seq") for v in values] if isinstance(values, list) else []
+        assert [tuple(r) for r in rows] == [(i, s, seqs[i - 1] if i else None) for i, s in enumerate(seqs)]
+
+
+def test_a_long_chain_is_paired_in_one_pass(spark):
+    """Quadratic pairing takes minutes here."""
+    values = [{"seq": i, "hash": f"h{i}"} for i in range(1, 8001)]
+    began = time.time()
+    bad = ledger.chain_state(flatten.events(_one_group(spark, values))).where("seq_bad").count()
+    assert (bad, time.time() - began < 40) == (0, True)
