@@ -17,9 +17,10 @@ def char_suffixes(text: Column) -> Column:
 
 
 def first_entries(manifest: DataFrame) -> DataFrame:
-    """First entry per (manifest, file): entry_ix and hashes."""
-    first = manifest.groupBy("manifest_path", "file").agg(F.min_by(F.struct("entry_ix", "hashes"), "entry_ix").alias("_e"))
-    return first.select("manifest_path", "file", "_e.entry_ix", "_e.hashes")
+    """First entry per (manifest, file): entry_ix and hashes. Two aggregates, so that a caller who leaves one out does not move it."""
+    return manifest.groupBy("manifest_path", "file").agg(
+        F.min("entry_ix").alias("entry_ix"), F.min_by("hashes", "entry_ix").alias("hashes")
+    )
 
 
 def declared_by_manifest(artifacts: DataFrame, manifest: DataFrame) -> DataFrame:
