@@ -183,7 +183,7 @@ SELECT stem || '.omc.json' AS sidecar_path, hash AS chain_head, md5('{{"Asset":[
   || '"}},"immutable":true}}]}},{{"domain":"{schemas.EVENT_DOMAIN}","namespace":"urn:clipledger:sidecar:v0.1","schema":"urn:clipledger:sidecar:v0.1:events.schema.json","value":[{{"action":"create","actor":{{"id":"urn:service:ingest","role":"IngestService"}},"prevHash":null,"seq":1,"target":"'
   || id || '","tool":{{"name":"clipledger","version":"0.1"}},"ts":"2024-02-01T00:00:00Z","hash":"' || hash || '"}}]}},{{"domain":"{schemas.LOCK_DOMAIN}","namespace":"urn:clipledger:sidecar:v0.1","schema":"urn:clipledger:sidecar:v0.1:locks.schema.json","value":[]}}]}}}}}}]}}') AS body_md5 FROM h""")
 def run_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    clips = _outcomes(spark, sf).where("outcome = 'ok'")
+    clips = ingest.usable(_outcomes(spark, sf))
     built = ingest.build_documents(clips, F.to_timestamp(F.lit("2024-02-01T00:00:00Z")))
     return built.select("sidecar_path", "chain_head", F.md5("body").alias("body_md5"))
 

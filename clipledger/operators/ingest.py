@@ -34,14 +34,22 @@ def entry_outcomes(manifest: DataFrame, inventory: DataFrame, root_join: bool =
     """Each manifest entry with its outcome and, for usable ones, the clip path and strongest hash.
 
     outcome, in the builder's order: no_file, not_clip, missing_clip, no_hash, ok. The only
-    shuffle is the join to the inventory; AQE splits a path that many manifests list.
+    shuffle is the join to the inventory; AQE splits a path that many manifests list. Hex digits
+    cross it as bytes, and a file that is its own clip path once.
     """
     clip = paths.resolve(F.col("file"), paths.dirname(F.col("manifest_path"))) if root_join else F.col("file")
     here = inventory.groupBy(F.col("path").alias("clip_path")).agg(F.max("length").alias("length"))
     alg, value = hashes.pick(F.col("hashes"), schemas.STRONG_FIRST, skip_empty=True)
     keep = ["manifest_path", "entry_ix", "file", "manifest_sha256"]
-    picked = manifest.select(*keep, clip.alias("clip_path"), alg.alias("alg"), value.alias("value"))
+    digests = {"manifest_sha256": F.col("manifest_sha256"), "value": value}
+    picked = manifest.select(
+        "manifest_path", "entry_ix", *(["file"] if root_join else []), clip.alias("clip_path"), alg.alias("alg"),
+        *[c for name, text_ in digests.items() for c in _packed(text_, name)],
+    )
     joined = picked.join(here.withColumn("_here", F.lit(True)), "clip_path", "left")
+    joined = joined.withColumns({name: _unpacked(name) for name in digests})
+    if not root_join:
+        joined = joined.withColumn("file", F.col("clip_path"))
     outcome = (
         F.when(F.coalesce("file", F.lit("")) == "", "no_file")
         .when(~paths.is_clip(F.col("file")), "not_clip")
@@ -54,6 +62,21 @@ def entry_outcomes(manifest: DataFrame, inventory: DataFrame, root_join: bool =
     )
 
 
+def _packed(text_: Column, name: str) -> list[Column]:
+    """Lower-case hex digits as the bytes they stand for, any other text as it is."""
+    is_hex = text_.rlike(r"^[0-9a-f]+\z") & (F.length(text_) % 2 == 0)
+    return [F.when(is_hex, F.unhex(text_)).alias(f"_{name}_bytes"), F.when(~is_hex, text_).alias(f"_{name}_text")]
+
+
+def _unpacked(name: str) -> Column:
+    return F.coalesce(F.lower(F.hex(f"_{name}_bytes")), F.col(f"_{name}_text"))
+
+
+def usable(outcomes: DataFrame) -> DataFrame:
+    """The entries documents are built from. What can be told before the inventory is asked apart, so that other entries are not moved to it."""
+    return outcomes.where((F.col("outcome") == "ok") & paths.is_clip(F.col("file")) & F.col("alg").isNotNull())
+
+
 def coverage(outcomes: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Documents, skipped entries and bytes covered."""
     ok = F.col("outcome") == "ok"

@@ -48,7 +48,7 @@ def from_manifests(
 ) -> tuple[DataFrame, DataFrame]:
     """(documents, entry outcomes). Hashes come from the manifest."""
     outcomes = ops.entry_outcomes(manifest, inventory)
-    clips = outcomes.where("outcome = 'ok'")
+    clips = ops.usable(outcomes)
     if aux is not None:
         clips = _describe_side_files(_side_files(clips, aux), ["amf", "cdl", "fdl"])
     return ops.build_documents(clips, ts, who, kid, signer, base_dir), outcomes
