@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clipledger import schemas
 from clipledger.functions import hashes, text
-from clipledger.operators import ordered
-from clipledger.session import cut_lineage, written
+from clipledger.session import written
 from clipledger.sources.documents import plain_path
 
 _XML_TAGS = ["file", "size", "lastmodificationdate", *schemas.ALGORITHM_ALIASES]
@@ -49,54 +53,102 @@ _CLOSES = r"</(?:[\w.-]+:)?\z"  # the record up to </hash>
 _OPENS = r"(?s)^.*<(?:[\w.-]+:)?hash\s[^>]*>"  # an opening tag with attributes, which does not end a record
 
 
-def scan(spark: SparkSession, *roots: str, glob: str = GLOB) -> DataFrame:
-    """One pass over the bytes: a row per record that says something. Splittable: one huge XML manifest is many tasks.
+_RAW = "manifest_path string, block bigint, value string"
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds row, the place of a record in its block, and n, how many entries stand before it there. A task reads a block from its
+    start, so two counters are all that is carried."""
+    key, row, n = None, 0, 0
+    for batch in batches:
+        size = batch.num_rows
+        if not size:
+            continue
+        path, block = batch.column("manifest_path"), batch.column("block")
+        ends = pc.match_substring_regex(batch.column("value"), _CLOSES).to_numpy(zero_copy_only=False).astype(np.int64)
+        same = pc.and_(pc.equal(path[1:], path[:-1]), pc.equal(block[1:], block[:-1])).to_numpy(zero_copy_only=False).astype(bool)
+        first = np.concatenate([[True], ~same])
+        begun = np.flatnonzero(first)
+        carry = (path[0].as_py(), block[0].as_py()) == key
+        before = np.cumsum(ends) - ends
+        group = np.cumsum(first) - 1
+        rows, counts = np.arange(size) - begun[group], before - before[begun][group]
+        if carry:
+            rows[group == 0] += row
+            counts[group == 0] += n
+        key, row, n = (path[size - 1].as_py(), block[size - 1].as_py()), int(rows[-1]) + 1, int(counts[-1] + ends[-1])
+        columns = [*batch.columns, pa.array(rows, pa.int64()), pa.array(counts, pa.int64()), pa.array(ends == 1)]
+        yield pa.RecordBatch.from_arrays(columns, ["manifest_path", "block", "value", "row", "n", "ends"])
 
-    block, row: place of the record in its file. head: its first characters, in the file's first block. entry: the tags of one XML entry,
-    all text, because inferred types would turn digests of digits only into numbers. flat: the entries of a YAML
-    manifest, which holds no tag and so is one record. closed, valid: whether the record ends the list, and is UTF-8."""
-    raw = spark.read.text(list(roots), lineSep=_RECORD_END, recursiveFileLookup=True, pathGlobFilter=glob)
+
+def scan(spark: SparkSession, *roots: str, glob: str = GLOB) -> DataFrame:
+    """The records of the manifests that say something. Splittable: one huge XML manifest is many tasks.
+
+    block, row: place of the record in its file. head: the first characters of the file, in its first record. n, entry: an XML entry's
+    place among those of its block and its tags, all text, because inferred types would turn digests of digits only into numbers.
+    listed, flat: whether it is a YAML manifest, which holds no tag and so is one record, and its entries; bad: whether any of them is not flat. closed,
+    valid: whether the record ends the list, and is UTF-8. A step that reads some of these columns makes no others."""
+    raw = spark.read.text(list(roots), lineSep=_RECORD_END, recursiveFileLookup=True, pathGlobFilter=glob).select(
+        plain_path(F.col("_metadata.file_path")).alias("manifest_path"), F.col("_metadata.file_block_start").alias("block"), "value"
+    )
     value = F.col("value")
     layout = ", ".join(f"`{t}` STRING" for t in _XML_TAGS)
     inner = F.regexp_replace(F.regexp_replace(value, _OPENS, ""), _CLOSES, "")
     tags = F.from_xml(F.concat(F.lit("<hash>"), inner, F.lit("</hash>")), layout, {"ignoreNamespace": "true", "rowTag": "hash"})
     entry = F.create_map(*[x for t in _XML_TAGS for x in (F.lit(t), F.col(f"_tags.{t}"))])
-    block = F.col("_metadata.file_block_start")
-    records = raw.select(
-        plain_path(F.col("_metadata.file_path")).alias("manifest_path"), block.alias("block"), F.monotonically_increasing_id().alias("row"),
-        F.when(block == 0, F.substring(value, 1, 4096)).alias("head"), value.rlike(r"</(\w+:)?hashlist\s*>|<(\w+:)?hashlist[^>]*/>").alias("closed"),
-        F.is_valid_utf8(value).alias("valid"), F.when(value.rlike(_CLOSES), tags).alias("_tags"),
-        F.when((block == 0) & F.contains(value, F.lit("Hashes:")), yaml_items(value)).alias("flat"),
+    flat = (F.col("block") == 0) & F.contains(value, F.lit("Hashes:"))
+    records = raw.mapInArrow(_placed, f"{_RAW}, row bigint, n bigint, ends boolean").select(
+        "manifest_path", "block", "row", "n", "ends", F.when((F.col("block") == 0) & (F.col("row") == 0), F.substring(value, 1, 4096)).alias("head"),
+        value.rlike(r"</(\w+:)?hashlist\s*>|<(\w+:)?hashlist[^>]*/>").alias("closed"), F.is_valid_utf8(value).alias("valid"),
+        F.when(F.col("ends"), tags).alias("_tags"), flat.alias("listed"), F.when(flat, yaml_items(value)).alias("flat"), F.when(flat, yaml_bad(value)).alias("bad"),
     )
-    said = records.where("head is not null or closed or not valid or _tags is not null")
-    return said.withColumn("entry", F.when(F.col("_tags").isNotNull(), entry)).drop("_tags")
+    return records.withColumn("entry", F.when(F.col("ends"), entry)).drop("_tags")
 
 
 # A flat line: key, colon, then nothing, a whole quoted value, or a plain one that opens no YAML structure.
 _YAML_LINE = r"""^\s*[A-Za-z0-9_]+:(\s*|\s+"[^"]*"\s*|\s+'[^']*'\s*|\s+[^\s\[\]{}&*!|>%@`"'].*)$"""
 
 
-def yaml_items(text_: Column) -> Column:
-    """Array of (entry MAP, bad) of a flat YAML text; bad marks anything not flat."""
+def _yaml_chunks(text_: Column) -> Column:
+    """The lines of every item of a YAML text's list."""
     body = F.concat(F.lit("\n"), F.replace(text_, F.lit("\r\n"), F.lit("\n")))
     tail = F.when(F.contains(body, F.lit("\nHashes:")), F.regexp_replace(body, r"(?s)^.*?\nHashes:[ \t]*", ""))
     chunks = F.slice(F.split(tail, r"\n\s*- "), 2, 1_000_000_000)
+    return F.transform(chunks, lambda c: F.filter(F.split(c, "\n"), lambda x: (F.trim(x) != "") & ~F.startswith(F.trim(x), F.lit("#"))))
+
+
+def _yaml_keys(lines: Column) -> Column:
+    return F.transform(lines, lambda x: F.trim(F.regexp_extract(x, r"^\s*([^:]*):", 1)))
+
+
+def _not_flat(lines: Column) -> Column:
+    keys = _yaml_keys(lines)
+    return ~F.forall(lines, lambda x: x.rlike(_YAML_LINE)) | (F.size(F.array_distinct(keys)) < F.size(keys))
+
+
+def yaml_bad(text_: Column) -> Column:
+    """Whether any item of a YAML text is not flat."""
+    return F.exists(_yaml_chunks(text_), _not_flat)
+
+
+def yaml_items(text_: Column) -> Column:
+    """Array of (entry MAP, bad) of a flat YAML text; bad marks anything not flat."""
 
     def item(lines: Column) -> Column:
-        keys = F.transform(lines, lambda x: F.trim(F.regexp_extract(x, r"^\s*([^:]*):", 1)))
         values = F.transform(
             lines, lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, r"^[^:]*:", "")), "^([\"'])(.*)\\1$", "$2")
         )
-        bad = ~F.forall(lines, lambda x: x.rlike(_YAML_LINE)) | (F.size(F.array_distinct(keys)) < F.size(keys))
-        return F.struct(F.when(~bad, F.map_from_arrays(keys, values)).alias("entry"), bad.alias("bad"))
+        bad = _not_flat(lines)
+        return F.struct(F.when(~bad, F.map_from_arrays(_yaml_keys(lines), values)).alias("entry"), bad.alias("bad"))
 
-    lines = lambda c: F.filter(F.split(c, "\n"), lambda x: (F.trim(x) != "") & ~F.startswith(F.trim(x), F.lit("#")))
-    return F.transform(chunks, lambda c: item(lines(c)))
+    return F.transform(_yaml_chunks(text_), item)
 
 
 def yaml_entries(items: DataFrame) -> DataFrame:
     """(manifest_path, entry_ix, entry, bad) of manifest_path and flat, an array of yaml_items."""
-    return items.select("manifest_path", F.posexplode("flat").alias("entry_ix", "i")).select("manifest_path", "entry_ix", "i.entry", "i.bad")
+    # explode_outer and a filter on its output, as in flatten.groups: plain explode would infer one on the array.
+    rows = items.select("manifest_path", F.posexplode_outer("flat").alias("entry_ix", "i")).where(F.col("entry_ix").isNotNull())
+    return rows.select("manifest_path", "entry_ix", "i.entry", "i.bad")
 
 
 def _shape(entries: DataFrame, known: Column, file: str, size: str, date: str) -> DataFrame:
@@ -136,35 +188,64 @@ def _rejects(files: DataFrame, yml: DataFrame) -> DataFrame:
     return not_flat.unionByName(cut).unionByName(no_text).distinct()
 
 
-def _good(rows: DataFrame, files: DataFrame, rejects: DataFrame) -> DataFrame:
-    heads = files.select("manifest_path", "kind", "manifest_sha256", "version")
-    return rows.join(heads, ["manifest_path", "kind"]).drop("kind").join(rejects.select("manifest_path").distinct(), "manifest_path", "left_anti")
+def _good(rows: DataFrame, files: DataFrame, rejects: DataFrame, few: bool = False) -> DataFrame:
+    """few: the manifests are few enough to be sent to every task."""
+    sent = F.broadcast if few else lambda df: df
+    heads = files.select("manifest_path", "kind", "manifest_sha256", "version").join(
+        rejects.select("manifest_path").distinct(), "manifest_path", "left_anti"
+    )
+    return rows.join(sent(heads), ["manifest_path", "kind"]).drop("kind")
+
+
+def _flags(records: DataFrame) -> DataFrame:
+    """closed, valid and bad of every manifest; booleans alone, so that they are combined before they move."""
+    return records.groupBy("manifest_path").agg(
+        F.bool_or("closed").alias("closed"), F.bool_and("valid").alias("valid"), F.bool_or("bad").alias("bad")
+    )
 
 
 def heads(records: DataFrame) -> DataFrame:
     """manifest_path, kind, version, closed, valid of every manifest scanned; by its first characters."""
-    one = records.groupBy("manifest_path").agg(
-        F.min_by("head", F.when(F.col("head").isNotNull(), F.struct("block", "row"))).alias("head"),
-        F.bool_or("closed").alias("closed"), F.bool_and("valid").alias("valid"),
+    first = records.where("head is not null").select(
+        "manifest_path", manifest_kind(F.col("head")).alias("kind"), manifest_version(F.col("head")).alias("version")
     )
-    return one.select("manifest_path", manifest_kind(F.col("head")).alias("kind"), manifest_version(F.col("head")).alias("version"), "closed", "valid")
+    return first.join(_flags(records).drop("bad"), "manifest_path")
+
+
+#: Manifests whose paths and digests are sent to every task; beyond that their rows are shuffled to them, with the same result.
+FEW_FILES = 500_000
 
 
-def manifests(spark: SparkSession, *roots: str, glob: str = GLOB) -> tuple[DataFrame, DataFrame]:
+def manifests(spark: SparkSession, *roots: str, glob: str = GLOB, keep: bool = True) -> tuple[DataFrame, DataFrame]:
     """(manifest rows, rejected manifests). The two formats meet in one layout; entry_ix counts the entries of a manifest from 0.
 
-    The bytes are scanned once, and the rows are a table that later steps read. Entries of a huge manifest are counted per split, and the counts before a split carried on."""
-    records = written(scan(spark, *roots, glob=glob))
-    files = heads(records)
-    files = files.join(file_hashes(files), "manifest_path", "left")
-    files = cut_lineage(files)
-    yml = yaml_entries(records.where("flat is not null").join(files.where("kind = 'v2'").select("manifest_path"), "manifest_path", "left_semi"))
-    rejects = _rejects(files, yml)
-    entries = records.where("entry is not null").select("manifest_path", "block", "row", "entry")
-    counted = ordered.number_rows(entries, ["manifest_path"], F.col("block"), ["row"], "_n")
-    xml = counted.select("manifest_path", (F.col("_n") - 1).alias("entry_ix"), "entry")
-    # A table, so that the maps are built once and not for every use of them.
-    return written(_good(_xml_rows(xml).unionByName(_yaml_rows(yml)), files, rejects)), rejects
+    A first scan leaves a small table: what each block says of its file, and how many entries it has. Entries are numbered where they
+    are read, from that count of the blocks before, so none of them moves. With keep the rows are a table, so that they are built once
+    and not for every use of them; without it they are built by the step that reads them."""
+    records = scan(spark, *roots, glob=glob)
+    blocks = written(records.groupBy("manifest_path", "block").agg(
+        F.count_if("ends").alias("entries"), F.bool_or("closed").alias("closed"), F.bool_and("valid").alias("valid"), F.bool_or("bad").alias("bad"),
+    ))
+    first = records.where("head is not null").select(
+        "manifest_path", manifest_kind(F.col("head")).alias("kind"), manifest_version(F.col("head")).alias("version")
+    )
+    files = first.join(_flags(blocks), "manifest_path")
+    files = written(files.join(file_hashes(blocks.select("manifest_path")), "manifest_path", "left"))
+    few = files.count() <= FEW_FILES
+    rejects = _rejects(files, files.where("kind = 'v2'").select("manifest_path", "bad"))
+    # By listed: a filter on flat itself would take the text apart once more.
+    yml = yaml_entries(records.where("listed").select("manifest_path", "flat"))
+    before = Window.partitionBy("manifest_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    # Only manifests of several splits have later blocks: a row for each of the splits at most.
+    later = blocks.select("manifest_path", "block", F.sum("entries").over(before).alias("_before")).where("block > 0")
+    entries = records.where("ends").select("manifest_path", "block", "n", "entry").join(F.broadcast(later), ["manifest_path", "block"], "left")
+    # A split the first scan did not meet, because the session's split size changed in between, is an error and never a wrong number.
+    start = F.when(F.col("block") == 0, F.lit(0).cast("bigint")).otherwise(
+        F.coalesce("_before", F.raise_error(F.lit("a manifest was split otherwise by the second scan")).cast("bigint"))
+    )
+    xml = entries.select("manifest_path", (F.col("n") + start).alias("entry_ix"), "entry")
+    rows = _good(_xml_rows(xml).unionByName(_yaml_rows(yml)), files, rejects, few)
+    return (written(rows) if keep else rows), rejects
 
 
 def rows_from_texts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -4,10 +4,12 @@ import datetime
 import json
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from clipledger.operators import flatten, ledger
+from clipledger.operators import flatten, ingest, integrity, ledger
+from clipledger.sources import manifests
 
 
 def _event_table(spark, folder, rows):
@@ -51,3 +53,51 @@ def test_a_long_chain_is_paired_in_one_pass(spark):
     began = time.time()
     bad = ledger.chain_state(flatten.events(_one_group(spark, values))).where("seq_bad").count()
     assert (bad, time.time() - began < 40) == (0, True)
+
+
+def test_first_entry_leaves_hashes_behind(spark):
+    rows = [("m", "a", (2, 1), {"md5": "x"}), ("m", "a", (1, 5), {"md5": "y"}), ("m", "b", None, {"md5": "z"}), (None, "a", (1, 1), None)]
+    df = spark.createDataFrame(rows, "manifest_path string, file string, entry_ix struct<line: bigint, part: bigint>, hashes map<string, string>")
+    got = {(r.manifest_path, r.file, r.entry_ix, (r.hashes or {}).get("md5")) for r in integrity.first_entries(df).collect()}
+    assert got == {("m", "a", (1, 5), "y"), ("m", "b", None, None), (None, "a", (1, 1), None)}
+    plan = integrity.first_entries(df).select("manifest_path", "entry_ix")._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(entry_ix" in plan and "min_by" not in plan
+
+
+def test_digests_cross_the_inventory_join_as_bytes(spark):
+    shas = ["ab" * 32, "AB" * 32, "abc", "", None, "0f\n", "zz", "00" * 9000]
+    rows = [(s, f"c{i}.mov" if i % 3 else f"c{i}.txt", i, {"sha256": s}) for i, s in enumerate(shas)]
+    df = spark.createDataFrame(rows, "manifest_sha256 string, file string, entry_ix int, hashes map<string, string>").withColumn("manifest_path", F.lit("/m/a.mhl"))
+    files = spark.createDataFrame([(f"c{i}.mov", i) for i in range(7)], "path string, length long")
+    for root in (False, True):
+        held = files.withColumn("path", F.concat(F.lit("/m/"), "path")) if root else files
+        out = ingest.entry_outcomes(df, held, root_join=root)
+        got = {r.entry_ix: r for r in out.collect()}
+        assert [got[i].manifest_sha256 for i in range(len(shas))] == shas
+        assert [got[i].value for i in range(len(shas))] == [s or None for s in shas]
+        assert [got[i].file for i in range(len(shas))] == [r[1] for r in rows]
+        assert [got[i].outcome for i in range(len(shas))] == ["not_clip", "ok", "ok", "not_clip", "no_hash", "ok", "not_clip", "missing_clip"]
+        assert {r.entry_ix for r in ingest.usable(out).collect()} == {1, 2, 5}
+        moved = ingest.usable(out).select("value", "manifest_sha256")._jdf.queryExecution().optimizedPlan().toString()
+        assert "_value_bytes" in moved.split("Join", 1)[1]
+
+
+def test_records_are_placed_across_batches():
+    def batch(rows):
+        cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.string(), pa.int64(), pa.string()])]
+        return pa.RecordBatch.from_arrays(cols, ["manifest_path", "block", "value"])
+
+    rows = [("a", 0, "<"), ("a", 0, "x</"), ("a", 0, "\n<"), ("a", 0, "y</m:"), ("a", 9, "<"), ("a", 9, "z</"), ("b", 0, "q</"), ("b", 0, "</hashlist>")]
+    want = [(0, 0), (1, 0), (2, 1), (3, 1), (0, 0), (1, 0), (0, 0), (1, 1)]
+    for size in (1, 2, 3, 8):
+        out = [r for b in manifests._placed(batch(rows[i : i + size]) for i in range(0, len(rows), size)) for r in b.to_pylist()]
+        assert [(r["row"], r["n"]) for r in out] == want
+
+
+def test_entries_of_manifests_are_not_shuffled(spark, tmp_path):
+    (tmp_path / "a.mhl").write_text('<hashlist version="1.1"><hash><file>a.mov</file><md5>0</md5></hash><hash><file>b.mov</file></hash></hashlist>')
+    (tmp_path / "b.mhl").write_text("Version: 2.0.0\nHashes:\n  - File: z.mov\n    md5: aa\n")
+    rows, _ = manifests.manifests(spark, str(tmp_path), keep=False)
+    assert {(r.entry_ix, r.file) for r in rows.collect()} == {(0, "a.mov"), (1, "b.mov"), (0, "z.mov")}
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "row_number" not in plan
