@@ -7,8 +7,8 @@ or more are candidates (a pair of similarity 0.8 is missed once in 75 000: 20 sk
 link if a banded alignment of the two shingle sequences, or else their sets, are similar to SIMILARITY or more.
 
 Only what links connect is asked for, so each document first meets leaders of its buckets, and then every candidate
-that the links found so far leave in another component. In large buckets these are compared by their lowest shingle hashes in
-blocks, and only pairs that can be a link are fetched; elsewhere candidates too unlike in length are not.
+that the links found so far leave in another component. In large buckets these are compared in blocks that hold their texts, so
+a text moves once per block and no pair does; elsewhere pairs are fetched, but not candidates too unlike in length.
 """
 
 from __future__ import annotations
@@ -27,8 +27,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, PICKS, AGREE = 20, 3, 2
 #: Buckets up to this size are compared in one row, larger ones in pairs of blocks of BLOCK members; the rule is the same.
 SMALL_BUCKET, BLOCK = 16, 2048
-#: Leaders a document meets first, and hashes by which the members of a block are compared before texts are fetched.
-LEADERS, LOWEST = 2, 256
+#: Shingles a block holds, about, and names that one matrix product counts.
+HELD, COLUMNS = 1 << 20, 1024
+#: Leaders a document meets first.
+LEADERS = 2
 
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -200,46 +202,57 @@ def _with_leaders(buckets: DataFrame) -> DataFrame:
     return _named(best.select("b", F.explode("best.a").alias("a")))
 
 
-def lowest(seq: np.ndarray) -> tuple[bytes, bool]:
-    """The LOWEST smallest hashes of the labelled shingles, the last bit telling first occurrences, and whether these are all.
-
-    Of two documents they give the similarity of the labelled shingles and, by the marked ones, of the sets."""
-    labels = labelled(seq)
-    first = np.isin(labels, mix(np.unique(seq)))
-    values = np.unique(((labels >> np.uint64(33) << np.uint64(1)) | first.astype(np.uint64)).astype(np.uint32))
-    return values[:LOWEST].tobytes(), len(values) <= LOWEST
-
-
-def _lowest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        rows = [(i, *lowest(shingles((text or "").encode()))) for i, text in zip(frame["doc_id"], frame["text"])]
-        yield pd.DataFrame(rows, columns=["doc_id", "low", "whole"])
-
-
-def _share(common: np.ndarray, x: np.ndarray, y: np.ndarray, exact: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Similarity from counts, and whether a link is possible: certain of all shingles, within five deviations of a sample."""
-    union = np.maximum(x + y - common, 1)
-    share = common / union
-    slack = np.where(exact, 0.005, 5 * np.sqrt(SIMILARITY * (1 - SIMILARITY) / union))  # 31-bit hashes may collide
-    return share, share >= SIMILARITY - slack
+def common_counts(name: np.ndarray, member: np.ndarray, n: int) -> np.ndarray:
+    """How many names each two of n members share, from rows (name, member) without repeats.
+
+    Frequent names are counted by matrix products, the others along their few members."""
+    order = np.argsort(name, kind="stable")
+    name, member = name[order], member[order]
+    starts = np.flatnonzero(np.r_[True, name[1:] != name[:-1]][: len(name)])
+    sizes = np.diff(np.r_[starts, len(name)])
+    rank, size = np.repeat(np.arange(len(starts)), sizes), np.repeat(sizes, sizes)
+    out = np.zeros((n, n), np.float32)
+    often = size > max(2, n // 32)
+    cols, rows = np.unique(rank[often], return_inverse=True)[1], member[often]
+    for low in range(0, cols.max(initial=-1) + 1, COLUMNS):
+        here = (cols >= low) & (cols < low + COLUMNS)
+        held = np.zeros((n, COLUMNS), np.float32)
+        held[rows[here], cols[here] - low] = 1
+        out += held @ held.T
+    few = ~often & (size > 1)
+    rank, member = rank[few], member[few]
+    for step in range(1, max(2, n // 32)):
+        same = rank[step:] == rank[:-step]
+        if not same.any():
+            break
+        x, y = member[:-step][same], member[step:][same]
+        np.add.at(out, (x, y), 1)
+        np.add.at(out, (y, x), 1)
+    return out
 
 
-def block_pairs(block: pd.DataFrame) -> pd.DataFrame:
-    """Candidates (a, b) of different components in a pair of blocks of one bucket (key, lo, hi, side, doc_id, c, keys, low, whole).
+def block_links(block: pd.DataFrame) -> pd.DataFrame:
+    """Links (a, b) between different components in a pair of blocks of one bucket (key, lo, hi, side, doc_id, c, keys, text).
 
-    A pair is judged in the bucket of its first common key. Where all shingles are known and the sets are alike beyond doubt,
-    only pairs that join something new are given: the others would link what these link already."""
+    A pair is judged in the bucket of its first common key. Only links that join something new are given: the others would
+    connect what these connect already. Counts of shared shingles decide most pairs, the alignment the rest."""
+    block = block.assign(seq=[shingles(t.encode()) for t in block.pop("text")])
+    block = block[block["seq"].map(len) > 0]
+    if not len(block):
+        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
     key, n = block["key"].iloc[0], len(block)
-    ids, side, whole = block["doc_id"].to_numpy(), block["side"].to_numpy(), block["whole"].to_numpy()
+    ids, side, seqs = block["doc_id"].to_numpy(), block["side"].to_numpy(), block["seq"].to_list()
     across = block["lo"].iloc[0] != block["hi"].iloc[0]
     part = np.unique(block["c"].to_numpy(), return_inverse=True)[1]
     most = part == np.bincount(part).argmax()
     keys = np.stack(block["keys"].to_list())
-    held = [np.frombuffer(v, np.uint32) for v in block["low"]]
-    flat, start = np.concatenate(held), np.r_[0, np.cumsum([len(v) for v in held])[:-1]]
-    marked = (flat & 1).astype(np.int32)
-    names, at = np.unique(flat, return_inverse=True)
-    top = np.where(whole, np.uint32(0xFFFFFFFF), np.array([v[-1] for v in held], np.uint32))
+    alike = [labelled(s) for s in seqs]
+    firsts = [mix(np.unique(s)) for s in seqs]
+    length, distinct = np.array([len(s) for s in seqs]), np.array([len(s) for s in firsts])
+    member = np.arange(n)
+    both = common_counts(np.concatenate(firsts), np.repeat(member, distinct), n)
+    again = [x[~np.isin(x, y, assume_unique=True)] if len(x) > len(y) else x[:0] for x, y in zip(alike, firsts)]
+    common = both + common_counts(np.concatenate(again), np.repeat(member, length - distinct), n) if any(map(len, again)) else both
     parent = list(range(part.max() + 1))
 
     def root(i: int) -> int:
@@ -249,32 +262,27 @@ def block_pairs(block: pd.DataFrame) -> pd.DataFrame:
 
     found = []
     for x in np.flatnonzero(~most):  # of two components one is not the largest
-        same = keys == keys[x]
-        ok = (same.sum(1) >= AGREE) & (keys[x][same.argmax(1)] == key) & (part != part[x]) & (most | (np.arange(n) > x))
+        # The alignment is of shingles in order, so it is no longer than their common number.
+        sets = both[x] / (distinct + distinct[x] - both[x])
+        bound = common[x] / (length + length[x] - common[x])
+        ok = (np.maximum(sets, bound) >= SIMILARITY - 1e-5) & (part != part[x]) & (most | (member > x))
         if across:
             ok &= side != side[x]
-        if not ok.any():
-            continue
-        flags = np.zeros(len(names), np.int32)
-        flags[at[start[x] : start[x] + len(held[x])]] = 1
-        hit, below = flags[at], (flat <= top[x]).astype(np.int32)
-        upto = np.searchsorted(held[x], top, side="right")
-        exact = whole & whole[x]
-        _, may = _share(np.add.reduceat(hit, start), upto, np.add.reduceat(below, start), exact)
-        sets, may_sets = _share(
-            np.add.reduceat(hit * marked, start), np.r_[0, np.cumsum(held[x] & 1)][upto], np.add.reduceat(below * marked, start), exact
-        )
-        for y in np.flatnonzero(ok & (may | may_sets)):
+        near = np.flatnonzero(ok)
+        same = keys[near] == keys[x]
+        near = near[(same.sum(1) >= AGREE) & (keys[x][same.argmax(1)] == key)]
+        for y in near[np.argsort(-sets[near], kind="stable")]:
             p, q = root(part[x]), root(part[y])
-            if p != q:
+            if p != q and (sets[y] >= SIMILARITY + 1e-5 or similarity(seqs[x], seqs[y]) >= SIMILARITY):
                 found.append((ids[x], ids[y]))
-                if exact[y] and sets[y] >= SIMILARITY + 0.02:
-                    parent[p] = q
+                parent[p] = q
     return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
 
 def _still_apart(buckets: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
-    """All candidates of different components: by pair in small buckets, in pairs of blocks of large ones."""
+    """Links between candidates of different components: by pair in small buckets, in pairs of blocks of large ones.
+
+    A block gets each of its texts once, however many pairs it is in, and gives fewer links than it has members."""
     placed = buckets.join(found.withColumnRenamed("id", "m_id"), F.col("m.doc_id") == F.col("m_id"), "left").select(
         "key", "m", "g", F.coalesce("component", "m.doc_id").alias("c")
     )
@@ -284,20 +292,24 @@ def _still_apart(buckets: DataFrame, found: DataFrame, docs: DataFrame) -> DataF
     close = small.select("all", F.explode("all").alias("x")).select("x", F.explode(F.filter("all", lambda y: (
         (y["doc_id"] > F.col("x.doc_id")) & (y["c"] != F.col("x.c")) & _fits(F.col("x"), y) & _agree(F.col("x"), y)
     ))).alias("y")).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+    close = stage(_named(close))
     large = placed.where(F.col("g") > SMALL_BUCKET)
-    mixed = large.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("key")
-    large = stage(large.join(mixed, "key").select("key", "c", "g", "m.doc_id", "m.keys"))
-    low = docs.select("doc_id", "text").join(large.select("doc_id").distinct(), "doc_id", "left_semi").mapInPandas(
-        _lowest, "doc_id bigint, low binary, whole boolean"
-    ).where(F.length("low") > 0).groupBy("doc_id").agg(F.max(F.struct("low", "whole")).alias("v"))
-    cut = F.ceil(F.col("g") / BLOCK)
-    sided = large.withColumn("side", F.pmod(F.xxhash64("doc_id"), cut)).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), cut - 1))
+    mixed = large.groupBy("key").agg(
+        F.min("c").alias("c1"), F.max("c").alias("c2"), F.greatest(F.ceil(F.max("g") / BLOCK), F.ceil(F.sum("m.n") / HELD)).alias("cut")
+    ).where("c1 < c2").select("key", "cut")
+    large = stage(large.join(mixed, "key").select("key", "c", "cut", "m.doc_id", "m.keys"))
+    texts = docs.select("doc_id", "text").join(large.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(
+        F.max("text").alias("text")
+    )
+    sided = large.withColumn("side", F.pmod(F.xxhash64("doc_id"), "cut")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1))
     )
-    far = sided.join(low, "doc_id").select(
-        "key", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "doc_id", "c", "keys", "v.*"
-    ).groupBy("key", "lo", "hi").applyInPandas(block_pairs, "a bigint, b bigint")
-    return _named(close.union(far))
+    far = sided.join(texts, "doc_id").select(
+        "key", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "doc_id", "c", "keys", "text"
+    ).groupBy("key", "lo", "hi").applyInPandas(block_links, "a bigint, b bigint")
+    if not close.isEmpty():
+        far = far.union(verify(close, docs).where(F.col("similarity") >= SIMILARITY).select("a", "b"))
+    return _named(far)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -322,9 +334,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = stage(components(links))
     more = stage(_still_apart(buckets, found, docs))
     if not more.isEmpty():
-        more = stage(verify(more, docs).where(F.col("similarity") >= SIMILARITY))
-        if not more.isEmpty():
-            found = stage(components(links.union(more)))
+        found = stage(components(links.select("a", "b").union(more)))
     classes = reps.select("same", F.col("doc_id").alias("copy_of")).join(
         found.withColumnRenamed("id", "copy_of"), "copy_of", "left"
     ).select("same", "copy_of", F.coalesce("component", "copy_of").alias("class_id"))

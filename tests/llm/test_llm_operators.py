@@ -168,6 +168,31 @@ def test_near_classes_of_a_hot_group_are_those_of_brute_force(spark, monkeypatch
     assert {r.doc_id: r.class_id for r in got} == want
 
 
+def test_near_fetches_no_pair_of_a_hot_group(spark, monkeypatch):
+    """Most of these variants are close to the threshold, and below it; what is fetched by pair stays in proportion to them."""
+    rng = random.Random(9)
+    words, rows, fetched = [f"w{rng.randrange(10**6)}" for _ in range(400)], [], []
+    for i in range(150):
+        other = [*words]
+        for place in rng.sample(range(400), 6):
+            other[place] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(other)))
+    verify = near.verify
+    monkeypatch.setattr(near, "SMALL_BUCKET", 2)
+    monkeypatch.setattr(near, "verify", lambda pairs, docs: (fetched.append(pairs.count()), verify(pairs, docs))[1])
+    near.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert 0 < sum(fetched) <= 6 * len(rows), fetched
+
+
+def test_common_counts():
+    rng = random.Random(10)
+    for n in (1, 3, 150):
+        held = [{rng.randrange(40 if rng.random() < 0.5 else 4000) for _ in range(rng.randrange(1, 60))} for _ in range(n)]
+        rows = [(x, i) for i, own in enumerate(held) for x in own]
+        got = near.common_counts(np.array([x for x, _ in rows], np.uint64), np.array([i for _, i in rows]), n)
+        assert all(got[i][j] == len(held[i] & held[j]) for i in range(n) for j in range(n) if i != j)
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)], "a bigint, b bigint")
     got = {r.id: r.component for r in components(links).collect()}
