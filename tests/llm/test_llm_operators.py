@@ -255,6 +255,23 @@ def test_pieces_against_the_library():
     assert all(cut[w] == model.cut(w, skips, i) for i, w in enumerate(words))
 
 
+def test_pieces_cut_frequent_words_once(monkeypatch):
+    """However many words of their own the texts have, and whatever is let go of in between."""
+    proto = open(PIECE_MODEL, "rb").read()
+    often = [f"frequent{i}word" for i in range(40)]
+    texts = [" ".join(w for i, x in enumerate(often) for w in (x, f"rare{n * 40 + i}é▁", f"x{n * 40 + i}")) for n in range(60)] + ["", " "]
+    want = [x.tolist() for x in pieces.Model(proto).encode(texts, 0.3, 1, 2)]
+    cut, merged = [], pieces.Model._merged
+    monkeypatch.setattr(pieces.Model, "_merged", lambda self, codes, *rest: (cut.extend(map(bytes, codes)), merged(self, codes, *rest))[1])
+    monkeypatch.setattr(pieces, "KEPT", 800)
+    monkeypatch.setattr(pieces, "BLOCK", 100)
+    model = pieces.Model(proto)
+    assert [x.tolist() for x in model.encode(texts, 0.3, 1, 2)] == want
+    assert [model.decode(x) for x in want] == texts
+    word = "▁frequent7word".encode("utf-32-le")
+    assert 1 <= cut.count(word) <= 2 and len(cut) < 60 * 40 * 2 + 200
+
+
 def test_longest_previous_factors():
     rng = random.Random(3)
     shared = lambda a, b: next((k for k in range(6) if a[k] != b[k]), 6)
