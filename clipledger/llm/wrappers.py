@@ -27,6 +27,8 @@ from clipledger.llm.url_filter import host_and_path
 REFERENCES, SALTS = 3, 16
 #: Reference pages and templates up to these sizes, which are measured, are broadcast; larger ones meet the pages by salted shuffle.
 MAX_BROADCAST_ROWS, MAX_BROADCAST_BYTES = 20_000, 8 << 20
+#: Characters of reference pages, and entries of shapes, that a task holds at once.
+HELD_CHARS, HELD_SHAPES = 4 << 20, 400_000
 #: A slot is template if this share of at least so many aligned pairs of runs are equal.
 CONSTANT, VOTES = 0.95, 4
 
@@ -63,10 +65,10 @@ _WORD = re.compile(r"[a-z]+")
 class Node:
     """A block element, or a run of text (label #text)."""
 
-    __slots__ = ("label", "tag", "children", "text", "outside")
+    __slots__ = ("label", "tag", "children", "text", "outside", "shape")
 
     def __init__(self, label: str, tag: str = "", text: str = "", outside: bool = False) -> None:
-        self.label, self.tag, self.children, self.text, self.outside = label, tag, [], text, outside
+        self.label, self.tag, self.children, self.text, self.outside, self.shape = label, tag, [], text, outside, -1
 
 
 def _hinted(attributes: str) -> tuple[str, bool]:
@@ -151,25 +153,43 @@ def parse(page: str) -> Node:
     return root
 
 
-def matched(a: Node, b: Node) -> list[tuple[Node, Node, str]]:
-    """Pairs of text runs that simple tree matching aligns, each with its path."""
-    weights: dict[tuple[int, int], tuple[int, list]] = {}
-
-    def match(x: Node, y: Node) -> int:
+class Shapes:
+    """Trees of labels, numbered, and how two of them match. Pages of a kind share most shapes, so each pair is matched once."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[tuple[str, tuple[int, ...]], int] = {}
+        self.labels: list[str] = []
+        self.children: list[tuple[int, ...]] = []
+        self.best: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
+        self.held = 0  # entries, for the caller to let go of all in time
+
+    def number(self, node: Node) -> int:
+        """The shape of a node; also set on all nodes below."""
+        key = (node.label, tuple([self.number(c) for c in node.children]))
+        shape = self.numbers.get(key)
+        if shape is None:
+            shape = self.numbers[key] = len(self.labels)
+            self.labels.append(key[0])
+            self.children.append(key[1])
+            self.held += 1 + len(key[1])
+        node.shape = shape
+        return shape
+
+    def match(self, x: int, y: int) -> int:
         """Size of the largest matching of two trees whose roots have the same label; keeps which children are paired."""
-        key = (id(x), id(y))
-        if key in weights:
-            return weights[key][0]
-        xs, ys = x.children, y.children
-        if [c.label for c in xs] == [c.label for c in ys]:
-            pairs = list(zip(xs, ys))
-            total = 1 + sum(match(c, d) for c, d in pairs)
+        known = self.best.get((x, y))
+        if known:
+            return known[0]
+        labels, xs, ys = self.labels, self.children[x], self.children[y]
+        if [labels[c] for c in xs] == [labels[d] for d in ys]:
+            pairs = [(i, i) for i in range(len(xs))]
+            total = 1 + sum([self.match(c, d) for c, d in zip(xs, ys)])
         else:
-            w = [[match(c, d) if c.label == d.label else 0 for d in ys] for c in xs]
+            w = {c: [self.match(c, d) if labels[c] == labels[d] else 0 for d in ys] for c in set(xs)}
             best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-            for i, row in enumerate(w):
+            for i, c in enumerate(xs):
                 above, here = best[i], best[i + 1]
-                for j, v in enumerate(row):
+                for j, v in enumerate(w[c]):
                     here[j + 1] = max(above[j + 1], here[j], above[j] + v)
             pairs, i, j = [], len(xs), len(ys)
             while i and j:
@@ -179,28 +199,37 @@ def matched(a: Node, b: Node) -> list[tuple[Node, Node, str]]:
                     j -= 1
                 else:
                     i, j = i - 1, j - 1
-                    pairs.append((xs[i], ys[j]))
+                    pairs.append((i, j))
             total = 1 + best[len(xs)][len(ys)]
-        weights[key] = (total, pairs)
+        self.best[x, y] = (total, pairs)
+        self.held += 1 + len(pairs)
         return total
 
-    match(a, b)
+
+def matched(a: Node, b: Node, shapes: Shapes | None = None) -> list[tuple[Node, Node, str]]:
+    """Pairs of text runs that simple tree matching aligns, each with its path. Trees that `shapes` has numbered stay numbered."""
+    if shapes is None:
+        shapes = Shapes()
+        shapes.number(a), shapes.number(b)
+    shapes.match(a.shape, b.shape)
     out, todo = [], [(a, b, "")]
     while todo:
         x, y, path = todo.pop()
-        for c, d in weights[id(x), id(y)][1]:
+        xs, ys = x.children, y.children
+        for i, j in shapes.best[x.shape, y.shape][1]:
+            c = xs[i]
             where = f"{path}/{c.label}"
             if c.label == "#text":
-                out.append((c, d, where))
-            else:
-                todo.append((c, d, where))
+                out.append((c, ys[j], where))
+            elif c.children:
+                todo.append((c, ys[j], where))
     return out
 
 
-def _votes(tree: Node, other: Node) -> dict[str, tuple[int, int]]:
+def _votes(tree: Node, other: Node, shapes: Shapes | None = None) -> dict[str, tuple[int, int]]:
     """Per path: pairs of runs that are equal, and all."""
     out: dict[str, tuple[int, int]] = {}
-    for x, y, path in matched(tree, other):
+    for x, y, path in matched(tree, other, shapes):
         equal, every = out.get(path, (0, 0))
         out[path] = (equal + (x.text == y.text), every + 1)
     return out
@@ -247,14 +276,21 @@ def _flattened(tree: Node, most: int = 200) -> Node:
 
 def _aligned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held: dict[str, Node] = {}
+    shapes, size = Shapes(), 0
     for frame in frames:
         votes: dict[tuple[str, str], list[int]] = {}
         for host, page, reference in zip(frame["host"], frame["html"], frame["reference"]):
-            if reference not in held:
-                if len(held) >= 64:
-                    held.clear()
-                held[reference] = _flattened(parse(reference))
-            for path, (equal, every) in _votes(_flattened(parse(page)), held[reference]).items():
+            if size > HELD_CHARS or shapes.held > HELD_SHAPES:
+                held.clear()
+                shapes, size = Shapes(), 0
+            other = held.get(reference)
+            if other is None:
+                other = held[reference] = _flattened(parse(reference))
+                shapes.number(other)
+                size += len(reference)
+            tree = _flattened(parse(page))
+            shapes.number(tree)
+            for path, (equal, every) in _votes(tree, other, shapes).items():
                 v = votes.setdefault((host, path), [0, 0])
                 v[0] += equal
                 v[1] += every

@@ -375,6 +375,52 @@ def test_main_text():
     assert wrappers.content(wrappers._flattened(wrappers.parse(deep)), frozenset()) == "x"
 
 
+def test_references_are_read_and_shapes_matched_once(monkeypatch):
+    import pandas as pd
+
+    parse, read = wrappers.parse, []
+    monkeypatch.setattr(wrappers, "parse", lambda page: (read.append(page), parse(page))[1])
+    refs = [f"<div><p>r{i}<p>same</div>" for i in range(100)]
+    rows = [("h", f"<div><p>x{i}<p>same<p>more</div>", refs[i % 100]) for i in range(300)]
+    got = list(wrappers._aligned(iter([pd.DataFrame(rows, columns=["host", "html", "reference"])])))
+    assert len(read) == 400
+    assert {tuple(r) for r in got[0].values.tolist()} == {("h", "/div/p/#text", 300, 600)}
+    shapes = wrappers.Shapes()
+    trees = [parse(r[1]) for r in rows] + [parse(r) for r in refs]
+    assert len({shapes.number(t) for t in trees}) == 2
+    for t in trees[:300]:
+        wrappers.matched(t, trees[-1], shapes)
+    assert len(shapes.best) == 4  # root, div, p and text
+
+
+def test_matching_by_brute_force():
+    rng = random.Random(11)
+
+    def tree(depth):
+        label = rng.choice("ab")
+        node = wrappers.Node(label, label)
+        node.children = [tree(depth - 1) for _ in range(rng.randrange(4))] if depth else []
+        return node
+
+    def most(x, y):
+        if x.label != y.label:
+            return 0
+        xs, ys = x.children, y.children
+        if [c.label for c in xs] == [c.label for c in ys]:
+            return 1 + sum(most(c, d) for c, d in zip(xs, ys))
+        t = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+        for i, c in enumerate(xs):
+            for j, d in enumerate(ys):
+                t[i + 1][j + 1] = max(t[i][j + 1], t[i + 1][j], t[i][j] + most(c, d))
+        return 1 + t[-1][-1]
+
+    shapes = wrappers.Shapes()
+    for _ in range(300):
+        a, b = tree(3), tree(3)
+        a.label = b.label = "#root"
+        assert shapes.match(shapes.number(a), shapes.number(b)) == most(a, b)
+
+
 def test_template_slots_go(spark):
     rows = [(i, f"http://h.org/{i}", f"<body><div class=a>Welcome to our site</div><div class=b><p>Story {i} of many</p></div></body>") for i in range(12)]
     rows += [(50, None, rows[0][2]), (51, "http://h.org/n", None), (52, "http://alone.org/", rows[0][2])]
