@@ -7,7 +7,8 @@ all bytes of a corpus is out of reach, so the positions that can matter are foun
    stretch has its anchor in both documents. Anchors that one document only holds are done with.
 2. Contexts. An anchor's context is all bytes of the stretches it can be the anchor of. A context that an earlier
    document holds as well has all its stretches repeated; of equal contexts only the first goes on.
-3. Suffixes. Of the stretches of what is left, those whose hash another document's has as well are sorted in suffix order. For each
+3. Suffixes. Contexts whose half, left or right of the anchor, no other document has go no further on that side. Of the
+   stretches of what is left, those whose hash another document's has as well are sorted in suffix order. For each
    suffix the previous and the next one from a
    smaller document give the longest previous factor, as long as the longer of the two common prefixes. Where it
    reaches MATCH the stretch is a repeat.
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -29,8 +31,11 @@ from pyspark.sql import functions as F
 from clipledger.llm.support import Rolling, release, stage, written
 
 MATCH, GRAM = 50, 20
+TURNS = 3  # stretches are compared in so many parts by their hash, so that the rows of one lie on disk at a time
 PIECE = 1000  # documents whose contexts a task holds at once
 _REACH = MATCH - GRAM  # how far before its anchor a stretch can start
+_HALF = _REACH // 2
+_KEY = MATCH - _HALF  # bytes that all stretches on one side of an anchor hold
 
 
 def _sliding(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
@@ -122,24 +127,28 @@ def common_prefixes(rows: np.ndarray) -> np.ndarray:
 
 def longest_previous_factors(doc: list[int], lcp: list[int]) -> list[int]:
     """For suffixes in order, with their documents and the common prefix with the suffix before: the longest prefix that a suffix of
-    a smaller document shares. It is shared with the previous or the next smaller one in suffix order."""
-    n, out = len(doc), [0] * len(doc)
-    for step in (1, -1):
-        stack: list[tuple[int, int]] = []  # documents still to be met, with the prefix shared with the suffix at hand
-        for i in range(n) if step == 1 else range(n - 1, -1, -1):
-            shared = lcp[i] if step == 1 else lcp[i + 1] if i + 1 < n else 0
-            while stack and stack[-1][0] >= doc[i]:
-                shared = min(shared, stack.pop()[1])
-            if stack:
-                shared = min(shared, stack[-1][1])
-                stack[-1] = (stack[-1][0], min(stack[-1][1], shared))
-                out[i] = max(out[i], shared)
-            stack.append((doc[i], MATCH))
-            # What the next suffix shares with those below is cut by what it shares with this one.
-            ahead = lcp[i + 1] if step == 1 and i + 1 < n else lcp[i] if step == -1 else 0
-            if len(stack) > 1:
-                stack[-2] = (stack[-2][0], min(stack[-2][1], ahead))
-    return out
+    a smaller document shares. It is shared with the previous or the next smaller one in suffix order; these are found by halving,
+    from minima over runs of 1, 2, 4, ... suffixes."""
+    n = len(doc)
+    if not n:
+        return []
+    d, c, here, out = np.asarray(doc), np.asarray(lcp), np.arange(n), np.zeros(n, np.int64)
+    for back in (False, True):
+        if back:
+            d, c = d[::-1], np.r_[0, c[:0:-1]]
+        lows, cuts = [d], [c]
+        while 2 << len(lows) - 1 < n:
+            step = 1 << len(lows) - 1
+            lows.append(np.r_[lows[-1][:step], np.minimum(lows[-1][step:], lows[-1][:-step])])
+            cuts.append(np.r_[cuts[-1][:step], np.minimum(cuts[-1][step:], cuts[-1][:-step])])
+        at, shared = here - 1, c.copy()
+        for k in range(len(lows) - 1, -1, -1):  # over runs of documents that are not smaller
+            over = (at >= (1 << k) - 1) & (lows[k][at] >= d)
+            shared[over] = np.minimum(shared, cuts[k][at])[over]
+            at[over] -= 1 << k
+        shared = np.where(at >= 0, shared, 0)
+        out = np.maximum(out, shared[::-1] if back else shared)
+    return out.tolist()
 
 
 def _repeated(suffixes: list[bytes], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,11 +158,11 @@ def _repeated(suffixes: list[bytes], doc: np.ndarray) -> tuple[np.ndarray, np.nd
     wide[:, :MATCH] = rows
     order = np.lexsort([doc, *wide.view(">u8").T[::-1]])
     lcp = common_prefixes(rows[order])
-    return order, np.array(longest_previous_factors(doc[order].tolist(), lcp.tolist())) >= MATCH
+    return order, np.array(longest_previous_factors(doc[order], lcp)) >= MATCH
 
 
-def _window_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Hash of each stretch of each context."""
+def _window_rows(frames: Iterator[pd.DataFrame], turn: int) -> Iterator[pd.DataFrame]:
+    """Hash of each stretch of each context that another document may have, if the hash has its turn."""
     for frame in frames:
         flat = np.frombuffer(b"".join(frame["ctx"]), np.uint8)
         counts = frame["windows"].to_numpy(np.int64)
@@ -167,8 +176,12 @@ def _window_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             grams = rolling.every(GRAM)
             least = grams[begins + frame["anchor"].to_numpy(np.int64)]
             own = _sliding(grams, _REACH + 1, np.minimum)[begins[row] + offset] == least[row]
-            row, offset = row[own], offset[own]  # the others belong to another anchor's context
+            before = frame["anchor"].to_numpy(np.int64)[row] - offset
+            own &= np.where(before <= _HALF, frame["right"].to_numpy(bool)[row], frame["left"].to_numpy(bool)[row])
+            row, offset = row[own], offset[own]  # the others belong to another anchor's context or are no one else's
             w = rolling.every(MATCH)[begins[row] + offset]
+            own = w % np.uint64(TURNS) == turn
+            w, row, offset = w[own], row[own], offset[own]
         doc = frame["doc_id"].to_numpy(np.int64)[row]
         order, later, shared = _firsts([w], doc)
         yield pd.DataFrame({
@@ -257,42 +270,55 @@ def _contexts(named: DataFrame, copies: DataFrame, suspects: DataFrame) -> DataF
     rows = named.join(wanted, "doc_id").where("skipped is null or not array_contains(skipped, tid)").select("doc_id", "tid", "text", "hs")
     rows = rows.mapInPandas(_context_rows, _CONTEXT).withColumn("first", F.min("doc_id").over(Window.partitionBy("ctx", "salt")))
     settled = F.col("local") | (F.col("doc_id") > F.col("first"))
-    return written(rows.select("anchor", F.when(~settled, F.col("ctx")).alias("ctx"), "doc_id", "tid", "start", "windows", settled.alias("settled")))
+    return written(rows.select(
+        "anchor", F.when(~settled, F.col("ctx")).alias("ctx"), "doc_id", "tid", "start", "windows", settled.alias("settled"),
+        F.monotonically_increasing_id().alias("head"),
+    ))
 
 
 def _open_contexts(contexts: DataFrame) -> DataFrame:
-    """First contexts of anchors that have other contexts in other documents, numbered (head)."""
-    heads, at = contexts.where("not settled"), ["doc_id", "tid", "start", "anchor"]
-    each = Window.partitionBy("gram")
-    gram = F.xxhash64(F.substring("ctx", F.col("anchor") + 1, F.lit(GRAM)))
-    marked = heads.select(gram.alias("gram"), F.xxhash64("ctx").alias("c"), *at).withColumn(
-        "split", (F.min("c").over(each) < F.max("c").over(each)) & (F.min("doc_id").over(each) < F.max("doc_id").over(each))
+    """First contexts that may share a stretch with another context of another document, and on which side of the anchor.
+
+    A stretch that starts up to _HALF bytes before its anchor holds the _KEY bytes from the anchor on (right), any other
+    those from _HALF before the anchor on (left)."""
+    heads = contexts.where("not settled")
+    part = lambda side, ok, back: F.when(
+        ok, F.struct(F.xxhash64(F.lit(side), F.substring("ctx", F.col("anchor") + 1 - back, F.lit(_KEY))).alias("key"), F.lit(side).alias("side"))
     )
-    return written(
-        heads.select("ctx", "windows", *at).join(marked.where("split").select(*at).distinct(), at).withColumn(
-            "head", F.monotonically_increasing_id()
-        )
+    sides = F.array_compact(F.array(
+        part(0, F.col("anchor") + _KEY <= F.octet_length("ctx"), 0), part(1, F.col("anchor") >= _HALF, _HALF)
+    ))
+    each = Window.partitionBy("key")
+    marked = heads.select(F.xxhash64("ctx").alias("c"), "doc_id", "head", F.explode(sides).alias("s")).select("c", "doc_id", "head", "s.*")
+    split = (F.min("c").over(each) < F.max("c").over(each)) & (F.min("doc_id").over(each) < F.max("doc_id").over(each))
+    live = marked.withColumn("split", split).where("split").groupBy("head").agg(
+        F.max(F.col("side") == 0).alias("right"), F.max(F.col("side") == 1).alias("left")
     )
+    return written(heads.select("ctx", "windows", "doc_id", "tid", "start", "anchor", "head").join(live, "head"))
 
 
-def _shared_stretches(heads: DataFrame) -> DataFrame:
-    """(head, offsets): per open context the stretches whose hash another document has."""
+def _shared_stretches(heads: DataFrame, turn: int) -> DataFrame:
+    """(head, offsets): per open context the stretches of this turn whose hash another document has."""
     each = Window.partitionBy("w", "salt")
-    rows = heads.select("head", "anchor", "ctx", "doc_id", "windows").mapInPandas(
-        _window_rows, "w bigint, salt bigint, doc_id bigint, head bigint, offset int, local boolean"
+    rows = heads.select("head", "anchor", "ctx", "doc_id", "windows", "right", "left").mapInPandas(
+        partial(_window_rows, turn=turn), "w bigint, salt bigint, doc_id bigint, head bigint, offset int, local boolean"
     )
     marked = rows.withColumns({"low": F.min("doc_id").over(each), "high": F.max("doc_id").over(each)}).where("local or low < high")
     return written(marked.groupBy("head").agg(F.collect_set("offset").alias("offsets")))
 
 
-def _lost(contexts: DataFrame, heads: DataFrame, shared: DataFrame, copies: DataFrame) -> DataFrame:
-    """(doc_id, tid, copy, runs): what each text loses, as runs of starts of repeated stretches."""
+def _repeated_stretches(heads: DataFrame, shared: DataFrame) -> DataFrame:
+    """(doc_id, tid, start) of the shared stretches that repeat one of a smaller document."""
     suffixes = heads.join(shared, "head").select("ctx", "doc_id", "tid", "start", "offsets").mapInPandas(
         _suffix_rows, _SUFFIX
     )
-    found = suffixes.repartition("suffix", "salt").sortWithinPartitions("suffix", "doc_id").mapInPandas(
+    return written(suffixes.repartition("suffix", "salt").sortWithinPartitions("suffix", "doc_id").mapInPandas(
         _judged, "doc_id bigint, tid bigint, start int"
-    )
+    ))
+
+
+def _lost(contexts: DataFrame, found: DataFrame, copies: DataFrame) -> DataFrame:
+    """(doc_id, tid, copy, runs): what each text loses, as runs of starts of repeated stretches."""
     runs = contexts.where("settled").select("doc_id", "tid", "start", "windows").unionByName(found.withColumn("windows", F.lit(1)))
     runs = runs.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
     whole = copies.withColumns({"copy": F.lit(True), "runs": F.lit(None).cast(runs.schema["runs"].dataType)})
@@ -314,9 +340,13 @@ def repeats(docs: DataFrame) -> DataFrame:
     release(spark)
     heads = _open_contexts(contexts)
     release(spark)
-    shared = _shared_stretches(heads)
-    release(spark)
-    lost = _lost(contexts, heads, shared, copies)
+    found = []
+    for turn in range(TURNS):  # equal stretches have their turn together
+        shared = _shared_stretches(heads, turn)
+        release(spark)
+        found.append(_repeated_stretches(heads, shared))
+        release(spark)
+    lost = _lost(contexts, reduce(DataFrame.unionByName, found), copies)
     release(spark)
     full = rows.join(lost, ["doc_id", "tid"], "left").select("doc_id", "text", "copy", "runs")
     return full.mapInPandas(_cleaned, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")

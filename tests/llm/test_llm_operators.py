@@ -306,6 +306,26 @@ def test_repeats_by_brute_force(spark):
     assert {r.doc_id: tuple(r)[1:] for r in got} == want
 
 
+def test_repeats_leave_out_contexts_that_share_too_little(spark):
+    """Documents with one string in common that is longer than an anchor and shorter than a match."""
+    import pandas as pd
+
+    rng = random.Random(12)
+    drawn = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    common = drawn(26)
+    rows = [(i, drawn(60) + common + drawn(60)) for i in range(60)] + [(99, drawn(30))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("tid", F.xxhash64("text"))
+    contexts = repeats._contexts(docs, repeats._copies(docs), repeats._suspects(docs))
+    assert contexts.where("not settled").count() > 0
+    assert repeats._open_contexts(contexts).count() == 0
+    ctx = drawn(80).encode()
+    frame = pd.DataFrame({"head": [1], "anchor": [30], "ctx": [ctx], "doc_id": [5], "windows": [31], "right": [True], "left": [True]})
+    turns = [next(repeats._window_rows(iter([frame]), turn)) for turn in range(repeats.TURNS)]
+    assert not pd.concat(turns)["offset"].duplicated().any()
+    off = next(repeats._window_rows(iter([frame.assign(right=False, left=False)]), 0))
+    assert len(off) == 0
+
+
 def test_mix_takes_targets(spark, docs):
     for r in mixing.mix(docs).groupBy("source_size", "target").agg(F.sum("taken").alias("t"), F.max(F.col("taken") - 2 * F.col("size")).alias("over")).collect():
         assert r.over <= 0
