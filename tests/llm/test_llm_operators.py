@@ -326,6 +326,48 @@ def test_repeats_leave_out_contexts_that_share_too_little(spark):
     assert len(off) == 0
 
 
+def test_repeats_of_large_and_small_anchors(spark, monkeypatch):
+    """Passages that start and end at any byte, in many documents; whichever way their contexts are compared, brute force is met."""
+    rng = random.Random(21)
+    drawn = lambda n, letters="abcdefghijklmnop é": "".join(rng.choice(letters) for _ in range(n))
+    long, short, middle = drawn(400), drawn(70), drawn(36)
+    rows = [(i, drawn(40) + long[rng.randrange(200):][: rng.randrange(40, 200)] + drawn(30)) for i in range(40)]
+    rows += [(40 + i, drawn(rng.randrange(60)) + short[rng.randrange(20):] + drawn(20)) for i in range(20)]
+    rows += [(60 + i, drawn(40, "ab") + middle + drawn(40, "ab")) for i in range(60)]
+    rows += [(120, long), (121, "ab" * 100), (122, "ab" * 60 + "b")]
+    want, seen = {}, {}
+    for i, t in rows:
+        raw = t.encode()
+        gone = np.zeros(len(raw), bool)
+        for k in range(len(raw) - 49):
+            gone[k : k + 50] |= seen.setdefault(raw[k : k + 50], i) < i
+        kept = bytes(np.frombuffer(raw, np.uint8)[~gone])
+        want[i] = (int(gone.sum()), hashlib.sha256(kept).hexdigest())
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    for large, bucket in ((60_000, 50), (2, 20_000)):
+        monkeypatch.setattr(repeats, "BUCKET", bucket)
+        monkeypatch.setattr(repeats, "LARGE", large)
+        monkeypatch.setattr(repeats, "SHARE", 1 if large == 2 else 32)
+        assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in repeats.repeats(frame).collect()} == want
+
+
+def test_repeats_move_runs_not_stretches():
+    """Documents with one passage: the contexts of an anchor give runs, as long as their factors reach."""
+    import pyarrow as pa
+
+    rng = random.Random(22)
+    while True:  # bytes whose middle 20 are the anchor of all stretches around
+        ctx = bytes(rng.choice(b"abcdefgh") for _ in range(80))
+        if repeats._stretches(np.frombuffer(ctx, np.uint8), *(np.array([x]) for x in (0, 31, 30, True, True)))[0].size == 31:
+            break
+    table = pa.table({
+        "h": [7] * 4, "anchor": pa.array([30] * 4, pa.int32()), "ctx": pa.array([ctx, ctx[:-4] + b"zzzz", ctx, b"y" + ctx[1:]], pa.binary()),
+        "doc_id": [3, 1, 4, 2], "tid": [30, 10, 40, 20], "start": pa.array([100, 5, 0, 9], pa.int32()), "windows": pa.array([31] * 4, pa.int32()),
+    })
+    got = sorted(tuple(r.values()) for r in repeats._bucket_runs(table).to_pylist())
+    assert got == [(2, 20, 10, 26), (3, 30, 100, 27), (3, 30, 127, 4), (4, 40, 0, 31)]
+
+
 def test_mix_takes_targets(spark, docs):
     for r in mixing.mix(docs).groupBy("source_size", "target").agg(F.sum("taken").alias("t"), F.max(F.col("taken") - 2 * F.col("size")).alias("over")).collect():
         assert r.over <= 0
