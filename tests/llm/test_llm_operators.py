@@ -272,6 +272,32 @@ def test_pieces_cut_frequent_words_once(monkeypatch):
     assert 1 <= cut.count(word) <= 2 and len(cut) < 60 * 40 * 2 + 200
 
 
+def test_pieces_look_up_a_chunk_once_a_block(monkeypatch):
+    """Chunks are told apart at bytes as a pattern over the marked text tells them, and each is looked up once a variant."""
+    rng = random.Random(31)
+    texts = ["".join(rng.choice(" \n\t\u00a0ab\u00e9\u2581") for _ in range(rng.randrange(40))) for _ in range(400)] + ["", " ", "\n", "a"]
+    want = [re.findall("\u2581*[^\u2581\n]+\n?|\u2581+|\n", "\u2581" + t.replace("\u2581", "\ud800").replace(" ", "\u2581")) if t else [] for t in texts]
+    chunks, counts = pieces._chunks(texts)
+    got = iter([pieces._spaced(c) for c in chunks.to_pylist()])
+    assert [[next(got) for _ in range(n)] for n in counts] == want
+    model = pieces.Model(open(PIECE_MODEL, "rb").read())
+    ids = list(model.encode(texts, 0.3, 1, 2))
+    assert model.gives(ids, texts) == [True] * len(texts)
+    assert model.gives(ids, [t + "x" for t in texts]) == [False] * len(texts)
+    assert model.gives([], []) == []
+    asked = []
+
+    class Seen(dict):
+        def get(self, chunk, *rest):
+            asked.append(chunk)
+            return super().get(chunk, *rest)
+
+    kept = pieces._Kept(2)
+    kept.slots = [Seen(), Seen()]
+    list(model._block([("often " * 500, 0), ("often " * 500, 1)], b"", 1, kept))
+    assert asked.count(b" often") == 2
+
+
 def test_longest_previous_factors():
     rng = random.Random(3)
     shared = lambda a, b: next((k for k in range(6) if a[k] != b[k]), 6)
