@@ -298,6 +298,42 @@ def test_pieces_look_up_a_chunk_once_a_block(monkeypatch):
     assert asked.count(b" often") == 2
 
 
+def test_pieces_draw_at_every_place(spark, monkeypatch):
+    """Each place of a word draws each of its pairs, and rows that come twice draw apart; the tree gives what an agenda of each place gives."""
+    proto = open(PIECE_MODEL, "rb").read()
+    texts = ["understanding " * 3000, "often a word \u2581 \u00e9\n\n b " * 40, "x" * 500 + " " + "y" * 32, "", " ", "understanding"]
+
+    def by_place(model, dropout):
+        chunks, counts = pieces._chunks(texts)
+        rest = iter(chunks.to_pylist())
+        for start, n in enumerate(counts):
+            keys = pieces._place_keys(1, np.full(n, start), np.arange(n))
+            yield [i for key in keys for i in model.cut(pieces._spaced(next(rest)), b"", 0, pieces._gaps_of(key, dropout))]
+
+    for kept, block, dropout in ((600_000, 2_000_000, 0.1), (600_000, 300, 0.5), (20, 300, 0.3), (600_000, 2_000_000, 1.0)):
+        monkeypatch.setattr(pieces, "KEPT", kept)
+        monkeypatch.setattr(pieces, "BLOCK", block)
+        model = pieces.Model(proto)
+        for _ in range(2):
+            got = list(model.encode(texts, dropout))
+            assert [x.tolist() for x in got] == list(by_place(model, dropout)) and all(model.gives(got, texts))
+    drawn = pieces._gaps(np.arange(200_000).astype(np.uint64), 0, 0.1)
+    assert all(abs((drawn >= g).mean() - 0.9**g) < 0.005 for g in range(12))
+    cuts = {tuple(model.cut("\u2581understanding", b"", 0, pieces._gaps_of(key, 0.1))) for key in pieces._place_keys(1, np.zeros(3000), np.arange(3000))}
+    assert len(cuts) > 10
+
+    rows = [(1, texts[0][:400]), (1, texts[0][:400]), (None, texts[0][:400]), (None, texts[0][:400]), (2, None), (2, None), (3, "once")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    shared = pieces.load(spark, PIECE_MODEL)
+    found = []
+    for few in (100_000, 0):
+        monkeypatch.setattr(pieces, "FEW_REPEATED", few)
+        got = pieces.tokens(docs.repartition(3), shared).collect()
+        assert len(got) == 7 and all(r.lossless for r in got)
+        found.append(sorted((str(r.doc_id), r.ids) for r in got))
+    assert found[0] == found[1] and len({tuple(ids) for _, ids in found[0] if len(ids) > 9}) == 4
+
+
 def test_longest_previous_factors():
     rng = random.Random(3)
     shared = lambda a, b: next((k for k in range(6) if a[k] != b[k]), 6)
