@@ -47,6 +47,18 @@ def opened(path: str) -> pa.NativeFile:
         raise OSError(str(e)) from e
 
 
+def make_folder(path: str) -> None:
+    store, inner = _located(path)
+    store.create_dir(inner, recursive=True)
+
+
+def created(path: str) -> pa.NativeFile:
+    """A stream that writes the file anew, its folder made where there is none."""
+    make_folder(path.rsplit("/", 1)[0])
+    store, inner = _located(path)
+    return store.open_output_stream(inner, compression=None)
+
+
 def entries(folder: str) -> list[tuple[str, bool, int, object]]:
     """(path, whether it is a folder, length, time of change) of what a folder holds. Paths keep the form of the folder's."""
     try:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,27 +83,109 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def scan(spark: SparkSession, *roots: str, glob: str = GLOB) -> DataFrame:
-    """The records of the manifests that say something. Splittable: one huge XML manifest is many tasks.
-
-    block, row: place of the record in its file. head: the first characters of the file, in its first record. n, entry: an XML entry's
-    place among those of its block and its tags, all text, because inferred types would turn digests of digits only into numbers.
-    listed, flat: whether it is a YAML manifest, which holds no tag and so is one record, and its entries; bad: whether any of them is not flat. closed,
-    valid: whether the record ends the list, and is UTF-8. A step that reads some of these columns makes no others."""
-    raw = spark.read.text(list(roots), lineSep=_RECORD_END, recursiveFileLookup=True, pathGlobFilter=glob).select(
+    """(manifest_path, block, value): the records of the manifests. Splittable: one huge XML manifest is many tasks; a YAML manifest, which
+    holds no tag, is one record."""
+    return spark.read.text(list(roots), lineSep=_RECORD_END, recursiveFileLookup=True, pathGlobFilter=glob).select(
         plain_path(F.col("_metadata.file_path")).alias("manifest_path"), F.col("_metadata.file_block_start").alias("block"), "value"
     )
+
+
+_SURVEY = pa.schema([
+    ("manifest_path", pa.string()), ("block", pa.int64()), ("entries", pa.int64()), ("closed", pa.bool_()), ("valid", pa.bool_()),
+    ("bad", pa.bool_()), ("head", pa.string()),
+])
+_CLOSED = r"</(\w+:)?hashlist[ \t\n\x0B\f\r]*>|<(\w+:)?hashlist[^>]*/>"
+
+
+def _valid(values: pa.Array) -> np.ndarray:
+    """Whether each value is UTF-8."""
+    try:
+        values.validate(full=True)
+        return np.ones(len(values), bool)
+    except pa.ArrowInvalid:
+        def good(data: bytes) -> bool:
+            try:
+                data.decode()
+                return True
+            except UnicodeDecodeError:
+                return False
+
+        return np.fromiter(map(good, values.cast(pa.binary()).to_pylist()), bool, len(values))
+
+
+def _flags_of(values: pa.Array, first_block: np.ndarray) -> dict[str, np.ndarray]:
+    """What each record says of its file."""
+    valid = _valid(values)
+    if not valid.all():  # replacement characters for what is not text
+        values = pa.array([x.decode("utf-8", "replace") for x in values.cast(pa.binary()).to_pylist()], pa.string())
+    closed = pc.match_substring(values, "hashlist").to_numpy(zero_copy_only=False).astype(bool)
+    at = np.flatnonzero(closed)
+    closed[at] = pc.match_substring_regex(values.take(pa.array(at)), _CLOSED).to_numpy(zero_copy_only=False)
+    listed, bad = np.flatnonzero(first_block & pc.match_substring(values, "Hashes:").to_numpy(zero_copy_only=False)), np.zeros(len(values), bool)
+    if len(listed):
+        for low, texts in _some(values.take(pa.array(listed))):
+            items, _, _, odd = yaml_parsed(texts)
+            bad[listed[low + items[odd]]] = True
+    return {"entries": pc.match_substring_regex(values, _CLOSES).to_numpy(zero_copy_only=False).astype(np.int64), "closed": closed, "valid": valid, "bad": bad}
+
+
+def _surveyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a block. A task reads a block from its start, so what is carried is the row of the block at hand."""
+    held: dict | None = None
+    for batch in batches:
+        size = batch.num_rows
+        if not size:
+            continue
+        path, block, value = batch.column("manifest_path"), batch.column("block"), batch.column("value")
+        same = pc.and_(pc.equal(path[1:], path[:-1]), pc.equal(block[1:], block[:-1])).to_numpy(zero_copy_only=False).astype(bool)
+        begun = np.flatnonzero(np.concatenate([[True], ~same]))
+        flags = _flags_of(value, block.to_numpy(zero_copy_only=False) == 0)
+        paths, blocks = path.take(pa.array(begun)).to_pylist(), block.take(pa.array(begun)).to_pylist()
+        entries = np.add.reduceat(flags["entries"], begun).tolist()
+        closed, bad = (np.logical_or.reduceat(flags[k], begun).tolist() for k in ("closed", "bad"))
+        valid = np.logical_and.reduceat(flags["valid"], begun).tolist()
+        done = []
+        for i, at in enumerate(begun.tolist()):
+            if held is not None and (held["manifest_path"], held["block"]) == (paths[i], blocks[i]):
+                held |= {
+                    "entries": held["entries"] + entries[i], "closed": held["closed"] or closed[i], "valid": held["valid"] and valid[i], "bad": held["bad"] or bad[i],
+                }
+                continue
+            if held is not None:
+                done.append(held)
+            head = bytes(memoryview(value[at].as_buffer())[: 4 * 4096]).decode("utf-8", "replace")[:4096] if blocks[i] == 0 else None
+            held = {
+                "manifest_path": paths[i], "block": blocks[i], "entries": entries[i], "closed": closed[i], "valid": valid[i], "bad": bad[i], "head": head,
+            }
+        if done:
+            yield pa.RecordBatch.from_pylist(done, _SURVEY)
+    if held is not None:
+        yield pa.RecordBatch.from_pylist([held], _SURVEY)
+
+
+def surveyed(records: DataFrame) -> DataFrame:
+    """A table with a row for each block of scan: how many entries it has, whether it closes the list, is UTF-8 and holds an item that
+    is not flat; kind and version stand in the first block of a file, from its first characters."""
+    head = F.col("head")
+    ddl = "manifest_path string, block bigint, entries bigint, closed boolean, valid boolean, bad boolean, head string"
+    return written(records.mapInArrow(_surveyed, ddl).select(
+        "manifest_path", "block", "entries", "closed", "valid", "bad",
+        F.when(head.isNotNull(), manifest_kind(head)).alias("kind"), F.when(head.isNotNull(), manifest_version(head)).alias("version"),
+    ))
+
+
+def xml_entries(records: DataFrame) -> DataFrame:
+    """(manifest_path, block, n, entry) of the XML entries in records. n: an entry's place among those of its block; entry: its tags, all text,
+    because inferred types would turn digests of digits only into numbers."""
     value = F.col("value")
+    # Most records are told by their last characters.
+    ends = records.where((F.endswith(value, F.lit("</")) | F.endswith(value, F.lit(":"))) & value.rlike(_CLOSES))
     layout = ", ".join(f"`{t}` STRING" for t in _XML_TAGS)
     inner = F.regexp_replace(F.regexp_replace(value, _OPENS, ""), _CLOSES, "")
     tags = F.from_xml(F.concat(F.lit("<hash>"), inner, F.lit("</hash>")), layout, {"ignoreNamespace": "true", "rowTag": "hash"})
     entry = F.create_map(*[x for t in _XML_TAGS for x in (F.lit(t), F.col(f"_tags.{t}"))])
-    flat = (F.col("block") == 0) & F.contains(value, F.lit("Hashes:"))
-    records = raw.mapInArrow(_placed, f"{_RAW}, row bigint, n bigint, ends boolean").select(
-        "manifest_path", "block", "row", "n", "ends", F.when((F.col("block") == 0) & (F.col("row") == 0), F.substring(value, 1, 4096)).alias("head"),
-        value.rlike(r"</(\w+:)?hashlist\s*>|<(\w+:)?hashlist[^>]*/>").alias("closed"), F.is_valid_utf8(value).alias("valid"),
-        F.when(F.col("ends"), tags).alias("_tags"), flat.alias("listed"), F.when(flat, yaml_items(value)).alias("flat"), F.when(flat, yaml_bad(value)).alias("bad"),
-    )
-    return records.withColumn("entry", F.when(F.col("ends"), entry)).drop("_tags")
+    placed = ends.mapInArrow(_placed, f"{_RAW}, row bigint, n bigint, ends boolean")
+    return placed.select("manifest_path", "block", "n", tags.alias("_tags")).withColumn("entry", entry).drop("_tags")
 
 
 # A flat line: key, colon, then nothing, a whole quoted value, or a plain one that opens no YAML structure.
@@ -126,11 +209,6 @@ def _not_flat(lines: Column) -> Column:
     return ~F.forall(lines, lambda x: x.rlike(_YAML_LINE)) | (F.size(F.array_distinct(keys)) < F.size(keys))
 
 
-def yaml_bad(text_: Column) -> Column:
-    """Whether any item of a YAML text is not flat."""
-    return F.exists(_yaml_chunks(text_), _not_flat)
-
-
 def yaml_items(text_: Column) -> Column:
     """Array of (entry MAP, bad) of a flat YAML text; bad marks anything not flat."""
 
@@ -144,8 +222,88 @@ def yaml_items(text_: Column) -> Column:
     return F.transform(_yaml_chunks(text_), item)
 
 
-def yaml_entries(items: DataFrame) -> DataFrame:
-    """(manifest_path, entry_ix, entry, bad) of manifest_path and flat, an array of yaml_items."""
+_BYTES, _ROWS = 4_000_000, 10_000  # of texts that are parsed together, and rows of a batch
+_S = r"[ \t\n\x0B\f\r]"  # white space of Java's patterns
+_END = r"[\r\x{85}\x{2028}\x{2029}]"  # what else ends a line there
+#: _YAML_LINE with its key and what stands behind the colon.
+_YAML_PARTS = (
+    rf"^{_S}*(?P<key>[A-Za-z0-9_]+):(?P<value>(?:{_S}*|{_S}+\"[^\"]*\"{_S}*|{_S}+'[^']*'{_S}*"
+    rf"|{_S}+[^ \t\n\x0B\f\r\[\]{{}}&*!|>%@`\"'][^\n\r\x{{85}}\x{{2028}}\x{{2029}}]*){_END}?)$"
+)
+_YAML_ITEM = re.compile(r"\n[ \t\n\x0b\f\r]*- ")
+
+
+def yaml_parsed(texts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.StructArray, np.ndarray]:
+    """yaml_items of many texts by whole-array steps: for each item its text and whether it is not flat; for each of their lines its item,
+    and its key and value, null where the line is not flat."""
+    bodies = ["\n" + t.replace("\r\n", "\n") for t in texts]
+    mark = next(chr(c) for c in range(0xE000, 0xF8FF) if not any(chr(c) in b for b in bodies))  # a character that no text has stands for an item's dash
+    tails = []
+    for body in bodies:
+        at = body.find("\nHashes:")
+        tails.append(_YAML_ITEM.sub("\n" + mark, body[at + 8 :].lstrip(" \t")) if at >= 0 else "")
+    split = pc.split_pattern(pa.array(tails, pa.large_string()), "\n")
+    lines, of = pc.list_flatten(split), pc.list_parent_indices(split).to_numpy()
+    begins = pc.starts_with(lines, mark).to_numpy(zero_copy_only=False).astype(bool)
+    items = of[begins]
+    item = np.cumsum(begins) - 1
+    # What stands before a text's first item is not in its list.
+    inside = np.flatnonzero((item >= 0) & (items[np.maximum(item, 0)] == of)) if len(items) else np.zeros(0, np.int64)
+    lines, item = pc.utf8_ltrim(lines.take(pa.array(inside)), mark), item[inside]
+    said = pc.utf8_trim(lines, " ")
+    said = np.flatnonzero(~pc.or_(pc.equal(said, ""), pc.starts_with(said, "#")).to_numpy(zero_copy_only=False).astype(bool))
+    item, lines = item[said], lines.take(pa.array(said))
+    parts = pc.extract_regex(lines, _YAML_PARTS)
+    bad = np.zeros(len(items), bool)
+    bad[item[pc.is_null(parts).to_numpy(zero_copy_only=False)]] = True
+    codes = pc.fill_null(pc.struct_field(parts, "key").dictionary_encode().indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    pairs = np.sort((item * (len(codes) + 1) + codes)[codes >= 0])
+    bad[pairs[1:][pairs[1:] == pairs[:-1]] // (len(codes) + 1)] = True
+    return items, item, parts, bad
+
+
+_YAML_QUOTED = r"^(?:\"({0}*)\"|'({0}*)')({1}?)$".format(r"[^\n\r\x{85}\x{2028}\x{2029}]", _END)
+
+
+def _yaml_values(values: pa.Array) -> pa.Array:
+    """What stands behind the colons, without spaces around and quotes."""
+    return pc.replace_substring_regex(pc.utf8_trim(values, " "), _YAML_QUOTED, r"\1\2\3")
+
+
+def _some(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Texts that are parsed together, about _BYTES of them, and the place of the first."""
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    group = (np.cumsum(sizes) - sizes) // _BYTES
+    begins = np.flatnonzero(np.diff(group, prepend=-1)).tolist()
+    for low, high in zip(begins, [*begins[1:], len(texts)]):
+        yield low, [x.decode("utf-8", "replace") for x in texts[low:high].cast(pa.binary()).to_pylist()]
+
+
+def _yaml_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low, texts in _some(batch.column("value")):
+            items, item, parts, bad = yaml_parsed(texts)
+            flat = np.flatnonzero(~bad[item])  # the lines of flat items
+            ends = np.cumsum(np.bincount(item[flat], minlength=len(items)))
+            key, value = (pc.struct_field(parts, x).take(pa.array(flat)) for x in ("key", "value"))
+            entries = pa.MapArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), key.cast(pa.string()), _yaml_values(value).cast(pa.string()))
+            counts = np.bincount(items, minlength=len(texts))
+            places = np.arange(len(items)) - np.repeat(np.cumsum(counts) - counts, counts)
+            for at in range(0, len(items), _ROWS):
+                to = slice(at, at + _ROWS)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("manifest_path").take(pa.array(low + items[to])), pa.array(places[to], pa.int32()), entries[to], pa.array(bad[to])],
+                    ["manifest_path", "entry_ix", "entry", "bad"],
+                )
+
+
+def yaml_entries(records: DataFrame) -> DataFrame:
+    """(manifest_path, entry_ix, entry, bad) of the YAML texts among records (manifest_path, value); entries of bad items are not to be used."""
+    return records.select("manifest_path", "value").mapInArrow(_yaml_batches, "manifest_path string, entry_ix int, entry map<string, string>, bad boolean")
+
+
+def _exploded(items: DataFrame) -> DataFrame:
+    """The same of manifest_path and flat, an array of yaml_items."""
     # explode_outer and a filter on its output, as in flatten.groups: plain explode would infer one on the array.
     rows = items.select("manifest_path", F.posexplode_outer("flat").alias("entry_ix", "i")).where(F.col("entry_ix").isNotNull())
     return rows.select("manifest_path", "entry_ix", "i.entry", "i.bad")
@@ -197,48 +355,40 @@ def _good(rows: DataFrame, files: DataFrame, rejects: DataFrame, few: bool = Fal
     return rows.join(sent(heads), ["manifest_path", "kind"]).drop("kind")
 
 
-def _flags(records: DataFrame) -> DataFrame:
-    """closed, valid and bad of every manifest; booleans alone, so that they are combined before they move."""
-    return records.groupBy("manifest_path").agg(
+def heads(blocks: DataFrame) -> DataFrame:
+    """manifest_path, kind, version, closed, valid, bad of every manifest surveyed."""
+    first = blocks.where("block = 0").select("manifest_path", "kind", "version")
+    flags = blocks.groupBy("manifest_path").agg(
         F.bool_or("closed").alias("closed"), F.bool_and("valid").alias("valid"), F.bool_or("bad").alias("bad")
     )
-
-
-def heads(records: DataFrame) -> DataFrame:
-    """manifest_path, kind, version, closed, valid of every manifest scanned; by its first characters."""
-    first = records.where("head is not null").select(
-        "manifest_path", manifest_kind(F.col("head")).alias("kind"), manifest_version(F.col("head")).alias("version")
-    )
-    return first.join(_flags(records).drop("bad"), "manifest_path")
+    return first.join(flags, "manifest_path")
 
 
 #: Manifests whose paths and digests are sent to every task; beyond that their rows are shuffled to them, with the same result.
 FEW_FILES = 500_000
 
 
-def manifests(spark: SparkSession, *roots: str, glob: str = GLOB, keep: bool = True) -> tuple[DataFrame, DataFrame]:
+def manifests(
+    spark: SparkSession, *roots: str, glob: str = GLOB, keep: bool = True, scanned: tuple[DataFrame, DataFrame] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(manifest rows, rejected manifests). The two formats meet in one layout; entry_ix counts the entries of a manifest from 0.
 
     A first scan leaves a small table: what each block says of its file, and how many entries it has. Entries are numbered where they
     are read, from that count of the blocks before, so none of them moves. With keep the rows are a table, so that they are built once
-    and not for every use of them; without it they are built by the step that reads them."""
-    records = scan(spark, *roots, glob=glob)
-    blocks = written(records.groupBy("manifest_path", "block").agg(
-        F.count_if("ends").alias("entries"), F.bool_or("closed").alias("closed"), F.bool_and("valid").alias("valid"), F.bool_or("bad").alias("bad"),
-    ))
-    first = records.where("head is not null").select(
-        "manifest_path", manifest_kind(F.col("head")).alias("kind"), manifest_version(F.col("head")).alias("version")
-    )
-    files = first.join(_flags(blocks), "manifest_path")
-    files = written(files.join(file_hashes(blocks.select("manifest_path")), "manifest_path", "left"))
+    and not for every use of them; without it they are built by the step that reads them. scanned: scan and surveyed of the roots, where
+    the caller has them."""
+    if scanned is None:
+        records = scan(spark, *roots, glob=glob)
+        scanned = records, surveyed(records)
+    records, blocks = scanned
+    files = written(heads(blocks).join(file_hashes(blocks.select("manifest_path")), "manifest_path", "left"))
     few = files.count() <= FEW_FILES
     rejects = _rejects(files, files.where("kind = 'v2'").select("manifest_path", "bad"))
-    # By listed: a filter on flat itself would take the text apart once more.
-    yml = yaml_entries(records.where("listed").select("manifest_path", "flat"))
+    yml = yaml_entries(records.where((F.col("block") == 0) & F.contains("value", F.lit("Hashes:"))))
     before = Window.partitionBy("manifest_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     # Only manifests of several splits have later blocks: a row for each of the splits at most.
     later = blocks.select("manifest_path", "block", F.sum("entries").over(before).alias("_before")).where("block > 0")
-    entries = records.where("ends").select("manifest_path", "block", "n", "entry").join(F.broadcast(later), ["manifest_path", "block"], "left")
+    entries = xml_entries(records).join(F.broadcast(later), ["manifest_path", "block"], "left")
     # A split the first scan did not meet, because the session's split size changed in between, is an error and never a wrong number.
     start = F.when(F.col("block") == 0, F.lit(0).cast("bigint")).otherwise(
         F.coalesce("_before", F.raise_error(F.lit("a manifest was split otherwise by the second scan")).cast("bigint"))
@@ -255,7 +405,7 @@ def rows_from_texts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         "manifest_path", "manifest_sha256", "text", manifest_kind(body).alias("kind"), manifest_version(body).alias("version"),
         F.coalesce(body.rlike(r"</(\w+:)?hashlist\s*>|<(\w+:)?hashlist[^>]*/>"), F.lit(False)).alias("closed"), body.isNotNull().alias("valid"),
     )
-    yml = yaml_entries(files.where("kind = 'v2'").select("manifest_path", yaml_items(body).alias("flat")))
+    yml = _exploded(files.where("kind = 'v2'").select("manifest_path", yaml_items(body).alias("flat")))
     rejects = _rejects(files, yml)
     item = ", ".join(f"`{t}`: STRING" for t in _XML_TAGS)
     parsed = F.from_xml("text", f"hash ARRAY<STRUCT<{item}>>", {"ignoreNamespace": "true", "mode": "PERMISSIVE"})

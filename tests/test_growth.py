@@ -2,12 +2,14 @@
 
 import datetime
 import json
+import random
 import time
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from clipledger.bindings import shelves
 from clipledger.operators import flatten, ingest, integrity, ledger
 from clipledger.sources import manifests
 
@@ -101,3 +103,75 @@ def test_entries_of_manifests_are_not_shuffled(spark, tmp_path):
     assert {(r.entry_ix, r.file) for r in rows.collect()} == {(0, "a.mov"), (1, "b.mov"), (0, "z.mov")}
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "row_number" not in plan
+
+
+def _lineitem(spark, folder, suppliers):
+    rows = [(k, k % 5, s, 1 + k % 3, 39.0 + k % 8, 10.0, 0.07 + k % 3 / 100, 0.04 + k % 2 / 50, "ANR"[k % 3], "OF"[k % 2]) for k, s in enumerate(suppliers)]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double"
+    spark.createDataFrame(rows, f"{names}, l_returnflag string, l_linestatus string").repartition(3).write.parquet(f"{folder}/lineitem.parquet")
+
+
+def test_shelf_has_a_file_for_each_supplier_and_nothing_else(spark, tmp_path):
+    """Spark's writer leaves a checksum beside each file, and starts processes for each."""
+    suppliers = [1, 1, 2, 7, 2, 1, None, 40, 40, 7] * 3
+    _lineitem(spark, tmp_path, suppliers)
+    out = shelves._shelf(spark, str(tmp_path)).removeprefix("file:")
+    import pathlib
+
+    found = {p.relative_to(out).as_posix(): p.read_text() for p in pathlib.Path(out).rglob("*") if p.is_file()}
+    names = {1: "1", 2: "2", 7: "7", 40: "40", None: "__HIVE_DEFAULT_PARTITION__"}
+    assert set(found) == {f"supplier={n}/part-00000.txt" for n in names.values()}
+    for supplier, name in names.items():
+        text, mine = found[f"supplier={name}/part-00000.txt"], [k for k, s in enumerate(suppliers) if s == supplier]
+        listed = [f"o{k} & {1 + k % 3}.mov" for k in mine]
+        if supplier in (1, 7):
+            assert text.startswith('<?xml version="1.0"?><hashlist version="1.1">\n<hash><file>') and text.endswith("</hash>\n</hashlist>\n")
+            assert [x.split("</file>")[0].replace("&amp;", "&") for x in text.split("<file>")[1:]] == listed
+        else:
+            assert text.startswith("Version: 2.0.0\nHashes:\n  - File: ") and text.endswith("\n")
+            assert [x.split("\n")[0] for x in text.split("- File: ")[1:]] == listed
+
+
+def test_routing_scans_the_manifests_once_for_flags_and_heads(spark, tmp_path, monkeypatch):
+    _lineitem(spark, tmp_path, [1, 1, 2, 7, 2, 1, 40, 40, 7] * 3)
+    scans, scan = [], manifests.scan
+    monkeypatch.setattr(manifests, "scan", lambda *a, **k: scans.append(a) or scan(*a, **k))
+    got = {tuple(r) for r in entry.queries()["s06_format_routing"](spark, str(tmp_path)).collect()}
+    assert got == {(1, "v1", "1.1", True, 9), (7, "v1", "1.1", True, 6), (2, "v2", "2.0.0", False, 6), (40, "v2", "2.0.0", False, 6)}
+    assert len(scans) == 1
+
+
+def test_yaml_is_parsed_as_its_patterns_tell(spark):
+    """Whole-array steps against the patterns, text by text."""
+    rng = random.Random(5)
+    bits = ["\n", "\n  - ", "\n- ", "Hashes:", "\nHashes:", " ", "\t", "\r", "\r\n", "\x0b", "\f", "\u0085", "\u2028", "File: a", "md5: x", "key:", 'k: "q"', "k2: 'q'",
+            "a: \"'x'\"", "#c", "{", "[", ":", "\u00e9", "\u00a0", "- ", "x: y: z", 'v: "q', "\ue000", 'w: a"b"', '"', "'"]
+    lines = ["\n  - File: a b ", "\n    md5: 1 ", "\n   sha1: 'x' ", '\n    size: "q"', "\n  # c", "\n", "\r\n  - File: 'x'\r", "\n k:\u0085", '\n - z: "a"\u2028', "\n- z: 'a'\r"]
+    some = lambda of, n: "".join(rng.choice(of) for _ in range(rng.randrange(n)))
+    texts = ["Hashes:" + some(bits, 30) for _ in range(800)] + ["Version: 2.0\nHashes:" + some(lines, 12) for _ in range(800)] + ["", "Hashes:", "\nHashes:\n- "]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "manifest_path string, value string").repartition(3)
+    want = manifests._exploded(df.select("manifest_path", manifests.yaml_items(F.col("value")).alias("flat"))).collect()
+    got = manifests.yaml_entries(df).collect()
+    told = lambda rows: {(r.manifest_path, r.entry_ix): (r.bad, not r.bad and r.entry) for r in rows}
+    assert told(got) == told(want) and len(got) == len(want) and 0 < sum(r.bad for r in got) < len(got)
+
+
+def test_blocks_are_surveyed_across_batches():
+    yaml = "Version: 2.0.0\nHashes:\n  - File: a\n"
+    rows = [
+        ("a", 0, b"<hashlist><"), ("a", 0, b"x</"), ("a", 0, b"\n<"), ("a", 0, b"y</m:"), ("a", 9, b"z</"), ("a", 9, b"</hashlist>"), ("b", 0, yaml.encode()),
+        ("c", 0, (yaml + "  - {File: a}\n").encode()), ("d", 0, b"q\xe9</"), ("d", 0, b"Hashes:\n- a"), ("e", 7, b"Hashes:\n- a"),
+    ]
+    want = {
+        ("a", 0): (2, False, True, False, "<hashlist><"), ("a", 9): (1, True, True, False, None), ("b", 0): (0, False, True, False, yaml),
+        ("c", 0): (0, False, True, True, yaml + "  - {File: a}\n"), ("d", 0): (1, False, False, True, "q\ufffd</"), ("e", 7): (0, False, True, False, None),
+    }
+    for size in (1, 2, 3, 20):
+        batches = []
+        for i in range(0, len(rows), size):
+            path, block, value = zip(*rows[i : i + size])
+            texts = pa.array(value, pa.binary()).view(pa.string())
+            batches.append(pa.RecordBatch.from_arrays([pa.array(path), pa.array(block, pa.int64()), texts], ["manifest_path", "block", "value"]))
+        out = [r for b in manifests._surveyed(iter(batches)) for r in b.to_pylist()]
+        assert len(out) == len(want)
+        assert {(r["manifest_path"], r["block"]): (r["entries"], r["closed"], r["valid"], r["bad"], r["head"]) for r in out} == want
