@@ -84,10 +84,14 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scan(spark: SparkSession, *roots: str, glob: str = GLOB) -> DataFrame:
     """(manifest_path, block, value): the records of the manifests. Splittable: one huge XML manifest is many tasks; a YAML manifest, which
-    holds no tag, is one record."""
-    return spark.read.text(list(roots), lineSep=_RECORD_END, recursiveFileLookup=True, pathGlobFilter=glob).select(
+    holds no tag, is one record. Small files share a task up to the bytes of a split: Spark counts 4 MB for each, so that a task would have
+    some thirty, and most of its time would go into starting."""
+    raw = spark.read.text(list(roots), lineSep=_RECORD_END, recursiveFileLookup=True, pathGlobFilter=glob)
+    total = int(str(raw._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return raw.select(
         plain_path(F.col("_metadata.file_path")).alias("manifest_path"), F.col("_metadata.file_block_start").alias("block"), "value"
-    )
+    ).coalesce(max(4 * spark.sparkContext.defaultParallelism, -(-total // split)))
 
 
 _SURVEY = pa.schema([

@@ -156,6 +156,17 @@ def test_yaml_is_parsed_as_its_patterns_tell(spark):
     assert told(got) == told(want) and len(got) == len(want) and 0 < sum(r.bad for r in got) < len(got)
 
 
+def test_small_manifests_share_tasks(spark, tmp_path):
+    """Spark's own packing has a task for thirty files, however small they are."""
+    for i in range(1400):
+        (tmp_path / f"m{i}.mhl").write_text(f"Version: 2.0.0\nHashes:\n  - File: c{i}.mov\n")
+    few = 4 * spark.sparkContext.defaultParallelism
+    assert manifests.scan(spark, str(tmp_path)).rdd.getNumPartitions() == few
+    rows, rejects = manifests.manifests(spark, str(tmp_path), keep=False)
+    assert {(r.manifest_path.rsplit("/", 1)[1], r.file) for r in rows.collect()} == {(f"m{i}.mhl", f"c{i}.mov") for i in range(1400)}
+    assert rejects.count() == 0
+
+
 def test_blocks_are_surveyed_across_batches():
     yaml = "Version: 2.0.0\nHashes:\n  - File: a\n"
     rows = [
